@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
 from tablewright.llm._arrow import map_texts
-
-CACHED_WORDS = 300_000
+from tablewright.llm._pretokens import IdCache
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -97,7 +96,7 @@ class Vocabulary:
         else:
             self.late = None
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.cache = IdCache(self.pretokens, self.special, self.cut, self.learn)
         self.self_ok = np.full(self.size, -1, np.int8)
         self.known = np.zeros(0, np.int64)  # sorted pairs a * size + b
         self.good = np.zeros(0, bool)
@@ -150,8 +149,11 @@ class Vocabulary:
                 self.self_ok[t] = self.merged(self.tokens[t]) == [t]
         return self.good[np.searchsorted(self.known, keys)] & (self.self_ok[a] == 1) & (self.self_ok[b] == 1)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words that are not cached: propose, verify all adjacent pairs at once, mend what fails."""
+    def learn(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Encode distinct pre-tokens: propose, verify all adjacent pairs at once, mend what fails."""
+        if any(w in self.special for w in words):
+            plain = iter(self.learn([w for w in words if w not in self.special]))
+            return [(self.special[w],) if w in self.special else next(plain) for w in words]
         raw = [w.encode() for w in words]
         proposed = [self.greedy(b) for b in raw]
         sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
@@ -164,35 +166,13 @@ class Vocabulary:
             failed[owner[joined][wrong]] = True
         for i in np.flatnonzero(failed).tolist():
             proposed[i] = self.merged(raw[i])
-        self.words.update(zip(words, map(tuple, proposed), strict=True))
+        return list(map(tuple, proposed))
 
     def pretokens(self, text: str) -> list[str]:
         """The text's pre-tokens; the pattern without late characters is faster and serves most texts."""
         late = self.late is not None and not latin(text) and self.late.search(text)
         return (self.split if late else self.own_split).findall(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = []
-        for text in texts:
-            if self.cut is not None and any(s in text for s in self.special):
-                words = []
-                for k, piece in enumerate(self.cut.split(text)):
-                    words += [self.special[piece]] if k % 2 else self.pretokens(piece)
-            else:
-                words = self.pretokens(text)
-            parts.append(words)
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        new = list({w for words in parts for w in words if w not in self.words and not isinstance(w, int)})
-        if new:
-            self.learn(new)
-        cache = self.words
-        out = []
-        for words in parts:
-            ids = [cache[w] if isinstance(w, str) else (w,) for w in words]
-            out.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
-        return out
-
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
@@ -206,10 +186,8 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: the encoding of every whole text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = vocabulary(path).encode([t or "" for t in batch.column(1).to_pylist()])
-        offsets = np.cumsum([0, *map(len, ids)])
-        flat = pa.array(np.concatenate(ids).astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["doc_id", "ids"])
+        flat, first = vocabulary(path).cache.encode(batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.view(np.int32)))], ["doc_id", "ids"])
 
     return map_texts(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
@@ -219,7 +197,8 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
-        ids = v.encode([t or "" for t in batch.column(1).to_pylist()])
+        flat, first = v.cache.encode(batch.column(1))
+        ids = [flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         digests = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
         decoded = [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

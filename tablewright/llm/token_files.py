@@ -16,7 +16,6 @@ a token set without blocks.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +28,9 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from tablewright.llm._arrow import map_texts
+from tablewright.llm._pretokens import IdCache
 from tablewright.llm.bpe import Vocabulary
 
-CACHED_WORDS = 300_000
 LEVEL = 3
 BROADCAST_BLOCKS = 1_000_000
 
@@ -43,19 +42,18 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.vocabulary = Vocabulary(path)
-        self.words: dict[str, tuple[int, ...]] = {}
+        v = Vocabulary(path)
+        self.cache = IdCache(v.pretokens, v.special, v.cut, self.learn)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        v = self.vocabulary
-        parts = [[w for piece in v.cut.split(t) for w in ([piece] if piece in v.special else v.pretokens(piece))] if v.cut is not None and any(s in t for s in v.special) else v.pretokens(t) for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        cache = self.words
-        new = list({w for words in parts for w in words if w not in cache})
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = tuple(e.ids)
-        return [np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, words)), np.uint32) for words in parts]
+    def learn(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        flat, first = self.cache.encode(column)
+        flat = np.insert(flat, first[1:], end_id)
+        first = first + np.arange(len(first))
+        return [flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +76,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
     sample = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs).coalesce(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [np.append(x, np.uint32(end_id)).tobytes() for b in batches for x in encoder(tokenizer_path).encode(b.column(1).to_pylist())]
+        samples = [x.tobytes() for b in batches for x in encoder(tokenizer_path).encode(b.column(1), end_id)]
         made = b""
         if sum(map(len, samples)) >= 16 * size:
             made = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
@@ -97,12 +95,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encoder(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()])
+        ids = encoder(tokenizer_path).encode(batch.column(1), end_id)
         pack = compressor(dictionary)
-        frames = [pack.compress(np.append(x, np.uint32(end_id)).tobytes()) for x in ids]
+        frames = [pack.compress(x.tobytes()) for x in ids]
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         where = np.searchsorted(cuts, batch.column(0).fill_null(0).to_numpy(), "left") * known
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), batch.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
+        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
 
     frames = map_texts(docs.select(F.col("doc_id").cast("long"), "text"), encode, "part int, doc_id long, n_tokens long, frame binary")
 
