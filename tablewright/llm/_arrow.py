@@ -44,6 +44,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Of the bytes' random values times powers of the hash base: what hashes of spans are differences of."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end)."""
+    return mix((sums[end] - sums[start]) * _power_tables(len(sums))[1][start])
+
+
 class Texts:
     """A column of texts as one byte array; nulls are empty."""
 
@@ -61,11 +73,9 @@ class Texts:
 
     def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte spans [start, end)."""
-        powers, inverse = _power_tables(len(self.data) + 1)
         if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * powers[: len(self.data)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * inverse[start])
+            self._sums = prefix_sums(self.data)
+        return hash_spans(self._sums, start, end)
 
     def words(self, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end of each word and the first word of each text (n + 1 numbers). gaps: for each byte, whether it parts words."""
@@ -95,21 +105,37 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def minimizers(keys: np.ndarray, w: int) -> np.ndarray:
-    """For each w consecutive keys, the place of the smallest (its first, when equal)."""
+def minimizers(keys: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each w consecutive keys, the place of one of the smallest, and whether equal ones are near. Which
+    key is chosen depends on the keys alone; of equal ones a choice is kept while it is inside, so that
+    repetitive text has few."""
     n = len(keys)
     if n < w:
-        return np.zeros(0, np.int64)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    keys = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    bits = np.uint64(max(24, int(n).bit_length()))
     blocks = -(-n // w)
     padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = keys
+    padded[:n] = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)
     grid = padded.reshape(blocks, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    value = keys[place]
+    other = value[1:] != value[:-1]
+    moved = np.flatnonzero(~other & (place[1:] != place[:-1]))
+    tied = np.zeros(len(place), bool)
+    if len(moved):
+        begins = np.concatenate([[0], np.flatnonzero(other) + 1, [len(place)]])
+        for run in np.unique(np.searchsorted(begins, moved, "right") - 1).tolist():
+            at, stop = int(begins[run]), int(begins[run + 1])
+            equal = np.unique(place[at:stop])
+            tied[at:stop] = True
+            while at < stop:
+                chosen = int(equal[np.searchsorted(equal, at + w) - 1])
+                place[at : min(chosen + 1, stop)] = chosen
+                at = chosen + 1
+    return place, tied
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -42,19 +42,19 @@ class Anchors:
     row: np.ndarray
     begin: np.ndarray  # of the segment, in the slice's units
     end: np.ndarray
-    lead: np.ndarray  # units of the segment before the anchor
+    tied: np.ndarray  # whether equal k-grams are near, so that its spans may equal each other
 
 
 def anchors(texts: Texts, how: Units) -> Anchors:
     units, first, grams = how.cut(texts)
-    place = minimizers(grams, how.span - how.k + 1)
+    place, tied = minimizers(grams, how.span - how.k + 1)
     row = np.repeat(np.arange(texts.n), np.diff(first))
     spans = np.flatnonzero(np.arange(len(place)) + how.span <= first[1:][row[: len(place)]]) if len(place) else np.zeros(0, np.int64)
     chosen = place[spans]
     opens = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(spans) != 1)]) if len(spans) else np.zeros(0, bool)
     begin, at = spans[opens], chosen[opens]
     last = np.append(spans[np.flatnonzero(opens)[1:] - 1], spans[-1:])
-    return Anchors(units, first, grams[at].view(np.int64), row[begin], begin, last + how.span, at - begin)
+    return Anchors(units, first, grams[at].view(np.int64), row[begin], begin, last + how.span, tied[begin])
 
 
 def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
@@ -62,8 +62,9 @@ def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = anchors(Texts(batch.column(1)), how)
+        times = 1 + (found.tied & (not across))
         ids = batch.column(0).to_numpy()[found.row]
-        return pa.RecordBatch.from_arrays([pa.array(found.hash), pa.array(ids)], ["hash", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(found.hash, times)), pa.array(np.repeat(ids, times))], ["hash", "doc_id"])
 
     each = map_texts(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), emit, "hash long, doc_id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -73,7 +74,7 @@ def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
 
 
 def segments(base: DataFrame, shared: DataFrame, how: Units) -> DataFrame:
-    """hash, lead, segment, doc_id, text_hash, begin: all occurrences of shared anchors with what surrounds them."""
+    """hash, segment, doc_id, text_hash, begin: all occurrences of shared anchors with what surrounds them."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         batch = batch.filter(batch.column(3).is_valid())
@@ -91,20 +92,19 @@ def segments(base: DataFrame, shared: DataFrame, how: Units) -> DataFrame:
         cut = [raw[b * size : e * size] for b, e in zip(found.begin[at].tolist(), found.end[at].tolist(), strict=True)]
         row = found.row[at]
         begin = found.begin[at] - found.first[:-1][row]
-        arrays = [pa.array(found.hash[at]), pa.array(found.lead[at], pa.int32()), pa.array(cut, pa.binary()), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[row]), pa.array(begin)]
-        return pa.RecordBatch.from_arrays(arrays, ["hash", "lead", "segment", "doc_id", "text_hash", "begin"])
+        arrays = [pa.array(found.hash[at]), pa.array(cut, pa.binary()), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[row]), pa.array(begin)]
+        return pa.RecordBatch.from_arrays(arrays, ["hash", "segment", "doc_id", "text_hash", "begin"])
 
     joined = base.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id") == F.col("shared_id"), "left")
     wide = joined.select("doc_id", "text_hash", "text", "hashes")
-    return map_texts(wide, emit, "hash long, lead int, segment binary, doc_id long, text_hash long, begin long")
+    return map_texts(wide, emit, "hash long, segment binary, doc_id long, text_hash long, begin long")
 
 
 @dataclass
 class Group:
-    """Segments sorted by (hash, lead, segment, doc_id, begin); equal segments form a class."""
+    """Segments sorted by (hash, segment, doc_id, begin); equal segments form a class."""
 
     hash: np.ndarray
-    lead: np.ndarray
     doc: np.ndarray
     begin: np.ndarray
     text_hash: np.ndarray
@@ -117,14 +117,14 @@ class Group:
     def read(table: pa.Table) -> Group:
         segment = table.column("segment").combine_chunks()
         segment = (segment.chunk(0) if isinstance(segment, pa.ChunkedArray) else segment).cast(pa.large_binary())
-        h, lead = numbers(table, "hash"), numbers(table, "lead")
+        h = numbers(table, "hash")
         differs = pc.not_equal(segment[1:], segment[:-1]).to_numpy(zero_copy_only=False)
-        opens = np.concatenate([[True], differs | (h[1:] != h[:-1]) | (lead[1:] != lead[:-1])])
+        opens = np.concatenate([[True], differs | (h[1:] != h[:-1])])
         head = np.flatnonzero(opens)
         distinct = segment.take(pa.array(head))
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(head) + 1]
         data = np.frombuffer(distinct.buffers()[2], np.uint8)
-        return Group(h, lead, numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        return Group(h, numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
 def matched(found: DataFrame, how: Units, itemsize: int, judge: Callable[[Group, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -158,7 +158,7 @@ def matched(found: DataFrame, how: Units, itemsize: int, judge: Callable[[Group,
                 yield pa.RecordBatch.from_arrays([pa.array(g.doc[rows]), pa.array(g.text_hash[rows]), pa.array(begin), pa.array(end)], ["doc_id", "text_hash", "begin", "end"])
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartition(parts, "hash").sortWithinPartitions("hash", "lead", "segment", "doc_id", "begin")
+    ordered = found.repartition(parts, "hash").sortWithinPartitions("hash", "segment", "doc_id", "begin")
     spans = ordered.mapInArrow(work, "doc_id long, text_hash long, begin long, end long")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "begin", "end")).alias("ranges"))
 

@@ -54,7 +54,7 @@ def template_index(templates: dict[str, str]) -> tuple[list[str], list[np.ndarra
             raise ValueError(f"template {names[t]} has fewer than {GRAM} words")
         units.append(texts.hash_spans(start, end))
         grams = windows(units[-1], GRAM)
-        for at in np.unique(minimizers(grams, min(WINNOW, len(grams)))).tolist():
+        for at in np.unique(minimizers(grams, min(WINNOW, len(grams)))[0]).tolist():
             index[int(grams[at])].append((t, at))
     return names, units, np.array(sorted(index), np.uint64), dict(index)
 

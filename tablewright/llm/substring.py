@@ -27,9 +27,8 @@ def owners(g: Group, of: np.ndarray, place: np.ndarray, span: int) -> np.ndarray
     """For each span of the classes, the smallest doc_id of a class in which it stands."""
     words = g.data.view(np.uint64)
     at = (g.offsets[:-1] // 8)[of] + place
-    key = windows(words, span)[at]
     head = g.head[of]
-    key = mix(key ^ mix(g.hash[head].view(np.uint64) + (g.lead[head] - place).astype(np.int64).view(np.uint64)))
+    key = mix(windows(words, span)[at] ^ mix(g.hash[head].view(np.uint64)))
     doc = g.doc[head]
     order = np.lexsort((doc, key))
     opens = np.concatenate([[True], np.diff(key[order]) != 0])

@@ -18,11 +18,12 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import Texts, map_texts
+from tablewright.llm._arrow import Texts, hash_spans, map_texts, mix, prefix_sums
 from tablewright.llm._seeds import Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
 from tablewright.llm.bcr import sorted_suffixes
 
@@ -30,35 +31,35 @@ ANCHOR_BYTES = 32
 
 
 def later_spans(g: Group, of: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Which strings of the classes also stand, earlier, in another class of their group."""
+    """Which strings of the classes also stand, earlier, in another place of their group. Strings whose
+    hash is alone in its group cannot; segments are trimmed to what lies between the others."""
     out = np.zeros(len(of), bool)
-    group = g.hash[g.head]
-    many = np.zeros(len(group), bool)
-    same = group[1:] == group[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    chosen = np.flatnonzero(many)
-    if not len(chosen):
+    at = g.offsets[:-1][of] + place
+    keys = mix(hash_spans(prefix_sums(g.data), at, at + length) ^ mix(g.hash[g.head].view(np.uint64))[of])
+    codes = pd.factorize(keys)[0]
+    some = np.flatnonzero(np.bincount(codes)[codes] > 1)
+    if not len(some):
         return out
-    sizes = np.diff(g.offsets)[chosen]
+    cuts = np.flatnonzero(np.diff(of[some])) + 1
+    low, high = some[np.concatenate([[0], cuts])], some[np.concatenate([cuts - 1, [len(some) - 1]])]
+    sizes = high - low + length
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    data = g.data[np.repeat(g.offsets[:-1][chosen] - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    data = g.data[np.repeat(at[low] - offsets[:-1], sizes) + np.arange(offsets[-1])]
     string, start, common = sorted_suffixes(data, offsets)
-    long = start + length <= sizes[string]
+    long = np.flatnonzero(start + length <= sizes[string])
+    string, start = string[long], start[long]
     # nothing shorter than length sorts between two suffixes that share length bytes
-    at = np.flatnonzero(long)
-    opens = common[at] < length
+    opens = common[long] < length
     opens[:1] = True
     run = np.cumsum(opens) - 1
-    head = g.head[chosen][string[at]]
-    doc, begin = g.doc[head], g.begin[head] + start[at]
+    span = low[string] + start
+    head = g.head[of[span]]
+    doc, begin = g.doc[head], g.begin[head] + place[span]
     order = np.lexsort((begin, doc, run))
     first = np.concatenate([[True], np.diff(run[order]) != 0])
-    leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    later = np.empty(len(order), bool)
-    later[order] = (doc[order] > doc[leader]) | (begin[order] > begin[leader])
-    span_at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(g.head)))])
-    out[span_at[chosen[string[at]]] + start[at]] = later
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    out[span] = (doc > doc[leader]) | (begin > begin[leader])
     return out
 
 
