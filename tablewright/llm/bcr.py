@@ -3,8 +3,9 @@
 Round j puts the suffix of length j of every string into the sorted list of all shorter
 suffixes: its place follows from the place of the suffix it extends, by counting symbols of
 the transform before it, and its common prefixes with its two neighbours from range minima
-over the common prefixes so far. The columns (transform, common prefix, string, length) are
-read and written once a round, front to back; beyond `memory_bytes` they are external files.
+over the common prefixes so far. The columns (transform, common prefix, suffix) are read and written
+once a round, front to back; beyond `memory_bytes` they are external files. Strings are pieces
+of UTF-8 text of under 255 bytes, so the byte 255 can stand for a string's start.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pathlib import Path
 import numpy as np
 
 MEMORY_BYTES = 64 << 20
-_COLUMNS = {"symbol": np.uint16, "common": np.int16, "string": np.int32, "length": np.int16}
+START = 255
+_COLUMNS = {"symbol": np.uint8, "common": np.uint8, "suffix": np.int32}
 
 
 class Columns:
@@ -48,59 +50,63 @@ def range_minima(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.
     return out
 
 
+def symbol_ranks(order: np.ndarray, bounds: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where the places `at` with symbols `own` lie in `order`, which lists each symbol's places (from bounds[symbol] on)."""
+    out = np.empty(len(at), np.int64)
+    grouped = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[grouped], np.arange(257))
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = grouped[cuts[c] : cuts[c + 1]]
+        out[mine] = bounds[c] + np.searchsorted(order[bounds[c] : bounds[c + 1]], at[mine])
+    return out
+
+
 def sorted_suffixes(data: np.ndarray, offsets: np.ndarray, memory_bytes: int = MEMORY_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, start and common prefix with the one before, of all suffixes (the empty ones first) of the
     strings data[offsets[i]:offsets[i + 1]], in sorted order; equal suffixes by string number."""
     count = len(offsets) - 1
     sizes = np.diff(offsets)
+    if sizes.max(initial=0) >= START or (data == START).any():
+        raise ValueError("strings must be pieces of UTF-8 text of under 255 bytes")
+    ends = offsets[1:] + np.arange(count)  # every string has one number more than bytes: that of its empty suffix
+
+    def symbols(strings: np.ndarray, length: int) -> np.ndarray:
+        """The symbol before each string's suffix of this length."""
+        left = sizes[strings] - length
+        return np.where(left > 0, data[np.maximum(offsets[strings] + left - 1, 0)], START).astype(np.uint8) if len(data) else np.full(len(strings), START, np.uint8)
+
     with tempfile.TemporaryDirectory() as folder:
         columns = Columns(folder, memory_bytes)
-        ids = np.arange(count)
-
-        def symbols(strings: np.ndarray, length: int) -> np.ndarray:
-            """The symbol before each suffix of this length: a byte plus 1, or 0 at a string's start."""
-            left = sizes[strings] - length
-            out = np.zeros(len(strings), np.uint16)
-            some = left > 0
-            out[some] = data[offsets[strings[some]] + left[some] - 1].astype(np.uint16) + 1
-            return out
-
-        columns.write(symbol=symbols(ids, 0), common=np.zeros(count, np.int16), string=ids.astype(np.int32), length=np.zeros(count, np.int16))
-        active, at = ids, ids.copy()  # strings that still grow, and the places of their longest suffixes so far
+        active = np.arange(count)  # strings that still grow
+        at = active.copy()  # the places of their longest suffixes so far
+        columns.write(symbol=symbols(active, 0), common=np.zeros(count, np.uint8), suffix=ends.astype(np.int32))
         for length in range(1, int(sizes.max(initial=0)) + 1):
             grows = sizes[active] >= length
             active, at = active[grows], at[grows]
             symbol, common = columns.read("symbol"), columns.read("common")
             n = len(symbol)
             order = np.argsort(symbol, kind="stable")  # where each symbol's occurrences lie, in order
-            ends = int(np.count_nonzero(symbol == 0))
-            rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n)
-            mine = rank[at]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=256))])
             own = symbol[at]
-            sorted_symbol = symbol[order]
+            mine = symbol_ranks(order, bounds, at, own)
 
-            before = np.zeros(len(at), np.int16)
-            some = (mine > 0) & (sorted_symbol[np.maximum(mine - 1, 0)] == own)
+            before = np.zeros(len(at), np.uint8)
+            some = mine > bounds[own]
             before[some] = 1 + range_minima(common, order[mine[some] - 1], at[some])
-            behind = np.zeros(len(at), np.int16)
-            some = (mine + 1 < n) & (sorted_symbol[np.minimum(mine + 1, n - 1)] == own)
+            behind = np.zeros(len(at), np.uint8)
+            some = mine + 1 < bounds[own.astype(np.int64) + 1]
             behind[some] = 1 + range_minima(common, at[some], order[mine[some] + 1])
 
-            place = mine - ends + count  # the empty suffixes come first
-            grown = n + len(at)
-            old = np.ones(grown, bool)
-            old[place] = False
-            out = {}
-            for name, fresh in (("symbol", symbols(active, length)), ("common", before), ("string", active), ("length", length)):
-                column = np.empty(grown, _COLUMNS[name])
-                column[old] = {"symbol": symbol, "common": common}.get(name) if name in ("symbol", "common") else columns.read(name)
-                column[place] = fresh
-                out[name] = column
-            next_place = place + 1
-            inside = next_place < grown
-            out["common"][next_place[inside]] = behind[inside]
-            columns.write(**out)
-            at = place
-        string = columns.read("string").astype(np.int64)
-        return string, sizes[string] - columns.read("length"), columns.read("common").astype(np.int64)
+            at = mine + count  # the empty suffixes come first
+            old = np.ones(n + len(at), bool)
+            old[at] = False
+            grown = {}
+            for name, fresh in (("symbol", symbols(active, length)), ("common", before), ("suffix", ends[active] - length)):
+                grown[name] = np.empty(len(old), _COLUMNS[name])
+                grown[name][old] = columns.read(name)
+                grown[name][at] = fresh
+            grown["common"][np.minimum(at + 1, len(old) - 1)[at + 1 < len(old)]] = behind[at + 1 < len(old)]
+            columns.write(**grown)
+        suffix = columns.read("suffix").astype(np.int64)
+        string = np.searchsorted(ends, suffix)
+        return string, suffix - offsets[string] - string, columns.read("common").astype(np.int64)
