@@ -13,17 +13,19 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 
 
+_sent: set[str] = set()
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Send the package to the executors unless their path has it already."""
+    """Send the package to the executors, once for each application, unless their path has it already."""
     paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
-    if ROOT in paths or getattr(sc, "_tablewright_sent", False):
+    if ROOT in paths or sc.applicationId in _sent:
         return
-    with tempfile.TemporaryDirectory(prefix="spark-") as folder:
-        file = Path(folder) / "tablewright.zip"
-        with zipfile.ZipFile(file, "w") as z:
-            for source in sorted((ROOT / "tablewright").rglob("*.py")):
-                z.write(source, source.relative_to(ROOT))
-        sc.addPyFile(str(file))
+    file = Path(tempfile.mkdtemp(prefix="spark-")) / "tablewright.zip"  # read again by executors that start later
+    with zipfile.ZipFile(file, "w") as z:
+        for source in sorted((ROOT / "tablewright").rglob("*.py")):
+            z.write(source, source.relative_to(ROOT))
+    sc.addPyFile(str(file))
     sys.path[:] = [p for p in sys.path if not p.endswith("tablewright.zip")]
-    sc._tablewright_sent = True
+    _sent.add(sc.applicationId)
