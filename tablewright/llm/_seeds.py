@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tablewright.llm._arrow import Texts, map_texts, minimizers, numbers, repeated, whole_runs, windows
 
 
+WORD_BYTES = 6
+
+
 @dataclass(frozen=True)
 class Units:
     """What texts are cut into, and the anchors' k and span."""
@@ -89,6 +92,8 @@ def segments(base: DataFrame, shared: DataFrame, how: Units) -> DataFrame:
             wanted[part] = np.isin(found.hash[part], hashes[i].values.to_numpy())
         at = np.flatnonzero(wanted)
         raw, size = found.units.tobytes(), found.units.itemsize
+        if size == 8:  # 48 bits of a word's hash are enough beside its anchor's 64
+            raw, size = np.ascontiguousarray(found.units).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes(), WORD_BYTES
         cut = [raw[b * size : e * size] for b, e in zip(found.begin[at].tolist(), found.end[at].tolist(), strict=True)]
         row = found.row[at]
         begin = found.begin[at] - found.first[:-1][row]

@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm._arrow import Texts, map_texts, mix, windows
-from tablewright.llm._seeds import Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
+from tablewright.llm._seeds import WORD_BYTES, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
 
 ANCHOR_WORDS = 5
 
 
 def owners(g: Group, of: np.ndarray, place: np.ndarray, span: int) -> np.ndarray:
     """For each span of the classes, the smallest doc_id of a class in which it stands."""
-    words = g.data.view(np.uint64)
-    at = (g.offsets[:-1] // 8)[of] + place
+    wide = np.zeros((len(g.data) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = g.data.reshape(-1, WORD_BYTES)
+    words = wide.view(np.uint64).ravel()
+    at = (g.offsets[:-1] // WORD_BYTES)[of] + place
     head = g.head[of]
     key = mix(windows(words, span)[at] ^ mix(g.hash[head].view(np.uint64)))
     doc = g.doc[head]
@@ -46,7 +48,7 @@ def remove_substrings(docs: DataFrame, span: int = 13) -> DataFrame:
         first = g.doc[g.head]
         return g.doc > first[g.of], owners(g, of, place, span) < first[of]
 
-    ranges = matched(segments(base, shared_anchors(docs, how, across=True), how), how, 8, judge)
+    ranges = matched(segments(base, shared_anchors(docs, how, across=True), how), how, WORD_BYTES, judge)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         start, _, first = Texts(batch.column(2)).words()

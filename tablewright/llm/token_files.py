@@ -134,6 +134,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
 def read_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
     """The dictionary, of a size that write_tokens bounds, and its hash."""
     row = spark.read.parquet(f"{path}/dictionary").first()
+    if row is None:  # there was no document to sample
+        return b"", hashlib.sha256(b"").hexdigest()
     if hashlib.sha256(row.dictionary).hexdigest() != row.sha256:
         raise ValueError(f"the dictionary in {path} does not fit its hash")
     return bytes(row.dictionary), row.sha256
