@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.functions.columns import quoted
 from tablewright.plans.schema import ColumnSpec, TableSpec, normalized
 
 INSTANT = {"ADD_COL", "ADD_TIMESTAMP_COL"}
@@ -75,9 +76,9 @@ class SchemaDiff:
         left = [c.name for c in old.columns if c.name in names]
         for c in old.columns:
             if c.name not in names:
-                self._add("drop", "column", c.name, c.sql(), "", ["DROP_COL"], f"DROP `{c.name}`")
+                self._add("drop", "column", c.name, c.sql(), "", ["DROP_COL"], f"DROP {quoted(c.name)}")
         for i, c in enumerate(new.columns):
-            where = f"AFTER `{names[i - 1]}`" if i else "FIRST"
+            where = f"AFTER {quoted(names[i - 1])}" if i else "FIRST"
             was = old.column(c.name)
             if was is None:
                 left.insert(i, c.name)
@@ -100,9 +101,9 @@ class SchemaDiff:
             x, y = a.get(name), b.get(name)
             if x != y:
                 kinds = ["DROP_INDEX"] * (x is not None) + ["ADD_INDEX"] * (y is not None) + ["BECOME_UNIQUE_INDEX"] * bool(y and y.unique and not (x and x.unique))
-                self._add("modify" if x and y else "add" if y else "drop", "key", name, x.sql() if x else "", y.sql() if y else "", kinds, *([f"DROP KEY `{name}`"] * (x is not None) + [f"ADD {y.sql()}" if y else ""]))
+                self._add("modify" if x and y else "add" if y else "drop", "key", name, x.sql() if x else "", y.sql() if y else "", kinds, *([f"DROP KEY {quoted(name)}"] * (x is not None) + [f"ADD {y.sql()}" if y else ""]))
         for f in sorted({*old.foreign} - {*new.foreign}):
-            self._add("drop", "foreign key", f[0], f[2], "", ["DROP_FOREIGN_KEY"], f"DROP FOREIGN KEY `{f[0]}`")
+            self._add("drop", "foreign key", f[0], f[2], "", ["DROP_FOREIGN_KEY"], f"DROP FOREIGN KEY {quoted(f[0])}")
         for option in sorted({*old.options, *new.options}):
             x, y = old.options.get(option, ""), new.options.get(option, "")
             if x != y:
@@ -119,7 +120,7 @@ class SchemaDiff:
         return {t for c in self.changes for t in c.alter_types}
 
     def to_sql(self) -> str | None:
-        return f"ALTER TABLE `{self.table}` " + ", ".join(self.segments) if self.segments else None
+        return f"ALTER TABLE {quoted(self.table)} " + ", ".join(self.segments) if self.segments else None
 
     def rows(self, spark: SparkSession) -> DataFrame:
         rows = [(c.change, c.object, c.name, c.old, c.new, ",".join(c.alter_types), set(c.alter_types) <= INSTANT) for c in self.changes]
