@@ -94,7 +94,7 @@ class SchemaDiff:
             if kinds:
                 self._add("modify", "column", c.name, was.sql(), c.sql(), kinds, f"MODIFY {c.sql()}" + f" {where}" * moved)
         if old.primary != new.primary:
-            parts = ["DROP PRIMARY KEY"] * bool(old.primary) + [f"ADD {new.primary.sql(True)}"] * bool(new.primary)
+            parts = ["DROP PRIMARY KEY"] * bool(old.primary) + ([f"ADD {new.primary.sql(True)}"] if new.primary else [])
             self._add("modify", "key", "PRIMARY", old.primary.sql(True) if old.primary else "", new.primary.sql(True) if new.primary else "", ["CHANGE_PK" if old.primary and new.primary else "ADD_PK" if new.primary else "DROP_PK"], *parts)
         a, b = {k.name: k for k in old.keys}, {k.name: k for k in new.keys}
         for name in sorted({*a, *b}):
