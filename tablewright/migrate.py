@@ -38,6 +38,11 @@ def first_of_duplicates(frame: DataFrame, unique: list[str], order: list[str]) -
     return frame.groupBy(*[F.col(quoted(u)) for u in unique]).agg(picked).select("__row.*")
 
 
+def kept_result(frame: DataFrame) -> DataFrame:
+    """The frame, computed once into the cluster's checkpoint folder where one is set."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else frame
+
+
 @dataclass
 class Migration:
     old: TableSpec
@@ -71,8 +76,8 @@ class Migration:
         kept = [c for c in changes.columns if c in (replay.CHANGE_ID, replay.DML_TYPE) or self.new.column(c)]
         typed = [F.col(quoted(c)).cast(self.new.column(c).spark_type()).alias(c) if self.new.column(c) else F.col(quoted(c)) for c in kept]
         copy = self.stage("copy", lambda: copied(table, self.new))
-        new = self.stage("replay", lambda: replay.folded(copy, changes.select(*typed), keys))
-        target = replay.folded(table, changes, keys)
+        new = self.stage("replay", lambda: kept_result(replay.folded(copy, changes.select(*typed), keys)))
+        target = kept_result(replay.folded(table, changes, keys))
         shared = [c for c in checked_columns(new) if c in table.columns]
         sums = lambda frame: verify.by_chunk(frame, keys, self.chunk_rows, shared, md5_prefix)
         checks = self.stage("verify", lambda: verify.compared(sums(copied(target, self.new)), sums(new), "chunk_id", shared))
