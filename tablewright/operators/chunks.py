@@ -1,8 +1,10 @@
-"""Key-ordered chunks without a global sort in one task: rows are cut into ranges of the leading key,
+"""Key-ordered chunks without a global sort in one task: rows are cut into ranges of the whole key,
 numbered within each range, and shifted by the rows of the ranges before."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from pyspark.sql.window import Window
 from tablewright.functions.columns import columns, quoted
 
 LEAST_ROW_BYTES = 20
+SAMPLE, MOST_RANGES = 20, 4096
 
 
 def rows_per_chunk(chunk_bytes: int, row_bytes: int) -> int:
@@ -18,20 +21,26 @@ def rows_per_chunk(chunk_bytes: int, row_bytes: int) -> int:
     return rows + 1 - rows % 2
 
 
-def key_ranges(frame: DataFrame, key: str, ranges: int) -> Column:
-    """Number of the range of the leading key: cuts are approximate percentiles, at most `ranges` of them."""
-    numeric = dict(frame.dtypes)[key] not in ("string", "binary", "boolean")
-    if not numeric or ranges < 2:
+def key_ranges(frame: DataFrame, keys: list[str], ranges: int) -> Column:
+    """Number of the row's range of keys, of any type. The cuts come from SAMPLE random rows a range, which decide
+    only how even the ranges are; at most MOST_RANGES cuts, looked up in two steps. Equal keys share a range."""
+    ranges = min(ranges, MOST_RANGES)
+    drawn = frame.select(*columns(keys), F.rand().alias("__r")).orderBy("__r").limit(SAMPLE * ranges).select(*columns(keys))
+    rows = drawn.orderBy(*columns(keys)).collect() if ranges > 1 else []
+    picked = [r for i, r in enumerate(rows[SAMPLE::SAMPLE]) if i == 0 or r != rows[i * SAMPLE]]
+    if not picked:
         return F.lit(0)
-    cuts = frame.select(F.percentile_approx(F.col(quoted(key)), [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(quoted(key)))), F.lit(0))
+    cuts = [F.struct(*[F.lit(v).cast(frame.schema[k].dataType).alias(k) for k, v in zip(keys, r, strict=True)]) for r in picked]
+    step, key = math.isqrt(len(cuts)) + 1, F.struct(*[c.alias(k) for c, k in zip(columns(keys), keys, strict=True)])
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < key))
+    block = below(F.array(*cuts[step - 1 :: step])) * step if len(cuts) >= step else F.lit(0)
+    return block + below(F.slice(F.array(*cuts), block + 1, F.lit(step)))
 
 
 def numbered(frame: DataFrame, keys: list[str], name: str = "row_no") -> DataFrame:
-    """frame with the rows' numbers in key order, from 1. A leading text key is ordered in one task."""
+    """frame with the rows' numbers in key order, from 1."""
     ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frame.withColumn("__range", key_ranges(frame, keys[0], ranges))
+    ranged = frame.withColumn("__range", key_ranges(frame, keys, ranges))
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # at most `ranges` rows
     first = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__first"))
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*columns(keys)))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tablewright.errors import MigrationError
 from tablewright.functions.columns import columns, matches, quoted
 from tablewright.operators.capture import CHANGE_ID, DELETE, DML_TYPE, INSERT, UPDATE, of_type
+from tablewright.operators.chunks import key_ranges, numbered
 
 
 def delete_matching(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,14 +90,27 @@ def require_known_types(changes: DataFrame) -> None:
 
 def change_groups(changes: DataFrame, size: int, grouped_updates: bool = False) -> DataFrame:
     """group_no, dml_type, first_id, last_id, n: runs of one type in id order, of `size` at most; updates stand
-    alone. A report: replay does not need it, so it may order the log in one task."""
-    by_id = Window.orderBy(CHANGE_ID)
-    alone = (of_type(UPDATE) if not grouped_updates else F.lit(False)).cast("int")
-    starts = F.coalesce((F.col(DML_TYPE) != F.lag(DML_TYPE).over(by_id)).cast("int"), F.lit(1))
-    runs = changes.select(CHANGE_ID, DML_TYPE, F.greatest(starts, alone).alias("__s")).withColumn("__run", F.sum("__s").over(by_id))
-    place = F.row_number().over(Window.partitionBy("__run").orderBy(CHANGE_ID)) - 1
-    groups = runs.withColumn("__part", F.floor(place / size)).groupBy("__run", "__part").agg(F.min(DML_TYPE).alias(DML_TYPE), F.min(CHANGE_ID).alias("first_id"), F.max(CHANGE_ID).alias("last_id"), F.count(F.lit(1)).alias("n"))
-    return groups.select(F.row_number().over(Window.orderBy("first_id")).cast("long").alias("group_no"), DML_TYPE, "first_id", "last_id", "n")
+    alone. Runs are found inside ranges of ids; what a range must know of those before (the last type, where the
+    run began, its rows so far) comes from one row for each range."""
+    log = changes.select(CHANGE_ID, DML_TYPE)
+    ranges = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    log = log.withColumn("__range", key_ranges(log, [CHANGE_ID], ranges))
+    by_id, by_range = Window.partitionBy("__range").orderBy(CHANGE_ID), Window.orderBy("__range")
+    ends = log.groupBy("__range").agg(F.max_by(DML_TYPE, CHANGE_ID).alias("__last"))  # at most `ranges` rows, as are all with by_range
+    known = log.join(F.broadcast(ends.select("__range", F.lag("__last").over(by_range).alias("__before"))), "__range")
+    alone = of_type(UPDATE) if not grouped_updates else F.lit(False)
+    starts = alone | ~F.col(DML_TYPE).eqNullSafe(F.coalesce(F.lag(DML_TYPE).over(by_id), "__before"))
+    marked = known.select("__range", CHANGE_ID, DML_TYPE, F.row_number().over(by_id).alias("__no"), starts.alias("__starts"))
+    own = F.last(F.when(F.col("__starts"), F.struct(F.col(CHANGE_ID).alias("run"), F.col("__no").alias("no"))), ignorenulls=True)
+    placed = marked.withColumn("__own", own.over(by_id))
+    tails = placed.groupBy("__range").agg(F.max("__own").alias("__own"), F.count(F.lit(1)).alias("__n"))
+    tails = tails.select("__range", F.last("__own.run", ignorenulls=True).over(by_range).alias("__run"), (F.col("__n") - F.coalesce(F.col("__own.no") - 1, F.lit(0))).alias("__tail"))
+    so_far = F.sum("__tail").over(Window.partitionBy("__run").orderBy("__range"))
+    tails = tails.withColumn("__so_far", so_far).select("__range", F.lag("__run").over(by_range).alias("__run"), F.lag("__so_far").over(by_range).alias("__so_far"))
+    place = F.col("__no") - F.coalesce("__own.no", 1 - F.col("__so_far"))
+    runs = placed.join(F.broadcast(tails), "__range").select(CHANGE_ID, DML_TYPE, F.coalesce("__own.run", "__run").alias("__run"), F.floor(place / size).alias("__part"))
+    groups = runs.groupBy("__run", "__part").agg(F.min(DML_TYPE).alias(DML_TYPE), F.min(CHANGE_ID).alias("first_id"), F.max(CHANGE_ID).alias("last_id"), F.count(F.lit(1)).alias("n"))
+    return numbered(groups, ["first_id"], "group_no").select(F.col("group_no").cast("long"), DML_TYPE, "first_id", "last_id", "n")
 
 
 def counts_by_type(changes: DataFrame) -> DataFrame:

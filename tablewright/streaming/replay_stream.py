@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import MigrationError
 from tablewright.operators.capture import CHANGE_ID
-from tablewright.operators.gaps import gap_ranges
+from tablewright.operators.gaps import CELL, gap_ranges
 from tablewright.operators.replay import folded, require_known_types
 
 
@@ -53,7 +53,10 @@ class ReplayTarget:
         last = state.agg(F.max("last_id")).first()[0]
         missing = state.where("first IS NOT NULL").select("first", "last")
         late = batch.where(F.col(CHANGE_ID) <= last)
-        strange = late.join(missing, F.col(CHANGE_ID).between(F.col("first"), F.col("last")), "left_anti").limit(1).count()
+        cells = missing.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor(F.col("last") / CELL))))
+        seen = late.select(F.col(CHANGE_ID).alias("id"), F.floor(F.col(CHANGE_ID) / CELL).alias("late_cell"))
+        inside = (F.col("late_cell") == F.col("cell")) & F.col("id").between(F.col("first"), F.col("last"))
+        strange = seen.join(cells, inside, "left_anti").limit(1).count()
         if strange:
             raise MigrationError("ASSERTION_ERROR", expected=f"ids over {last} or missing ones", got="ids that were seen")
         top = batch.agg(F.coalesce(F.max(CHANGE_ID), F.lit(0)).cast("long")).first()[0]
@@ -62,8 +65,8 @@ class ReplayTarget:
         folder = f"{self.path}/v={batch_id}"
         ordered = batch.withColumn("__order", F.when(F.col(CHANGE_ID) <= last, F.col(CHANGE_ID)).otherwise(F.col(CHANGE_ID) + F.lit(1 << 62)))
         folded(self.table(before), ordered, self.keys, "__order").write.mode("overwrite").parquet(f"{folder}/table")
-        seen = late.select(F.col(CHANGE_ID).alias("id"))
-        parts = missing.join(seen, F.col("id").between(F.col("first"), F.col("last")), "left").groupBy("first", "last").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        found = seen.join(cells, inside).groupBy("first", "last").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # of one batch
+        parts = missing.join(found, ["first", "last"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
         edges = F.concat(F.array(F.col("first") - 1), "ids", F.array(F.col("last") + 1))
         pieces = F.filter(F.transform(F.sequence(F.lit(1), F.size("ids") + 1), lambda i: F.struct((F.element_at(edges, i) + 1).alias("first"), (F.element_at(edges, i + 1) - 1).alias("last"))), lambda r: r["first"] <= r["last"])
         left = parts.select(F.explode(pieces).alias("r")).select("r.first", "r.last").unionByName(gap_ranges(batch, last))

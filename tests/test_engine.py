@@ -125,6 +125,32 @@ def test_chunks_and_ranges(spark):
     assert chunks.chunk_counts(t.limit(0), ["k"], 3).count() == 0
 
 
+def test_numbers_of_text_and_composite_keys(spark):
+    rnd = random.Random(5)
+    rows = {(rnd.choice(["a", "ü", "zz", None, ""]), rnd.choice([None, *range(200)])) for _ in range(900)}
+    t = spark.createDataFrame(sorted(rows, key=str), "k string, n long").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] is not None, r[1] or 0))
+    got = {(r.k, r.n): r.row_no for r in chunks.numbered(t, ["k", "n"]).collect()}
+    assert [got[r] for r in order] == list(range(1, len(rows) + 1))
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_change_groups(spark, grouped):
+    rnd, kinds = random.Random(6), []
+    while len(kinds) < 900:
+        kinds += [rnd.choice([1, 2, 3])] * rnd.choice([1, 2, 5, 300])
+    expected = []
+    for i, kind in enumerate(kinds, 1):
+        if expected and expected[-1][0] == kind and expected[-1][3] < 7 and (grouped or kind != 3):
+            expected[-1][2:] = [i, expected[-1][3] + 1]
+        else:
+            expected.append([kind, i, i, 1])
+    log = spark.createDataFrame(list(enumerate(kinds, 1)), "change_id long, dml_type long").repartition(3)
+    got = sorted(map(tuple, replay.change_groups(log, 7, grouped).collect()))
+    assert got == [(i, *g) for i, g in enumerate(expected, 1)]
+    assert replay.change_groups(log.limit(0), 7).count() == 0
+
+
 def test_gaps(spark):
     r = gaps.IdRanges()
     r.extend([1, 2])
