@@ -86,7 +86,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS5 = r"""list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
+
+
+def _quality_sql(levels: int = 16) -> str:
+    """The quality rules for texts of under 2 ** levels words. h<k> stands for the 2 ** k words from a place; the longest
+    repeat of a text is found bit by bit, as what repeats has prefixes that repeat."""
+    doubled = "".join(f"h{k + 1} AS (SELECT *, CASE WHEN lead(h{k}, {1 << k}) OVER w IS NOT NULL THEN hash(h{k}, lead(h{k}, {1 << k}) OVER w) END AS h{k + 1} FROM h{k} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),\n" for k in range(levels - 1))
+    longest, before = "", f"(SELECT *, 0 AS n, 0::UBIGINT AS g FROM h{levels - 1})"
+    for k in range(levels - 1, -1, -1):
+        tried = f"SELECT *, CASE WHEN g IS NOT NULL AND lead(h{k}, n) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL THEN hash(g, lead(h{k}, n) OVER (PARTITION BY doc_id ORDER BY i)) END AS c FROM {before}"
+        longest += f"a{k} AS ({tried}),\nb{k} AS (SELECT a{k}.*, twice FROM a{k} LEFT JOIN (SELECT doc_id, count(c) > count(DISTINCT c) AS twice FROM a{k} GROUP BY doc_id) USING (doc_id)),\n"
+        longest += f"g{k} AS (SELECT * EXCLUDE (c, twice) REPLACE (CASE WHEN twice THEN n + {1 << k} ELSE n END AS n, CASE WHEN twice THEN c ELSE g END AS g) FROM b{k}),\n"
+        before = f"g{k}"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS5.format(t="coalesce(text, '')")} AS w FROM documents),
+h0 AS (SELECT doc_id, i, w[i] AS word, hash(w[i]) AS h0 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+{doubled}{longest}r AS (SELECT doc_id, i, word, h3 IS NOT NULL AND count(h3) OVER (PARTITION BY doc_id, h3) > 1 AS again FROM h{levels - 1}),
+c AS (SELECT doc_id, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM r),
+s AS (SELECT doc_id, count(*) FILTER (hit) AS n_repeat_words, sum(length(word)) FILTER (hit) AS covered_chars FROM c GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN max(n) >= 8 THEN max(n) ELSE 0 END AS longest_repeat FROM g0 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_chars, 0)::BIGINT AS covered_chars, coalesce(longest_repeat, 0)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND covered_chars <= 0.3::DOUBLE * word_chars AND longest_repeat <= greatest(200, 0.25::DOUBLE * n_words) AS kept FROM f"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _quality_sql(),
+    "op2_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS5.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT *, min(doc_id) OVER (PARTITION BY shingles) AS class_id FROM (SELECT doc_id, count(*) AS n, md5(string_agg(k, chr(10) ORDER BY k)) AS shingles FROM s GROUP BY doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b USING (k) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, coalesce(any_value(class_id), d.doc_id) AS class_id FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+x AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM m)),
+c AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM x GROUP BY doc_id, span),
+t AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM c),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS last FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op5_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS5.format(t="coalesce(text, '')")} AS w FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
