@@ -7,8 +7,9 @@ many places) are counted over the whole corpus, then only the rarest of them are
 so passages that many documents share bring no candidates unless they make up most of a
 document. Candidates joined by lookups form families, and families are cut into tiles: size
 bands (sizes a fifth apart cannot link) and blocks of bounded size. In a tile, bit counts of
-hashed bitmaps bound each pair's overlap from above; pairs that may still reach the threshold
-and are not yet joined are decided by intersecting their sorted arrays.
+hashed bitmaps bound each pair's overlap from above, and pairs that may still reach the threshold
+are decided exactly. `jaccard_join` decides every pair and counts the links of each class;
+`jaccard_components`, which only groups, skips pairs that are already joined.
 
 Null and blank texts have an empty set and link with nothing. Rows with a null doc_id are not
 linked and have no component. Repeated rows and equal texts are one class. An empty table
@@ -146,18 +147,21 @@ def tiles(families: DataFrame) -> DataFrame:
     return placed.select("doc_id", "d1", F.concat(own, over, under).alias("tiles"))
 
 
-def tile_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], every: bool) -> list[tuple[int, int]]:
-    """Links between sets of different sides (2: with all of side 2): every one, or enough to join what is linked."""
-    n = len(ids)
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sides, sets = ids[order], sides[order], [sets[i] for i in order]
+def tile_rows(sides: np.ndarray, sets: list[np.ndarray], every: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of sets in order of size: a place, places behind it with linked sets of other sides (2: of all), and those of them
+    that join what was apart. Not every: pairs that are already joined are left out."""
+    n = len(sets)
     sizes = np.array([len(s) for s in sets])
     bits = min(MAX_BITS, max(64, 1 << int(2 * sizes.max() - 1).bit_length()))
     maps = np.zeros((n, bits), bool)
     for i, s in enumerate(sets):
         maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
     maps = np.packbits(maps, axis=1).view(np.uint64)
-    group, out = np.arange(n), []
+    if every:
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(flat.max() + 1, bool)
+    group = np.arange(n)
     for i in range(n - 1):
         stop = int(np.searchsorted(sizes, sizes[i] * 5 // 4, "right"))
         if stop <= i + 1:
@@ -171,20 +175,49 @@ def tile_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], every
         total = sizes[i] + sizes[js]
         mine, others = maps[i], maps[js]
         bound = np.minimum(sizes[i] - np.bitwise_count(mine & ~others).sum(1, dtype=np.int64), sizes[js] - np.bitwise_count(others & ~mine).sum(1, dtype=np.int64))
-        for j in js[9 * bound >= 4 * total].tolist():
-            if not every and group[j] == group[i]:
-                continue
-            at = np.searchsorted(sets[j], sets[i])
-            at[at == len(sets[j])] = 0
-            both = int(np.count_nonzero(sets[j][at] == sets[i]))
-            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
-                out.append((int(ids[i]), int(ids[j])))
-                group[group == group[j]] = group[i]
-    return out
+        near = js[9 * bound >= 4 * total]
+        linked, joins = [], []
+        if every and 4 * len(near) > stop - i - 1:  # all sets at once
+            mark[flat[first[i] : first[i + 1]]] = True
+            both = np.add.reduceat(mark[flat[first[i + 1] : first[stop]]], first[i + 1 : stop] - first[i + 1], dtype=np.int64)[near - i - 1]
+            mark[flat[first[i] : first[i + 1]]] = False
+            linked = near[9 * both >= 4 * (sizes[i] + sizes[near])]
+            apart = linked[group[linked] != group[i]]
+            if len(apart):
+                groups, at = np.unique(group[apart], return_index=True)
+                joins = apart[at]
+                group[np.isin(group, groups)] = group[i]
+        else:
+            for j in near.tolist():
+                if not every and group[j] == group[i]:
+                    continue
+                at = np.searchsorted(sets[j], sets[i])
+                at[at == len(sets[j])] = 0
+                both = int(np.count_nonzero(sets[j][at] == sets[i]))
+                if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                    linked.append(j)
+                    if group[j] != group[i]:
+                        joins.append(j)
+                        group[group == group[j]] = group[i]
+        if len(linked):
+            yield i, np.asarray(linked), np.asarray(joins, np.int64)
+
+
+def tile_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], every: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of a tile: links that are enough to join what is linked, and the number of links of each set (every) or zeros."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    counts, out = np.zeros(len(ids), np.int64), []
+    for i, linked, joins in tile_rows(sides[order], [sets[k] for k in order], every):
+        out += [(int(ids[order[i]]), int(ids[order[j]])) for j in joins.tolist()]
+        if every:
+            counts[order[i]] += len(linked)
+            counts[order[linked]] += 1
+    return out, counts
 
 
 def verified_links(docs: DataFrame, tiled: DataFrame, every: bool) -> DataFrame:
-    """a, b: linked doc_ids out of the tiles."""
+    """Out of the tiles: a, b of links that are enough to join what is linked; every: also a, d1, n of the number of
+    links of a class in a tile. No pair of classes is in two tiles."""
     wanted = tiled.select(F.col("doc_id").alias("member"), F.col("d1").alias("member_d1"), "tiles")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -193,52 +226,70 @@ def verified_links(docs: DataFrame, tiled: DataFrame, every: bool) -> DataFrame:
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = shingle_sets(Texts(batch.column(1), lower=True))
         mine = digests(sets)[:, 0] == batch.column(2).to_numpy()
-        rows = [(t["tile"], t["side"], d, s.tobytes()) for d, ok, s, ts in zip(batch.column(0).to_pylist(), mine, sets, batch.column(3).to_pylist(), strict=True) if ok for t in ts]
+        rows = [(t["tile"], t["side"], d, h, s.tobytes()) for d, h, ok, s, ts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), mine, sets, batch.column(3).to_pylist(), strict=True) if ok for t in ts]
         if not rows:
             return None
-        tile, side, doc, data = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(side, pa.int32()), pa.array(doc, pa.int64()), pa.array(data, pa.binary())], ["tile", "side", "doc_id", "set"])
+        tile, side, doc, d1, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(side, pa.int32()), pa.array(doc, pa.int64()), pa.array(d1, pa.int64()), pa.array(data, pa.binary())], ["tile", "side", "doc_id", "d1", "set"])
 
-    each = map_texts(members.select("doc_id", "text", "member_d1", "tiles"), emit, "tile long, side int, doc_id long, set binary")
+    each = map_texts(members.select("doc_id", "text", "member_d1", "tiles"), emit, "tile long, side int, doc_id long, d1 long, set binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "tile", 256):
-            tile, side, ids = numbers(table, "tile"), numbers(table, "side"), numbers(table, "doc_id")
-            data = table.column("set").to_pylist()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]])
-            found = []
+            tile, side, ids, d1 = (numbers(table, c) for c in ("tile", "side", "doc_id", "d1"))
+            data = table.column("set")
+            new = np.concatenate([[True], (np.diff(tile) != 0) | (np.diff(ids) != 0) | (np.diff(d1) != 0)])  # repeated rows are one
+            place = np.flatnonzero(new)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile[place])) + 1, [len(place)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a > 1:
-                    found += tile_links(ids[a:b], side[a:b], [np.frombuffer(x, np.uint64) for x in data[a:b]], every)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if b - a < 2:
+                    continue
+                at = place[a:b]
+                found, counts = tile_links(ids[at], side[at], [np.frombuffer(data[k].as_py(), np.uint64) for k in at.tolist()], every)
+                some = at[counts > 0]
+                first, second = zip(*found, strict=True) if found else ((), ())
+                none = lambda n: pa.nulls(n, pa.int64())
+                columns = [pa.array([*first, *ids[some].tolist()], pa.int64()), pa.concat_arrays([pa.array(second, pa.int64()), none(len(some))]), pa.concat_arrays([none(len(found)), pa.array(d1[some])]), pa.concat_arrays([none(len(found)), pa.array(counts[counts > 0])])]
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "d1", "n"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartition(parts, "tile").sortWithinPartitions("tile", "side", "doc_id").mapInArrow(compare, "a long, b long")
+    return each.repartition(parts, "tile").sortWithinPartitions("tile", "side", "doc_id", "d1").mapInArrow(compare, "a long, b long, d1 long, n long")
 
 
 def class_links(docs: DataFrame, summaries: DataFrame, every: bool) -> DataFrame:
-    """a, b: links between the classes' smallest doc_ids; every one, or enough to join what is linked."""
+    """`verified_links` between the classes' smallest doc_ids."""
     classes = stored(summaries.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")), "classes")
     families = components(candidate_edges(docs, classes)).withColumnRenamed("node", "d1")
     members = classes.join(families, "d1").select("doc_id", "d1", F.col("n_shingles").alias("size"), "component")
     return verified_links(docs, stored(tiles(members), "tiles"), every)
 
 
-def jaccard_links(docs: DataFrame) -> DataFrame:
-    """a, b: every link between classes, as the smallest doc_ids of the two."""
-    return class_links(docs, stored(set_summaries(docs), "sets"), every=True)
+def grouped(sets: DataFrame, links: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, and n_links if links are counted."""
+    groups = components(links).withColumnRenamed("node", "class_id")
+    heads = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")).join(groups, "class_id", "left")
+    if counts is not None:
+        heads = heads.join(counts, ["class_id", "d1"], "left")
+    named = sets.join(heads, ["d1", "d2"], "left")
+    known = F.col("doc_id").isNotNull()
+    out = ["doc_id", "n_shingles", F.when(known, F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id")]
+    return named.select(*out, *([F.when(known, F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")] if counts is not None else []))
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) and n_links (other classes that its
+    class is linked with) of every document. Every pair that may link is decided."""
+    sets = stored(set_summaries(docs), "sets")
+    links = stored(class_links(docs, sets, every=True), "links")
+    counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("class_id"), "d1").agg(F.sum("n").alias("n_links"))
+    return grouped(sets, links.where("b IS NOT NULL"), counts)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every document."""
+    """doc_id, n_shingles, component_id, class_id of every document, out of enough links to tell."""
     sets = stored(set_summaries(docs), "sets")
-    groups = components(class_links(docs, sets, every=False)).withColumnRenamed("node", "class_id")
-    heads = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")).join(groups, "class_id", "left")
-    named = sets.join(heads, ["d1", "d2"], "left")
-    known = F.col("doc_id").isNotNull()
-    return named.select("doc_id", "n_shingles", F.when(known, F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return grouped(sets, class_links(docs, sets, every=False))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tablewright.llm.bpe import bpe_round_trip
 from tablewright.llm.chat import chat_examples, conversation_digests
 from tablewright.llm.decontaminate import contamination
 from tablewright.llm.licenses import license_scan
-from tablewright.llm.ngram_join import jaccard_components
+from tablewright.llm.ngram_join import jaccard_join
 from tablewright.llm.quality import quality_rules
 from tablewright.llm.sharding import shard_documents
 from tablewright.llm.substring import substring_digests
@@ -38,7 +38,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_join(documents(spark, sf_dir)).drop("n_links")
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of each document's class."""
+    return jaccard_join(documents(spark, sf_dir))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_ngram_join, op3_token_files, op4_bpe, op5_substring_dedup, op6_sharding, op7_chat_format, op8_license_scan, op9_decontamination, op10_suffix_dedup)
+    for f in (op1_quality_rules, op2_ngram_join, op2_ngram_links, op3_token_files, op4_bpe, op5_substring_dedup, op6_sharding, op7_chat_format, op8_license_scan, op9_decontamination, op10_suffix_dedup)
 }
 
 _WORDS5 = r"""list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
@@ -105,8 +110,10 @@ h0 AS (SELECT doc_id, i, w[i] AS word, hash(w[i]) AS h0 FROM (SELECT doc_id, w,
 c AS (SELECT doc_id, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM r),
 s AS (SELECT doc_id, count(*) FILTER (hit) AS n_repeat_words, sum(length(word)) FILTER (hit) AS covered_chars FROM c GROUP BY doc_id),
 m AS (SELECT doc_id, CASE WHEN max(n) >= 8 THEN max(n) ELSE 0 END AS longest_repeat FROM g0 GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
-a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
+a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_chars, 0)::BIGINT AS covered_chars, coalesce(longest_repeat, 0)::BIGINT AS longest_repeat
   FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
@@ -168,3 +175,10 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
+
+_joined, _columns = ORACLE_SQL["op2_ngram_join"].split("\nSELECT d.doc_id, ")
+ORACLE_SQL["op2_ngram_links"] = rf"""{_joined},
+h AS (SELECT doc_id FROM n WHERE doc_id = class_id),
+c AS (SELECT a AS class_id, count(*) AS n_links FROM e WHERE a IN (SELECT doc_id FROM h) AND b IN (SELECT doc_id FROM h) GROUP BY a),
+j AS (SELECT d.doc_id, {_columns})
+SELECT j.*, coalesce(n_links, 0)::BIGINT AS n_links FROM j LEFT JOIN c USING (class_id)"""

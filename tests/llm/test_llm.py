@@ -72,6 +72,28 @@ def test_ngram_join(docs):
     assert ngram_join.one_of_each_group(docs).where("doc_id = 5").count() == 0
 
 
+def test_ngram_links(spark):
+    rng = np.random.default_rng(5)
+    base = [f"a{k}" for k in range(60)]
+    rows = []
+    for i in range(60):  # near copies of each other, with every count of links, and some equal ones
+        w = list(base) if i < 40 else [f"b{k}" for k in range(40)]
+        for k in rng.integers(len(w) - 6, len(w), i % 4):
+            w[k] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(w)))
+    for tile in (ngram_join.TILE_SHINGLES, 300):
+        sets = {i: {tuple(x) for x in zip(*[t.split()[k:] for k in range(5)], strict=False)} for i, t in rows}
+        head = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+        linked = {i: sum(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in set(head.values()) - {i}) for i in set(head.values())}
+        old, ngram_join.TILE_SHINGLES = ngram_join.TILE_SHINGLES, tile
+        try:
+            out = ngram_join.jaccard_join(spark.createDataFrame([*rows, rows[0], rows[7], (None, rows[0][1]), (99, None)], "doc_id long, text string")).collect()
+        finally:
+            ngram_join.TILE_SHINGLES = old
+        assert len(out) == 64 and sum(linked.values()) > 2 * len(linked)
+        assert {(r.doc_id, r.class_id, r.n_links) for r in out} == {(i, head[i], linked[head[i]]) for i in sets} | {(None, None, None), (99, 99, 0)}
+
+
 def test_token_files(spark, docs):
     path, t = shared_path(spark, "t"), Tokenizer.from_file(PATH)
     token_files.write_tokens(docs.where("doc_id IS NOT NULL"), path, PATH, 2, dictionary_bytes=1024)
