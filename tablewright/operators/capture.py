@@ -40,8 +40,9 @@ def image_changes(images: DataFrame, keys: list[str], before: str = "before", af
     return images.select(CHANGE_ID, F.explode(steps).alias("s")).select(CHANGE_ID, "s.part", f"s.{DML_TYPE}", "s.row.*")
 
 
-def in_range(log: DataFrame, low: int, high: int) -> DataFrame:
-    return log.where((F.col(CHANGE_ID) > low) & (F.col(CHANGE_ID) <= high))
+def in_range(log: DataFrame, low: int, high: int | None) -> DataFrame:
+    above = log.where(F.col(CHANGE_ID) > low)
+    return above if high is None else above.where(F.col(CHANGE_ID) <= high)
 
 
 def last_id(log: DataFrame, ceiling: int | None = None) -> DataFrame:

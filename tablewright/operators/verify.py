@@ -37,8 +37,8 @@ def first_touches(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.withColumn("__no", no).where("__no = 1").drop("__no")
 
 
-def by_change_window(table: DataFrame, log: DataFrame, keys: list[str], names: list[str], low: int, high: int, size: int, hashed: Callable[[str], Column] = crc) -> DataFrame:
-    """window_no, cnt and checksums of the table's rows whose keys were first changed in each window of ids."""
+def by_change_window(table: DataFrame, log: DataFrame, keys: list[str], names: list[str], low: int, high: int | None, size: int, hashed: Callable[[str], Column] = crc) -> DataFrame:
+    """window_no, cnt and checksums of the table's rows whose keys were first changed in each window of ids, to the end of the log if high is None."""
     touched = in_range(first_touches(log, keys), low, high).select(F.floor((F.col(CHANGE_ID) - 1 - low) / size).cast("long").alias("window_no"), *columns(keys))
     joined = touched.alias("c").join(table.alias("t"), matches("c", "t", keys), "left").select("window_no", *[F.col(f"t.{quoted(n)}") for n in names])
     return joined.groupBy("window_no").agg(*sums(names, hashed))

@@ -189,3 +189,19 @@ def test_queries_run(spark):
     from tablewright.queries import QUERIES
 
     assert QUERIES["migrate_end_to_end"](spark, "/root/testdata/sf0.001").where("mismatched <> ''").count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_log(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("spark-log"))
+    kind = F.element_at(F.array(F.lit("signup"), F.lit("error"), F.lit("click")), (F.col("id") % 3 + 1).cast("int"))
+    spark.range(100_600).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 100_600).alias("user_id"), kind.alias("event_type")).write.parquet(f"{d}/events.parquet")
+    spark.range(0, 100_600, 50).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit("s").alias("c_mktsegment")).write.parquet(f"{d}/customer.parquet")
+    return d
+
+
+def test_checksum_windows_to_the_end_of_the_log(spark, long_log):
+    from tablewright.queries import QUERIES
+
+    out = {r.window_no: r.cnt for r in QUERIES["delta_checksum_windows"](spark, long_log).collect()}
+    assert sorted(out) == list(range(202)) and sum(out.values()) == 100_600
