@@ -112,6 +112,11 @@ def delta_max_id(spark, d):
     return capture.last_id(log(spark, d), 5000)
 
 
+@query(f"SELECT coalesce(max(change_id), 0)::BIGINT AS max_id FROM {LOG}")
+def delta_max_id_whole(spark, d):
+    return capture.last_id(log(spark, d))
+
+
 @query()
 def delta_schema_clone(spark, d):
     return capture.empty_log(customers(spark, d))
@@ -167,6 +172,21 @@ def replay_insert_ignore(spark, d):
     return replay.insert_rows(base, log(spark, d), ["c_custkey"], ignore=True)
 
 
+@query(f"SELECT c_custkey, c_name, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM {LOG} l WHERE l.dml_type = 2 AND l.c_custkey = c.c_custkey)")
+def replay_delete_whole(spark, d):
+    return replay.delete_matching(customers(spark, d), log(spark, d), ["c_custkey"])
+
+
+@query(f"SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM {LOG} WHERE dml_type = 1")
+def replay_insert_whole(spark, d):
+    return replay.insert_rows(customers(spark, d).drop("c_name"), log(spark, d), ["c_custkey"])
+
+
+@query(f"SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, arg_min(c_mktsegment, change_id) FROM {LOG} WHERE dml_type = 1 AND c_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY c_custkey")
+def replay_insert_ignore_whole(spark, d):
+    return replay.insert_rows(customers(spark, d).drop("c_name"), log(spark, d), ["c_custkey"], ignore=True)
+
+
 FOLD = f"""WITH l AS (SELECT * FROM {LOG}), s AS (SELECT c_custkey, max(change_id) FILTER (dml_type = 2) AS del FROM l GROUP BY c_custkey),
 b AS (SELECT s.c_custkey, del, min(l.change_id) FILTER (l.dml_type = 1 AND (del IS NULL OR l.change_id > del)) AS ins FROM s JOIN l USING (c_custkey) GROUP BY ALL),
 f AS (SELECT b.*, CASE WHEN del IS NULL AND c.c_custkey IS NOT NULL THEN 0 ELSE ins END AS birth FROM b LEFT JOIN customer c USING (c_custkey)),

@@ -205,3 +205,17 @@ def test_checksum_windows_to_the_end_of_the_log(spark, long_log):
 
     out = {r.window_no: r.cnt for r in QUERIES["delta_checksum_windows"](spark, long_log).collect()}
     assert sorted(out) == list(range(202)) and sum(out.values()) == 100_600
+
+
+def test_whole_log_is_replayed(spark, long_log):
+    from tablewright.queries import QUERIES
+
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, long_log).collect()))
+    changes = [(i, ("signup", "error", "click")[i % 3], i * 7 % 100_600) for i in range(100_600)]
+    base = range(0, 100_600, 50)
+    gone = {k for _, kind, k in changes if kind == "error"}
+    new = [k for _, kind, k in changes if kind == "signup"]
+    assert rows("delta_max_id_whole") == [(100_600,)]
+    assert rows("replay_delete_whole") == [(k, "n", "s") for k in base if k not in gone]
+    assert rows("replay_insert_whole") == sorted([(k, "s") for k in base] + [(k, "signup") for k in new])
+    assert rows("replay_insert_ignore_whole") == sorted([(k, "s") for k in base] + [(k, "signup") for k in set(new) - set(base)])
