@@ -1,11 +1,13 @@
-"""License scans: winnowed template fingerprints, then banded alignment.
+"""License scans: an index of the templates' words, then banded alignment.
 
-The templates' 3-grams of words are winnowed into an inverted index (fingerprint -> template,
-place), bounded by the list of templates and sent with the task. Every 3-gram of every
-whole document is looked up; hits of one template on nearby diagonals make a candidate, which
-a banded alignment of the template with the words around decides: it reports the covered
-share of the template and the matched span. Words are lower-case ASCII letters, digits and
-everything beyond ASCII, so punctuation and line breaks do not matter.
+The words of the templates are an inverted index (word -> templates), bounded by the list of
+templates and sent with the task. Every word of every whole document is looked up. A match of
+`least` of a template's words in order lies in a window of the template's length and twice the
+band that holds as many of its words, so only windows that do are looked at; counts of each
+word, then a banded alignment at each diagonal, decide. A match is reported with the covered
+share of the template and its span, which it uses up; what lies before and behind it is
+aligned again. Words are lower-case ASCII letters, digits and everything beyond ASCII, so
+punctuation and line breaks do not matter.
 
 Null and empty texts match nothing. Rows are scanned one by one, so repeated rows, equal and
 null ids and ties give rows of their own; where two templates fit, both are reported. Extra
@@ -14,16 +16,14 @@ columns are not read. A template without words is refused.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablewright.llm._arrow import Texts, map_texts, minimizers, windows
+from tablewright.llm._arrow import Texts, map_texts
 
-GRAM = 3
-WINNOW = 4
 BAND = 8
 
 #: Notices as they are written in public licences.
@@ -44,19 +44,60 @@ _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
-def template_index(templates: dict[str, str]) -> tuple[list[str], list[np.ndarray], np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """Names, word hashes, sorted fingerprints, and fingerprint -> (template, place of its first word)."""
-    names, units, index = list(templates), [], defaultdict(list)
+def template_index(templates: dict[str, str]) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Names, word hashes, the sorted words of all templates, and for each template which of these it has."""
+    names, units = list(templates), []
     for t, text in enumerate(templates.values()):
         texts = Texts(pa.array([text]), lower=True)
         start, end, _ = texts.words(_GAPS)
-        if len(start) < GRAM:
-            raise ValueError(f"template {names[t]} has fewer than {GRAM} words")
+        if not len(start):
+            raise ValueError(f"template {names[t]} has no words")
         units.append(texts.hash_spans(start, end))
-        grams = windows(units[-1], GRAM)
-        for at in np.unique(minimizers(grams, min(WINNOW, len(grams)))[0]).tolist():
-            index[int(grams[at])].append((t, at))
-    return names, units, np.array(sorted(index), np.uint64), dict(index)
+    known = np.unique(np.concatenate(units))
+    return names, units, known, np.array([np.isin(known, u) for u in units])
+
+
+def needed(template: np.ndarray, least: float) -> int:
+    """Words of a template that a match has at least."""
+    return next(n for n in range(len(template) + 1) if n >= least * len(template))
+
+
+def places(template: np.ndarray, at: np.ndarray, stop: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Begin and end of the parts in which matches lie. at: places of words of the template; stop: the end of each one's text."""
+    end = np.minimum(at + len(template) + 2 * BAND, stop)
+    good = np.searchsorted(at, end) - np.arange(len(at)) >= max(needed(template, least), 1)
+    begin, end = at[good], end[good]
+    if len(begin):
+        opens = np.concatenate([[True], begin[1:] >= end[:-1]])
+        yield from zip(begin[opens].tolist(), end[np.append(np.flatnonzero(opens)[1:], len(end)) - 1].tolist(), strict=True)
+
+
+def diagonals(template: np.ndarray, words: np.ndarray, least: float) -> np.ndarray:
+    """Diagonals whose band holds enough of the template's words, each counted as often as the template has it."""
+    ds = np.arange(1 - len(template) - BAND, len(words) + BAND)
+    low, high = np.clip(ds - BAND, 0, len(words)), np.clip(ds + len(template) + BAND, 0, len(words))
+    total = np.zeros(len(ds), np.int64)
+    for word, times in zip(*np.unique(template, return_counts=True), strict=True):
+        sums = np.concatenate([[0], np.cumsum(words == word)])
+        total += np.minimum(sums[high] - sums[low], times)
+    return ds[total >= max(needed(template, least), 1)]
+
+
+def matches(template: np.ndarray, words: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Matched words, first and last word of all matches: the best at the first diagonals that match, then those before and behind it."""
+    need, out, parts = max(needed(template, least), 1), [], [(0, len(words))]
+    while parts:
+        low, high = parts.pop()
+        if high - low < need:
+            continue
+        ds = diagonals(template, words[low:high], least).tolist()
+        first = next((k for k, d in enumerate(ds) if aligned(template, words[low:high], d)[0] >= need), None)
+        if first is None:
+            continue
+        n, a, b = max((aligned(template, words[low:high], d) for d in ds[first:] if d <= ds[first] + 2 * BAND), key=lambda found: found[0])
+        out.append((n, low + a, low + b))
+        parts += [(low + max(0, ds[first] - BAND), low + a), (low + b + 1, high)]
+    return sorted(out, key=lambda found: found[1])
 
 
 def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -83,33 +124,23 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     index = template_index(templates or TEMPLATES)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        names, units, prints, places = index
+        names, units, known, has = index
         texts = Texts(batch.column(1), lower=True)
         start, end, first = texts.words(_GAPS)
         hashes = texts.hash_spans(start, end)
-        grams = windows(hashes, GRAM)
-        at = np.minimum(np.searchsorted(prints, grams), len(prints) - 1)
-        hits = np.flatnonzero(prints[at] == grams)
-        row = np.searchsorted(first, hits, "right") - 1
-        inside = hits + GRAM <= first[1:][row]
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for r, h in zip(row[inside].tolist(), hits[inside].tolist(), strict=True):
-            for t, place in places[int(grams[h])]:
-                diagonals[r, t].append(h - int(first[r]) - place)
+        code = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hits = np.flatnonzero(known[code] == hashes)
+        code, stop = code[hits], first[np.searchsorted(first, hits, "right")]
         rows = []
-        for (r, t), found in sorted(diagonals.items()):
-            words, last = hashes[first[r] : first[r + 1]], None
-            for d in sorted(set(found)):
-                if last is not None and d - last <= BAND:
-                    continue  # inside the band of the one before
-                last = d
-                n, a, b = aligned(units[t], words, d)
-                if n >= least * len(units[t]):
-                    w = int(first[r])
-                    rows.append((r, names[t], n / len(units[t]), n, int(start[w + a] - texts.offsets[r]), int(end[w + b] - texts.offsets[r])))
+        for t, template in enumerate(units):
+            mine = has[t][code]
+            for low, high in places(template, hits[mine], stop[mine], least):
+                r = int(np.searchsorted(first, low, "right")) - 1
+                for n, a, b in matches(template, hashes[low:high], least):
+                    rows.append((r, names[t], n / len(template), n, int(start[low + a] - texts.offsets[r]), int(end[low + b] - texts.offsets[r])))
         if not rows:
             return None
-        r, name, share, n, a, b = zip(*rows, strict=True)
+        r, name, share, n, a, b = zip(*sorted(rows, key=lambda x: x[0]), strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), pa.array(name), pa.array(share), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "license", "coverage", "matched_words", "begin", "end"])
 
     return map_texts(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, matched_words long, begin long, end long")

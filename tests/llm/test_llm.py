@@ -196,6 +196,32 @@ def test_licenses(docs, spark):
     assert got["apache-2.0-line"] == 1.0 and 0.95 < got["apache-2.0-header"] < 1.0
 
 
+def every_alignment(template, text, least=0.8):
+    """Best alignment over all diagonals from the first that matches, then what lies before and behind it."""
+    found = [(d, licenses.aligned(template, text, d)) for d in range(-len(template) - 8, len(text) + 9)]
+    good = [(d, x) for d, x in found if x[0] > 0 and x[0] >= least * len(template)]
+    if not good:
+        return []
+    n, a, b = max((x for d, x in good if d <= good[0][0] + 16), key=lambda x: x[0])
+    return every_alignment(template, text[:a], least) + [(n, a, b)] + [(m, b + 1 + x, b + 1 + y) for m, x, y in every_alignment(template, text[b + 1 :], least)]
+
+
+def test_license_alignment_everywhere(spark):
+    lines = ["Released under an MIT License", "Released under the MIT License. x Released x under the x MIT License", "Licensed under CC BY-SA 4.0 . Licensed under CC BY NC four 0", "all rights rights reserved; All Rights Reserved", "x the the the the MIT under", None, ""]
+    rng = np.random.default_rng(3)
+    vocabulary = "released under the mit license licensed cc by nc 4 0 all rights reserved x y".split()
+    lines += [" ".join(rng.choice(vocabulary, rng.integers(1, 50))) for _ in range(150)]
+    few = {k: licenses.TEMPLATES[k] for k in ("mit-line", "cc-by-nc-4.0", "all-rights-reserved")}
+    out = licenses.license_scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), few).collect()
+    spans, number = [], {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall("[a-z0-9]+", (t or "").lower())], np.int64)
+    for i, t in enumerate(lines):
+        at = [m.span() for m in re.finditer("[a-z0-9]+", (t or "").lower())]
+        spans += [(i, name, n, at[a][0], at[b][1]) for name, line in few.items() for n, a, b in every_alignment(code(line), code(t))]
+    assert sorted((r.doc_id, r.license, r.matched_words, r.begin, r.end) for r in out) == sorted(spans)
+    assert (0, "mit-line", 4, 0, len(lines[0])) in spans and sum(x[:2] == (1, "mit-line") for x in spans) == 2
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, BASE[:90].upper()), (2, "short"), (3, None), (4, "--"), (1, BASE[:90])], "item_id long, text string")
     out = ids(decontaminate.contamination(docs, bench))
