@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 19
@@ -72,11 +73,16 @@ class Texts:
         self._sums: np.ndarray | None = None
 
     def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte spans [start, end)."""
+        """64-bit hashes of the byte spans [start, end): to find what may be equal, never to decide it."""
         if self._sums is None:
             self._sums = prefix_sums(self.data)
         return hash_spans(self._sums, start, end)
 
+    def strong_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """XXH3 hashes of byte spans that do not overlap, computed once for each distinct one."""
+        codes, known = distinct_spans(self.data, start, end)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[codes]
+
     def words(self, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end of each word and the first word of each text (n + 1 numbers). gaps: for each byte, whether it parts words."""
         space = gaps[self.data]
@@ -96,13 +102,34 @@ class Texts:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
+def distinct_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each byte span among the distinct ones, and these. Spans are compared byte by byte. Without
+    `end`, each span ends where the next one begins."""
+    if not len(begin):
+        return np.zeros(0, np.int64), []
+    if end is None:
+        offsets = np.append(begin, len(data))
+    else:
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[begin] += 1  # spans do not overlap
+        inside[end] -= 1
+        data = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spans.dictionary_encode()
+    known = coded.dictionary
+    cuts = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1].tolist()
+    raw = known.buffers()[2].to_pybytes()
+    return coded.indices.to_numpy(), [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive hashes; the caller leaves out windows that cross texts."""
     n = max(0, len(hashes) - k + 1)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * np.uint64(_R) + hashes[j : j + n]
-    return mix(out)
+        out = mix(out * np.uint64(_R) + hashes[j : j + n])
+    return out
 
 
 def minimizers(keys: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:

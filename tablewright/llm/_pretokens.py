@@ -1,20 +1,20 @@
-"""Pre-tokens of byte-level BPE as spans, and a cache of their ids, both as arrays.
+"""Pre-tokens of byte-level BPE as spans, and a cache of their ids.
 
 Texts of characters below 256 are cut with array operations; any other text, and one that
-holds a special token, goes through the pattern itself. A pre-token is known by the 64-bit
-hash of its bytes; each Python worker keeps the ids of those it has met."""
+holds a special token, goes through the pattern itself. A pre-token is known by its bytes, never
+by a hash alone; each Python worker keeps the ids of those it has met."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-from tablewright.llm._arrow import Texts
+from tablewright.llm._arrow import Texts, distinct_spans
 
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -66,76 +66,80 @@ def latin_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begin, np.append(begin[1:], len(data))
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class IdCache:
-    """Ids of pre-tokens by hash; `learn` encodes distinct new ones."""
+    """Ids of pre-tokens by their bytes; `learn` encodes distinct new ones."""
 
-    def __init__(self, pretokens: Callable[[str], list[str]], special: dict[str, int], cut, learn: Callable[[list[str]], list[tuple[int, ...]]]):
+    def __init__(self, pretokens: Callable[[str], list[str]], special: dict[str, int], cut, learn: Callable[[list[bytes]], list[tuple[int, ...]]]):
         self.pretokens, self.special, self.cut, self.learn = pretokens, special, cut, learn
         self.marks = [s.encode() for s in special]
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.place = np.zeros(0, np.int64)  # of each key in the tables below
-        self.ids = np.zeros(0, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
+        self.place: dict[bytes, int] = {}  # of each pre-token in the tables below
+        self.ids, self.first, self.size = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     def slow(self, text: str) -> list[str]:
         if self.cut is None:
             return self.pretokens(text)
         return [w for k, piece in enumerate(self.cut.split(text)) for w in ([piece] if k % 2 else self.pretokens(piece))]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a column of texts, and the first of each text (n + 1 numbers)."""
-        texts = Texts(column)
+    def spans(self, texts: Texts) -> np.ndarray:
+        """Where the pre-tokens begin; each one ends where the next one begins."""
         whole = texts.data.tobytes()
         odd = texts.per_text(texts.data >= 0xC4) > 0
         if any(m in whole for m in self.marks):
             odd |= np.array([any(m in whole[a:b] for m in self.marks) for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True)])
-        begin, end = latin_spans(texts.data, texts.offsets)
-        counts = np.diff(np.searchsorted(begin, texts.offsets))
-        owner = np.repeat(np.arange(texts.n), counts)
-        keys = texts.hash_spans(begin, end)
-        source, source_bytes = np.stack([begin, end]), whole
-        if odd.any():
-            even = ~odd[owner]
-            rows = np.flatnonzero(odd).tolist()
-            words = [self.slow(column[i].as_py()) for i in rows]
-            extra = Texts(pa.array([w for ws in words for w in ws], pa.string()))
-            more = np.stack([extra.offsets[:-1], extra.offsets[1:]])
-            owner = np.concatenate([owner[even], np.repeat(rows, [len(w) for w in words])])
-            keys = np.concatenate([keys[even], extra.hash_spans(more[0], more[1])])
-            source = np.concatenate([source[:, even], more + len(whole)], axis=1)
-            source_bytes = whole + extra.data.tobytes()
-            order = np.argsort(owner, kind="stable")
-            owner, keys, source = owner[order], keys[order], source[:, order]
-        codes, distinct = pd.factorize(keys)
-        place = self.places(distinct, codes, source, source_bytes)
-        size = np.diff(self.bounds)[place][codes]
+        begin = latin_spans(texts.data, texts.offsets)[0]
+        if not odd.any():
+            return begin
+        kept = [begin[~odd[np.searchsorted(texts.offsets, begin, "right") - 1]]]
+        for i in np.flatnonzero(odd).tolist():
+            a, b = int(texts.offsets[i]), int(texts.offsets[i + 1])
+            sizes = [len(w.encode()) for w in self.slow(whole[a:b].decode()) if w]
+            kept.append(a + np.cumsum([0, *sizes])[:-1])
+        return np.sort(np.concatenate(kept))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and the first of each text (n + 1 numbers)."""
+        texts = Texts(column)
+        begin = self.spans(texts)
+        codes, words = distinct_spans(texts.data, begin)
+        place = self.places(words)
+        size = self.size.values()[place][codes]
         upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.bounds[place][codes] - upto[:-1], size) + np.arange(upto[-1])]
-        return flat, upto[np.searchsorted(owner, np.arange(texts.n + 1))]
+        flat = self.ids.values()[np.repeat(self.first.values()[place][codes] - upto[:-1], size) + np.arange(upto[-1])]
+        return flat, upto[np.searchsorted(begin, texts.offsets)]
 
-    def places(self, distinct: np.ndarray, codes: np.ndarray, source: np.ndarray, whole: bytes) -> np.ndarray:
-        """Where the ids of each distinct key lie; learns what is new."""
-        if len(self.keys) > CACHED_WORDS:
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where the ids of each distinct pre-token lie; learns what is new."""
+        if len(self.place) > CACHED_WORDS:
             self.clear()
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == distinct[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            spans = source[:, first[new]]
-            made = self.learn([whole[a:b].decode() for a, b in zip(*spans.tolist(), strict=True)])
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            place = len(self.bounds) - 1 + np.arange(len(new))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.array([i for m in made for i in m], np.uint32)])
-            keys, where = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.place, place])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.place = keys[order], where[order]
-            at = np.searchsorted(self.keys, distinct)
-        return self.place[at]
+        get = self.place.get
+        place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [words[k] for k in fresh.tolist()]
+            made = self.learn(new)
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            place[fresh] = self.size.n + np.arange(len(new))
+            self.place.update(zip(new, place[fresh].tolist(), strict=True))
+            self.first.add(self.ids.n + np.cumsum(size) - size)
+            self.size.add(size)
+            self.ids.add(np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(size.sum())))
+        return place

@@ -87,6 +87,7 @@ class Vocabulary:
             a, b = raw(a), raw(b)
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
         self.size = max(self.tokens) + 1
+        self.table = pa.array([self.tokens.get(i, b"") for i in range(self.size)], pa.large_binary())
         self.longest = max(map(len, self.ids))
         self.split = self.own_split = regex.compile(self.PATTERN)
         if late := unassigned():  # they count as neither letters nor numbers
@@ -149,12 +150,12 @@ class Vocabulary:
                 self.self_ok[t] = self.merged(self.tokens[t]) == [t]
         return self.good[np.searchsorted(self.known, keys)] & (self.self_ok[a] == 1) & (self.self_ok[b] == 1)
 
-    def learn(self, words: list[str]) -> list[tuple[int, ...]]:
+    def learn(self, raw: list[bytes]) -> list[tuple[int, ...]]:
         """Encode distinct pre-tokens: propose, verify all adjacent pairs at once, mend what fails."""
-        if any(w in self.special for w in words):
-            plain = iter(self.learn([w for w in words if w not in self.special]))
-            return [(self.special[w],) if w in self.special else next(plain) for w in words]
-        raw = [w.encode() for w in words]
+        special = {t.encode(): i for t, i in self.special.items()}
+        if any(w in special for w in raw):
+            plain = iter(self.learn([w for w in raw if w not in special]))
+            return [(special[w],) if w in special else next(plain) for w in raw]
         proposed = [self.greedy(b) for b in raw]
         sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
         flat = np.fromiter(itertools.chain.from_iterable(proposed), np.int64, int(sizes.sum()))
@@ -173,8 +174,12 @@ class Vocabulary:
         late = self.late is not None and not latin(text) and self.late.search(text)
         return (self.split if late else self.own_split).findall(text)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, flat: np.ndarray, first: np.ndarray) -> list[str]:
+        """The texts of ids flat[first[i]:first[i + 1]]: the tokens' bytes, joined."""
+        joined = self.table.take(pa.array(flat.astype(np.int64)))
+        cuts = np.frombuffer(joined.buffers()[1], np.int64)[first].tolist() if len(flat) else [0] * len(first)
+        raw = joined.buffers()[2].to_pybytes() if len(flat) else b""
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -198,9 +203,8 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
         flat, first = v.cache.encode(batch.column(1))
-        ids = [flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        digests = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
-        decoded = [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        digests = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        decoded = [hashlib.sha256(text.encode()).hexdigest() for text in v.decode(flat, first)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(digests), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_texts(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablewright.llm._arrow import Texts, map_texts
+from tablewright.llm._arrow import Texts, distinct_spans, map_texts
 
 BAND = 8
 
@@ -44,17 +44,17 @@ _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
-def template_index(templates: dict[str, str]) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Names, word hashes, the sorted words of all templates, and for each template which of these it has."""
-    names, units = list(templates), []
+def template_index(templates: dict[str, str]) -> tuple[list[str], list[np.ndarray], dict[bytes, int], np.ndarray]:
+    """Names, word numbers, the numbers (from 1) of all templates' words, and for each template which of these it has."""
+    names, units, known = list(templates), [], {}
     for t, text in enumerate(templates.values()):
         texts = Texts(pa.array([text]), lower=True)
         start, end, _ = texts.words(_GAPS)
         if not len(start):
             raise ValueError(f"template {names[t]} has no words")
-        units.append(texts.hash_spans(start, end))
-    known = np.unique(np.concatenate(units))
-    return names, units, known, np.array([np.isin(known, u) for u in units])
+        codes, found = distinct_spans(texts.data, start, end)
+        units.append(np.array([known.setdefault(w, len(known) + 1) for w in found])[codes])
+    return names, units, known, np.array([np.isin(np.arange(len(known) + 1), u) for u in units])
 
 
 def needed(template: np.ndarray, least: float) -> int:
@@ -127,16 +127,16 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
         names, units, known, has = index
         texts = Texts(batch.column(1), lower=True)
         start, end, first = texts.words(_GAPS)
-        hashes = texts.hash_spans(start, end)
-        code = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hits = np.flatnonzero(known[code] == hashes)
-        code, stop = code[hits], first[np.searchsorted(first, hits, "right")]
+        codes, found = distinct_spans(texts.data, start, end)
+        numbered = np.array([known.get(w, 0) for w in found], np.int64)[codes] if found else np.zeros(0, np.int64)
+        hits = np.flatnonzero(numbered)  # 0: a word that no template has
+        code, stop = numbered[hits], first[np.searchsorted(first, hits, "right")]
         rows = []
         for t, template in enumerate(units):
             mine = has[t][code]
             for low, high in places(template, hits[mine], stop[mine], least):
                 r = int(np.searchsorted(first, low, "right")) - 1
-                for n, a, b in matches(template, hashes[low:high], least):
+                for n, a, b in matches(template, numbered[low:high], least):
                     rows.append((r, names[t], n / len(template), n, int(start[low + a] - texts.offsets[r]), int(end[low + b] - texts.offsets[r])))
         if not rows:
             return None

@@ -41,7 +41,7 @@ MAX_BITS = 1 << 14
 def shingle_sets(texts: Texts) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     start, end, first = texts.words()
-    units = texts.hash_spans(start, end)
+    units = texts.strong_hashes(start, end)
     grams = windows(units, WORDS)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -6,20 +6,21 @@ longest repeat. A text is kept when the base rules pass, its covered share of ch
 at most `max_covered` and its longest repeat is at most `max_longest` words or
 `max_longest_share` of its words.
 
-Null, empty and blank texts have no words and fail the base rules. Repeated rows and equal
-ids are judged row by row. Extra columns pass through `quality_filter`; `quality_rules`
-returns only the id and its measures, so their names cannot clash.
+Words and lines are compared by their bytes. Null, empty and blank texts have no words and fail
+the base rules. Texts of any length are judged whole, each in one task. Repeated rows, equal and null
+ids are judged row by row, so there are no ties. An empty table gives an empty result. Extra columns
+pass through `quality_filter`; `quality_rules` returns only the id and its measures, so their
+names cannot clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import Texts, map_texts, numbers
+from tablewright.llm._arrow import Texts, distinct_spans, map_texts
 
 MIN_WORDS = 20
 BASE_REPEAT_PERCENT = 30
@@ -104,7 +105,7 @@ def measure(column: pa.Array, min_repeat: int, max_covered: float, max_longest:
     chars = code_points[end] - code_points[start]
 
     text_end = np.repeat(first[1:], n_words)
-    ids = pd.factorize(texts.hash_spans(start, end))[0].astype(np.int64)
+    ids = distinct_spans(texts.data, start, end)[0].astype(np.int64)
     levels = suffix_ranks(owner * np.int64(len(ids) + 1) + ids, text_end)
     shared = common_prefixes(levels, text_end, min(min_repeat, WINDOW))
     per_text = lambda x: np.bincount(owner, x, texts.n).astype(np.int64)
@@ -121,9 +122,9 @@ def measure(column: pa.Array, min_repeat: int, max_covered: float, max_longest:
     with_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[with_word], line_end[with_word]
     line_owner = np.searchsorted(texts.offsets, line_start, "right") - 1
-    line_hash = texts.hash_spans(line_start, line_end)
-    order = np.lexsort((line_hash, line_owner))
-    equal = (np.diff(line_owner[order]) == 0) & (np.diff(line_hash[order]) == 0)
+    line = distinct_spans(texts.data, line_start, line_end)[0]
+    order = np.lexsort((line, line_owner))
+    equal = (np.diff(line_owner[order]) == 0) & (np.diff(line[order]) == 0)
 
     out = {"n_words": n_words, "word_chars": per_text(chars), "n_symbols": texts.per_text(_SYMBOL[texts.data]), "n_dup_lines": np.bincount(line_owner[order][1:][equal], minlength=texts.n), "n_repeat_words": per_text(window_words), "covered_chars": per_text(chars * covered(spans)), "longest_repeat": longest}
     out = {k: v.astype(np.int64) for k, v in out.items()}

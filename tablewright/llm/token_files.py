@@ -1,21 +1,25 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
 A token set is a folder of two Parquet data sets. `dictionary` has one row: the zstandard
-dictionary, trained on serialised id arrays of a bounded sample of short documents
-(`sample_docs`, the smallest hashes of id and text), and its SHA-256. `blocks` has rows of
-about `block_bytes`: concatenated frames, one for each document, with the dictionary's hash,
-the ids of the documents, the byte offset of each frame and its number of tokens. Blocks lie
-in ascending doc_id order by (part, block), so one short document is read by a doc_id filter
-on `first_doc`/`last_doc`, one offset lookup and one decompression.
-
-Null and empty texts hold only the end id. Repeated rows and equal ids are all kept, ordered
-by their frames; a null doc_id comes first. Extra columns are not read. An empty table makes
-a token set without blocks.
+dictionary, trained on serialised id arrays, and its SHA-256. Its sample are the documents of any
+length whose hash of id and text is below a bound, about `sample_docs` of them; a document gives up
+to `PIECES` pieces of `PIECE_IDS` ids, spread evenly over all its ids, so the sample is bounded
+whatever the input. Where there is too little to train on, the pieces themselves are the
+dictionary. `blocks` has rows of about `block_bytes`: concatenated frames, one for each
+document, with the dictionary's hash, the ids of the documents, the byte offset of each frame and
+its number of tokens. Blocks lie in ascending doc_id order by (part, block), so one short
+document is read by a doc_id filter on `first_doc`/`last_doc`, one offset lookup and one
+decompression.
+
+Null and empty texts hold only the end id. Texts of any length are one frame. Repeated rows and
+equal ids are all kept, ordered by their frames; a null doc_id comes first. Extra columns are not
+read. An empty table makes a token set without blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +37,9 @@ from tablewright.llm.bpe import Vocabulary
 
 LEVEL = 3
 BROADCAST_BLOCKS = 1_000_000
+PIECES, PIECE_IDS = 8, 2048
+#: Pre-tokens without white space but a blank in front, and none of the lead bytes that other white space has.
+PLAIN = re.compile(rb" ?[^\x00-\x20\xc2\xe0-\xff]+")
 
 
 class LibraryEncoder:
@@ -43,10 +50,29 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         v = Vocabulary(path)
+        self.line_break = self.each(["\n"])[0][0]
         self.cache = IdCache(v.pretokens, v.special, v.cut, self.learn)
 
-    def learn(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+    def each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, raw: list[bytes]) -> list[list[int]]:
+        """The library's ids of distinct pre-tokens. Those without white space inside are lines of one text, as a line
+        break is a pre-token and a token of its own; this spares the library's work for each text."""
+        words = [w.decode() for w in raw]
+        lines = [k for k, w in enumerate(raw) if PLAIN.fullmatch(w)]
+        out: list = [None] * len(words)
+        if lines:
+            ids = np.array(self.each(["\n".join([words[k] for k in lines])])[0])
+            cuts = np.flatnonzero(ids == self.line_break)
+            if len(cuts) + 1 == len(lines):
+                flat, bounds = ids.tolist(), [-1, *cuts.tolist(), len(ids)]
+                for k, a, b in zip(lines, bounds[:-1], bounds[1:], strict=True):
+                    out[k] = flat[a + 1 : b]
+        rest = [k for k, found in enumerate(out) if found is None]
+        for k, found in zip(rest, self.each([words[k] for k in rest]), strict=True):
+            out[k] = found
+        return out
 
     def encode(self, column: pa.Array, end_id: int) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
@@ -70,25 +96,41 @@ def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, sample_chars: int, size: int) -> DataFrame:
-    """One row: dictionary (empty where the sample is too small to train one), sha256, sampled documents."""
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars))
-    sample = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs).coalesce(1)
+def trained(pieces: list[bytes], size: int) -> bytes:
+    """A dictionary of at most `size` bytes: trained on the pieces, or, where these are too few, made up of them."""
+    total = sum(map(len, pieces))
+    try:
+        return zstandard.train_dictionary(min(size, max(256, total // 16)), pieces, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[-size:] if total >= 8 else b""
+
+
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, size: int) -> DataFrame:
+    """One row: dictionary, sha256, sampled pieces."""
+    rows = docs.count()
+    bound = F.lit(int(2**63 * min(1.0, sample_docs / max(rows, 1))) - 1)
+    low = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1))
+    sample = docs.select("doc_id", "text").where(low <= bound)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for x in encoder(tokenizer_path).encode(batch.column(1), end_id):
+            starts = np.unique(np.linspace(0, max(0, len(x) - PIECE_IDS), min(PIECES, -(-len(x) // PIECE_IDS))).astype(np.int64))
+            out += [x[a : a + PIECE_IDS].tobytes() for a in starts.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["piece"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [x.tobytes() for b in batches for x in encoder(tokenizer_path).encode(b.column(1), end_id)]
-        made = b""
-        if sum(map(len, samples)) >= 16 * size:
-            made = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
-        yield pa.RecordBatch.from_pydict({"dictionary": pa.array([made], pa.binary()), "sha256": [hashlib.sha256(made).hexdigest()], "samples": pa.array([len(samples)], pa.int64())})
+        pieces = sorted(x for b in batches for x in b.column(0).to_pylist())
+        made = trained(pieces, size)
+        yield pa.RecordBatch.from_pydict({"dictionary": pa.array([made], pa.binary()), "sha256": [hashlib.sha256(made).hexdigest()], "samples": pa.array([len(pieces)], pa.int64())})
 
-    return sample.mapInArrow(train, "dictionary binary, sha256 string, samples long")
+    return map_texts(sample, cut, "piece binary").repartition(1).mapInArrow(train, "dictionary binary, sha256 string, samples long")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, sample_docs: int = 2000, sample_chars: int = 8192, dictionary_bytes: int = 1 << 16, block_bytes: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, sample_docs: int = 2000, dictionary_bytes: int = 1 << 16, block_bytes: int = 1 << 20) -> None:
     """Write the token set of all documents to path."""
     spark = docs.sparkSession
-    train_dictionary(docs, tokenizer_path, end_id, sample_docs, sample_chars, dictionary_bytes).write.parquet(f"{path}/dictionary")
+    train_dictionary(docs, tokenizer_path, end_id, sample_docs, dictionary_bytes).write.parquet(f"{path}/dictionary")
     dictionary, sha = read_dictionary(spark, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []

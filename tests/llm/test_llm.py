@@ -16,7 +16,10 @@ from tablewright.llm._shared import shared_path
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(20_000))
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil jars of liquid amber near a frozen lake at dawn today"
-TEXTS = [None, "", "  \n\t ", "short", BASE, BASE, BASE.replace("seven", "eight"), f"{BASE} {BASE}", "| " * 300, "ab" * 400, LONG, f"Zürich {LONG[:900]} ñandú", "x\n\n" + BASE + "\nsame line here\nsame line here\n", "Don't 'RE we'll <|endoftext|> ok　中文   1²½", "Released under\nthe MIT  License. " + BASE]
+MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+OTHER = MORSE.translate(str.maketrans("ab", "ba"))  # polynomial hashes modulo powers of two take it for MORSE
+TEXTS = [None, "", "  \n\t ", "short", BASE, BASE, BASE.replace("seven", "eight"), f"{BASE} {BASE}", "| " * 300, "ab" * 400, LONG, f"Zürich {LONG[:900]} ñandú", "x\n\n" + BASE + "\nsame line here\nsame line here\n", "Don't 'RE we'll <|endoftext|> ok　中文   1²½", "Released under\nthe MIT  License. " + BASE,
+         f"{MORSE} {OTHER}", f"{MORSE}\n{OTHER}\n", " ".join([MORSE, *LONG.split()[:20]]), " ".join([OTHER, *LONG.split()[:20]])]
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +47,7 @@ def test_quality(docs):
                 covered.update(range(k, k + 8))
         assert (out[i].n_words, out[i].n_repeat_words) == (len(w), len(covered))
         assert out[i].base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
-    assert out[10].kept and not out[8].kept and out[12].n_dup_lines == 1
+    assert out[10].kept and not out[8].kept and out[12].n_dup_lines == 1 and out[16].n_dup_lines == 0
     assert quality.quality_filter(docs).columns == docs.columns
 
 
