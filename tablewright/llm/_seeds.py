@@ -1,6 +1,12 @@
 """Seeds for exact repeats: every span of `span` units has one winnowed anchor, a k-gram chosen by its
-content, so equal spans share their anchor. Documents meet on anchors only; what lies around a
-shared anchor (a segment: all spans that chose it) is then compared exactly."""
+content, so equal spans share their anchor. Documents meet on anchors; what lies around a shared
+anchor (a segment: all spans that chose it) is then compared unit by unit, never by a hash alone.
+
+No group of a common anchor meets in one task. An anchor that is frequent in a slice of one task,
+or has more than `HOT` rows in all, is hot: its rows go about by their whole span in place of
+the anchor, and a task sends on only the first of the equal spans that it has, as the others are
+repeats of that one for certain. Rows of anchors that a task knows to be shared and hot take no
+part in counting."""
 
 from __future__ import annotations
 
@@ -8,15 +14,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import Texts, map_texts, minimizers, numbers, repeated, whole_runs, windows
-
+from tablewright.llm._arrow import Texts, batch_conf, minimizers, mix, numbers, slices, whole_runs, windows
 
-WORD_BYTES = 6
+HOT = 20_000  # rows of an anchor that may meet in one task
+LOCALLY_HOT = 16  # documents of a slice
+REMEMBERED = 200_000  # spans that a task keeps to know repeats of
+BLANK = 32
 
 
 @dataclass(frozen=True)
@@ -26,95 +36,233 @@ class Units:
     kind: str  # words or bytes
     k: int
     span: int
-
-    def cut(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Units, the first unit of each text (n + 1 numbers), hashes of k-grams."""
-        if self.kind == "words":
-            start, end, first = texts.words()
-            units = texts.hash_spans(start, end)
-            return units, first, windows(units, self.k)
-        at = np.arange(max(0, len(texts.data) - self.k + 1))
-        return texts.data, texts.offsets, texts.hash_spans(at, at + self.k)
+    hot: int = HOT
+    locally_hot: int = LOCALLY_HOT
+
+    def cut(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, the first byte of each unit (and where the last one ends), the first unit of each text (n + 1
+        numbers), hashes of k-grams. Words are followed by one blank each."""
+        if self.kind == "bytes":
+            at = np.arange(max(0, len(texts.data) - self.k + 1))
+            return texts.data, np.arange(len(texts.data) + 1), texts.offsets, texts.hash_spans(at, at + self.k)
+        start, end, first = texts.words()
+        offsets = np.concatenate([[0], np.cumsum(end - start + 1)])
+        inside = np.zeros(len(texts.data) + 1, np.int8)
+        inside[start] += 1
+        inside[end] -= 1
+        letter = np.ones(offsets[-1], bool)
+        letter[offsets[1:] - 1] = False
+        data = np.full(offsets[-1], BLANK, np.uint8)
+        data[letter] = texts.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        return data, offsets, first, windows(texts.strong_hashes(start, end), self.k)
 
 
 @dataclass
 class Anchors:
-    units: np.ndarray
-    first: np.ndarray  # of each text
+    data: np.ndarray
+    offsets: np.ndarray  # of units in data
+    first: np.ndarray  # unit of each text
     hash: np.ndarray
     row: np.ndarray
+    at: np.ndarray  # unit of the anchor
     begin: np.ndarray  # of the segment, in the slice's units
     end: np.ndarray
     tied: np.ndarray  # whether equal k-grams are near, so that its spans may equal each other
 
 
 def anchors(texts: Texts, how: Units) -> Anchors:
-    units, first, grams = how.cut(texts)
+    data, offsets, first, grams = how.cut(texts)
     place, tied = minimizers(grams, how.span - how.k + 1)
     row = np.repeat(np.arange(texts.n), np.diff(first))
     spans = np.flatnonzero(np.arange(len(place)) + how.span <= first[1:][row[: len(place)]]) if len(place) else np.zeros(0, np.int64)
     chosen = place[spans]
-    opens = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(spans) != 1)]) if len(spans) else np.zeros(0, bool)
+    opens = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(spans) != 1) | (np.diff(row[spans]) != 0)]) if len(spans) else np.zeros(0, bool)
     begin, at = spans[opens], chosen[opens]
     last = np.append(spans[np.flatnonzero(opens)[1:] - 1], spans[-1:])
-    return Anchors(units, first, grams[at].view(np.int64), row[begin], begin, last + how.span, tied[begin])
+    return Anchors(data, offsets, first, grams[at].view(np.int64), row[begin], at, begin, last + how.span, tied[begin])
 
 
-def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
-    """doc_id, hashes: each document's anchors that occur again (across: in another document)."""
+def ordered_by(frame: DataFrame, *columns: str) -> DataFrame:
+    """Dealt by the first column, each part in order of all."""
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(parts, columns[0]).sortWithinPartitions(*columns)
+
+
+def runs_of(keys: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted keys is the first of its run."""
+    return np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+
+
+#: What a row of `anchor_rows` says: one of its anchor's documents; the anchor is hot; a document of a hot anchor.
+MEMBER, MARK, KNOWN = 0, 1, 2
+
+
+def anchor_rows(docs: DataFrame, how: Units) -> DataFrame:
+    """key, hash, doc_id, state, twice (the document has it twice): each document's anchors. A hot anchor's rows are dealt by
+    document and each task says once, by a row dealt by the anchor, that it is hot."""
+    batch_conf(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                found = anchors(Texts(part.column(1)), how)
+                ids = part.column(0).to_numpy()[found.row]
+                order = np.lexsort((ids, found.hash))
+                h, d, tied = found.hash[order], ids[order], found.tied[order]
+                opens = runs_of(h) | runs_of(d)
+                pair = np.flatnonzero(opens)
+                if not len(pair):
+                    continue
+                twice = (np.diff(np.append(pair, len(h))) > 1) | np.maximum.reduceat(tied, pair)
+                h, d = h[pair], d[pair]
+                new = np.flatnonzero(runs_of(h))
+                many = np.diff(np.append(new, len(h))) >= how.locally_hot
+                hot = np.repeat(many, np.diff(np.append(new, len(h))))
+                marks = np.setdiff1d(h[new[many]], said)
+                said = np.union1d(said, marks)
+                key = np.concatenate([np.where(hot, mix(d.astype(np.uint64)).view(np.int64), h), marks])
+                state = np.concatenate([np.where(hot, KNOWN, MEMBER), np.full(len(marks), MARK)]).astype(np.int8)
+                columns = [key, np.concatenate([h, marks]), np.concatenate([d, np.zeros(len(marks), np.int64)]), state, np.concatenate([twice, np.zeros(len(marks), bool)])]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "hash", "doc_id", "state", "twice"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(work, "key long, hash long, doc_id long, state byte, twice boolean")
+
+
+def again(batches: Iterator[pa.RecordBatch], across: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """hash, doc_id, hot from rows in order of (hash, state falling): those of anchors that occur again. A run longer
+    than `most` is not held, as it is known to be hot by then."""
+    held: list[np.ndarray] | None = None
+    flowing: int | None = None  # the anchor of a run that is too long to hold
+
+    def judged(h: np.ndarray, d: np.ndarray, state: np.ndarray, twice: np.ndarray, all_hot: bool) -> Iterator[pa.RecordBatch]:
+        if not len(h):
+            return
+        first = np.flatnonzero(runs_of(h))
+        size = np.diff(np.append(first, len(h)))
+        spread = lambda x: np.repeat(x, size)
+        marked = np.maximum.reduceat(state, first) > MEMBER
+        if flowing is not None and h[0] == flowing:
+            marked[0] = True
+        hot = marked | (size > most) | all_hot
+        member = state == MEMBER
+        low = np.minimum.reduceat(np.where(member, d, np.iinfo(np.int64).max), first)
+        high = np.maximum.reduceat(np.where(member, d, np.iinfo(np.int64).min), first)
+        shared = hot | (low < high)
+        if not across:
+            shared |= np.maximum.reduceat(twice, first) | (np.add.reduceat(member, first, dtype=np.int64) > 1)
+        keep = (spread(shared) & member) | (state == KNOWN)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.array(spread(hot)[keep])], ["hash", "doc_id", "hot"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+        if not len(columns[0]):
+            continue
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        yield from judged(*[c[:cut] for c in columns], False)
+        if cut:
+            flowing = None if flowing is not None and columns[0][cut] != flowing else flowing
+        held = [c[cut:] for c in columns]
+        if len(held[0]) > most or flowing is not None and held[0][0] == flowing:
+            flowing = int(held[0][0])
+            yield from judged(*held, True)
+            held = None
+    if held:
+        yield from judged(*held, False)
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = anchors(Texts(batch.column(1)), how)
-        times = 1 + (found.tied & (not across))
-        ids = batch.column(0).to_numpy()[found.row]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(found.hash, times)), pa.array(np.repeat(ids, times))], ["hash", "doc_id"])
 
-    each = map_texts(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), emit, "hash long, doc_id long")
+def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
+    """doc_id, hashes, hot: each document's anchors that occur again (across: in another document), and which of them are hot."""
+    rows = anchor_rows(docs, how)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = each.repartition(parts, "hash").sortWithinPartitions("hash", "doc_id")
-    again = ordered.mapInArrow(lambda batches: repeated(batches, "hash", "doc_id", across), "hash long, doc_id long")
-    return again.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-
-
-def segments(base: DataFrame, shared: DataFrame, how: Units) -> DataFrame:
-    """hash, segment, doc_id, text_hash, begin: all occurrences of shared anchors with what surrounds them."""
-
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        batch = batch.filter(batch.column(3).is_valid())
-        if not batch.num_rows:
-            return None
-        found = anchors(Texts(batch.column(2)), how)
-        hashes = batch.column(3)
-        wanted = np.zeros(len(found.hash), bool)
-        cuts = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
-        for i in range(batch.num_rows):
-            part = slice(cuts[i], cuts[i + 1])
-            wanted[part] = np.isin(found.hash[part], hashes[i].values.to_numpy())
-        at = np.flatnonzero(wanted)
-        raw, size = found.units.tobytes(), found.units.itemsize
-        if size == 8:  # 48 bits of a word's hash are enough beside its anchor's 64
-            raw, size = np.ascontiguousarray(found.units).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes(), WORD_BYTES
-        cut = [raw[b * size : e * size] for b, e in zip(found.begin[at].tolist(), found.end[at].tolist(), strict=True)]
-        row = found.row[at]
-        begin = found.begin[at] - found.first[:-1][row]
-        arrays = [pa.array(found.hash[at]), pa.array(cut, pa.binary()), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[row]), pa.array(begin)]
-        return pa.RecordBatch.from_arrays(arrays, ["hash", "segment", "doc_id", "text_hash", "begin"])
+    dealt = rows.repartition(parts, "key").sortWithinPartitions("hash", F.desc("state")).select("hash", "doc_id", "state", "twice")
+    found = dealt.mapInArrow(lambda batches: again(batches, across, how.hot), "hash long, doc_id long, hot boolean")
+    return found.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"), F.collect_set(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
+
+
+SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long, end long"
+
+
+def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> DataFrame:
+    """Occurrences of shared anchors with what surrounds them (segment, and at: the anchor's place in it). Of hot anchors
+    each span stands for itself; one that its task saw before in a smaller document (itself: or earlier
+    in the same one) is a match, whose row has no segment."""
+    batch_conf(base.sparkSession)
+
+    def chosen(hashes: pa.Array, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which anchors are in their text's list of hashes."""
+        sizes = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        listed, of = hashes.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(hashes)), sizes)
+        if not len(listed):
+            return np.zeros(len(own), bool)
+        both = pd.factorize(np.concatenate([own, listed]))[0].astype(np.int64)
+        return np.isin(row * len(both) + both[: len(own)], of * len(both) + both[len(own) :])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int]] = {}
+        for batch in batches:
+            batch = batch.filter(batch.column(3).is_valid())
+            for part in slices(batch):
+                found = anchors(Texts(part.column(2)), how)
+                wanted = np.flatnonzero(chosen(part.column(3), found.row, found.hash))
+                hot = chosen(part.column(4), found.row[wanted], found.hash[wanted])
+                ids, texts = (numbers(part, c)[found.row] for c in ("doc_id", "text_hash"))
+                base_unit = found.first[:-1][found.row]
+                cold = wanted[~hot]
+                raw, blank = found.data.tobytes(), int(how.kind == "words")
+                bytes_of = lambda b, e: [raw[x:y] for x, y in zip(found.offsets[b].tolist(), (found.offsets[e] - blank).tolist(), strict=True)]
+                begin, end = found.begin[cold], found.end[cold]
+                columns = [found.hash[cold], bytes_of(begin, end), found.at[cold] - begin, ids[cold], texts[cold], begin - base_unit[cold], end - base_unit[cold]]
+                if hot.any():
+                    several = wanted[hot]
+                    count = found.end[several] - found.begin[several] - how.span + 1
+                    of = np.repeat(several, count)
+                    start = found.begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                    order = np.argsort(start, kind="stable")
+                    of, start = of[order], start[order]
+                    text = bytes_of(start, start + how.span)
+                    known = np.zeros(len(of), bool)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    for i, (span, doc, place) in enumerate(zip(text, ids[of].tolist(), (start - base_unit[of]).tolist(), strict=True)):
+                        before = seen.get(span)
+                        if before is not None and (before[0] < doc or itself and before < (doc, place)):
+                            known[i] = True
+                        else:
+                            seen[span] = min(before, (doc, place)) if before else (doc, place)
+                    sent = ~known
+                    # matches that meet or overlap are one row
+                    k = np.flatnonzero(known)
+                    opens = np.concatenate([[True], (np.diff(start[k]) > how.span) | (np.diff(found.row[of[k]]) != 0)]) if len(k) else np.zeros(0, bool)
+                    head, last = k[opens], k[np.append(np.flatnonzero(opens)[1:] - 1, len(k) - 1)] if len(k) else k
+                    text = [t for t, s in zip(text, sent.tolist(), strict=True) if s]
+                    own = np.fromiter(map(xxhash.xxh3_64_intdigest, text), np.uint64, len(text)).view(np.int64)
+                    key = np.concatenate([columns[0], own, mix(ids[of[head]].astype(np.uint64)).view(np.int64)])
+                    local = start - base_unit[of]
+                    columns = [key, [*columns[1], *text, *[None] * len(head)]] + [
+                        np.concatenate([c, mine[sent], theirs])
+                        for c, mine, theirs in zip(columns[2:], (found.at[of] - start, ids[of], texts[of], local, local + how.span), (np.zeros(len(head), np.int64), ids[of[head]], texts[of[head]], local[head], local[last] + how.span), strict=True)
+                    ]
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2].astype(np.int32)), *map(pa.array, columns[3:])], ["key", "segment", "at", "doc_id", "text_hash", "begin", "end"])
 
     joined = base.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id") == F.col("shared_id"), "left")
-    wide = joined.select("doc_id", "text_hash", "text", "hashes")
-    return map_texts(wide, emit, "hash long, segment binary, doc_id long, text_hash long, begin long")
+    return joined.select("doc_id", "text_hash", "text", "hashes", "hot").mapInArrow(work, SEGMENT)
 
 
 @dataclass
 class Group:
-    """Segments sorted by (hash, segment, doc_id, begin); equal segments form a class."""
+    """Segments sorted by (key, segment, doc_id, begin); equal segments form a class."""
 
-    hash: np.ndarray
     doc: np.ndarray
     begin: np.ndarray
     text_hash: np.ndarray
     of: np.ndarray  # class of each row
     head: np.ndarray  # first row of each class
+    at: np.ndarray  # unit of each class's anchor
     data: np.ndarray  # bytes of the classes' segments
     offsets: np.ndarray
 
@@ -122,29 +270,37 @@ class Group:
     def read(table: pa.Table) -> Group:
         segment = table.column("segment").combine_chunks()
         segment = (segment.chunk(0) if isinstance(segment, pa.ChunkedArray) else segment).cast(pa.large_binary())
-        h = numbers(table, "hash")
+        key = numbers(table, "key")
         differs = pc.not_equal(segment[1:], segment[:-1]).to_numpy(zero_copy_only=False)
-        opens = np.concatenate([[True], differs | (h[1:] != h[:-1])])
+        opens = np.concatenate([[True], differs | (key[1:] != key[:-1])])
         head = np.flatnonzero(opens)
         distinct = segment.take(pa.array(head))
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(head) + 1]
         data = np.frombuffer(distinct.buffers()[2], np.uint8)
-        return Group(h, numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        return Group(numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, numbers(table, "at").astype(np.int64)[head], data[offsets[0] : offsets[-1]], offsets - offsets[0])
+
+
+Judge = Callable[[Group], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def matched(found: DataFrame, how: Units, itemsize: int, judge: Callable[[Group, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """doc_id, ranges (text_hash, begin, end): the spans that judge finds earlier elsewhere. judge gets a
-    group and, for each span of its classes, class and place; it says which rows are matched
-    whole, and which spans are matched in the rows that are not."""
+def matched(found: DataFrame, how: Units, judge: Judge) -> DataFrame:
+    """doc_id, ranges (text_hash, begin, end): the spans that occur earlier elsewhere. judge gets a group and says how
+    many spans each class has, which rows are matched whole, and which spans of the classes are matched in the
+    rows that are not."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "hash"):
+        for table in whole_runs(batches, "key"):
+            sure = pc.is_null(table.column("segment"))
+            for known in table.filter(sure).select(["doc_id", "text_hash", "begin", "end"]).to_batches():
+                yield known
+            table = table.filter(pc.invert(sure)).combine_chunks()
+            if not table.num_rows:
+                continue
             g = Group.read(table)
-            counts = np.diff(g.offsets) // itemsize - how.span + 1
+            counts, whole, hit = judge(g)
             first = np.concatenate([[0], np.cumsum(counts)])
             of = np.repeat(np.arange(len(counts)), counts)
             place = np.arange(first[-1]) - first[:-1][of]
-            whole, hit = judge(g, of, place)
             rows = np.flatnonzero(whole)
             begin, end = g.begin[rows], g.begin[rows] + counts[g.of[rows]] + how.span - 1
             edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -162,9 +318,7 @@ def matched(found: DataFrame, how: Units, itemsize: int, judge: Callable[[Group,
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(g.doc[rows]), pa.array(g.text_hash[rows]), pa.array(begin), pa.array(end)], ["doc_id", "text_hash", "begin", "end"])
 
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartition(parts, "hash").sortWithinPartitions("hash", "segment", "doc_id", "begin")
-    spans = ordered.mapInArrow(work, "doc_id long, text_hash long, begin long, end long")
+    spans = ordered_by(found, "key", "segment", "doc_id", "begin").mapInArrow(work, "doc_id long, text_hash long, begin long, end long")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "begin", "end")).alias("ranges"))
 
 

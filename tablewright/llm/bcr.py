@@ -1,43 +1,64 @@
 """Column-wise construction of the Burrows-Wheeler transform and common prefixes of many short strings.
 
-Round j puts the suffix of length j of every string into the sorted list of all shorter
-suffixes: its place follows from the place of the suffix it extends, by counting symbols of
-the transform before it, and its common prefixes with its two neighbours from range minima
-over the common prefixes so far. The columns (transform, common prefix, suffix) are read and written
-once a round, front to back; beyond `memory_bytes` they are external files. Strings are pieces
-of UTF-8 text of under 255 bytes, so the byte 255 can stand for a string's start.
-"""
+The collection's strings grow to the left by one symbol a round. Round j puts what string i reads
+from its j-th symbol before its end marker into the sorted list of all shorter suffixes: its place
+follows from the place of the suffix it extends, by counting symbols of the transform before it,
+and its common prefixes with its two neighbours from range minima over the common prefixes so
+far. End markers are in a given order and have given common prefixes, as if each stood for a text
+that follows it.
+
+The columns (transform, common prefix, suffix) are read and written once a round each, front to
+back and block by block; beyond `block_rows` rows they are external files, of which two blocks at a
+time are in memory. What is kept for each string are its place and its symbol."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 
-MEMORY_BYTES = 64 << 20
+BLOCK_ROWS = 1 << 22
+#: Symbol of a string that has ended. UTF-8 has no such byte.
 START = 255
-_COLUMNS = {"symbol": np.uint8, "common": np.uint8, "suffix": np.int32}
+COLUMNS = {"symbol": np.uint8, "common": np.uint8, "suffix": np.int64}
 
 
 class Columns:
-    """The columns of a collection's sorted suffixes, in memory or, when large, in sequential files."""
-
-    def __init__(self, folder: str, memory_bytes: int):
-        self.folder, self.memory_bytes = Path(folder), memory_bytes
-        self.held: dict[str, np.ndarray] = {}
-
-    def write(self, **columns: np.ndarray) -> None:
-        large = sum(c.nbytes for c in columns.values()) > self.memory_bytes
-        for name, values in columns.items():
-            if large:
-                values.tofile(self.folder / name)
-                self.held.pop(name, None)
-            else:
-                self.held[name] = values
-
-    def read(self, name: str) -> np.ndarray:
-        return self.held[name] if name in self.held else np.fromfile(self.folder / name, _COLUMNS[name])
+    """The columns of the sorted suffixes: arrays, or sequential files where they have more than block_rows rows."""
+
+    def __init__(self, folder: str, block_rows: int, **first: np.ndarray):
+        self.folder, self.block_rows, self.turn = Path(folder), block_rows, 0
+        self.put([{name: first[name].astype(kind) for name, kind in COLUMNS.items()}], len(first["symbol"]))
+
+    def put(self, blocks: Iterator[dict[str, np.ndarray]], rows: int) -> None:
+        """Replace the columns by blocks that may be made from the old ones as they are read."""
+        if rows <= self.block_rows:
+            parts = list(blocks)
+            self.held = parts[0] if len(parts) == 1 else {name: np.concatenate([p[name] for p in parts]) for name in COLUMNS}
+        else:
+            files = {name: (self.folder / f"{name}-{self.turn + 1}").open("wb") for name in COLUMNS}
+            for block in blocks:
+                for name, file in files.items():
+                    block[name].tofile(file)
+            for file in files.values():
+                file.close()
+            self.held = None
+        for name in COLUMNS:
+            (self.folder / f"{name}-{self.turn}").unlink(missing_ok=True)
+        self.turn, self.rows = self.turn + 1, rows
+
+    def blocks(self) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        """First row and columns of each block, front to back."""
+        if self.held is not None:
+            yield 0, self.held
+            return
+        files = {name: (self.folder / f"{name}-{self.turn}").open("rb") for name in COLUMNS}
+        for start in range(0, self.rows, self.block_rows):
+            yield start, {name: np.fromfile(file, COLUMNS[name], self.block_rows) for name, file in files.items()}
+        for file in files.values():
+            file.close()
 
 
 def range_minima(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -45,8 +66,8 @@ def range_minima(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.
     order = np.argsort(-after, kind="stable")  # falling, so that what lies between two ranges is not read
     bounds = np.empty(2 * len(after), np.int64)
     bounds[0::2], bounds[1::2] = after[order] + 1, upto[order] + 1
-    out = np.empty(len(after), values.dtype)
-    out[order] = np.minimum.reduceat(np.append(values, values.dtype.type(0)), bounds)[::2]
+    out = np.empty(len(after), np.int64)
+    out[order] = np.minimum.reduceat(np.append(values, values.dtype.type(0)), bounds)[::2] if len(after) else 0
     return out
 
 
@@ -61,52 +82,97 @@ def symbol_ranks(order: np.ndarray, bounds: np.ndarray, at: np.ndarray, own: np.
     return out
 
 
-def sorted_suffixes(data: np.ndarray, offsets: np.ndarray, memory_bytes: int = MEMORY_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, start and common prefix with the one before, of all suffixes (the empty ones first) of the
-    strings data[offsets[i]:offsets[i + 1]], in sorted order; equal suffixes by string number."""
-    count = len(offsets) - 1
-    sizes = np.diff(offsets)
-    if sizes.max(initial=0) >= START or (data == START).any():
-        raise ValueError("strings must be pieces of UTF-8 text of under 255 bytes")
-    ends = offsets[1:] + np.arange(count)  # every string has one number more than bytes: that of its empty suffix
-
-    def symbols(strings: np.ndarray, length: int) -> np.ndarray:
-        """The symbol before each string's suffix of this length."""
-        left = sizes[strings] - length
-        return np.where(left > 0, data[np.maximum(offsets[strings] + left - 1, 0)], START).astype(np.uint8) if len(data) else np.full(len(strings), START, np.uint8)
-
+def counted(columns: Columns, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over transform and common prefixes: how often each symbol stands before the places `at` (rising, with symbols
+    `own`), common prefixes of what will stand there with what comes before and behind it, and each symbol's total."""
+    rank, before, behind = (np.zeros(len(at), np.int64) for _ in range(3))
+    total = np.zeros(256, np.int64)
+    low = np.full(256, START, np.int64)  # least common prefix since a symbol's last occurrence
+    last = np.full(256, -1, np.int64)  # which of `at` that occurrence is
+    for start, block in columns.blocks():
+        symbol, common = block["symbol"], block["common"]
+        a, b = np.searchsorted(at, [start, start + len(symbol)])
+        place, mine = at[a:b] - start, own[a:b].astype(np.int64)
+        order = np.argsort(symbol, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=256))])
+        k = symbol_ranks(order, bounds, place, own[a:b])
+        rank[a:b] = total[mine] + k - bounds[mine]
+        inner = np.flatnonzero(k > bounds[mine])
+        before[a + inner] = 1 + range_minima(common, order[k[inner] - 1], place[inner])
+        inner = np.flatnonzero(k + 1 < bounds[mine + 1])
+        behind[a + inner] = 1 + range_minima(common, place[inner], order[k[inner] + 1])
+        if len(symbol) < columns.rows:
+            there = np.flatnonzero(np.diff(bounds))
+            head, tail = order[bounds[there]], order[bounds[there + 1] - 1]
+            least = np.minimum.accumulate(common)
+            linked = total[there] > 0
+            value = 1 + np.minimum(low[there], least[head])
+            some = linked & (last[there] >= 0)
+            behind[last[there[some]]] = value[some]
+            at_head = np.searchsorted(place, head)
+            some = linked & (at_head < len(place)) & (place[np.minimum(at_head, len(place) - 1)] == head) if len(place) else np.zeros(len(there), bool)
+            before[a + at_head[some]] = value[some]
+            low = np.minimum(low, int(least[-1]))
+            ahead = np.append(np.minimum.accumulate(common[::-1])[::-1], START)
+            low[there] = ahead[tail + 1]
+            at_tail = np.searchsorted(place, tail)
+            is_at = (at_tail < len(place)) & (place[np.minimum(at_tail, len(place) - 1)] == tail) if len(place) else np.zeros(len(there), bool)
+            last[there] = np.where(is_at, a + at_tail, -1)
+        total += np.diff(bounds)
+    return rank, before, behind, total
+
+
+def merged(columns: Columns, at: np.ndarray, fresh: dict[str, np.ndarray], behind: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """The columns' blocks with rows put in at places `at` (rising) of the new list; behind: the common prefix of what follows each."""
+    old_place = at - np.arange(len(at))
+    done = 0
+    for start, block in columns.blocks():
+        end = start + len(block["symbol"])
+        upto = len(at) if end == columns.rows else int(np.searchsorted(old_place, end, "left"))
+        own = np.arange(done, upto)
+        inside = old_place[own] - start + np.arange(len(own))
+        kept = np.ones(end - start + len(own), bool)
+        kept[inside] = False
+        out = {}
+        for name, values in block.items():
+            out[name] = np.empty(len(kept), COLUMNS[name])
+            out[name][kept] = values
+            out[name][inside] = fresh[name][own]
+        first = start + done  # new place of the block's first row
+        low, high = np.searchsorted(at + 1, [first, first + len(kept)])
+        out["common"][at[low:high] + 1 - first] = behind[low:high]
+        yield out
+        done = upto
+
+
+def sorted_suffixes(symbol_before: Callable[[np.ndarray, int], np.ndarray], length: np.ndarray, marker_common: np.ndarray, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, symbols before the end marker, and common prefix with the one before, of all suffixes in sorted order.
+
+    Strings are numbered in the order of their end markers, which come before all symbols; length: of each string;
+    marker_common: common prefixes of the markers with the one before. symbol_before(strings, j) gives the symbol that
+    stands before the last j of each string. A string whose suffix shares less than its own symbols with
+    both neighbours cannot share more later, and ends there."""
+    count = len(length)
+    width = int(length.max(initial=0)) + 1
     with tempfile.TemporaryDirectory() as folder:
-        columns = Columns(folder, memory_bytes)
-        active = np.arange(count)  # strings that still grow
-        at = active.copy()  # the places of their longest suffixes so far
-        columns.write(symbol=symbols(active, 0), common=np.zeros(count, np.uint8), suffix=ends.astype(np.int32))
-        for length in range(1, int(sizes.max(initial=0)) + 1):
-            grows = sizes[active] >= length
-            active, at = active[grows], at[grows]
-            symbol, common = columns.read("symbol"), columns.read("common")
-            n = len(symbol)
-            order = np.argsort(symbol, kind="stable")  # where each symbol's occurrences lie, in order
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=256))])
-            own = symbol[at]
-            mine = symbol_ranks(order, bounds, at, own)
-
-            before = np.zeros(len(at), np.uint8)
-            some = mine > bounds[own]
-            before[some] = 1 + range_minima(common, order[mine[some] - 1], at[some])
-            behind = np.zeros(len(at), np.uint8)
-            some = mine + 1 < bounds[own.astype(np.int64) + 1]
-            behind[some] = 1 + range_minima(common, at[some], order[mine[some] + 1])
-
-            at = mine + count  # the empty suffixes come first
-            old = np.ones(n + len(at), bool)
-            old[at] = False
-            grown = {}
-            for name, fresh in (("symbol", symbols(active, length)), ("common", before), ("suffix", ends[active] - length)):
-                grown[name] = np.empty(len(old), _COLUMNS[name])
-                grown[name][old] = columns.read(name)
-                grown[name][at] = fresh
-            grown["common"][np.minimum(at + 1, len(old) - 1)[at + 1 < len(old)]] = behind[at + 1 < len(old)]
-            columns.write(**grown)
-        suffix = columns.read("suffix").astype(np.int64)
-        string = np.searchsorted(ends, suffix)
-        return string, suffix - offsets[string] - string, columns.read("common").astype(np.int64)
+        active = np.flatnonzero(length > 0)
+        symbol = np.full(count, START, np.uint8)
+        symbol[active] = symbol_before(active, 0)
+        columns = Columns(folder, block_rows, symbol=symbol, common=marker_common, suffix=np.arange(count) * width)
+        at, own = active.copy(), symbol[active]
+        for j in range(1, width):
+            rank, before, behind, total = counted(columns, at, own)
+            at = count + (np.cumsum(total) - total)[own] + rank
+            order = np.argsort(at, kind="stable")
+            active, at, before, behind = active[order], at[order], before[order], behind[order]
+            grows = (length[active] > j) & (np.maximum(before, behind) >= j)
+            own = np.full(len(active), START, np.uint8)
+            own[grows] = symbol_before(active[grows], j)
+            fresh = {"symbol": own, "common": before, "suffix": active * width + j}
+            columns.put(merged(columns, at, fresh, behind), columns.rows + len(at))
+            active, at, own = active[grows], at[grows], own[grows]
+            if not len(active):
+                break
+        blocks = [(block["suffix"], block["common"]) for _, block in columns.blocks()]
+    suffix, common = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    return suffix // width, suffix % width, common.astype(np.int64)

@@ -1,54 +1,102 @@
 """Substring dedup by seed and extend.
 
-Documents are joined on winnowed anchors (5-grams of words, one for each 13 words); from every
-shared anchor the match is extended both ways over the words around it, span by span, and
-spans whose words also stand in a document of a smaller id are kept as matches. Overlapping
-matches make up the maximal repeats, whose words are removed.
+Documents are joined on winnowed anchors (5-grams of words, one for each 13 words): these are the
+seeds. From each seed the match with other documents is extended word by word to the right
+and to the left over the words around it; occurrences that agree so far share a number, and one
+that is alone goes no further. Where both extensions together reach `span` words and a document of a
+smaller id agrees, there is a match; matches that overlap make up the maximal repeats, whose
+words are removed. Words are compared as such, not by hashes.
 
 Null and empty texts have no words; rows with a null doc_id have no place in the order, so
 they lose nothing and take nothing. Rows with one doc_id never match each other: neither is
-smaller. An empty table gives an empty result. Extra columns pass through.
+smaller. Texts of any length are handled whole, in one task each. An empty table gives an empty
+result. Extra columns, of whatever name, come back in the struct `rest`.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import Texts, map_texts, mix, windows
-from tablewright.llm._seeds import WORD_BYTES, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
+from tablewright.llm._arrow import Texts, distinct_spans, map_texts
+from tablewright.llm._seeds import BLANK, HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
 
 ANCHOR_WORDS = 5
 
 
-def owners(g: Group, of: np.ndarray, place: np.ndarray, span: int) -> np.ndarray:
-    """For each span of the classes, the smallest doc_id of a class in which it stands."""
-    wide = np.zeros((len(g.data) // WORD_BYTES, 8), np.uint8)
-    wide[:, :WORD_BYTES] = g.data.reshape(-1, WORD_BYTES)
-    words = wide.view(np.uint64).ravel()
-    at = (g.offsets[:-1] // WORD_BYTES)[of] + place
-    head = g.head[of]
-    key = mix(windows(words, span)[at] ^ mix(g.hash[head].view(np.uint64)))
-    doc = g.doc[head]
-    order = np.lexsort((doc, key))
-    opens = np.concatenate([[True], np.diff(key[order]) != 0])
-    out = np.empty(len(doc), np.int64)
-    out[order] = doc[order][np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs of numbers; -1 where the first is -1."""
+    out = np.full(len(a), -1, np.int64)
+    some = np.flatnonzero(a >= 0)
+    if len(some):
+        out[some] = pd.factorize(a[some] * (int(b[some].max()) + 1) + b[some])[0]
     return out
 
 
-def remove_substrings(docs: DataFrame, span: int = 13) -> DataFrame:
+def together(label: np.ndarray) -> np.ndarray:
+    """-1 where a number occurs once."""
+    some = np.flatnonzero(label >= 0)
+    alone = np.bincount(label[some])[label[some]] == 1
+    label[some[alone]] = -1
+    return label
+
+
+def seeds_of(g: Group, words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class and place of all occurrences of each class's anchor in its segment, and numbers of the anchors."""
+    own = first[:-1] + g.at
+    label = words[own]
+    for j in range(1, k):
+        label = paired(label, words[own + j])
+    of = np.repeat(np.arange(len(own)), np.diff(first) - k + 1)
+    at = np.arange(len(of)) + (k - 1) * of
+    for j in range(k):
+        same = words[at + j] == words[own[of] + j]
+        of, at = of[same], at[same]
+    return of, at, pd.factorize(label[of])[0].astype(np.int64)
+
+
+def extended(g: Group, how: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each class, rows that lie in a class of a smaller document, and spans of classes that a smaller document has too."""
+    letter = g.data != BLANK
+    letter_before = np.concatenate([[False], letter[:-1]])
+    letter_before[g.offsets[:-1]] = False
+    start = np.flatnonzero(letter & ~letter_before)
+    letter_behind = np.concatenate([letter[1:], [False]])
+    letter_behind[g.offsets[1:] - 1] = False
+    words = distinct_spans(g.data, start, np.flatnonzero(letter & ~letter_behind) + 1)[0].astype(np.int64)
+    first = np.searchsorted(start, g.offsets)
+    counts = np.diff(first) - how.span + 1
+    place = np.concatenate([[0], np.cumsum(counts)])
+    doc = g.doc[g.head]
+    hit = np.zeros(place[-1], bool)
+
+    of, at, label = seeds_of(g, words, first, how.k)
+    reach = how.span - how.k
+    right, left = [together(label)], [together(label)]
+    for j in range(reach):
+        behind, before = at + how.k + j, at - j - 1
+        for side, word, inside in ((right, behind, behind < first[of + 1]), (left, before, before >= first[of])):
+            side.append(together(paired(np.where(inside, side[-1], -1), words[np.clip(word, 0, len(words) - 1)])))
+    for j in range(reach + 1):
+        both = paired(np.where(right[reach - j] >= 0, left[j], -1), right[reach - j])
+        some = np.flatnonzero(both >= 0)
+        owner = np.full(len(some) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(owner, both[some], doc[of[some]])
+        some = some[owner[both[some]] < doc[of[some]]]
+        hit[place[of[some]] + at[some] - j - first[of[some]]] = True
+    return counts, g.doc > doc[g.of], hit
+
+
+def remove_substrings(docs: DataFrame, span: int = 13, hot: int = HOT, locally_hot: int = LOCALLY_HOT) -> DataFrame:
     """doc_id, text (kept words, joined by one space), n_words, n_removed, rest (the other columns)."""
-    how = Units("words", ANCHOR_WORDS, span)
+    how = Units("words", ANCHOR_WORDS, span, hot, locally_hot)
     base = base_rows(docs)
 
-    def judge(g: Group, of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = g.doc[g.head]
-        return g.doc > first[g.of], owners(g, of, place, span) < first[of]
-
-    ranges = matched(segments(base, shared_anchors(docs, how, across=True), how), how, WORD_BYTES, judge)
+    found = segments(base, shared_anchors(docs, how, across=True), how, itself=False)
+    ranges = matched(found, how, lambda g: extended(g, how))
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         start, _, first = Texts(batch.column(2)).words()

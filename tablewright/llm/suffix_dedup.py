@@ -2,77 +2,94 @@
 
 A whole text would need as many rounds as its longest text has bytes, so the collection is
 first cut by content: every `length`-byte string belongs to the segment of its winnowed
-32-byte anchor, segments are under 2 * length bytes, and equal strings always meet in one
-anchor's group. Anchors that occur once are dropped. The distinct segments of whole groups
-are the collection: round by round one symbol of each enters its Burrows-Wheeler transform
-and common prefixes. Runs of suffixes that share `length` bytes are equal strings; all but
-the earliest (smaller doc_id, or an earlier start in one document) are matches, and the bytes
-that they cover are removed.
+32-byte anchor, and equal strings always meet at one anchor. Anchors that occur once are dropped. The
+distinct segments are the collection. Each is cut before its anchor: what is left of that are the
+string's symbols, what follows is its end marker, and the markers are ordered by their bytes. Round by
+round one symbol of each string enters the collection's Burrows-Wheeler transform and common
+prefixes. Runs of suffixes that share `length` bytes are equal strings; all but the earliest
+(smaller doc_id, or an earlier start in one document) are matches, and the bytes that they cover are
+removed.
 
 Null and empty texts have no bytes; rows with a null doc_id have no place in the order, so
 they lose nothing and take nothing. Rows with one doc_id count as one document for the
-order; of rows equal in id and text none removes the other. Extra columns pass through. An
-empty table gives an empty result.
+order; of rows equal in id and text none removes the other. Texts of any length are cut whole, in one
+task each. Extra columns, of whatever name, come back in the struct `rest`. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import Texts, hash_spans, map_texts, mix, prefix_sums
-from tablewright.llm._seeds import Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
+from tablewright.llm._arrow import Texts, map_texts
+from tablewright.llm._seeds import HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
 from tablewright.llm.bcr import sorted_suffixes
 
 ANCHOR_BYTES = 32
 
 
-def later_spans(g: Group, of: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Which strings of the classes also stand, earlier, in another place of their group. Strings whose
-    hash is alone in its group cannot; segments are trimmed to what lies between the others."""
-    out = np.zeros(len(of), bool)
-    at = g.offsets[:-1][of] + place
-    keys = mix(hash_spans(prefix_sums(g.data), at, at + length) ^ mix(g.hash[g.head].view(np.uint64))[of])
-    codes = pd.factorize(keys)[0]
-    some = np.flatnonzero(np.bincount(codes)[codes] > 1)
-    if not len(some):
-        return out
-    cuts = np.flatnonzero(np.diff(of[some])) + 1
-    low, high = some[np.concatenate([[0], cuts])], some[np.concatenate([cuts - 1, [len(some) - 1]])]
-    sizes = high - low + length
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    data = g.data[np.repeat(at[low] - offsets[:-1], sizes) + np.arange(offsets[-1])]
-    string, start, common = sorted_suffixes(data, offsets)
-    long = np.flatnonzero(start + length <= sizes[string])
-    string, start = string[long], start[long]
+def seeds_of(g: Group, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class and place of all occurrences of each class's anchor in its segment."""
+    own = g.offsets[:-1] + g.at
+    of = np.repeat(np.arange(len(own)), np.diff(g.offsets) - k + 1)
+    at = np.arange(len(of)) + (k - 1) * of
+    for j in range(k):
+        same = g.data[at + j] == g.data[own[of] + j]
+        of, at = of[same], at[same]
+    return of, at
+
+
+def following(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the byte strings data[at : at + size], each of at most `width` bytes, and how much each shares with the one before."""
+    reach = np.arange(width)
+    whole = np.where(reach < size[:, None], data[np.minimum(at[:, None] + reach, len(data) - 1)], 0).astype(np.uint8)
+    padded = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = whole
+    order = np.lexsort((size, *padded.view(">u8").T[::-1]))
+    whole, size = whole[order], size[order]
+    differs = np.concatenate([whole[1:] != whole[:-1], np.ones((max(0, len(at) - 1), 1), bool)], axis=1)
+    common = np.minimum(differs.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+    return order, np.concatenate([[0], common])[: len(at)]
+
+
+def later_spans(g: Group, how: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each class, rows that come later than their class's first one, and spans of classes that occur earlier in another."""
+    length, counts = how.span, np.diff(g.offsets) - how.span + 1
+    place = np.concatenate([[0], np.cumsum(counts)])
+    doc, begin = g.doc[g.head], g.begin[g.head]
+    hit = np.zeros(place[-1], bool)
+    of, at = seeds_of(g, how.k)
+    size = np.minimum(g.offsets[of + 1] - at, length)
+    order, common = following(g.data, at, size, length)
+    of, at, size = of[order], at[order], size[order]
+    left = np.minimum(at - g.offsets[of], length - how.k)
+    string, reach, shared = sorted_suffixes(lambda strings, j: g.data[at[strings] - j - 1], left, common)
+    some = np.flatnonzero((reach + size[string] >= length) & (shared >= 0))
     # nothing shorter than length sorts between two suffixes that share length bytes
-    opens = common[long] < length
+    string, reach, opens = string[some], reach[some], shared[some] < length
     opens[:1] = True
     run = np.cumsum(opens) - 1
-    span = low[string] + start
-    head = g.head[of[span]]
-    doc, begin = g.doc[head], g.begin[head] + place[span]
-    order = np.lexsort((begin, doc, run))
-    first = np.concatenate([[True], np.diff(run[order]) != 0])
+    start = at[string] - reach - g.offsets[of[string]]
+    d, b = doc[of[string]], begin[of[string]] + start
+    order = np.lexsort((b, d, run))
+    first = np.concatenate([[True], np.diff(run[order]) != 0]) if len(order) else np.zeros(0, bool)
     leader = np.empty(len(order), np.int64)
     leader[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    out[span] = (doc > doc[leader]) | (begin > begin[leader])
-    return out
+    later = (d > d[leader]) | (b > b[leader])
+    hit[place[of[string]][later] + start[later]] = True
+    return counts, (g.doc > doc[g.of]) | (g.begin > begin[g.of]), hit
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, hot: int = HOT, locally_hot: int = LOCALLY_HOT) -> DataFrame:
     """doc_id, kept (binary; as_text: string, without characters that were cut in two), n_bytes, n_removed, n_spans, rest (the other columns)."""
-    how = Units("bytes", ANCHOR_BYTES, length)
+    how = Units("bytes", ANCHOR_BYTES, length, hot, locally_hot)
     base = base_rows(docs)
 
-    def judge(g: Group, of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        doc, begin = g.doc[g.head][g.of], g.begin[g.head][g.of]
-        return (g.doc > doc) | (g.begin > begin), later_spans(g, of, place, length)
-
-    ranges = matched(segments(base, shared_anchors(docs, how, across=False), how), how, 1, judge)
+    found = segments(base, shared_anchors(docs, how, across=False), how, itself=True)
+    ranges = matched(found, how, lambda g: later_spans(g, how))
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(batch.column(2))

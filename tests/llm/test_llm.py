@@ -154,15 +154,72 @@ def test_suffix_dedup(docs):
         gone = gone[: len(b)]
         assert (out[i].n_removed, bytes(out[i].kept)) == (gone.sum(), np.frombuffer(b, np.uint8)[~gone].tobytes())
 
-
-@pytest.mark.parametrize("memory", [1 << 26, 0])
-def test_column_wise_construction(memory):
+def mixed_corpus(seed, n):
+    """Texts that share passages, lines and repetitions in many contexts."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdeé"), rng.integers(1, 4)))
+    shared = [" ".join(word() for _ in range(k)) for k in (40, 15, 9, 25)]
+    out = []
+    for _ in range(n):
+        parts = [" ".join(word() for _ in range(rng.integers(0, 25)))]
+        for _ in range(rng.integers(0, 4)):
+            parts += [str(rng.choice(shared)), " ".join(word() for _ in range(rng.integers(0, 20)))]
+        if rng.random() < 0.2:
+            parts.append("ab " * int(rng.integers(5, 90)))
+        out.append(("\n" if rng.random() < 0.5 else "  ").join(parts))
+    return out
+
+
+def earlier_units(texts, span, itself):
+    """For each list of units, which are covered by a span that also starts earlier."""
+    owner, out = {}, []
+    for i, t in enumerate(texts):
+        for k in range(len(t) - span + 1):
+            owner.setdefault(tuple(t[k : k + span]), (i, k))
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - span + 1):
+            if owner[tuple(t[k : k + span])] < ((i, k) if itself else (i, -1)):
+                gone[k : k + span] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("hot", [(10**6, 10**6), (3, 10**6), (10**6, 2), (1, 2)])
+def test_hot_anchors(spark, hot):
+    """Hot anchors, by rows in all or by documents of a slice, give what others give."""
+    limits = {"hot": hot[0], "locally_hot": hot[1]}
+    texts = mixed_corpus(8, 120)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    words_of = [words(t) for t in texts]
+    out = ids(substring.remove_substrings(frame, **limits))
+    for i, gone in enumerate(earlier_units(words_of, 13, False)):
+        assert (out[i].n_removed, out[i].text) == (gone.sum(), " ".join(w for w, g in zip(words_of[i], gone, strict=True) if not g))
+    out = ids(suffix_dedup.remove_repeats(frame, **limits))
+    for i, gone in enumerate(earlier_units([t.encode() for t in texts], 100, True)):
+        assert (out[i].n_removed, bytes(out[i].kept)) == (gone.sum(), np.frombuffer(texts[i].encode(), np.uint8)[~gone].tobytes())
+
+
+@pytest.mark.parametrize("rows", [1 << 22, 1, 3, 10])
+def test_column_wise_construction(rows):
+    """Blocks of a few rows: external files. All that share symbols or markers stand together, with the length of what they share."""
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        parts = [bytes(rng.integers(97, 99, rng.integers(0, 15)).tolist()) for _ in range(rng.integers(1, 6))]
-        got = bcr.sorted_suffixes(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), memory)
-        expected = sorted((p[i:], k, i) for k, p in enumerate(parts) for i in range(len(p) + 1))
-        assert [(k, i) for _, k, i in expected] == list(zip(got[0].tolist(), got[1].tolist(), strict=True))
+    for _ in range(30):
+        left = [bytes(rng.integers(97, 99, rng.integers(0, 9)).tolist()) for _ in range(rng.integers(1, 9))]
+        tails = sorted(bytes(rng.integers(97, 99, 3).tolist()) for _ in left)
+        shared = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        common = np.array([0] + [shared(x, y) for x, y in zip(tails[:-1], tails[1:], strict=True)])
+        string, reach, got = bcr.sorted_suffixes(lambda s, j: np.array([left[i][-1 - j] for i in s.tolist()], np.uint8), np.array(list(map(len, left))), common, rows)
+        text = lambda i, j: left[i][len(left[i]) - j :]
+        keys = [(text(i, j), i) for i, j in zip(string.tolist(), reach.tolist(), strict=True)]
+        assert keys == sorted(keys) and len(set(keys)) == len(keys)
+        for (x, i), (y, k), n in zip(keys[:-1], keys[1:], got[1:].tolist(), strict=True):
+            assert n == (len(x) + common[i + 1 : k + 1].min() if x == y else shared(x, y))
+        present = set(keys)
+        for i, s in enumerate(left):  # a string ends early only where it is alone
+            for j in range(len(s) + 1):
+                if any(len(t) >= j and t[len(t) - j :] == s[len(s) - j :] for k, t in enumerate(left) if k != i):
+                    assert (text(i, j), i) in present
 
 
 def test_sharding(spark, docs):
