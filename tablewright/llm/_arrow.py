@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 19
 BATCH_BYTES = 8 << 20
+BLANK = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -83,6 +85,18 @@ class Texts:
         codes, known = distinct_spans(self.data, start, end)
         return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[codes]
 
+    def blank_joined(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words, each followed by a blank, and where each begins in that (and the last one ends)."""
+        offsets = np.concatenate([[0], np.cumsum(end - start + 1)])
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[start] += 1
+        inside[end] -= 1
+        letter = np.ones(offsets[-1], bool)
+        letter[offsets[1:] - 1] = False
+        data = np.full(offsets[-1], BLANK, np.uint8)
+        data[letter] = self.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        return data, offsets
+
     def words(self, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end of each word and the first word of each text (n + 1 numbers). gaps: for each byte, whether it parts words."""
         space = gaps[self.data]
@@ -123,6 +137,27 @@ def distinct_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray | None =
     return coded.indices.to_numpy(), [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs of numbers; -1 where the first is -1."""
+    out = np.full(len(a), -1, np.int64)
+    some = np.flatnonzero(a >= 0)
+    if len(some):
+        out[some] = pd.factorize(a[some] * (int(b[some].max()) + 1) + b[some])[0]
+    return out
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of texts data[offsets[i]:offsets[i + 1]] with one blank between words (and maybe behind), equal for
+    equal words only, and the first word of each text (n + 1 numbers)."""
+    bound = np.zeros(len(data) + 1, bool)
+    bound[offsets] = True
+    blank = data == BLANK
+    edge = np.concatenate([[True], blank])
+    start = np.flatnonzero(~blank & (edge[:-1] | bound[:-1]))
+    end = np.flatnonzero(~blank & (np.append(blank[1:], True) | bound[1:])) + 1
+    return distinct_spans(data, start, end)[0].astype(np.int64), np.searchsorted(start, offsets)
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive hashes; the caller leaves out windows that cross texts."""
     n = max(0, len(hashes) - k + 1)
@@ -216,26 +251,3 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000)
 def numbers(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     column = table.column(name)
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False)
-
-
-def repeated(batches: Iterator[pa.RecordBatch], key: str, value: str, distinct: bool) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, value), the distinct rows of each key that has at least two rows
-    (distinct: two values). One row is held back between batches, never a run."""
-    held: tuple[int, int, bool] | None = None  # the last row, and whether it is out already
-    for batch in batches:
-        k, v = numbers(batch, key), numbers(batch, value)
-        if not len(k):
-            continue
-        if held:
-            k, v = np.append(np.int64(held[0]), k), np.append(np.int64(held[1]), v)
-        same, fresh = k[1:] == k[:-1], v[1:] != v[:-1]
-        opens = np.concatenate([[True], ~same])
-        run = np.cumsum(opens) - 1
-        hit = np.zeros(run[-1] + 1, bool)
-        hit[run[1:][same & fresh if distinct else same]] = True
-        if held and held[2]:
-            hit[0] = True
-        keep = hit[run] & np.concatenate([[not (held and held[2])], ~same | fresh])
-        held = (int(k[-1]), int(v[-1]), bool(hit[-1]))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(v[keep])], [key, value])

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm._arrow import Texts, batch_conf, minimizers, mix, numbers, slices, whole_runs, windows
+from tablewright.llm._hot import DEALT, HOT_COUNT, Dealer, repeated_keys
 
 HOT = 20_000  # rows of an anchor that may meet in one task
 LOCALLY_HOT = 16  # documents of a slice
 REMEMBERED = 200_000  # spans that a task keeps to know repeats of
-BLANK = 32
 
 
 @dataclass(frozen=True)
@@ -46,14 +46,7 @@ class Units:
             at = np.arange(max(0, len(texts.data) - self.k + 1))
             return texts.data, np.arange(len(texts.data) + 1), texts.offsets, texts.hash_spans(at, at + self.k)
         start, end, first = texts.words()
-        offsets = np.concatenate([[0], np.cumsum(end - start + 1)])
-        inside = np.zeros(len(texts.data) + 1, np.int8)
-        inside[start] += 1
-        inside[end] -= 1
-        letter = np.ones(offsets[-1], bool)
-        letter[offsets[1:] - 1] = False
-        data = np.full(offsets[-1], BLANK, np.uint8)
-        data[letter] = texts.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        data, offsets = texts.blank_joined(start, end)
         return data, offsets, first, windows(texts.strong_hashes(start, end), self.k)
 
 
@@ -88,99 +81,23 @@ def ordered_by(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.repartition(parts, columns[0]).sortWithinPartitions(*columns)
 
 
-def runs_of(keys: np.ndarray) -> np.ndarray:
-    """Whether each of some sorted keys is the first of its run."""
-    return np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-
-
-#: What a row of `anchor_rows` says: one of its anchor's documents; the anchor is hot; a document of a hot anchor.
-MEMBER, MARK, KNOWN = 0, 1, 2
-
-
-def anchor_rows(docs: DataFrame, how: Units) -> DataFrame:
-    """key, hash, doc_id, state, twice (the document has it twice): each document's anchors. A hot anchor's rows are dealt by
-    document and each task says once, by a row dealt by the anchor, that it is hot."""
+def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
+    """doc_id, hashes, hot: each document's anchors that occur again (across: in another document), and which of them are hot."""
     batch_conf(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = np.zeros(0, np.int64)
+        dealer = Dealer(how.locally_hot)
         for batch in batches:
             for part in slices(batch):
                 found = anchors(Texts(part.column(1)), how)
-                ids = part.column(0).to_numpy()[found.row]
-                order = np.lexsort((ids, found.hash))
-                h, d, tied = found.hash[order], ids[order], found.tied[order]
-                opens = runs_of(h) | runs_of(d)
-                pair = np.flatnonzero(opens)
-                if not len(pair):
-                    continue
-                twice = (np.diff(np.append(pair, len(h))) > 1) | np.maximum.reduceat(tied, pair)
-                h, d = h[pair], d[pair]
-                new = np.flatnonzero(runs_of(h))
-                many = np.diff(np.append(new, len(h))) >= how.locally_hot
-                hot = np.repeat(many, np.diff(np.append(new, len(h))))
-                marks = np.setdiff1d(h[new[many]], said)
-                said = np.union1d(said, marks)
-                key = np.concatenate([np.where(hot, mix(d.astype(np.uint64)).view(np.int64), h), marks])
-                state = np.concatenate([np.where(hot, KNOWN, MEMBER), np.full(len(marks), MARK)]).astype(np.int8)
-                columns = [key, np.concatenate([h, marks]), np.concatenate([d, np.zeros(len(marks), np.int64)]), state, np.concatenate([twice, np.zeros(len(marks), bool)])]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "hash", "doc_id", "state", "twice"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(work, "key long, hash long, doc_id long, state byte, twice boolean")
-
-
-def again(batches: Iterator[pa.RecordBatch], across: bool, most: int) -> Iterator[pa.RecordBatch]:
-    """hash, doc_id, hot from rows in order of (hash, state falling): those of anchors that occur again. A run longer
-    than `most` is not held, as it is known to be hot by then."""
-    held: list[np.ndarray] | None = None
-    flowing: int | None = None  # the anchor of a run that is too long to hold
-
-    def judged(h: np.ndarray, d: np.ndarray, state: np.ndarray, twice: np.ndarray, all_hot: bool) -> Iterator[pa.RecordBatch]:
-        if not len(h):
-            return
-        first = np.flatnonzero(runs_of(h))
-        size = np.diff(np.append(first, len(h)))
-        spread = lambda x: np.repeat(x, size)
-        marked = np.maximum.reduceat(state, first) > MEMBER
-        if flowing is not None and h[0] == flowing:
-            marked[0] = True
-        hot = marked | (size > most) | all_hot
-        member = state == MEMBER
-        low = np.minimum.reduceat(np.where(member, d, np.iinfo(np.int64).max), first)
-        high = np.maximum.reduceat(np.where(member, d, np.iinfo(np.int64).min), first)
-        shared = hot | (low < high)
-        if not across:
-            shared |= np.maximum.reduceat(twice, first) | (np.add.reduceat(member, first, dtype=np.int64) > 1)
-        keep = (spread(shared) & member) | (state == KNOWN)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.array(spread(hot)[keep])], ["hash", "doc_id", "hot"])
-
-    for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-        if not len(columns[0]):
-            continue
-        if held:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-        yield from judged(*[c[:cut] for c in columns], False)
-        if cut:
-            flowing = None if flowing is not None and columns[0][cut] != flowing else flowing
-        held = [c[cut:] for c in columns]
-        if len(held[0]) > most or flowing is not None and held[0][0] == flowing:
-            flowing = int(held[0][0])
-            yield from judged(*held, True)
-            held = None
-    if held:
-        yield from judged(*held, False)
-
-
-def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
-    """doc_id, hashes, hot: each document's anchors that occur again (across: in another document), and which of them are hot."""
-    rows = anchor_rows(docs, how)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("hash", F.desc("state")).select("hash", "doc_id", "state", "twice")
-    found = dealt.mapInArrow(lambda batches: again(batches, across, how.hot), "hash long, doc_id long, hot boolean")
-    return found.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"), F.collect_set(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
+                rows = dealer.rows(found.hash, numbers(part, "doc_id")[found.row], found.tied)
+                if rows is not None:
+                    yield rows
+
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(work, DEALT)
+    found = repeated_keys(each, across, how.hot)
+    hot = F.when(F.col("n") == HOT_COUNT, F.col("key"))
+    return found.groupBy(F.col("holder").alias("doc_id")).agg(F.collect_set("key").alias("hashes"), F.collect_set(hot).alias("hot"))
 
 
 SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long, end long"

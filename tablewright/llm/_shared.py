@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -15,9 +18,11 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if sc._jsc.sc().getCheckpointDir().isDefined():
             root = sc._jsc.sc().getCheckpointDir().get()
-        else:
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
             root = "file://" + tempfile.mkdtemp(prefix="spark-")
             sc.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     return root
 
 
@@ -31,3 +36,9 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = shared_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def small(frame: DataFrame, row_bytes: Column) -> DataFrame:
+    """The frame, marked for broadcast if the bytes of all its rows are few; else joins shuffle it."""
+    total = frame.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame

@@ -1,19 +1,22 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-A document's set holds the hashes of its distinct 5-word shingles. Equal sets form a class,
-of which the smallest doc_id stands for all. Candidate classes come from an exact prefix
+A document's set holds its distinct 5-word shingles. Equal sets (by 128 bits of digest) form a
+class, of which the smallest doc_id stands for all. Candidate classes come from an exact prefix
 filter in two steps: the smallest hashes of each set (a share that must meet the partner's in
 many places) are counted over the whole corpus, then only the rarest of them are looked up,
 so passages that many documents share bring no candidates unless they make up most of a
 document. Candidates joined by lookups form families, and families are cut into tiles: size
-bands (sizes a fifth apart cannot link) and blocks of bounded size. In a tile, bit counts of
-hashed bitmaps bound each pair's overlap from above, and pairs that may still reach the threshold
-are decided exactly. `jaccard_join` decides every pair and counts the links of each class;
+bands (sizes a fifth apart cannot link) and blocks of bounded size. A tile has the words of its
+texts and numbers their shingles, equal numbers for equal words only; bit counts of hashed bitmaps
+bound each pair's overlap from above, and pairs that may still reach the threshold are decided by
+intersecting the sorted arrays. `jaccard_join` decides every pair and counts the links of each class;
 `jaccard_components`, which only groups, skips pairs that are already joined.
 
 Null and blank texts have an empty set and link with nothing. Rows with a null doc_id are not
-linked and have no component. Repeated rows and equal texts are one class. An empty table
-gives an empty result. Extra columns pass through `one_of_each_group`.
+linked and have no component. Repeated rows and equal texts are one class; rows that share a doc_id but
+not a text are told apart, each in its own class. Of classes with one smallest doc_id (ties) the one
+of the smaller digest stands first. Texts of any length have one set, made in one task. An empty
+table gives an empty result. Extra columns, of whatever name, pass through `one_of_each_group`.
 """
 
 from __future__ import annotations
@@ -22,19 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm._arrow import Texts, map_texts, mix, numbers, whole_runs, windows
+from tablewright.functions.columns import quoted
+from tablewright.llm._arrow import Texts, batch_conf, map_texts, mix, numbers, paired, slices, whole_runs, windows, words_of
 from tablewright.llm._graph import components
-from tablewright.llm._shared import stored
+from tablewright.llm._hot import DEALT, Dealer, opens, repeated_keys
+from tablewright.llm._shared import small, stored
 
 WORDS = 5
 #: Link when 100 * intersection >= 80 * union: overlap >= 4/9 of the sizes' sum, sizes within 4:5.
 SHARE = 0.2  # of a set, that prefixes must meet in
 TILE_SHINGLES = 1_000_000
-BROADCAST_ROWS = 100_000  # of about 100 bytes
+HOT = 20_000  # rows of a token that may meet in one task
+LOCALLY_HOT = 16  # sets of a slice, or rows of a batch
 MAX_BITS = 1 << 14
 
 
@@ -73,60 +80,91 @@ def prefix(n: int) -> int:
 
 
 def set_summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set)."""
+    """doc_id, text_hash, n_shingles, d1, d2 (digest of the set)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(Texts(batch.column(1), lower=True))
+        sets = shingle_sets(Texts(batch.column(2), lower=True))
         d = digests(sets)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "n_shingles", "d1", "d2"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "text_hash", "n_shingles", "d1", "d2"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_shingles long, d1 long, d2 long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), work, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long")
 
 
 def prefix_tokens(docs: DataFrame) -> DataFrame:
-    """token, d1: the first tokens in hash order of every set."""
+    """token, d1, n (in how many sets, as far as it is not hot): of the first tokens in hash order of every set, those of several sets."""
+    batch_conf(docs.sparkSession)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(Texts(batch.column(1), lower=True))
-        d = digests(sets)[:, 0]
-        cut = [s[: prefix(len(s))] for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut).view(np.int64)), pa.array(np.repeat(d, [len(c) for c in cut]))], ["token", "d1"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(LOCALLY_HOT)
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(Texts(part.column(0), lower=True))
+                cut = [s[: prefix(len(s))] for s in sets]
+                rows = dealer.rows(np.concatenate(cut).view(np.int64), np.repeat(digests(sets)[:, 0], [len(c) for c in cut]))
+                if rows is not None:
+                    yield rows
 
-    return map_texts(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), work, "token long, d1 long")
+    dealt = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(work, DEALT)
+    return repeated_keys(dealt, True, HOT).select(F.col("key").alias("token"), F.col("holder").alias("d1"), "n")
 
 
-def candidate_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b (d1 of two sets): sets that share a rare prefix token, each with the first of its run of fitting sizes."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = Window.partitionBy("token")
-    counted = prefix_tokens(docs).repartition(parts, "token").withColumns({"n": F.count(F.lit(1)).over(by), "low": F.min("d1").over(by), "high": F.max("d1").over(by)})
-    shared = counted.where("low <> high").groupBy("d1").agg(F.array_sort(F.collect_set(F.struct("n", "token"))).alias("tokens"))
-    sizes = classes.groupBy("d1").agg(F.max("n_shingles").alias("size"))
-    n = F.col("size")
-    needed = F.ceil(n * 4 / 5)
-    meet = lambda x: F.ceil(x / round(1 / SHARE))
-    whole = n - needed + meet(n)
-    # tokens of one set only come first in the order, then the rarest
-    take = whole - meet(needed) + 1 - (whole - F.size("tokens"))
-    rare = shared.join(sizes, "d1").select("d1", "size", F.explode(F.slice("tokens", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("t")).select(F.col("t.token").alias("token"), "size", "d1")
+def size_runs(rows: DataFrame) -> DataFrame:
+    """a, b (d1 of two sets): rows (token, size, d1) with one token and sizes that fit, each with the first of its run. Where
+    one batch has many rows of a token, those of about one size are joined there, and one of them goes on."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, size, d1 = (numbers(batch, c) for c in ("token", "size", "d1"))
+            if not len(token):
+                continue
+            band = np.floor(np.log(size) / np.log(1.05)).astype(np.int64)
+            order = np.lexsort((band, token))
+            first = np.flatnonzero(opens(token[order]))
+            many = np.repeat(np.diff(np.append(first, len(order))) >= LOCALLY_HOT, np.diff(np.append(first, len(order))))
+            alone = opens(token[order]) | opens(band[order]) | ~many
+            head = order[np.maximum.accumulate(np.where(alone, np.arange(len(order)), 0))]
+            other = np.where(alone, d1[order], d1[head])
+            deal = np.where(alone, token[order], mix(d1[order].view(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(token[order]), pa.array(size[order]), pa.array(d1[order]), pa.array(other, mask=alone)], ["deal", "token", "size", "d1", "b"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None
         for batch in batches:
+            joined = batch.column(3).is_valid()
+            ready = batch.filter(joined)
+            if ready.num_rows:
+                yield pa.RecordBatch.from_arrays([ready.column(2), ready.column(3)], ["a", "b"])
+            batch = batch.filter(pc.invert(joined))
             token, size, d1 = (numbers(batch, c) for c in ("token", "size", "d1"))
             if not len(token):
                 continue
-            opens = np.concatenate([[True], (token[1:] != token[:-1]) | (4 * size[1:] > 5 * size[:-1])])
-            goes_on = last is not None and last[0] == token[0] and 4 * size[0] <= 5 * last[1]
-            head = d1[np.maximum.accumulate(np.where(opens, np.arange(len(d1)), 0))]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (5 * size[1:] > 7 * size[:-1])])  # 1.25 and twice 1.05
+            goes_on = last is not None and last[0] == token[0] and 5 * size[0] <= 7 * last[1]
+            head = d1[np.maximum.accumulate(np.where(new, np.arange(len(d1)), 0))]
             if goes_on:
-                head[: np.append(np.flatnonzero(opens)[1:], len(d1))[0]] = last[2]
+                head[: np.append(np.flatnonzero(new)[1:], len(d1))[0]] = last[2]
             last = (int(token[-1]), int(size[-1]), int(head[-1]))
             some = np.flatnonzero(head != d1)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(d1[some]), pa.array(head[some])], ["a", "b"])
 
-    return rare.repartition(parts, "token").sortWithinPartitions("token", "size", "d1").mapInArrow(runs, "a long, b long").distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(near, "deal long, token long, size long, d1 long, b long").repartition(parts, "deal")
+    return dealt.sortWithinPartitions("token", "size", "d1").select("token", "size", "d1", "b").mapInArrow(chained, "a long, b long").distinct()
+
+
+def candidate_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b (d1 of two sets): sets that share a rare prefix token, each with the first of its run of fitting sizes."""
+    shared = prefix_tokens(docs).groupBy("d1").agg(F.array_sort(F.collect_set(F.struct("n", "token"))).alias("tokens"))
+    sizes = classes.groupBy("d1").agg(F.max("n_shingles").alias("size"))
+    n = F.col("size")
+    needed = F.ceil(n * 4 / 5)
+    meet = lambda x: F.ceil(x / round(1 / SHARE))
+    whole = n - needed + meet(n)
+    # tokens of one set only come first in the order, then the rarest
+    take = whole - meet(needed) + 1 - (whole - F.size("tokens"))
+    rare = shared.join(sizes, "d1").select("d1", "size", F.explode(F.slice("tokens", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("t")).select(F.col("t.token").alias("token"), "size", "d1")
+    return size_runs(rare)
 
 
 def tiles(families: DataFrame) -> DataFrame:
@@ -155,7 +193,7 @@ def tile_rows(sides: np.ndarray, sets: list[np.ndarray], every: bool) -> Iterato
     bits = min(MAX_BITS, max(64, 1 << int(2 * sizes.max() - 1).bit_length()))
     maps = np.zeros((n, bits), bool)
     for i, s in enumerate(sets):
-        maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
+        maps[i, (mix(s.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = True
     maps = np.packbits(maps, axis=1).view(np.uint64)
     if every:
         first = np.concatenate([[0], np.cumsum(sizes)])
@@ -215,84 +253,119 @@ def tile_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], every
     return out, counts
 
 
+def tile_sets(words: pa.Array) -> list[np.ndarray]:
+    """The sorted shingle numbers of texts of blank-joined words, equal numbers for equal shingles of all these texts only. A text of fewer
+    words has none: its one shingle equals no other text's, or the two are one class."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    units, first = words_of(np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
+    grams = units
+    for j in range(1, WORDS):
+        grams = paired(grams[: max(0, len(units) - j)], units[j:])
+    owner = np.repeat(np.arange(len(words)), np.diff(first))[: len(grams)]
+    inside = np.arange(len(grams)) + WORDS <= first[1:][owner]
+    owner, grams = owner[inside], grams[inside]
+    order = np.lexsort((grams, owner))
+    owner, grams = owner[order], grams[order]
+    new = opens(owner) | opens(grams)
+    owner, grams = owner[new], grams[new]
+    return np.split(grams, np.searchsorted(owner, np.arange(1, len(words))))
+
+
 def verified_links(docs: DataFrame, tiled: DataFrame, every: bool) -> DataFrame:
-    """Out of the tiles: a, b of links that are enough to join what is linked; every: also a, d1, n of the number of
+    """Out of the tiles: a, b (d1) of links that are enough to join what is linked; every: also a, n of the number of
     links of a class in a tile. No pair of classes is in two tiles."""
-    wanted = tiled.select(F.col("doc_id").alias("member"), F.col("d1").alias("member_d1"), "tiles")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = small(tiled.select(F.col("doc_id").alias("member"), F.col("d1").alias("member_d1"), "tiles"), F.size("tiles") * 16 + 48)
     members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("member"))
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = shingle_sets(Texts(batch.column(1), lower=True))
-        mine = digests(sets)[:, 0] == batch.column(2).to_numpy()
-        rows = [(t["tile"], t["side"], d, h, s.tobytes()) for d, h, ok, s, ts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), mine, sets, batch.column(3).to_pylist(), strict=True) if ok for t in ts]
+        texts = Texts(batch.column(0), lower=True)
+        start, end, first = texts.words()
+        data, offsets = texts.blank_joined(start, end)
+        raw, cuts = data.tobytes(), offsets[first].tolist()
+        mine = digests(shingle_sets(texts))[:, 0] == batch.column(1).to_numpy()
+        rows = [(t["tile"], t["side"], h, raw[a:b]) for h, ok, a, b, ts in zip(batch.column(1).to_pylist(), mine, cuts[:-1], cuts[1:], batch.column(2).to_pylist(), strict=True) if ok for t in ts]
         if not rows:
             return None
-        tile, side, doc, d1, data = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(side, pa.int32()), pa.array(doc, pa.int64()), pa.array(d1, pa.int64()), pa.array(data, pa.binary())], ["tile", "side", "doc_id", "d1", "set"])
+        tile, side, d1, words = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(side, pa.int32()), pa.array(d1, pa.int64()), pa.array(words, pa.binary())], ["tile", "side", "d1", "words"])
 
-    each = map_texts(members.select("doc_id", "text", "member_d1", "tiles"), emit, "tile long, side int, doc_id long, d1 long, set binary")
+    each = map_texts(members.select("text", "member_d1", "tiles"), emit, "tile long, side int, d1 long, words binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "tile", 256):
-            tile, side, ids, d1 = (numbers(table, c) for c in ("tile", "side", "doc_id", "d1"))
-            data = table.column("set")
-            new = np.concatenate([[True], (np.diff(tile) != 0) | (np.diff(ids) != 0) | (np.diff(d1) != 0)])  # repeated rows are one
-            place = np.flatnonzero(new)
+            tile, side, d1 = (numbers(table, c) for c in ("tile", "side", "d1"))
+            place = np.flatnonzero(opens(tile) | opens(d1))  # repeated rows are one
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile[place])) + 1, [len(place)]])
+            words = table.column("words").combine_chunks()
+            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
                 at = place[a:b]
-                found, counts = tile_links(ids[at], side[at], [np.frombuffer(data[k].as_py(), np.uint64) for k in at.tolist()], every)
+                found, counts = tile_links(d1[at], side[at], tile_sets(words.take(pa.array(at))), every)
                 some = at[counts > 0]
                 first, second = zip(*found, strict=True) if found else ((), ())
                 none = lambda n: pa.nulls(n, pa.int64())
-                columns = [pa.array([*first, *ids[some].tolist()], pa.int64()), pa.concat_arrays([pa.array(second, pa.int64()), none(len(some))]), pa.concat_arrays([none(len(found)), pa.array(d1[some])]), pa.concat_arrays([none(len(found)), pa.array(counts[counts > 0])])]
+                columns = [pa.array([*first, *d1[some].tolist()], pa.int64()), pa.concat_arrays([pa.array(second, pa.int64()), none(len(some))]), pa.concat_arrays([none(len(found)), pa.array(counts[counts > 0])])]
                 if len(columns[0]):
-                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "d1", "n"])
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartition(parts, "tile").sortWithinPartitions("tile", "side", "doc_id", "d1").mapInArrow(compare, "a long, b long, d1 long, n long")
+    return each.repartition(parts, "tile").sortWithinPartitions("tile", "side", "d1").mapInArrow(compare, "a long, b long, n long")
 
 
 def class_links(docs: DataFrame, summaries: DataFrame, every: bool) -> DataFrame:
-    """`verified_links` between the classes' smallest doc_ids."""
-    classes = stored(summaries.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")), "classes")
+    """`verified_links` between the classes."""
+    classes = stored(set_classes(summaries), "classes")
     families = components(candidate_edges(docs, classes)).withColumnRenamed("node", "d1")
-    members = classes.join(families, "d1").select("doc_id", "d1", F.col("n_shingles").alias("size"), "component")
+    members = classes.join(families, "d1").select(F.col("class_id").alias("doc_id"), "d1", F.col("n_shingles").alias("size"), "component")
     return verified_links(docs, stored(tiles(members), "tiles"), every)
 
 
-def grouped(sets: DataFrame, links: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, and n_links if links are counted."""
-    groups = components(links).withColumnRenamed("node", "class_id")
-    heads = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")).join(groups, "class_id", "left")
-    if counts is not None:
-        heads = heads.join(counts, ["class_id", "d1"], "left")
+def set_classes(sets: DataFrame) -> DataFrame:
+    """d1, d2, class_id (smallest doc_id), n_shingles of the distinct sets."""
+    return sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"))
+
+
+def grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of sets with class_id, component_id, n_links (if links are counted) and stays: whether the row's doc_id and class are the first
+    of its component."""
+    counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("d1")).agg(F.sum("n").alias("n_links"))
+    groups = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "d1")
+    heads = set_classes(sets).drop("n_shingles").join(groups, "d1", "left").join(counts, "d1", "left")
+    least = heads.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("class_id", "d1", "d2")).alias("least"))
+    own = F.struct("class_id", "d1", "d2")
+    heads = heads.join(least, "component", "left").select("d1", "d2", "class_id", "n_links", F.coalesce("least", own).alias("least"))
     named = sets.join(heads, ["d1", "d2"], "left")
     known = F.col("doc_id").isNotNull()
-    out = ["doc_id", "n_shingles", F.when(known, F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id")]
-    return named.select(*out, *([F.when(known, F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")] if counts is not None else []))
+    linked = known & F.col("class_id").isNotNull()
+    stays = ~linked | ((F.col("doc_id") == F.col("class_id")) & (F.col("least") == own))
+    return named.select("doc_id", "text_hash", "n_shingles", F.when(known, F.coalesce("least.class_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"), stays.alias("stays"))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) and n_links (other classes that its
     class is linked with) of every document. Every pair that may link is decided."""
     sets = stored(set_summaries(docs), "sets")
-    links = stored(class_links(docs, sets, every=True), "links")
-    counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("class_id"), "d1").agg(F.sum("n").alias("n_links"))
-    return grouped(sets, links.where("b IS NOT NULL"), counts)
+    return grouped(sets, stored(class_links(docs, sets, every=True), "links")).drop("text_hash", "stays")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every document, out of enough links to tell."""
+    """doc_id, n_shingles, component_id, class_id of every document, out of enough links to tell, and text_hash, stays."""
     sets = stored(set_summaries(docs), "sets")
-    return grouped(sets, class_links(docs, sets, every=False))
+    return grouped(sets, stored(class_links(docs, sets, every=False), "links")).drop("n_links")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, and those without an id; all columns unchanged."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """One row of docs of each group: of its smallest doc_id, and of rows with one id and text any one; rows without an id, words or
+    links stay. All columns unchanged."""
+    judged = stored(jaccard_components(docs), "judged")
+    gone = judged.where(~F.col("stays")).select("doc_id", "text_hash").distinct()
+    often = judged.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    if often.limit(1).count():
+        one = kept.join(often, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+        kept = kept.join(often, ["doc_id", "text_hash"], "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select("row.*")

@@ -21,21 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import Texts, distinct_spans, map_texts
-from tablewright.llm._seeds import BLANK, HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
+from tablewright.llm._arrow import Texts, map_texts, paired, words_of
+from tablewright.llm._seeds import HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
 
 ANCHOR_WORDS = 5
 
 
-def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal pairs of numbers; -1 where the first is -1."""
-    out = np.full(len(a), -1, np.int64)
-    some = np.flatnonzero(a >= 0)
-    if len(some):
-        out[some] = pd.factorize(a[some] * (int(b[some].max()) + 1) + b[some])[0]
-    return out
-
-
 def together(label: np.ndarray) -> np.ndarray:
     """-1 where a number occurs once."""
     some = np.flatnonzero(label >= 0)
@@ -60,14 +51,7 @@ def seeds_of(g: Group, words: np.ndarray, first: np.ndarray, k: int) -> tuple[np
 
 def extended(g: Group, how: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each class, rows that lie in a class of a smaller document, and spans of classes that a smaller document has too."""
-    letter = g.data != BLANK
-    letter_before = np.concatenate([[False], letter[:-1]])
-    letter_before[g.offsets[:-1]] = False
-    start = np.flatnonzero(letter & ~letter_before)
-    letter_behind = np.concatenate([letter[1:], [False]])
-    letter_behind[g.offsets[1:] - 1] = False
-    words = distinct_spans(g.data, start, np.flatnonzero(letter & ~letter_behind) + 1)[0].astype(np.int64)
-    first = np.searchsorted(start, g.offsets)
+    words, first = words_of(g.data, g.offsets)
     counts = np.diff(first) - how.span + 1
     place = np.concatenate([[0], np.cumsum(counts)])
     doc = g.doc[g.head]

@@ -72,7 +72,11 @@ def test_ngram_join(docs):
                 label = {k: new if v == old else v for k, v in label.items()}
     assert {i: r.component_id for i, r in out.items()} == label
     assert {i: r.n_shingles for i, r in out.items()} == {i: len(s) for i, s in sets.items()}
-    assert ngram_join.one_of_each_group(docs).where("doc_id = 5").count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("gone_id", "n", "d1", "text_hash", "stays", "row")}).unionByName(docs.where("doc_id = 11").withColumn("text", F.lit("another text of its own")), allowMissingColumns=True)
+    kept = ngram_join.one_of_each_group(clash)
+    assert kept.columns == clash.columns and kept.where("doc_id = 5").count() == 0
+    assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id IS NULL").count() == 1 and kept.where("doc_id = 11").count() == 2
+    assert kept.count() == 2 + len(set(label.values()))
 
 
 def test_ngram_links(spark):
