@@ -171,9 +171,14 @@ l AS (SELECT DISTINCT n FROM i),
 g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, l WHERE len(w) >= n)),
 m AS (SELECT g.doc_id, g.i, g.n, i.item_id FROM g JOIN i USING (n, k)),
 p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
+o AS (SELECT doc_id, w[i] AS term, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+q AS (SELECT DISTINCT w AS k, unnest(range(1, len(w) + 1)) AS o, w[unnest(range(1, len(w) + 1))] AS term FROM (SELECT DISTINCT w[i:i + 9] AS w FROM (SELECT w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0))),
+c AS (SELECT q.*, n, row_number() OVER (PARTITION BY k ORDER BY n, o) AS place, count(*) OVER (PARTITION BY k) AS there FROM q JOIN (SELECT term, count(*) AS n FROM o GROUP BY term) USING (term)),
+r AS (SELECT doc_id, k, i, place FROM c JOIN o USING (term) WHERE place <= 3 AND there = len(k)),
+v AS (SELECT doc_id, count(DISTINCT k) AS n_near FROM (SELECT r.doc_id, r.k FROM r JOIN r x ON x.doc_id = r.doc_id AND x.k = r.k AND x.i BETWEEN r.i AND r.i + 12 GROUP BY r.doc_id, r.k, r.i HAVING count(DISTINCT x.place) = least(3, len(any_value(r.k)))) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN v USING (doc_id)""",
 }
 
 _joined, _columns = ORACLE_SQL["op2_ngram_join"].split("\nSELECT d.doc_id, ")

@@ -292,8 +292,38 @@ def test_decontamination(spark, docs):
     assert out[4].contaminated and out[3].n_items == 1 and out[3].items_sha256 == hashlib.sha256(b"2").hexdigest()
     assert not out[10].contaminated and out[0].n_words == 0
     assert decontaminate.decontaminate(docs, bench).where("doc_id IN (3, 4, 5)").count() == 0
-    _, rare, index, n = decontaminate.benchmark_index(docs, bench)
-    assert decontaminate.proximity_matches(index, rare, n, 12).where("doc_id = 4").count() > 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("found", "hits", "n_words", "doc_words", "row")})
+    assert decontaminate.decontaminate(clash, bench).columns == clash.columns
+
+
+def test_decontamination_against_brute_force(spark):
+    """Phrases and proximity, with repeated words, short items and terms that are equally rare."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(30)] + ["É", "x-y"]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(k, text(n)) for k, n in enumerate([3, 8, 12, 15, 1, 14, 11])] + [(7, "w1 w1 w1 w2"), (8, "not in the corpus")]
+    texts = [text(rng.integers(0, 80)) + (" " + items[rng.integers(0, 7)][1] if rng.random() < 0.4 else "") + " " + text(5) for _ in range(60)]
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    out = ids(decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    count, windows = defaultdict(int), defaultdict(set)
+    for w in (w for t in texts for w in cut(t)):
+        count[w] += 1
+    for k, t in items:
+        w = cut(t)
+        for i in range(max(1, len(w) - 9)):
+            windows[tuple(w[i : i + 10])].add(str(k))
+    for d, t in enumerate(texts):
+        w, hit, found, near = cut(t), set(), set(), 0
+        for v, of in windows.items():
+            for i in range(len(w) - len(v) + 1):
+                if tuple(w[i : i + len(v)]) == v:
+                    hit.update(range(i, i + len(v)))
+                    found |= of
+            rare = {v[j] for j in sorted(range(len(v)), key=lambda j: (count[v[j]], j))[:3]}  # noqa: B023
+            near += all(count[x] for x in v) and any(rare <= set(w[i : i + 13]) for i in range(len(w)))
+        r = out[d]
+        assert (r.n_words, r.n_hit, r.n_items, r.n_near) == (len(w), len(hit), len(found), near)
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
 def test_empty_tables(spark, docs):
