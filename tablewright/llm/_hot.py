@@ -14,11 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm._arrow import mix
-
-#: What a row says: one holder of its key; the key is hot; a holder of a hot key.
-MEMBER, MARK, KNOWN = 0, 1, 2
-DEALT = "deal long, key long, holder long, state byte, twice boolean"
+#: What a row says: one holder of its key; one that has it twice; the key is hot; a holder of a hot key.
+MEMBER, TWICE, MARK, KNOWN = range(4)
+DEALT = "key long, holder long, state byte"
 #: Rows that a hot key is said to have.
 HOT_COUNT = 1 << 62
 
@@ -35,7 +33,7 @@ class Dealer:
         self.hot_holders, self.said = hot_holders, np.zeros(0, np.int64)
 
     def rows(self, key: np.ndarray, holder: np.ndarray, tied: np.ndarray | None = None) -> pa.RecordBatch | None:
-        """twice: a holder has the key twice, or has it tied."""
+        """A holder that has a key twice, or has it tied, is a row of state TWICE."""
         if not len(key):
             return None
         order = np.lexsort((holder, key))
@@ -52,39 +50,38 @@ class Dealer:
         marks = np.setdiff1d(k[new[many]], self.said)
         self.said = np.union1d(self.said, marks)
         none = np.zeros(len(marks), np.int64)
-        deal = np.concatenate([np.where(hot, mix(h.view(np.uint64)).view(np.int64), k), marks])
-        state = np.concatenate([np.where(hot, KNOWN, MEMBER), none + MARK]).astype(np.int8)
-        columns = [deal, np.concatenate([k, marks]), np.concatenate([h, none]), state, np.concatenate([twice, none > 0])]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["deal", "key", "holder", "state", "twice"])
+        state = np.concatenate([np.where(hot, KNOWN, np.where(twice, TWICE, MEMBER)), none + MARK]).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, marks])), pa.array(np.concatenate([h, none])), pa.array(state)], ["key", "holder", "state"])
 
 
 def repeated(batches: Iterator[pa.RecordBatch], across: bool, most: int) -> Iterator[pa.RecordBatch]:
-    """key, holder, n (rows, HOT_COUNT of a hot key) from key, holder, state, twice in order of (key, state falling): those of keys
+    """key, holder, n (rows, HOT_COUNT of a hot key) from key, holder, state in order of (key, state falling): those of keys
     that several holders have, or (not across) one has twice."""
     held: list[np.ndarray] | None = None
     flowing: int | None = None  # the key of a run that is too long to hold
 
-    def judged(k: np.ndarray, h: np.ndarray, state: np.ndarray, twice: np.ndarray, all_hot: bool) -> Iterator[pa.RecordBatch]:
+    def judged(k: np.ndarray, h: np.ndarray, state: np.ndarray, all_hot: bool) -> Iterator[pa.RecordBatch]:
         if not len(k):
             return
         first = np.flatnonzero(opens(k))
         size = np.diff(np.append(first, len(k)))
-        hot = (np.maximum.reduceat(state, first) > MEMBER) | (size > most) | all_hot
+        hot = (np.maximum.reduceat(state, first) > TWICE) | (size > most) | all_hot
         hot[0] |= flowing is not None and k[0] == flowing
-        member = state == MEMBER
+        member = state <= TWICE
         low = np.minimum.reduceat(np.where(member, h, np.iinfo(np.int64).max), first)
         high = np.maximum.reduceat(np.where(member, h, np.iinfo(np.int64).min), first)
         count = np.add.reduceat(member, first, dtype=np.int64)
         shared = hot | (low < high)
         if not across:
-            shared |= np.maximum.reduceat(twice, first) | (count > 1)
+            shared |= np.maximum.reduceat(state, first) == TWICE
+            shared |= count > 1
         keep = np.repeat(shared, size) & member | (state == KNOWN)
         if keep.any():
             n = np.repeat(np.where(hot, HOT_COUNT, count), size)
             yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(h[keep]), pa.array(n[keep])], ["key", "holder", "n"])
 
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
         if not len(columns[0]):
             continue
         if held:
@@ -105,5 +102,6 @@ def repeated(batches: Iterator[pa.RecordBatch], across: bool, most: int) -> Iter
 def repeated_keys(dealt: DataFrame, across: bool, most: int) -> DataFrame:
     """key, holder, n out of rows of DEALT."""
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, "deal").sortWithinPartitions("key", F.desc("state")).select("key", "holder", "state", "twice")
+    by = F.when(F.col("state") == KNOWN, F.xxhash64("holder")).otherwise(F.col("key"))
+    ordered = dealt.repartition(parts, by).sortWithinPartitions("key", F.desc("state"))
     return ordered.mapInArrow(lambda batches: repeated(batches, across, most), "key long, holder long, n long")

@@ -100,7 +100,8 @@ def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
     return found.groupBy(F.col("holder").alias("doc_id")).agg(F.collect_set("key").alias("hashes"), F.collect_set(hot).alias("hot"))
 
 
-SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long, end long"
+#: at: of the anchor in the segment, or, where there is none, how many units are matched.
+SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long"
 
 
 def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> DataFrame:
@@ -132,7 +133,7 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
                 raw, blank = found.data.tobytes(), int(how.kind == "words")
                 bytes_of = lambda b, e: [raw[x:y] for x, y in zip(found.offsets[b].tolist(), (found.offsets[e] - blank).tolist(), strict=True)]
                 begin, end = found.begin[cold], found.end[cold]
-                columns = [found.hash[cold], bytes_of(begin, end), found.at[cold] - begin, ids[cold], texts[cold], begin - base_unit[cold], end - base_unit[cold]]
+                columns = [found.hash[cold], bytes_of(begin, end), found.at[cold] - begin, ids[cold], texts[cold], begin - base_unit[cold]]
                 if hot.any():
                     several = wanted[hot]
                     count = found.end[several] - found.begin[several] - how.span + 1
@@ -161,10 +162,10 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
                     local = start - base_unit[of]
                     columns = [key, [*columns[1], *text, *[None] * len(head)]] + [
                         np.concatenate([c, mine[sent], theirs])
-                        for c, mine, theirs in zip(columns[2:], (found.at[of] - start, ids[of], texts[of], local, local + how.span), (np.zeros(len(head), np.int64), ids[of[head]], texts[of[head]], local[head], local[last] + how.span), strict=True)
+                        for c, mine, theirs in zip(columns[2:], (found.at[of] - start, ids[of], texts[of], local), (local[last] + how.span - local[head], ids[of[head]], texts[of[head]], local[head]), strict=True)
                     ]
                 if len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2].astype(np.int32)), *map(pa.array, columns[3:])], ["key", "segment", "at", "doc_id", "text_hash", "begin", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2].astype(np.int32)), *map(pa.array, columns[3:])], ["key", "segment", "at", "doc_id", "text_hash", "begin"])
 
     joined = base.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id") == F.col("shared_id"), "left")
     return joined.select("doc_id", "text_hash", "text", "hashes", "hot").mapInArrow(work, SEGMENT)
@@ -208,8 +209,9 @@ def matched(found: DataFrame, how: Units, judge: Judge) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "key"):
             sure = pc.is_null(table.column("segment"))
-            for known in table.filter(sure).select(["doc_id", "text_hash", "begin", "end"]).to_batches():
-                yield known
+            for known in table.filter(sure).to_batches():
+                end = pc.add(known.column("begin"), pc.cast(known.column("at"), pa.int64()))
+                yield pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("text_hash"), known.column("begin"), end], ["doc_id", "text_hash", "begin", "end"])
             table = table.filter(pc.invert(sure)).combine_chunks()
             if not table.num_rows:
                 continue
