@@ -226,18 +226,45 @@ def test_column_wise_construction(rows):
                     assert (text(i, j), i) in present
 
 
-def test_sharding(spark, docs):
-    path = shared_path(spark, "m")
-    out = sharding.shard_documents(docs.select("doc_id", "text"), 3, path)
-    slots = defaultdict(list)
-    for r in out.collect():
+def sharded(docs, shards, path, **more):
+    """Rows of shard_documents, held against what the law, the sizes and the map say."""
+    out = sharding.shard_documents(docs, shards, path, **more).collect()
+    slots, placed = defaultdict(list), defaultdict(set)
+    load = dict.fromkeys(range(shards), 0)
+    for r in out:
+        raw = (r.text or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
         slots[r.shard].append(r.slot)
-    assert sum(map(len, slots.values())) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    placed = {k: k % 4 for k in range(100)}
-    moved = sharding.rebalance(placed, dict.fromkeys(range(100), 10), 5)
-    assert sum(v == 4 for v in moved.values()) >= 18 and all(v in (4, placed[k]) for k, v in moved.items())
-    sharding.save_map(spark, moved, 5, path, 2)
-    assert sharding.load_map(spark, path).select(F.max("shard")).first()[0] == 4
+        placed[r.virtual_slot].add(r.shard)
+        load[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+    version, count, held = sharding.load_map(docs.sparkSession, path)
+    assert count == shards and all(s == {held[v]} for v, s in placed.items())
+    return out, load, version, held
+
+
+def test_sharding(spark, docs):
+    path, wide = shared_path(spark, "m"), docs.withColumns({"first": F.lit("mine"), "shard": F.lit("old"), "row": F.lit(1)})
+    out, _, version, _ = sharded(wide, 3, path)
+    assert len(out) == docs.count() and version == 1 and {r["first"] for r in out} == {"mine"}
+    assert sharded(wide, 3, path)[2] == 1  # nothing to edit
+    with pytest.raises(ValueError, match="virtual slots"):
+        sharding.shard_documents(docs, 3, path, 64)
+
+
+def test_rebalancing_keeps_what_it_can(spark):
+    path, docs = shared_path(spark, "m"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out, load, _, held = sharded(docs, 24, path)
+    largest = max(sum(r.size for r in out if r.virtual_slot == v) for v in {r.virtual_slot for r in out})
+    assert len(out) == docs.count() and max(load.values()) - min(load.values()) <= largest
+    total = sum(load.values())
+    for shards, version in ((25, 2), (8, 3), (24, 4)):
+        _, load, found, edited = sharded(docs, shards, path, tolerance=0.05)
+        assert found == version and max(load.values()) <= 1.06 * total / shards + largest
+        stay = sum(edited[v] == held[v] for v in held if held[v] < shards) / max(1, sum(held[v] < shards for v in held))
+        assert stay > 0.9
+        held = edited
+    assert sharding.load_map(spark, path, 2)[1] == 25  # older versions stay
 
 
 def test_chat(spark):
