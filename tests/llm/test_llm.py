@@ -366,8 +366,74 @@ def test_empty_tables(spark, docs):
     assert chat.chat_examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_pipeline(spark):
+def brute_pipeline(rows, items):
+    """doc_id and ids of what the five stages keep of (doc_id, text)."""
+    kept = []
+    for i, t in rows:
+        w, lines = words(t), defaultdict(int)
+        for k in range(len(w) - 7):
+            lines[tuple(w[k : k + 8])] += 1
+        covered = {j for k in range(len(w) - 7) if lines[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        chars, longest = sum(map(len, w)), 0
+        while any(n > 1 for n in counted_windows(w, max(8, longest + 1)).values()):
+            longest = max(8, longest + 1)
+        if len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and sum(len(w[j]) for j in covered) <= 0.3 * chars and longest <= max(200, 0.25 * len(w)):
+            kept.append((i, t))
+    sets = [set(counted_windows(words(re.sub("[A-Z]", lambda m: m[0].lower(), t)), 5)) for _, t in kept]
+    label = list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if kept[a][0] is not None and kept[b][0] is not None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    stay = [k for k in range(len(kept)) if kept[k][0] is None or k == min((j for j in range(len(kept)) if label[j] == label[k] and kept[j][0] is not None), key=lambda j: (kept[j][0], j))]
+    kept = [kept[k] for k in stay]
+    owner, out = {}, []
+    for i, t in kept:
+        for k in range(len(b := t.encode()) - 99):
+            if i is not None:
+                owner[b[k : k + 100]] = min(owner.get(b[k : k + 100], (i, k)), (i, k))
+    for i, t in kept:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 99):
+            if i is not None and owner[b[k : k + 100]] < (i, k):
+                gone[k : k + 100] = True
+        if left := np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"):
+            out.append((i, left))
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bad = [tuple(w[k : k + 10]) for _, t in items if (w := cut(t)) for k in range(max(1, len(w) - 9))]
+    clean = [(i, t) for i, t in out if not any(tuple(w[k : k + len(v)]) == v for w in [cut(t)] for v in bad for k in range(len(w) - len(v) + 1))]
+    library = Tokenizer.from_file(PATH)
+    return sorted((str(i), library.encode(t, add_special_tokens=False).ids) for i, t in clean)
+
+
+def counted_windows(w, n):
+    out = defaultdict(int)
+    for k in range(len(w) - n + 1):
+        out[tuple(w[k : k + n])] += 1
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """All stages over whole tables with null, empty and long texts, copies, near copies, repeated rows and ids, and more columns."""
+    import corpus_pipeline
+
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(90)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    rows += [(500 + k, t) for k, t in enumerate(TEXTS[:-4]) if t != LONG] + rows[3:6] + [(501, rows[7][1] + " more"), (7, rows[8][1]), (600, LONG[:9000]), (601, LONG[2000:7000] + rows[9][1]), (602, " ".join(dict.fromkeys(BASE.split())) + " é" * 3 + LONG[9000:9900])]
+    items = [(1, " ".join(rows[12][1].split()[4:18])), (2, BASE.upper()), (3, None)]
+    folder = shared_path(spark, "small")
+    spark.createDataFrame([(i, t, "en", "s", 0, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, rest string, kept long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert sorted((str(r.doc_id), list(r.ids)) for r in out.collect()) == brute_pipeline(rows, items)
+    assert all(r.n_tokens == len(r.ids) for r in out.collect()) and out.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_pipeline_of_an_empty_table(spark):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert 0 < out.count() < 200 and out.columns == ["doc_id", "n_tokens", "ids"]
+    folder = shared_path(spark, "none")
+    for name, schema in (("documents", "doc_id long, text string"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
