@@ -1,6 +1,11 @@
 """Corpus pipeline: quality rules, near-duplicate join, suffix-array dedup, decontamination, encoding.
 
-Each stage reads what the stage before kept, as Parquet in the shared folder."""
+Each stage reads what the stage before kept, as Parquet in the shared folder, and returns all columns of
+its documents, the last one ids. Documents without text or words are rejected by the quality rules; so
+later stages see none, unless called alone, where they leave such documents as they are. Of repeated rows
+(one id and text) the second stage keeps one; rows with one id and other texts are judged each by itself,
+but passages of one such row do not count as earlier than another's. An empty table gives an
+empty result."""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.columns import quoted
 from tablewright.llm._shared import stored
 from tablewright.llm.bpe import bpe_encode
 from tablewright.llm.decontaminate import decontaminate
@@ -18,25 +24,29 @@ from tablewright.llm.quality import quality_filter
 from tablewright.llm.suffix_dedup import remove_repeats
 
 VOCABULARY = "byte_bpe_50k.json"
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_filter(docs.select(COLUMNS))
+    """Documents that the rules keep."""
+    return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each_group(docs.select(COLUMNS))
+    """One document of each group of near copies."""
+    return one_of_each_group(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated byte strings go; a character that was cut in two goes with them, and so do documents of which nothing is left."""
-    cut = remove_repeats(docs.select(COLUMNS), as_text=True).where((F.col("n_bytes") == 0) | (F.length("kept") > 0))
-    return cut.select("doc_id", F.when(F.col("n_bytes") > 0, F.col("kept")).alias("text"), "rest.lang", "rest.source", F.length("kept").cast("long").alias("n_chars"))
+    """Repeated byte strings go; a character that was cut in two goes with them, and so do documents of which nothing is left.
+    n_chars, where there is such a column, is counted anew."""
+    cut = remove_repeats(docs, as_text=True).where((F.col("n_bytes") == 0) | (F.length("kept") > 0))
+    made = {"doc_id": F.col("doc_id"), "text": F.when(F.col("n_bytes") > 0, F.col("kept")), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[made[c].alias(c) if c in made else F.col(f"rest.{quoted(c)}") for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a window of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoded),
 ]
 
-#: Suffix arrays and BPE cannot be written in SQL; tests hold the rows against brute force.
+#: BPE cannot be written in SQL; tests/llm holds the rows against a brute-force pipeline.
 ORACLE_SQL = None
 
 
