@@ -100,8 +100,8 @@ def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
     return found.groupBy(F.col("holder").alias("doc_id")).agg(F.collect_set("key").alias("hashes"), F.collect_set(hot).alias("hot"))
 
 
-#: at: of the anchor in the segment, or, where there is none, how many units are matched.
-SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long"
+#: at: of the anchor in the segment, or, where there is none, how many units are matched. more: where else the segment begins in its text.
+SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long, more array<long>"
 
 
 def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> DataFrame:
@@ -145,18 +145,28 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
                     known = np.zeros(len(of), bool)
                     if len(seen) > REMEMBERED:
                         seen.clear()
+                    more: dict[int, list[int]] = {}  # other places of a span in its own text, by the span's row
+                    sent_by: dict[bytes, int] = {}
+                    rows = found.row[of].tolist()
                     for i, (span, doc, place) in enumerate(zip(text, ids[of].tolist(), (start - base_unit[of]).tolist(), strict=True)):
                         before = seen.get(span)
                         if before is not None and (before[0] < doc or itself and before < (doc, place)):
                             known[i] = True
+                            continue
+                        seen[span] = min(before, (doc, place)) if before else (doc, place)
+                        if rows[(k := sent_by.setdefault(span, i))] == rows[i] and k != i:
+                            more.setdefault(k, []).append(place)
                         else:
-                            seen[span] = min(before, (doc, place)) if before else (doc, place)
-                    sent = ~known
+                            sent_by[span] = i
+                    inner = np.zeros(len(of), bool)
+                    inner[[i for i, span in enumerate(text) if not known[i] and sent_by.get(span) != i and rows[sent_by[span]] == rows[i]]] = True
+                    sent = ~known & ~inner
                     # matches that meet or overlap are one row
                     k = np.flatnonzero(known)
                     opens = np.concatenate([[True], (np.diff(start[k]) > how.span) | (np.diff(found.row[of[k]]) != 0)]) if len(k) else np.zeros(0, bool)
                     head, last = k[opens], k[np.append(np.flatnonzero(opens)[1:] - 1, len(k) - 1)] if len(k) else k
-                    text = [t for t, s in zip(text, sent.tolist(), strict=True) if s]
+                    places = [more.get(i) for i in np.flatnonzero(sent).tolist()]
+                    text = [text[i] for i in np.flatnonzero(sent).tolist()]
                     own = np.fromiter(map(xxhash.xxh3_64_intdigest, text), np.uint64, len(text)).view(np.int64)
                     key = np.concatenate([columns[0], own, mix(ids[of[head]].astype(np.uint64)).view(np.int64)])
                     local = start - base_unit[of]
@@ -164,8 +174,11 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
                         np.concatenate([c, mine[sent], theirs])
                         for c, mine, theirs in zip(columns[2:], (found.at[of] - start, ids[of], texts[of], local), (local[last] + how.span - local[head], ids[of[head]], texts[of[head]], local[head]), strict=True)
                     ]
+                else:
+                    places, head = [], []
                 if len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2].astype(np.int32)), *map(pa.array, columns[3:])], ["key", "segment", "at", "doc_id", "text_hash", "begin"])
+                    others = pa.array([*[None] * len(cold), *places, *[None] * len(head)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2].astype(np.int32)), *map(pa.array, columns[3:]), others], ["key", "segment", "at", "doc_id", "text_hash", "begin", "more"])
 
     joined = base.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id") == F.col("shared_id"), "left")
     return joined.select("doc_id", "text_hash", "text", "hashes", "hot").mapInArrow(work, SEGMENT)
@@ -183,6 +196,8 @@ class Group:
     at: np.ndarray  # unit of each class's anchor
     data: np.ndarray  # bytes of the classes' segments
     offsets: np.ndarray
+    several: np.ndarray  # whether a row has more places
+    more: pa.ChunkedArray
 
     @staticmethod
     def read(table: pa.Table) -> Group:
@@ -195,7 +210,7 @@ class Group:
         distinct = segment.take(pa.array(head))
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(head) + 1]
         data = np.frombuffer(distinct.buffers()[2], np.uint8)
-        return Group(numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, numbers(table, "at").astype(np.int64)[head], data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        return Group(numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, numbers(table, "at").astype(np.int64)[head], data[offsets[0] : offsets[-1]], offsets - offsets[0], table.column("more").is_valid().to_numpy(), table.column("more"))
 
 
 Judge = Callable[[Group], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -234,6 +249,13 @@ def matched(found: DataFrame, how: Units, judge: Judge) -> DataFrame:
             rows = np.concatenate([rows, again])
             begin = np.concatenate([begin, g.begin[again] + place[opens[run]]])
             end = np.concatenate([end, g.begin[again] + place[closes[run] - 1] + how.span])
+            several = np.flatnonzero(g.several[rows])
+            if len(several):
+                places = [g.more[int(r)].as_py() for r in rows[several].tolist()]
+                each = np.repeat(several, list(map(len, places)))
+                rows, size = np.concatenate([rows, rows[each]]), end[each] - begin[each]
+                begin = np.concatenate([begin, np.concatenate(places)])
+                end = np.concatenate([end, begin[-len(each) :] + size])
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(g.doc[rows]), pa.array(g.text_hash[rows]), pa.array(begin), pa.array(end)], ["doc_id", "text_hash", "begin", "end"])
 

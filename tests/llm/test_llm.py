@@ -169,7 +169,7 @@ def mixed_corpus(seed, n):
         for _ in range(rng.integers(0, 4)):
             parts += [str(rng.choice(shared)), " ".join(word() for _ in range(rng.integers(0, 20)))]
         if rng.random() < 0.2:
-            parts.append("ab " * int(rng.integers(5, 90)))
+            parts.append(str(rng.choice(["ab ", "ab cd ", "a b c "])) * int(rng.integers(5, 90)))
         out.append(("\n" if rng.random() < 0.5 else "  ").join(parts))
     return out
 
