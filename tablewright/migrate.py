@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.errors import MigrationError
 from tablewright.functions.columns import checked_columns, md5_prefix, quoted
@@ -15,16 +20,24 @@ from tablewright.operators import chunks, replay, verify
 from tablewright.plans.checks import require_migratable
 from tablewright.plans.diff import SchemaDiff
 from tablewright.plans.schema import ColumnSpec, TableSpec, same_schema
+from tablewright.sources.shared import computed
+from tablewright.sources.tables import scan
 
 PREFIXES = {"new": "__tw_new_", "old": "__tw_old_"}
 
 
 def default_value(c: ColumnSpec) -> F.Column:
+    """Of a column that the old table lacks: what its DEFAULT says; without one, the zero of its type where null is not allowed."""
     if c.default is None or c.default.upper() == "NULL":
-        return F.lit(None)
+        if c.nullable:
+            return F.lit(None)
+        kind = c.spark_type()
+        return F.lit("") if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(0) if isinstance(kind, T.NumericType) else F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(None)
     if c.default.upper().startswith("CURRENT_TIMESTAMP"):
         return F.current_timestamp()
-    return F.lit(c.default.strip("'"))
+    if m := re.fullmatch(r"[bB]'([01]*)'", c.default):
+        return F.lit(int(m[1] or "0", 2))
+    return F.lit(re.sub(r"''|\\(.)", lambda m: m[1] or "'", c.default[1:-1]) if c.default[:1] == "'" else c.default)
 
 
 def copied(frame: DataFrame, new: TableSpec) -> DataFrame:
@@ -38,25 +51,39 @@ def first_of_duplicates(frame: DataFrame, unique: list[str], order: list[str]) -
     return frame.groupBy(*[F.col(quoted(u)) for u in unique]).agg(picked).select("__row.*")
 
 
-def kept_result(frame: DataFrame) -> DataFrame:
-    """The frame, computed once into the cluster's checkpoint folder where one is set."""
-    return frame.checkpoint() if frame.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else frame
+def require_same_types(frame: DataFrame, new: TableSpec) -> None:
+    """IMPLICIT_CONVERSION_DETECTED where the new table's columns are not what was declared, in name, order or type."""
+    declared, made = [(f.name, f.dataType) for f in new.struct()], [(f.name, f.dataType) for f in frame.schema]
+    if odd := [x for x in zip(declared, made, strict=False) if x[0] != x[1]] or ([(declared, made)] if len(declared) != len(made) else []):
+        raise MigrationError("IMPLICIT_CONVERSION_DETECTED", difference=f"{odd[0][0]} became {odd[0][1]}")
 
 
 @dataclass
 class Migration:
+    """Stages in order, each computed before the next begins, with hooks before and after it and its seconds.
+
+    where: a filter of the rows to copy; changes are replayed as they are, and no checksums are compared, as the old table has more. strict: a change that fits no
+    row is an error. verify: a mismatch is an error. seconds_limit: of the replay."""
+
     old: TableSpec
     new: TableSpec
     allow_drop: bool = False
     chunk_rows: int = 999
     hooks: dict[str, Callable[[], None]] = field(default_factory=dict)
     critical: bool = True
+    where: str | None = None
+    strict: bool = False
+    verify: bool = False
+    rebuild: bool = False
+    keep_old: bool = False
+    seconds_limit: float | None = None
     seconds: dict[str, float] = field(default_factory=dict)
 
-    def stage(self, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+    def stage(self, name: str, work: Callable[[], Any]) -> Any:
         self.hook(f"before_{name}")
         began = time.monotonic()
         out = work()
+        out = computed(out) if isinstance(out, DataFrame) else out
         self.seconds[name] = time.monotonic() - began
         self.hook(f"after_{name}")
         return out
@@ -68,25 +95,94 @@ class Migration:
             if self.critical:
                 raise MigrationError("OUTSIDE_HOOK_ERROR", hook=name, message=str(e)) from e
 
-    def run(self, table: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The migrated table, and the comparison of its chunks with those of the old table after the changes."""
-        if same_schema(self.old, self.new):
-            return table, table.sparkSession.createDataFrame([], "chunk_id long, cnt_old long, cnt_new long, mismatched string")
-        keys = self.stage("check", lambda: require_migratable(self.old, self.new, self.allow_drop))
+    def replayed(self, copy: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+        replay.require_known_types(changes)
+        if self.strict and not self.where:
+            replay.require_effect(copy, changes, keys)
         kept = [c for c in changes.columns if c in (replay.CHANGE_ID, replay.DML_TYPE) or self.new.column(c)]
         typed = [F.col(quoted(c)).cast(self.new.column(c).spark_type()).alias(c) if self.new.column(c) else F.col(quoted(c)) for c in kept]
-        copy = self.stage("copy", lambda: copied(table, self.new))
-        new = self.stage("replay", lambda: kept_result(replay.folded(copy, changes.select(*typed), keys)))
-        target = kept_result(replay.folded(table, changes, keys))
+        defaults = {c.name: default_value(c).cast(c.spark_type()) for c in self.new.columns if c.name not in kept}
+        out = replay.folded(copy, changes.select(*typed), keys, fresh=defaults)
+        return out if self.seconds_limit is None else in_time(out, self.seconds_limit)
+
+    def run(self, table: DataFrame, changes: DataFrame, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The migrated table, and the comparison of its chunks with those of what it should be: `expected`, a reading of the old table
+        after the changes, or, for want of one, the old table after the same replay in its own schema."""
+        none = table.sparkSession.createDataFrame([], "chunk_id long, cnt_old long, cnt_new long, mismatched string")
+        if same_schema(self.old, self.new) and not self.rebuild:
+            return table, none
+        keys = self.stage("check", lambda: require_migratable(self.old, self.new, self.allow_drop))
+        copy = self.stage("copy", lambda: copied(scan(table, table.columns, self.where), self.new))
+        require_same_types(copy, self.new)
+        new = self.stage("replay", lambda: self.replayed(copy, changes, keys))
+        if self.where:
+            return new, none
+        target = expected if expected is not None else replay.folded(table, changes, keys)
         shared = [c for c in checked_columns(new) if c in table.columns]
         sums = lambda frame: verify.by_chunk(frame, keys, self.chunk_rows, shared, md5_prefix)
         checks = self.stage("verify", lambda: verify.compared(sums(copied(target, self.new)), sums(new), "chunk_id", shared))
+        if self.verify:
+            verify.require_equal(checks)
         return new, checks
 
+    def run_table(self, spark: SparkSession, table: str, changes: DataFrame, expected: DataFrame | None = None) -> str | None:
+        """Migrate a table of the catalog: write the new one beside it, verify, swap the names and drop the old one unless it is to be
+        kept (then its new name is returned). What was made is dropped if anything fails."""
+        if not spark.catalog.tableExists(table):
+            raise MigrationError("TABLE_NOT_EXIST", table=table)
+        fresh, away = PREFIXES["new"] + table, PREFIXES["old"] + table
+        if left := [t for t in (fresh, away) if spark.catalog.tableExists(t)]:
+            raise MigrationError("TABLE_ALREADY_EXIST", table=left[0])
+        try:
+            new, _ = self.run(spark.table(table), changes, expected)
+            new.write.saveAsTable(fresh)
+            require_same_types(spark.table(fresh), self.new)
+            spark.sql(f"ANALYZE TABLE {quoted(fresh)} COMPUTE STATISTICS")
+            self.stage("swap", lambda: swap_tables(spark, table, fresh))
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(fresh)}")
+            raise
+        if self.keep_old:
+            return away
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(away)}")
+        return None
+
     def diff(self) -> SchemaDiff:
         return SchemaDiff(self.old, self.new)
 
 
+def in_time(frame: DataFrame, seconds: float) -> DataFrame:
+    """The frame, computed; its jobs are cancelled, and REPLAY_TIMEOUT raised, when that takes longer."""
+    sc, group = frame.sparkSession.sparkContext, f"replay-{uuid.uuid4().hex}"
+    late = threading.Event()
+    timer = threading.Timer(seconds, lambda: (late.set(), sc.cancelJobGroup(group)))
+    sc.setJobGroup(group, "replay with a time limit", True)
+    timer.start()
+    try:
+        out = computed(frame)
+    except Exception as e:
+        if late.is_set():
+            raise MigrationError("REPLAY_TIMEOUT", seconds=seconds) from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise MigrationError("REPLAY_TIMEOUT", seconds=seconds)
+    return out
+
+
+def asserting(spark: SparkSession, sql: str, expected: list[tuple]) -> Callable[[], None]:
+    """A hook: ASSERTION_ERROR unless the query returns these rows, in order."""
+
+    def hook() -> None:
+        got = [tuple(r) for r in spark.sql(sql).collect()]
+        if got != expected:
+            raise MigrationError("ASSERTION_ERROR", expected=expected, got=got)
+
+    return hook
+
+
 def swap_tables(spark: SparkSession, table: str, fresh: str) -> str:
     """Rename the table away and the fresh one in; undo the first rename if the second fails. The old table's new name."""
     if not spark.catalog.tableExists(table):
@@ -111,4 +207,4 @@ def clean_up(spark: SparkSession) -> list[str]:
     return left
 
 
-__all__ = ["Migration", "chunks", "clean_up", "copied", "first_of_duplicates", "swap_tables"]
+__all__ = ["Migration", "asserting", "chunks", "clean_up", "copied", "first_of_duplicates", "swap_tables"]

@@ -45,6 +45,21 @@ def in_range(log: DataFrame, low: int, high: int | None) -> DataFrame:
     return above if high is None else above.where(F.col(CHANGE_ID) <= high)
 
 
+def by_ids(log: DataFrame, ids: DataFrame) -> DataFrame:
+    """The changes of given ids (a frame with a column change_id), as when gaps are looked up again."""
+    return log.join(ids.select(CHANGE_ID).distinct(), CHANGE_ID, "left_semi")
+
+
+def describe(table: DataFrame) -> DataFrame:
+    """place, name, type of a table's columns."""
+    return table.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(table.schema, 1)], "place int, name string, type string")
+
+
+def named_with(frame: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose name starts with one of the prefixes: what migrations left behind."""
+    return frame.where(functools.reduce(operator.or_, [F.col(quoted(column)).startswith(p) for p in prefixes]))
+
+
 def last_id(log: DataFrame, ceiling: int | None = None) -> DataFrame:
     top = F.coalesce(F.max(CHANGE_ID), F.lit(0).cast("long"))
     return log.agg((F.least(top, F.lit(ceiling).cast("long")) if ceiling is not None else top).alias("max_id"))

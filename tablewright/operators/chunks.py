@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tablewright.functions.columns import columns, quoted
@@ -68,7 +69,15 @@ def next_page(frame: DataFrame, keys: list[str], start: Column | None, rows: int
     return (frame if start is None else frame.where(start)).orderBy(*columns(keys)).limit(rows)
 
 
-def dump(frame: DataFrame, keys: list[str], rows: int, path: str) -> None:
-    """Write the chunks, one folder each, sorted by key."""
+def dump(frame: DataFrame, keys: list[str] | None, rows: int, path: str) -> None:
+    """Write the table for `load`: chunks of `rows` rows, one folder each, sorted by key; or, without a key to cut by, as it lies."""
+    if not keys:
+        frame.write.parquet(path)
+        return
     chunks = chunked(frame, keys, rows)
     chunks.repartition("chunk_id").sortWithinPartitions("chunk_id", *columns(keys)).write.partitionBy("chunk_id").parquet(path)
+
+
+def load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What `dump` wrote, in all its chunks, without the chunks' numbers."""
+    return spark.read.schema(schema).parquet(path).select(*columns(schema.names))

@@ -22,31 +22,6 @@ def gap_ranges(log: DataFrame, start: int = 0) -> DataFrame:
 
 
 def gap_ids(log: DataFrame, start: int = 0) -> DataFrame:
-    return gap_ranges(log, start).select(F.explode(F.sequence("first", "last")).alias("missing_id"))
-
-
-class IdRanges:
-    """Ids seen so far: the largest, and the runs that are missing below it."""
-
-    def __init__(self, stop: int = 0, missing: list[tuple[int, int]] | None = None):
-        self.stop, self.missing = stop, list(missing or [])
-
-    def extend(self, points: list[int]) -> None:
-        for p in sorted(points):
-            if p <= self.stop:
-                raise ValueError(f"{p} is not beyond {self.stop}")
-            if p > self.stop + 1:
-                self.missing.append((self.stop + 1, p - 1))
-            self.stop = p
-
-    def fill(self, point: int) -> None:
-        if point > self.stop:
-            raise ValueError(f"{point} is beyond {self.stop}")
-        for i, (a, b) in enumerate(self.missing):
-            if a <= point <= b:
-                self.missing[i : i + 1] = [r for r in ((a, point - 1), (point + 1, b)) if r[0] <= r[1]]
-                return
-        raise ValueError(f"{point} was seen already")
-
-    def missing_points(self) -> list[int]:
-        return [p for a, b in self.missing for p in range(a, b + 1)]
+    """missing_id: every one, a long gap cut into pieces of CELL ids first."""
+    pieces = gap_ranges(log, start).select("first", "last", F.explode(F.sequence("first", "last", F.lit(CELL).cast("long"))).alias("low"))
+    return pieces.select(F.explode(F.sequence("low", F.least("last", F.col("low") + (CELL - 1)))).alias("missing_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,37 +33,35 @@ def insert_rows(table: DataFrame, changes: DataFrame, keys: list[str], ignore: b
     """ignore: the first row of a key wins, rows of the table first."""
     rows = changes.where(of_type(INSERT))
     if ignore:
-        first = Window.partitionBy(*columns(keys)).orderBy(CHANGE_ID)
-        rows = rows.withColumn("__no", F.row_number().over(first)).where("__no = 1")
+        rows = rows.groupBy(*columns(keys)).agg(F.min_by(F.struct("*"), CHANGE_ID).alias("__row")).select("__row.*")
         rows = rows.alias("c").join(table.select(*columns(keys)).alias("t"), matches("c", "t", keys), "left_anti")
     return table.unionByName(rows.select(*[c for c in table.columns if c in rows.columns]), allowMissingColumns=True)
 
 
-def folded(table: DataFrame, changes: DataFrame, keys: list[str], order: str = CHANGE_ID) -> DataFrame:
-    """What ordered replay leaves, with inserts that do not overwrite and updates that do not insert.
+def folded(table: DataFrame, changes: DataFrame, keys: list[str], order: str = CHANGE_ID, fresh: dict[str, Column] | None = None) -> DataFrame:
+    """What ordered replay leaves of a table with unique keys, with inserts that do not overwrite and updates that do not
+    insert. Null keys match nothing and are not replayed.
 
     For each key: after its last delete, the first insert (or, never deleted, the table's row)
     is its birth; the last update after the birth gives its values. Columns that the log lacks
-    keep the table's values, or are null in new rows."""
-    changes = changes.where(F.col(DML_TYPE).isin(INSERT, DELETE, UPDATE))
+    keep the table's values; in new rows they have the value of `fresh`, or are null. All of a key's changes are two aggregates, which
+    are partial before they are shuffled, and one join with the table."""
+    known = functools.reduce(operator.and_, [F.col(quoted(k)).isNotNull() for k in keys])
+    changes = changes.where(F.col(DML_TYPE).isin(INSERT, DELETE, UPDATE) & known)
     logged = [c for c in table.columns if c in changes.columns and c not in keys]
-    image = F.struct(*columns(logged))
-    seen = changes.groupBy(*columns(keys)).agg(F.max(F.when(of_type(DELETE), F.col(order))).alias("__deleted"))
-    live = changes.alias("c").join(seen.alias("s"), matches("c", "s", keys)).select("c.*", "__deleted")
-    after = F.col("__deleted").isNull() | (F.col(order) > F.col("__deleted"))
-    born = live.groupBy(*columns(keys)).agg(F.first("__deleted").alias("__deleted"), F.min(F.when(of_type(INSERT) & after, F.col(order))).alias("__insert"), F.min_by(image, F.when(of_type(INSERT) & after, F.col(order))).alias("__first"))
-    based = born.alias("b").join(table.select(*columns(keys), F.lit(True).alias("__there")).alias("t"), matches("b", "t", keys), "left").select("b.*", "__there")
-    from_table = F.col("__deleted").isNull() & F.col("__there").isNotNull()
-    birth = based.withColumn("__birth", F.when(from_table, F.lit(0)).otherwise(F.col("__insert")))
-    updates = live.where(of_type(UPDATE)).alias("u").join(birth.select(*columns(keys), "__birth").alias("b"), matches("u", "b", keys)).where(F.col(order) > F.col("__birth"))
-    last = updates.groupBy(*[F.col(f"u.{quoted(k)}") for k in keys]).agg(F.max_by(F.struct(*[F.col(f"u.{quoted(c)}") for c in logged]), F.col(order)).alias("__last"))
-    final = birth.alias("b").join(last.alias("l"), matches("b", "l", keys), "left").select("b.*", "__last")
-    joined = table.alias("t").join(final.alias("f"), matches("t", "f", keys), "left")
-    kept = joined.where(F.col("f.__first").isNull() & F.col("f.__birth").isNull() & F.col("f.__deleted").isNull() | (F.col("f.__birth") == 0))
-    rows = kept.select(*[F.coalesce(F.when(F.col("__last").isNotNull(), F.struct(F.col(f"__last.{quoted(c)}").alias("v"))), F.struct(F.col(f"t.{quoted(c)}").alias("v")))["v"].alias(c) if c in logged else F.col(f"t.{quoted(c)}") for c in table.columns])
-    fresh = final.where(F.col("__birth") > 0).withColumn("__row", F.coalesce("__last", "__first"))
-    made = fresh.select(*columns(keys), *[F.col(f"__row.{quoted(c)}").alias(c) for c in logged])
-    return rows.unionByName(made, allowMissingColumns=True)
+    image = F.struct(*columns(logged)) if logged else F.struct(F.lit(None).alias("none"))
+    at = lambda kind: F.when(of_type(kind), F.col(order))
+    seen = changes.groupBy(*columns(keys)).agg(F.max(at(DELETE)).alias("__deleted"), F.lit(True).alias("__seen"))
+    live = changes.where(~of_type(DELETE)).alias("c").join(seen.alias("s"), matches("c", "s", keys)).where(F.col("__deleted").isNull() | (F.col(order) > F.col("__deleted"))).select("c.*")
+    born = live.groupBy(*columns(keys)).agg(F.min(at(INSERT)).alias("__insert"), F.min_by(image, at(INSERT)).alias("__first"), F.max(at(UPDATE)).alias("__update"), F.max_by(image, at(UPDATE)).alias("__last"))
+    state = seen.join(born, keys, "left")
+    joined = table.withColumn("__there", F.lit(True)).alias("t").join(state.alias("f"), keys, "full_outer")
+    from_table = F.col("__there").isNotNull() & F.col("__deleted").isNull()
+    from_insert = ~from_table & F.col("__insert").isNotNull()
+    updated = F.col("__update").isNotNull() & (from_table | (F.col("__update") > F.col("__insert")))
+    value = lambda c: F.when(updated, F.col(f"__last.{quoted(c)}")).when(from_insert, F.col(f"__first.{quoted(c)}")).otherwise(F.col(f"t.{quoted(c)}"))
+    own = lambda c: F.col(quoted(c)) if c in keys else value(c) if c in logged else F.when(~from_insert, F.col(f"t.{quoted(c)}")).otherwise((fresh or {}).get(c, F.lit(None)))
+    return joined.where(F.col("__seen").isNull() | from_table | from_insert).select(*[own(c).alias(c) for c in table.columns])
 
 
 def last_writer(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,6 +83,12 @@ def violations(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
     return judged.where((of_type(DELETE) & ~F.col("__state")) | (of_type(INSERT) & F.col("__state"))).drop("__there", "__state")
 
 
+def require_effect(table: DataFrame, changes: DataFrame, keys: list[str]) -> None:
+    """Strict replay: REPLAY_WRONG_AFFECTED where a delete finds no row or an insert finds one."""
+    if count := violations(table, changes, keys).count():
+        raise MigrationError("REPLAY_WRONG_AFFECTED", count=count)
+
+
 def require_known_types(changes: DataFrame) -> None:
     odd = changes.where(~F.col(DML_TYPE).isin(INSERT, DELETE, UPDATE)).select(DML_TYPE).limit(1).collect()
     if odd:

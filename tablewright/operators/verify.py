@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tablewright.errors import MigrationError
 from tablewright.functions.columns import columns, crc, matches, md5_prefix, quoted, xor_of
 from tablewright.operators.capture import CHANGE_ID, in_range
 from tablewright.operators.chunks import chunked
@@ -33,8 +33,8 @@ def by_chunk(frame: DataFrame, keys: list[str], rows: int, names: list[str], has
 
 def first_touches(log: DataFrame, keys: list[str]) -> DataFrame:
     """The first change of every key in the whole log."""
-    no = F.row_number().over(Window.partitionBy(*columns(keys)).orderBy(CHANGE_ID))
-    return log.withColumn("__no", no).where("__no = 1").drop("__no")
+    first = log.groupBy(*columns(keys)).agg(F.min_by(F.struct("*"), CHANGE_ID).alias("__row"))
+    return first.select("__row.*")
 
 
 def by_change_window(table: DataFrame, log: DataFrame, keys: list[str], names: list[str], low: int, high: int | None, size: int, hashed: Callable[[str], Column] = crc) -> DataFrame:
@@ -58,6 +58,27 @@ def fingerprint(checks: DataFrame, names: list[str]) -> DataFrame:
     return checks.agg(F.coalesce(F.bit_xor(row), F.lit(0).cast("long")).alias("fingerprint"))
 
 
+def require_equal(differences: DataFrame) -> None:
+    """CHECKSUM_MISMATCH with the first part that differs, if any does (rows of `compared`)."""
+    found = differences.orderBy(differences.columns[0]).limit(1).collect()
+    if found:
+        part, old, new, names = found[0]
+        raise MigrationError("CHECKSUM_MISMATCH", difference=f"{differences.columns[0]} {part}: {old} and {new} rows, columns {names or 'none'}")
+
+
+def duplicates(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: what would break a unique key."""
+    return frame.groupBy(*columns(keys)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def strong_portable(frame: DataFrame, names: list[str]) -> DataFrame:
+    """As `strong`, with a hash that other engines have: the sum over all rows of the prefix of one MD5 of the row. Null and empty
+    differ, and so do values that only together are equal."""
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.hex(F.col(quoted(c)).cast("string").cast("binary"))), F.lit("-"))
+    row = F.conv(F.substring(F.md5(F.concat_ws(",", *[text(c) for c in sorted(names)]).cast("binary")), 1, 15), 16, 10)
+    return frame.agg(F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
+
+
 def row_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of one side only, with the side."""
     names = old.columns

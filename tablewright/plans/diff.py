@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.columns import quoted
-from tablewright.plans.schema import ColumnSpec, TableSpec, normalized
+from tablewright.plans.partitions import Partitioning, _value, parse_partitions
+from tablewright.plans.schema import ColumnSpec, KeySpec, TableSpec, normalized
 
-INSTANT = {"ADD_COL", "ADD_TIMESTAMP_COL"}
+#: Changes that need no copy of the data.
+INSTANT = {"ADD_COL", "ADD_TIMESTAMP_COL", "ADD_SHARDING_KEY", "DROP_SHARDING_KEY", "CHANGE_SHARDING_KEY"}
 
 
 @dataclass(frozen=True)
@@ -23,47 +24,66 @@ class Change:
     alter_types: tuple[str, ...]
 
 
+def key_types(old: KeySpec | None, new: KeySpec | None) -> list[str]:
+    """What a changed key is, attribute by attribute."""
+    kinds = {"DROP_INDEX": old is not None, "ADD_INDEX": new is not None}
+    kinds["BECOME_UNIQUE_INDEX"] = bool(new and new.unique and not (old and old.unique))
+    if old and new:
+        changed = lambda *names: any(getattr(old, n) != getattr(new, n) for n in names)
+        kinds |= {"CHANGE_UNIQUE_CONSTRAINT": changed("unique"), "CHANGE_INDEX_TYPE": changed("using"), "CHANGE_INDEX_KIND": changed("kind"), "CHANGE_INDEX_COMMENT": changed("comment"), "CHANGE_INDEX_BLOCK_SIZE": changed("block_size"), "CHANGE_INDEX_VISIBILITY": changed("visible"), "CHANGE_INDEX_COLUMNS": changed("columns")}
+    return [k for k, v in kinds.items() if v]
+
+
 def column_types(old: ColumnSpec, new: ColumnSpec) -> list[str]:
     kinds = {"CHANGE_COL_DATA_TYPE": (old.type, old.length, old.values if old.type not in ("ENUM", "SET") else ()) != (new.type, new.length, new.values if new.type not in ("ENUM", "SET") else ())}
     if not kinds["CHANGE_COL_DATA_TYPE"]:
-        kinds |= {"CHANGE_COL_DEFAULT_VAL": old.default != new.default or old.on_update_now != new.on_update_now, "CHANGE_NULL": old.nullable != new.nullable, "CHANGE_UNSIGNED": old.unsigned != new.unsigned}
+        kinds |= {"CHANGE_COL_DEFAULT_VAL": (old.default, old.on_update_now, old.on_update_precision) != (new.default, new.on_update_now, new.on_update_precision), "CHANGE_NULL": old.nullable != new.nullable, "CHANGE_UNSIGNED": old.unsigned != new.unsigned}
     kinds |= {"CHANGE_ENUM": old.type == new.type == "ENUM" and old.values != new.values, "CHANGE_SET": old.type == new.type == "SET" and old.values != new.values, "CHANGE_AUTO_INC": old.auto_increment != new.auto_increment, "CHANGE_COL_CHARSET": old.charset != new.charset, "CHANGE_COL_COLLATE": old.collate != new.collate, "CHANGE_COL_COMMENT": old.comment != new.comment}
     return [k for k, v in kinds.items() if v]
 
 
-def hash_partitions(text: str) -> tuple[str, int] | None:
-    m = re.match(r"((?:LINEAR )?(?:HASH|KEY)\b.*?\))(?: PARTITIONS (\d+))?$", text.strip(), re.I)
-    return (m[1], int(m[2] or 1)) if m else None
-
-
-def range_partitions(text: str) -> tuple[str, dict[str, str]] | None:
-    m = re.match(r"((?:RANGE|LIST)(?: COLUMNS)? \(.*?\)) \((.*)\)$", text.strip(), re.I | re.S)
-    return (m[1], {p[0].strip("`"): p[1].strip() for p in re.findall(r"PARTITION (\S+) VALUES (LESS THAN (?:MAXVALUE|\([^()]*\))|IN \([^()]*\))", m[2], re.I)}) if m else None
+def reorganized(old: Partitioning, new: Partitioning) -> tuple[str, str]:
+    """One run of old partitions becomes one run of new ones. Of ranges the run's last bound must stay, unless it is the
+    table's last and rises; of lists no value may be lost or taken from outside the run."""
+    same = 0
+    while same < min(len(old.parts), len(new.parts)) and old.parts[same] == new.parts[same]:
+        same += 1
+    tail = 0
+    while tail < min(len(old.parts), len(new.parts)) - same and old.parts[-1 - tail] == new.parts[-1 - tail]:
+        tail += 1
+    if same + tail == len(old.parts) and tail:  # what was put in came out of the partition behind it
+        tail -= 1
+    gone, come = old.parts[same : len(old.parts) - tail], new.parts[same : len(new.parts) - tail]
+    if old.kind.startswith("RANGE"):
+        low, high = gone[-1].bounds, come[-1].bounds
+        rank = lambda bounds: tuple(_value(b) or (1, b) for b in bounds)
+        fits = low == high or not tail and rank(low) < rank(high)
+    else:
+        fits = {v for p in gone for v in p.bounds} <= {v for p in come for v in p.bounds}
+    if not fits:
+        return f"PARTITION BY {new.sql()}", "INVALID_PARTITIONING"
+    return f"REORGANIZE PARTITION {', '.join(p.name for p in gone)} INTO ({', '.join(map(new.part_sql, come))})", "REORGANIZE_PARTITION"
 
 
 def partition_change(old: str, new: str) -> tuple[str, str] | None:
     """ALTER text and type."""
-    if old == new:
+    a, b = (parse_partitions(x) if x else None for x in (old, new))
+    if a == b:
         return None
-    if not new:
+    if not b:
         return "REMOVE PARTITIONING", "REMOVE_PARTITIONING"
-    a, b = hash_partitions(old), hash_partitions(new)
-    if a and b and a[0] == b[0]:
-        more = b[1] - a[1]
+    if not a:
+        return f"PARTITION BY {b.sql()}", "ADD_PARTITIONING"
+    if (a.kind, a.expression) != (b.kind, b.expression):
+        return f"PARTITION BY {b.sql()}", "CHANGE_PARTITIONING"
+    if not a.parts:
+        more = b.count - a.count
         return (f"ADD PARTITION PARTITIONS {more}", "ADD_PARTITION") if more > 0 else (f"COALESCE PARTITION {-more}", "COALESCE_PARTITION")
-    a, b = range_partitions(old), range_partitions(new)
-    if a and b and a[0] == b[0]:
-        gone = [p for p, v in a[1].items() if b[1].get(p) != v]
-        come = [p for p, v in b[1].items() if a[1].get(p) != v]
-        text = ", ".join(f"PARTITION {p} VALUES {b[1][p]}" for p in come)
-        if not gone:
-            return f"ADD PARTITION ({text})", "ADD_PARTITION"
-        if not come:
-            return f"DROP PARTITION {', '.join(gone)}", "DROP_PARTITION"
-        if list(a[1].values())[-1] == list(b[1].values())[-1] or gone[-1] != list(a[1])[-1] and a[1][gone[-1]] == b[1][come[-1]]:
-            return f"REORGANIZE PARTITION {', '.join(gone)} INTO ({text})", "REORGANIZE_PARTITION"
-        return f"PARTITION BY {new}", "INVALID_PARTITIONING"
-    return f"PARTITION BY {new}", "CHANGE_PARTITIONING" if old else "ADD_PARTITIONING"
+    if b.parts[: len(a.parts)] == a.parts or a.kind.startswith("LIST") and {*a.parts} < {*b.parts}:
+        return f"ADD PARTITION ({', '.join(b.part_sql(p) for p in b.parts if p not in a.parts)})", "ADD_PARTITION"
+    if [p for p in a.parts if p in b.parts] == list(b.parts):
+        return f"DROP PARTITION {', '.join(p.name for p in a.parts if p not in b.parts)}", "DROP_PARTITION"
+    return reorganized(a, b)
 
 
 class SchemaDiff:
@@ -100,10 +120,13 @@ class SchemaDiff:
         for name in sorted({*a, *b}):
             x, y = a.get(name), b.get(name)
             if x != y:
-                kinds = ["DROP_INDEX"] * (x is not None) + ["ADD_INDEX"] * (y is not None) + ["BECOME_UNIQUE_INDEX"] * bool(y and y.unique and not (x and x.unique))
-                self._add("modify" if x and y else "add" if y else "drop", "key", name, x.sql() if x else "", y.sql() if y else "", kinds, *([f"DROP KEY {quoted(name)}"] * (x is not None) + [f"ADD {y.sql()}" if y else ""]))
+                self._add("modify" if x and y else "add" if y else "drop", "key", name, x.sql() if x else "", y.sql() if y else "", key_types(x, y), *([f"DROP KEY {quoted(name)}"] * (x is not None) + [f"ADD {y.sql()}" if y else ""]))
         for f in sorted({*old.foreign} - {*new.foreign}):
             self._add("drop", "foreign key", f[0], f[2], "", ["DROP_FOREIGN_KEY"], f"DROP FOREIGN KEY {quoted(f[0])}")
+        if old.sharding_key != new.sharding_key:
+            kind = "CHANGE_SHARDING_KEY" if old.sharding_key and new.sharding_key else "ADD_SHARDING_KEY" if new.sharding_key else "DROP_SHARDING_KEY"
+            text = lambda key: f"SHARDING_KEY=({', '.join(map(quoted, key))})"
+            self._add("modify", "option", "SHARDING_KEY", text(old.sharding_key), text(new.sharding_key), [kind], text(new.sharding_key))
         for option in sorted({*old.options, *new.options}):
             x, y = old.options.get(option, ""), new.options.get(option, "")
             if x != y:

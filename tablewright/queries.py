@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import after, md5_prefix
-from tablewright.migrate import Migration, copied, first_of_duplicates
+from tablewright.migrate import PREFIXES, Migration, copied, first_of_duplicates
 from tablewright.operators import capture, chunks, gaps, replay, verify
 from tablewright.plans.diff import SchemaDiff
+from tablewright.plans.partitions import parse_partitions, sync_actions
 from tablewright.plans.schema import parse_table
-from tablewright.sources.tables import scan
+from tablewright.sources.shared import checkpoint_folder
+from tablewright.sources.tables import foreign_keys, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,6 +66,8 @@ b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 IN (2, 3) THEN 'X'
 HASH = "('0x' || substr(md5({c}::VARCHAR), 1, 15))::BIGINT"
 XOR = lambda c: f"coalesce(bit_xor({HASH.format(c=c)}), 0)::BIGINT AS {c.split('.')[-1]}"
 CHECKED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+#: CRC-32 of a value's text, out of a table t of the 256 remainders.
+CRC = "CASE WHEN {c} IS NOT NULL THEN xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(range(length({c}::VARCHAR)), lambda k: ascii(substr({c}::VARCHAR, k + 1, 1))::UBIGINT), lambda r, x: xor(r // 256, t[xor(r % 256, x)::BIGINT + 1])))::BIGINT END AS {c}"
 SUMS = "count(*) AS cnt, " + ", ".join(map(XOR, CHECKED))
 NUMBERED = f"(SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // {CHUNK} AS chunk_id FROM orders)"
 
@@ -104,7 +109,8 @@ def delta_range_scan(spark, d):
 
 @query(f"SELECT change_id, dml_type, c_custkey FROM {LOG} WHERE change_id IN (1, 98, 195)")
 def delta_point_lookup(spark, d):
-    return log(spark, d).where(F.col("change_id").isin(1, 98, 195)).select("change_id", "dml_type", "c_custkey")
+    wanted = spark.createDataFrame([(1,), (98,), (195,)], "change_id long")
+    return capture.by_ids(log(spark, d), wanted).select("change_id", "dml_type", "c_custkey")
 
 
 @query(f"SELECT least(coalesce(max(change_id), 0), 5000)::BIGINT AS max_id FROM {LOG}")
@@ -117,11 +123,19 @@ def delta_max_id_whole(spark, d):
     return capture.last_id(log(spark, d))
 
 
-@query()
+@query("SELECT 0::BIGINT AS change_id, 0::BIGINT AS dml_type, c_custkey, c_name, c_mktsegment FROM customer LIMIT 0")
 def delta_schema_clone(spark, d):
     return capture.empty_log(customers(spark, d))
 
 
+@query("""SELECT column_index::INTEGER AS place, column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS type
+FROM (SELECT 1 AS column_index, 'change_id' AS column_name, 'BIGINT' AS data_type UNION ALL SELECT 2, 'dml_type', 'BIGINT'
+UNION ALL SELECT 2 + row_number() OVER (ORDER BY column_index), column_name, data_type FROM duckdb_columns() WHERE table_name = 'customer' AND column_name IN ('c_custkey', 'c_name', 'c_mktsegment'))""")
+def delta_schema_columns(spark, d):
+    """Columns of the change log of customers, described."""
+    return capture.describe(capture.empty_log(customers(spark, d)))
+
+
 def _captured(spark, d, kind):
     old, new = snapshots(spark, d)
     return capture.snapshot_changes(old, new, ["o_orderkey"]).where(F.col("dml_type") == kind)
@@ -256,7 +270,10 @@ def checksum_full(spark, d):
     return verify.whole(orders(spark, d), CHECKED, md5_prefix)
 
 
-@query()
+@query(f"""WITH b AS (SELECT i, list_reduce([i::UBIGINT] || range(8)::UBIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS c FROM range(256) t(i)),
+t AS (SELECT list(c ORDER BY i) AS t FROM b),
+h AS (SELECT {', '.join(CRC.format(c=c) for c in CHECKED)} FROM orders, t)
+SELECT count(*) AS cnt, {', '.join(f'coalesce(bit_xor({c}), 0)::BIGINT AS {c}' for c in CHECKED)} FROM h""")
 def checksum_full_crc32(spark, d):
     return verify.whole(orders(spark, d), CHECKED)
 
@@ -266,6 +283,11 @@ def checksum_native_strong(spark, d):
     return verify.strong(orders(spark, d), CHECKED)
 
 
+@query(f"""SELECT coalesce(sum(('0x' || substr(md5(concat_ws(',', {', '.join(f"coalesce('=' || hex(encode({c}::VARCHAR)), '-')" for c in sorted(CHECKED))})), 1, 15))::BIGINT), 0)::DECIMAL(38, 0)::VARCHAR AS checksum FROM orders""")
+def checksum_strong_portable(spark, d):
+    return verify.strong_portable(orders(spark, d), CHECKED).select(F.col("checksum").cast("string"))
+
+
 @query(f"SELECT chunk_id, {SUMS} FROM {NUMBERED} GROUP BY chunk_id")
 def checksum_by_chunk(spark, d):
     return verify.by_chunk(orders(spark, d), ["o_orderkey"], CHUNK, CHECKED, md5_prefix)
@@ -306,7 +328,7 @@ def new_column_default(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_key_violations(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return verify.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT text, doc_id FROM (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -323,36 +345,55 @@ def full_row_identity_replay(spark, d):
 
 @query("SELECT part, count(*) AS n FROM (SELECT CASE WHEN o_orderkey < 1000 THEN 'p0' WHEN o_orderkey < 5000 THEN 'p1' ELSE 'pmax' END AS part FROM orders) GROUP BY part")
 def range_partition_assign(spark, d):
-    part = F.when(F.col("o_orderkey") < 1000, "p0").when(F.col("o_orderkey") < 5000, "p1").otherwise("pmax")
-    return orders(spark, d).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return _assigned(spark, d, "RANGE (o_orderkey) (PARTITION p0 VALUES LESS THAN (1000), PARTITION p1 VALUES LESS THAN (5000), PARTITION pmax VALUES LESS THAN MAXVALUE)")
 
 
 @query("SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN 'done' WHEN o_orderstatus = 'P' THEN 'open' END AS part, count(*) AS n FROM orders GROUP BY 1")
 def list_partition_assign(spark, d):
-    part = F.when(F.col("o_orderstatus").isin("F", "O"), "done").when(F.col("o_orderstatus") == "P", "open")
-    return orders(spark, d).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return _assigned(spark, d, "LIST COLUMNS (o_orderstatus) (PARTITION done VALUES IN ('F', 'O'), PARTITION open VALUES IN ('P'))")
 
 
 @query("SELECT o_custkey % 8 AS part, count(*) AS n FROM orders GROUP BY 1")
 def hash_partition_assign(spark, d):
-    return orders(spark, d).groupBy((F.col("o_custkey") % 8).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return _assigned(spark, d, "HASH (o_custkey) PARTITIONS 8")
+
+
+BY_DAY = "RANGE (to_days(o_orderdate)) (PARTITION old VALUES LESS THAN (to_days('1995-01-01')), PARTITION mid VALUES LESS THAN (to_days('1997-01-01')))"
+
+
+@query("SELECT CASE WHEN o_orderdate < DATE '1995-01-01' OR o_orderdate IS NULL THEN 'old' WHEN o_orderdate < DATE '1997-01-01' THEN 'mid' END AS part, count(*) AS n FROM orders GROUP BY 1")
+def day_partition_assign(spark, d):
+    return read(spark, d, "orders").groupBy(parse_partitions(BY_DAY).assign().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _assigned(spark, d, by):
+    return orders(spark, d).groupBy(parse_partitions(by).assign().alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH a AS (SELECT DISTINCT 'p' || (o_orderkey // 1000) AS p FROM orders WHERE o_orderkey < 9000), b AS (SELECT DISTINCT 'p' || (o_orderkey // 1000) AS p FROM orders WHERE o_orderkey >= 2000) SELECT 'drop' AS action, p AS part FROM (SELECT p FROM a EXCEPT SELECT p FROM b) UNION ALL SELECT 'add', p FROM (SELECT p FROM b EXCEPT SELECT p FROM a)")
 def partition_sync_diff(spark, d):
     part = lambda where: orders(spark, d).where(where).select(F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 1000).cast("string")).alias("part")).distinct()
-    copy, source = part("o_orderkey < 9000"), part("o_orderkey >= 2000")
-    return copy.subtract(source).select(F.lit("drop").alias("action"), "part").unionByName(source.subtract(copy).select(F.lit("add").alias("action"), "part"))
+    return sync_actions(part("o_orderkey < 9000"), part("o_orderkey >= 2000"))
 
 
-REFERENCES = [("fk_nation", "nation", "n_regionkey", "region"), ("fk_customer", "customer", "c_nationkey", "nation"), ("fk_orders", "orders", "o_custkey", "customer")]
+DECLARED = [
+    "CREATE TABLE region (r_regionkey BIGINT NOT NULL, PRIMARY KEY (r_regionkey))",
+    "CREATE TABLE nation (n_nationkey BIGINT NOT NULL, n_regionkey BIGINT, PRIMARY KEY (n_nationkey), CONSTRAINT fk_nation FOREIGN KEY (n_regionkey) REFERENCES region (r_regionkey))",
+    "CREATE TABLE customer (c_custkey BIGINT NOT NULL, c_nationkey BIGINT, PRIMARY KEY (c_custkey), CONSTRAINT fk_customer FOREIGN KEY (c_nationkey) REFERENCES nation (n_nationkey))",
+    "CREATE TABLE orders (o_orderkey BIGINT NOT NULL, o_custkey BIGINT, PRIMARY KEY (o_orderkey), CONSTRAINT fk_orders FOREIGN KEY (o_custkey) REFERENCES customer (c_custkey) ON DELETE CASCADE)",
+]
 
 
 @query("WITH r(name, child, col, parent) AS (VALUES ('fk_nation', 'nation', 'n_regionkey', 'region'), ('fk_customer', 'customer', 'c_nationkey', 'nation'), ('fk_orders', 'orders', 'o_custkey', 'customer')) SELECT name, child, col, parent FROM r WHERE child = 'customer' OR parent = 'customer'")
 def fk_discovery(spark, d):
-    rules = spark.createDataFrame([(n, c, p) for n, c, _, p in REFERENCES], "name string, child string, parent string")
-    usage = spark.createDataFrame([(n, col) for n, _, col, _ in REFERENCES], "name string, col string")
-    return rules.join(usage, "name").where((F.col("child") == "customer") | (F.col("parent") == "customer")).select("name", "child", "col", "parent")
+    return foreign_keys(spark, [parse_table(t) for t in DECLARED], "customer")
+
+
+@query("SELECT '__tw_' || CASE WHEN c_custkey % 3 = 0 THEN 'new_' WHEN c_custkey % 3 = 1 THEN 'old_' ELSE 'own_' END || c_name AS name FROM customer WHERE c_custkey % 3 < 2")
+def orphans_by_prefix(spark, d):
+    """Of names some of which a migration made, those."""
+    kind = F.when(F.col("c_custkey") % 3 == 0, "new_").when(F.col("c_custkey") % 3 == 1, "old_").otherwise("own_")
+    return capture.named_with(customers(spark, d).select(F.concat(F.lit("__tw_"), kind, "c_name").alias("name")), "name", list(PREFIXES.values()))
 
 
 @query("SELECT p_name FROM part WHERE left(p_name, 4) = 'part'")
@@ -360,18 +401,61 @@ def orphan_objects_by_prefix(spark, d):
     return read(spark, d, "part").where(F.col("p_name").startswith("part")).select("p_name")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('drop', 'column', 'o_totalprice', '`o_totalprice` double DEFAULT NULL', '', 'DROP_COL', false),
+('modify', 'column', 'o_orderpriority', '`o_orderpriority` varchar(15) DEFAULT NULL', '`o_orderpriority` varchar(30) DEFAULT NULL', 'CHANGE_COL_DATA_TYPE', false),
+('add', 'column', 'o_note', '', '`o_note` varchar(10) NOT NULL DEFAULT ''''', 'ADD_COL', true),
+('add', 'key', 'ix_cust', '', 'KEY `ix_cust` (`o_custkey`)', 'ADD_INDEX', false)) t(change, object, name, old, new, alter_types, instant)""")
 def schema_diff_rows(spark, d):
     return SchemaDiff(parse_table(OLD_ORDERS), parse_table(NEW_ORDERS)).rows(spark)
 
 
-@query(f"WITH n AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // {CHUNK} AS chunk_id FROM orders WHERE o_orderkey % 10 >= 2) SELECT chunk_id, count(*) AS cnt_old, count(*) AS cnt_new, '' AS mismatched FROM n GROUP BY chunk_id")
-def migrate_end_to_end(spark, d):
-    """Rows by chunk of the migrated table and of the old one after the changes; no column may differ."""
+_DAYS = "CREATE TABLE orders (o_orderkey BIGINT NOT NULL, o_orderdate DATE, PRIMARY KEY (o_orderkey)) PARTITION BY {}"
+_MORE = BY_DAY[:-1] + ", PARTITION late VALUES LESS THAN (to_days('1999-01-01')))"
+
+
+@query("""SELECT * FROM (VALUES ('grown', 'ADD_PARTITION', 'ADD PARTITION (PARTITION late VALUES LESS THAN (to_days(''1999-01-01'')))'), ('shrunk', 'DROP_PARTITION', 'DROP PARTITION late'),
+('removed', 'REMOVE_PARTITIONING', 'REMOVE PARTITIONING'), ('split', 'REORGANIZE_PARTITION', 'REORGANIZE PARTITION mid INTO (PARTITION early VALUES LESS THAN (to_days(''1996-01-01'')), PARTITION mid VALUES LESS THAN (to_days(''1997-01-01'')))')) t(case_, alter_type, sql)""")
+def schema_diff_partitions(spark, d):
+    """What changed partitions by day are."""
+    split = BY_DAY.replace("PARTITION mid", "PARTITION early VALUES LESS THAN (to_days('1996-01-01')), PARTITION mid")
+    cases = [("grown", BY_DAY, _MORE), ("shrunk", _MORE, BY_DAY), ("removed", BY_DAY, ""), ("split", BY_DAY, split)]
+    rows = [(case, c.alter_types[0], c.new, diff.segments[0]) for case, a, b in cases for diff in [SchemaDiff(*[parse_table(_DAYS.format(x).removesuffix(" PARTITION BY ")) for x in (a, b)])] for c in diff.changes]
+    return spark.createDataFrame(rows, "case_ string, alter_type string, new string, sql string").drop("new")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def dump_then_load(spark, d):
+    """All chunks written and loaded again."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    table = orders(spark, d)
+    chunks.dump(table, ["o_orderkey"], CHUNK * 9, path)
+    return chunks.load(spark, path, table.schema)
+
+
+def _migrated(spark, d):
+    """The migrated orders, and the old table as it is read after the changes: another way to the same rows."""
     base = read(spark, d, "orders")
     old, new = base.where("o_orderkey % 10 < 8"), base.where("o_orderkey % 10 >= 2").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 < 4, "X").otherwise(F.col("o_orderstatus")))
     changes = capture.snapshot_changes(old, new, ["o_orderkey"]).withColumn("change_id", F.col("o_orderkey") + 1)
-    moved, wrong = Migration(parse_table(OLD_ORDERS), parse_table(NEW_ORDERS), allow_drop=True).run(old, changes)
+    return new, Migration(parse_table(OLD_ORDERS), parse_table(NEW_ORDERS), allow_drop=True, strict=True).run(old, changes, expected=new)
+
+
+MIGRATED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_note"]
+
+
+@query(f"""WITH m AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 < 4 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, '' AS o_note,
+(row_number() OVER (ORDER BY o_orderkey) - 1) // {CHUNK} AS chunk_id FROM orders WHERE o_orderkey % 10 >= 2)
+SELECT chunk_id, count(*) AS cnt, {', '.join(map(XOR, MIGRATED))} FROM m GROUP BY chunk_id""")
+def migrate_checksums(spark, d):
+    """Checksums by chunk of the migrated table's values."""
+    _, (moved, _) = _migrated(spark, d)
+    return verify.by_chunk(moved, ["o_orderkey"], CHUNK, MIGRATED, md5_prefix)
+
+
+@query(f"WITH n AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // {CHUNK} AS chunk_id FROM orders WHERE o_orderkey % 10 >= 2) SELECT chunk_id, count(*) AS cnt_old, count(*) AS cnt_new, '' AS mismatched FROM n GROUP BY chunk_id")
+def migrate_end_to_end(spark, d):
+    """Rows by chunk of the migrated table and of the old one after the changes; no column may differ."""
+    new, (moved, wrong) = _migrated(spark, d)
     counts = lambda t, name: chunks.chunk_counts(t, ["o_orderkey"], CHUNK).withColumnRenamed("cnt", name)
     odd = wrong.select("chunk_id", "mismatched")
     return counts(new, "cnt_old").join(counts(moved, "cnt_new"), "chunk_id", "full_outer").join(odd, "chunk_id", "left").select("chunk_id", "cnt_old", "cnt_new", F.coalesce("mismatched", F.lit("")).alias("mismatched"))

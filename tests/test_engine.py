@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import ERRORS, MigrationError
 from tablewright.functions.columns import after, quoted, readable_size
+from tablewright.migrate import PREFIXES, Migration, asserting, clean_up
 from tablewright.operators import capture, chunks, gaps, replay, verify
 from tablewright.plans import checks
+from tablewright.plans.partitions import parse_partitions
 from tablewright.plans.diff import SchemaDiff, converted_columns, needs_current_time
 from tablewright.plans.schema import parse_table, same_schema
 
@@ -152,16 +154,9 @@ def test_change_groups(spark, grouped):
 
 
 def test_gaps(spark):
-    r = gaps.IdRanges()
-    r.extend([1, 2])
-    r.extend([4, 5])
-    assert r.missing_points() == [3]
-    r.fill(3)
-    for p in (3, 9):
-        with pytest.raises(ValueError):
-            r.fill(p)
     ids = spark.createDataFrame([(2,), (5,), (2_000_001,)], "change_id long")
     assert sorted(map(tuple, gaps.gap_ranges(ids).collect())) == [(1, 1), (3, 4), (6, 2_000_000)]
+    assert gaps.gap_ids(ids).selectExpr("count(*)", "count(distinct missing_id)", "max(missing_id)").first()[:] == (1_999_998, 1_999_998, 2_000_000)
 
 
 def test_stream_with_late_ids(spark, tmp_path):
@@ -219,3 +214,152 @@ def test_whole_log_is_replayed(spark, long_log):
     assert rows("replay_delete_whole") == [(k, "n", "s") for k in base if k not in gone]
     assert rows("replay_insert_whole") == sorted([(k, "s") for k in base] + [(k, "signup") for k in new])
     assert rows("replay_insert_ignore_whole") == sorted([(k, "s") for k in base] + [(k, "signup") for k in set(new) - set(base)])
+
+
+def test_partitions_are_typed():
+    days = "RANGE (to_days(d)) (PARTITION p0 VALUES LESS THAN (to_days('2024-01-01')), PARTITION p1 VALUES LESS THAN MAXVALUE)"
+    assert parse_partitions(days).sql() == days and parse_partitions(days).parts[0].bounds == ("to_days('2024-01-01')",)
+    assert parse_partitions("LINEAR KEY (`a`, b) PARTITIONS 4").sql() == "LINEAR KEY (a, b) PARTITIONS 4"
+    assert parse_partitions("RANGE COLUMNS (a, b) (PARTITION p VALUES LESS THAN (1, MAXVALUE) ENGINE = InnoDB)").parts[0].bounds == ("1", "MAXVALUE")
+    for bad in ("NONSENSE", "RANGE (id)", "RANGE (id) (PARTITION a VALUES LESS THAN (5), PARTITION b VALUES LESS THAN (3))", "RANGE (id) (PARTITION a VALUES LESS THAN MAXVALUE, PARTITION b VALUES LESS THAN (9))", "LIST (id) (PARTITION a VALUES IN (1, 2), PARTITION b VALUES IN (2))", "LIST (id) (PARTITION a VALUES IN (1), PARTITION A VALUES IN (2))", "HASH (id) PARTITIONS 2 x"):
+        with pytest.raises(MigrationError, match="INVALID_SYNTAX"):
+            parse_table(f"CREATE TABLE t (id INT, d DATE) PARTITION BY {bad}")
+
+
+def test_partition_of_a_row(spark):
+    t = spark.createDataFrame([(None, None), (5, "x"), (-3, "y"), (10, "z")], "n long, s string")
+    of = lambda by: [r[0] for r in t.select(parse_partitions(by).assign()).collect()]
+    assert of("RANGE (n) (PARTITION a VALUES LESS THAN (5), PARTITION b VALUES LESS THAN (10))") == ["a", "b", "a", None]
+    assert of("LIST COLUMNS (s) (PARTITION a VALUES IN ('x', NULL), PARTITION b VALUES IN ('y'))") == ["a", "a", "b", None]
+    assert of("HASH (n) PARTITIONS 4") == [None, 1, 3, 2]
+
+
+def test_lists_and_merges_are_reorganized():
+    t = lambda p: parse_table(f"CREATE TABLE t (id INT) PARTITION BY {p}")
+    change = lambda a, b: SchemaDiff(t(a), t(b)).alter_types()
+    lists = lambda *parts: "LIST (id) (" + ", ".join(f"PARTITION p{i} VALUES IN ({v})" for i, v in enumerate(parts)) + ")"
+    ranges = lambda *parts: "RANGE (id) (" + ", ".join(f"PARTITION p{v} VALUES LESS THAN ({v})" for v in parts) + ")"
+    assert change(lists("1, 2", "3"), lists("1", "2, 3")) == {"REORGANIZE_PARTITION"} and change(lists("1, 2"), lists("1")) == {"INVALID_PARTITIONING"}
+    assert change(ranges(5, 10, 20), ranges(10, 20)) == {"DROP_PARTITION"} and change(ranges(5, 10), ranges(5, 12)) == {"REORGANIZE_PARTITION"}
+    assert change(ranges(5, 12), ranges(5, 10)) == {"INVALID_PARTITIONING"} and change(ranges(5, 20), ranges(5, 10, 20)) == {"REORGANIZE_PARTITION"}
+
+
+@pytest.mark.parametrize(("old", "new", "types"), [
+    ("KEY k (a) KEY_BLOCK_SIZE=4", "KEY k (a) KEY_BLOCK_SIZE=8", {"CHANGE_INDEX_BLOCK_SIZE"}), ("KEY k (a)", "KEY k (a) INVISIBLE", {"CHANGE_INDEX_VISIBILITY"}), ("KEY k (a)", "KEY k (a) USING HASH", {"CHANGE_INDEX_TYPE"}),
+    ("KEY k (a)", "KEY k (a) COMMENT 'it''s'", {"CHANGE_INDEX_COMMENT"}), ("KEY k (a)", "UNIQUE KEY k (a)", {"CHANGE_UNIQUE_CONSTRAINT", "BECOME_UNIQUE_INDEX"}), ("KEY k (a)", "FULLTEXT KEY k (a)", {"CHANGE_INDEX_KIND"}), ("KEY k (a)", "KEY k (a DESC)", {"CHANGE_INDEX_COLUMNS"}),
+])
+def test_index_attributes(old, new, types):
+    t = lambda key: parse_table(f"CREATE TABLE t (a VARCHAR(9), ts TIMESTAMP(3) DEFAULT CURRENT_TIMESTAMP(3), {key})")
+    assert SchemaDiff(t(old), t(new)).alter_types() == types | {"DROP_INDEX", "ADD_INDEX"}
+    assert same_schema(parse_table(t(new).sql()), t(new))
+
+
+def test_sharding_keys_and_time_precision():
+    t = lambda more, ts="TIMESTAMP(3) NULL": parse_table(f"CREATE TABLE t (a INT, ts {ts}) UNION=(x,y) {more}")
+    assert SchemaDiff(t(""), t("SHARDING_KEY=(a)")).alter_types() == {"ADD_SHARDING_KEY"} and SchemaDiff(t("SHARDING_KEY=(a)"), t("")).to_sql() == "ALTER TABLE `t` SHARDING_KEY=()"
+    assert t("").options["UNION"] == "(x,y)"
+    on = "DATETIME(6) ON UPDATE CURRENT_TIMESTAMP({})"
+    assert SchemaDiff(t("", on.format(3)), t("", on.format(6))).alter_types() == {"CHANGE_COL_DEFAULT_VAL"}
+
+
+@pytest.mark.parametrize("text", ["CREATE TABLE t (a INT, A INT)", "CREATE TABLE t (a INT, KEY k (b))", "CREATE TABLE t (a INT, KEY k (a), KEY k (a))", "CREATE TABLE t (a INT, PRIMARY KEY (b))"])
+def test_inconsistent_tables(text):
+    with pytest.raises(MigrationError, match="INVALID_SYNTAX"):
+        parse_table(text)
+
+
+OLD = parse_table("CREATE TABLE t (k BIGINT NOT NULL, v VARCHAR(9), PRIMARY KEY (k))")
+NEW = parse_table("CREATE TABLE t (k BIGINT NOT NULL, v VARCHAR(20), n INT NOT NULL, b BIGINT DEFAULT b'101', q VARCHAR(9) DEFAULT 'it''s', PRIMARY KEY (k))")
+LOG = "change_id long, dml_type long, k long, v string"
+
+
+@pytest.fixture
+def table(spark):
+    return spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+
+
+def test_migration_verifies_values(spark, table):
+    changes = spark.createDataFrame([(1, 3, 1, "A"), (2, 2, 2, None), (3, 1, 4, "d")], LOG)
+    after_changes = spark.createDataFrame([(1, "A"), (3, "c"), (4, "d")], "k long, v string")
+    seen = []
+    run = Migration(OLD, NEW, verify=True, strict=True, hooks={f"{w}_{s}": lambda x=f"{w}_{s}": seen.append(x) for w in ("before", "after") for s in ("check", "copy", "replay", "verify")})
+    new, odd = run.run(table, changes, expected=after_changes)
+    assert sorted(map(tuple, new.collect())) == [(1, "A", 0, 5, "it's"), (3, "c", 0, 5, "it's"), (4, "d", 0, 5, "it's")] and odd.count() == 0
+    assert seen == [f"{w}_{s}" for s in ("check", "copy", "replay", "verify") for w in ("before", "after")] and run.seconds["copy"] > 0.01
+    with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH.*columns v"):
+        Migration(OLD, NEW, verify=True).run(table, changes.where("dml_type <> 3"), expected=after_changes)
+
+
+def test_migration_errors(spark, table):
+    odd = lambda *rows: spark.createDataFrame(list(rows), LOG)
+    for change in ((1, 2, 9, None), (1, 1, 1, "x")):
+        with pytest.raises(MigrationError, match="REPLAY_WRONG_AFFECTED"):
+            Migration(OLD, NEW, strict=True).run(table, odd(change))
+        assert Migration(OLD, NEW).run(table, odd(change))[0].count() == 3
+    with pytest.raises(MigrationError, match="UNKNOWN_REPLAY_TYPE"):
+        Migration(OLD, NEW).run(table, odd((1, 7, 1, "x")))
+    slow = odd((1, 3, 1, "x")).withColumn("v", F.when(F.expr("java_method('java.lang.Thread', 'sleep', 3000L) is null"), F.col("v")))
+    with pytest.raises(MigrationError, match="REPLAY_TIMEOUT"):
+        Migration(OLD, NEW, seconds_limit=0.2).run(table, slow)
+    assert Migration(OLD, NEW, where="k > 1").run(table, odd((1, 3, 3, "x")))[0].count() == 2
+    assert Migration(OLD, OLD).run(table, odd())[0] is table
+    spark.range(3).createOrReplaceTempView("three")
+    asserting(spark, "SELECT count(*) FROM three", [(3,)])()
+    with pytest.raises(MigrationError, match="OUTSIDE_HOOK_ERROR.*ASSERTION_ERROR"):
+        Migration(OLD, NEW, hooks={"before_copy": asserting(spark, "SELECT count(*) FROM three", [(4,)])}).run(table, odd())
+    Migration(OLD, NEW, critical=False, hooks={"before_copy": lambda: 1 / 0}).run(table, odd())
+
+
+def test_migrate_a_table_of_the_catalog(spark, table):
+    none = spark.createDataFrame([], LOG)
+    with pytest.raises(MigrationError, match="TABLE_NOT_EXIST"):
+        Migration(OLD, NEW).run_table(spark, "absent", none)
+    table.write.mode("overwrite").saveAsTable("t")
+    try:
+        table.write.mode("overwrite").saveAsTable(PREFIXES["new"] + "t")
+        with pytest.raises(MigrationError, match="TABLE_ALREADY_EXIST"):
+            Migration(OLD, NEW).run_table(spark, "t", none)
+        assert clean_up(spark) == [PREFIXES["new"] + "t"]
+        with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH"):
+            Migration(OLD, NEW, verify=True).run_table(spark, "t", none, expected=table.where("k < 3"))
+        assert spark.table("t").columns == ["k", "v"] and not clean_up(spark)
+        assert Migration(OLD, NEW, verify=True, keep_old=True).run_table(spark, "t", spark.createDataFrame([(1, 2, 3, None)], LOG)) == PREFIXES["old"] + "t"
+        assert spark.table("t").columns == ["k", "v", "n", "b", "q"] and spark.table("t").count() == 2 and spark.table(PREFIXES["old"] + "t").count() == 3
+    finally:
+        clean_up(spark)
+        spark.sql("DROP TABLE IF EXISTS t")
+
+
+def test_sources(spark, tmp_path, table):
+    from tablewright.sources import tables
+
+    path = str(tmp_path / "f")
+    table.write.parquet(path)
+    before = tables.fingerprint(spark.read.parquet(path))
+    tables.require_unchanged(spark.read.parquet(path), before)
+    table.write.mode("append").parquet(path)
+    with pytest.raises(MigrationError, match="TABLE_TIMESTAMP_CHANGED_ERROR"):
+        tables.require_unchanged(spark.read.parquet(path), before)
+    (tmp_path / "t.sql").write_text("-- of t\nCREATE TABLE t (id INT) ENGINE=InnoDB")
+    assert tables.read_ddl(spark, str(tmp_path / "t.sql"), "innodb").name == "t"
+    with pytest.raises(MigrationError, match="engine"):
+        tables.read_ddl(spark, str(tmp_path / "t.sql"), "rocksdb")
+    chunks.dump(table, None, 0, str(tmp_path / "d"))
+    assert chunks.load(spark, str(tmp_path / "d"), table.schema).count() == 3
+    assert verify.strong(table, ["k", "v"]).first()[0] != verify.strong(table.unionByName(table), ["k", "v"]).first()[0]
+
+
+def test_catching_up(spark, tmp_path):
+    from tablewright.streaming.replay_stream import ReplayTarget, catch_up
+
+    log = str(tmp_path / "log")
+    spark.createDataFrame([(1, 3, 1, "A")], LOG).write.parquet(log)
+    target = ReplayTarget(spark, str(tmp_path / "t"), ["k"])
+    target.start(spark.createDataFrame([(1, "a")], "k long, v string"))
+    stream = lambda: spark.readStream.schema(LOG).parquet(log)
+    assert catch_up(stream(), target, str(tmp_path / "c"), seconds=600) == 1 and target.table().first().v == "A"
+    with pytest.raises(MigrationError, match="MAX_ATTEMPT_EXCEEDED"):
+        catch_up(stream(), target, str(tmp_path / "c"), seconds=0, attempts=2)
+    small = ReplayTarget(spark, str(tmp_path / "t"), ["k"], max_changes=1)
+    with pytest.raises(MigrationError, match="REPLAY_TOO_MANY_DELTAS"):
+        small.apply(spark.createDataFrame([(2, 3, 1, "B")], LOG), 9)
