@@ -1,31 +1,75 @@
 """Replay of a change stream: micro-batches of change files are folded into versions of the table.
 
-Late ids (gaps) are applied before new ones of the same batch and after all earlier batches;
+The table lies in buckets of its keys; a batch writes only the buckets that it touches, and a version is
+the list of the buckets' folders. Late ids (gaps) are applied before new ones of the same batch and after all earlier batches;
 an id that was seen is an error, unless the batch itself is a repeat, which finds its version
 already there. Gap state is kept as id ranges beside each version."""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import MigrationError
+from tablewright.functions.columns import columns, md5_prefix
 from tablewright.operators.capture import CHANGE_ID
 from tablewright.operators.gaps import CELL, gap_ranges
 from tablewright.operators.replay import folded, require_known_types
+from tablewright.operators.verify import by_change_window, compared, require_equal
 
 
 class ReplayTarget:
-    """Versions of a table under `path`: v=<batch>/table, v=<batch>/state (last id and missing ranges)."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], max_changes: int = 2_146_483_647):
-        self.spark, self.path, self.keys, self.max_changes = spark, path, keys, max_changes
-
-    def start(self, base: DataFrame, last_id: int = 0) -> None:
-        base.write.mode("error").parquet(f"{self.path}/v=-1/table")
-        self._state([(last_id, None, None)]).write.parquet(f"{self.path}/v=-1/state")
+    """Versions of a table under `path`: v=<batch>/table (the buckets that changed), v=<batch>/buckets (where each bucket
+    lies), v=<batch>/state (last id and missing ranges)."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], max_changes: int = 2_146_483_647, buckets: int = 64):
+        self.spark, self.path, self.keys, self.max_changes, self.buckets = spark, path, keys, max_changes, buckets
+
+    def start(self, base: DataFrame, last_id: int = 0, seen: DataFrame | None = None) -> None:
+        """Version -1: a snapshot that has all changes up to last_id; seen: the ids (change_id) that it has, so that the holes
+        between them are gaps, whose changes are still to come."""
+        base.limit(0).write.mode("error").parquet(f"{self.path}/schema")
+        self._write(base, -1, {}, range(self.buckets))
+        gaps_left = gap_ranges(seen.where(F.col(CHANGE_ID) <= last_id)).select(F.lit(last_id).cast("long").alias("last_id"), "first", "last") if seen is not None else None
+        state = self._state([(last_id, None, None)])
+        (state if gaps_left is None else state.unionByName(gaps_left)).write.parquet(f"{self.path}/v=-1/state")
+
+    def _bucketed(self, frame: DataFrame) -> DataFrame:
+        return frame.withColumn("__bucket", F.pmod(F.xxhash64(*columns(self.keys)), F.lit(self.buckets)).cast("int"))
+
+    def _write(self, rows: DataFrame, version: int, before: dict[int, int], touched: Iterable[int]) -> None:
+        """The touched buckets' rows, and where all buckets lie now."""
+        folder = f"{self.path}/v={version}"
+        self._bucketed(rows).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{folder}/table")
+        lie = before | {b: version for b in touched}
+        listed = [(b, v) for b, v in sorted(lie.items()) if v != version or self._exists(f"{folder}/table/__bucket={b}")]
+        self.spark.createDataFrame(listed, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets")
+
+    def _exists(self, path: str) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    def lie(self, version: int) -> dict[int, int]:
+        """The version in which each bucket that has rows was last written."""
+        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.path}/v={version}/buckets").collect()}
+
+    def _read(self, lie: dict[int, int]) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path}/schema").schema
+        paths = [f"{self.path}/v={v}/table/__bucket={b}" for b, v in sorted(lie.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def prune(self, keep: int = 2) -> list[int]:
+        """Delete the versions that none of the last `keep` ones needs; their numbers."""
+        done = self.versions()
+        needed = {v for last in done[-keep:] for v in (last, *self.lie(last).values())}
+        jvm, gone = self.spark.sparkContext._jvm, [v for v in done if v not in needed]
+        for v in gone:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return gone
 
     def _state(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, "last_id long, first long, last long").coalesce(1)
@@ -37,7 +81,7 @@ class ReplayTarget:
         return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "state/_SUCCESS")))
 
     def table(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1] if version is None else version}/table")
+        return self._read(self.lie(self.versions()[-1] if version is None else version))
 
     def state(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={version}/state")
@@ -47,6 +91,13 @@ class ReplayTarget:
         done = self.versions()
         if batch_id in done:
             return
+        batch = batch.persist()  # read several times below
+        try:
+            self._apply(batch, batch_id, done)
+        finally:
+            batch.unpersist()
+
+    def _apply(self, batch: DataFrame, batch_id: int, done: list[int]) -> None:
         before = max(v for v in done if v < batch_id)
         require_known_types(batch)
         state = self.state(before)
@@ -64,7 +115,9 @@ class ReplayTarget:
             raise MigrationError("REPLAY_TOO_MANY_DELTAS", count=top, limit=self.max_changes)
         folder = f"{self.path}/v={batch_id}"
         ordered = batch.withColumn("__order", F.when(F.col(CHANGE_ID) <= last, F.col(CHANGE_ID)).otherwise(F.col(CHANGE_ID) + F.lit(1 << 62)))
-        folded(self.table(before), ordered, self.keys, "__order").write.mode("overwrite").parquet(f"{folder}/table")
+        touched = {r[0] for r in self._bucketed(batch.select(*columns(self.keys))).select("__bucket").distinct().collect()}  # at most `buckets` rows
+        lie = self.lie(before)
+        self._write(folded(self._read({b: v for b, v in lie.items() if b in touched}), ordered, self.keys, "__order"), batch_id, lie, touched)
         found = seen.join(cells, inside).groupBy("first", "last").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # of one batch
         parts = missing.join(found, ["first", "last"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
         edges = F.concat(F.array(F.col("first") - 1), "ids", F.array(F.col("last") + 1))
@@ -79,6 +132,13 @@ def replay_available(changes: DataFrame, target: ReplayTarget, checkpoint: str)
     changes.writeStream.foreachBatch(target.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def verify_changes(target: ReplayTarget, expected: DataFrame, log: DataFrame, names: list[str], low: int = 0, high: int | None = None, size: int = 500) -> None:
+    """CHECKSUM_MISMATCH unless the rows of all keys that were first changed in a window of ids are the same in the target and in
+    `expected`: what is left to verify after a whole comparison."""
+    sums = lambda table: by_change_window(table, log, target.keys, names, low, high, size, md5_prefix)
+    require_equal(compared(sums(expected), sums(target.table()), "window_no", names))
+
+
 def catch_up(changes: DataFrame, target: ReplayTarget, checkpoint: str, seconds: float = 5.0, attempts: int = 15) -> int:
     """Rounds until one is quick enough for the final one to be short; the number of rounds."""
     for attempt in range(1, attempts + 1):

@@ -363,3 +363,27 @@ def test_catching_up(spark, tmp_path):
     small = ReplayTarget(spark, str(tmp_path / "t"), ["k"], max_changes=1)
     with pytest.raises(MigrationError, match="REPLAY_TOO_MANY_DELTAS"):
         small.apply(spark.createDataFrame([(2, 3, 1, "B")], LOG), 9)
+
+
+def test_stream_writes_touched_buckets_and_verifies(spark, tmp_path):
+    from tablewright.streaming.replay_stream import ReplayTarget, verify_changes
+
+    base = spark.createDataFrame([(k, f"b{k}") for k in range(40)], "k long, v string")
+    log = lambda *rows: spark.createDataFrame(list(rows), LOG)
+    target = ReplayTarget(spark, str(tmp_path / "t"), ["k"], buckets=8)
+    target.start(base, last_id=5, seen=spark.createDataFrame([(1,), (2,), (5,)], "change_id long"))
+    left = lambda: sorted(map(tuple, target.state(target.versions()[-1]).where("first IS NOT NULL").select("first", "last").collect()))
+    assert left() == [(3, 4)] and target.table().count() == 40
+    target.apply(log((3, 3, 7, "late"), (6, 3, 7, "new"), (7, 2, 8, None)), 0)
+    assert left() == [(4, 4)] and sum(v == 0 for v in target.lie(0).values()) <= 2
+    with pytest.raises(MigrationError, match="ASSERTION_ERROR"):
+        target.apply(log((2, 3, 7, "was in the snapshot")), 1)
+    target.apply(log(*[(8 + k, 2, k, None) for k in range(40) if k != 8]), 1)
+    assert target.table().count() == 0 and target.table(0).count() == 39
+    target.apply(log((60, 1, 3, "back")), 2)
+    assert list(map(tuple, target.table().collect())) == [(3, "back")]
+    every = log((6, 3, 7, "new"), (60, 1, 3, "back"))
+    verify_changes(target, spark.createDataFrame([(3, "back")], "k long, v string"), every, ["k", "v"])
+    with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH"):
+        verify_changes(target, spark.createDataFrame([(3, "other")], "k long, v string"), every, ["k", "v"])
+    assert target.prune(1) == [-1, 0, 1] and target.table().count() == 1
