@@ -437,3 +437,52 @@ def test_pipeline_of_an_empty_table(spark):
     for name, schema in (("documents", "doc_id long, text string"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_very_long_texts(spark):
+    """One text beyond any batch: every operator takes it whole."""
+    rng = np.random.default_rng(9)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghié"), 6)) for _ in range(5000)])
+    big = " ".join(rng.choice(vocabulary, 1_300_000))
+    size, cut = len(big.encode()), len(big) // 2
+    assert size > 9_000_000
+    texts = {1: big, 2: "short and new " * 3, 3: big[cut:] + " and what comes behind it"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    n = {i: len(words(t)) for i, t in texts.items()}
+    assert {i: r.n_words for i, r in ids(quality.quality_rules(docs)).items()} == n
+    assert {i: r.component_id for i, r in ids(ngram_join.jaccard_components(docs)).items()} == {1: 1, 2: 2, 3: 3}
+    tail = len(words(big[cut:])) - (big[cut - 1] != " ")
+    found = ids(substring.substring_digests(docs))
+    assert found[1].n_removed == found[2].n_removed == 0 and abs(found[3].n_removed - tail) <= 1
+    found = ids(suffix_dedup.repeat_digests(docs))
+    assert found[1].n_removed == found[2].n_removed == 0 and found[3].n_removed == len(big[cut:].encode()) and found[3].n_spans == 1
+    library = Tokenizer.from_file(PATH)
+    expected = {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    path = shared_path(spark, "t")
+    token_files.write_tokens(docs, path, PATH, 2)
+    assert {r.doc_id: r.ids_crc32 for r in token_files.token_digests(token_files.read_tokens(spark, path)).collect()} == {i: zlib.crc32(np.array(x, np.uint32).tobytes()) for i, x in expected.items()}
+    assert {i: r.ids_sha256 for i, r in ids(bpe.bpe_round_trip(docs, PATH)).items()} == {i: hashlib.sha256(np.array(x[:-1], np.uint32).tobytes()).hexdigest() for i, x in expected.items()}
+    bench = spark.createDataFrame([(1, " ".join(words(big)[-12:]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination(docs, bench).where("contaminated").collect()} == {1, 3}
+    assert licenses.license_scan(docs.withColumn("text", F.concat("text", F.lit(" Released under the MIT License.")))).count() == 3
+    assert sum(r.size for r in sharding.shard_documents(docs, 3, shared_path(spark, "m")).collect()) == sum(len(t.encode()) + 8 for t in texts.values())
+
+
+def test_dictionary_of_every_table(spark, docs):
+    """Few and short documents have a dictionary too, and one document is read alone."""
+    for rows in ([(1, "a b c d e f g")], [(i, BASE) for i in range(40)], [(i, t) for i, t in enumerate(TEXTS)]):
+        path = shared_path(spark, "t")
+        token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, 2)
+        dictionary, sha = token_files.read_dictionary(spark, path)
+        assert dictionary and {r.dictionary_sha256 for r in spark.read.parquet(f"{path}/blocks").collect()} == {sha}
+        assert token_files.read_tokens(spark, path, rows[-1][0]).count() == 1
+
+
+def test_clashing_columns(spark, docs):
+    """Columns named like those that the operators make."""
+    clash = docs.withColumns({c: F.lit("x") for c in ("hash", "hashes", "hot", "ranges", "range_id", "rest", "n_removed", "text_hash", "kept")})
+    assert quality.quality_filter(clash).columns == clash.columns
+    assert set(substring.remove_substrings(clash).select("rest.*").columns) == set(suffix_dedup.remove_repeats(clash).select("rest.*").columns) == set(clash.columns) - {"doc_id", "text"}
+    assert bpe.bpe_encode(clash, PATH).count() == licenses.license_scan(clash.withColumn("text", F.lit("Released under the MIT License."))).count() == docs.count()
+    turns = spark.createDataFrame([(1, 0, "user", "u", "x", "y"), (1, 1, "assistant", "a", "x", "y")], "conv_id long, turn long, role string, text string, formatted string, target string")
+    assert chat.chat_examples(turns).count() == 1
