@@ -175,7 +175,7 @@ def tiles(families: DataFrame) -> DataFrame:
     blocks = banded.groupBy("component", "band").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("n"))
     shifted = lambda by, name: blocks.select("component", (F.col("band") + by).alias("band"), F.col("n").alias(name))
     around = blocks.join(shifted(-1, "above"), ["component", "band"], "left").join(shifted(1, "below"), ["component", "band"], "left").fillna(0, ["above", "below"])
-    placed = banded.join(around, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    placed = banded.join(small(around, F.lit(48)), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     tile = lambda low, step, i, j, side: F.struct(F.xxhash64("component", low, F.lit(step), i, j).alias("tile"), F.lit(side).alias("side"))
     upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), f)).otherwise(F.array())
     block = F.col("block")
@@ -320,7 +320,7 @@ def class_links(docs: DataFrame, summaries: DataFrame, every: bool) -> DataFrame
     classes = stored(set_classes(summaries), "classes")
     families = components(candidate_edges(docs, classes)).withColumnRenamed("node", "d1")
     members = classes.join(families, "d1").select(F.col("class_id").alias("doc_id"), "d1", F.col("n_shingles").alias("size"), "component")
-    return verified_links(docs, stored(tiles(members), "tiles"), every)
+    return verified_links(docs, stored(tiles(stored(members, "members")), "tiles"), every)
 
 
 def set_classes(sets: DataFrame) -> DataFrame:

@@ -486,3 +486,21 @@ def test_clashing_columns(spark, docs):
     assert bpe.bpe_encode(clash, PATH).count() == licenses.license_scan(clash.withColumn("text", F.lit("Released under the MIT License."))).count() == docs.count()
     turns = spark.createDataFrame([(1, 0, "user", "u", "x", "y"), (1, 1, "assistant", "a", "x", "y")], "conv_id long, turn long, role string, text string, formatted string, target string")
     assert chat.chat_examples(turns).count() == 1
+
+
+def test_whole_table_against_the_tokenizers_library(spark):
+    """op3 and op4 as they are registered, over all documents of sf0.01."""
+    from tablewright.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
+    library = Tokenizer.from_file(PATH)
+    at, three, four = 0, [], []
+    for (i, _), e in zip(rows, library.encode_batch([t for _, t in rows], add_special_tokens=False), strict=True):
+        x = np.array([*e.ids, 2], np.uint32)
+        three.append((i, at, len(x), zlib.crc32(x.tobytes())))
+        decoded = library.decode(e.ids, skip_special_tokens=False)
+        four.append((i, len(x) - 1, hashlib.sha256(x[:-1].tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        at += len(x)
+    assert sorted(map(tuple, queries.op3_token_files(spark, d).collect())) == three
+    assert sorted(map(tuple, queries.op4_bpe(spark, d).collect())) == four
