@@ -22,6 +22,9 @@ ERRORS = {
     "TABLE_TIMESTAMP_CHANGED_ERROR": (115, "the source changed under the migration", True),
     "INVALID_SYNTAX": (116, "cannot parse: {message}", False),
     "ASSERTION_ERROR": (117, "expected {expected}, got {got}", False),
+    "FOREIGN_KEY_FOUND": (119, "{table} takes part in the foreign key {key}", False),
+    "NOT_ENOUGH_SPACE": (120, "{needed} bytes are needed, {free} are free", False),
+    "DB_NOT_EXIST": (121, "database {database} does not exist", False),
     "OUTSIDE_HOOK_ERROR": (118, "hook {hook} failed: {message}", False),
 }
 

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.cleanup import CleanUp
 from tablewright.errors import MigrationError
 from tablewright.functions.columns import checked_columns, md5_prefix, quoted
 from tablewright.operators import chunks, replay, verify
-from tablewright.plans.checks import require_migratable
+from tablewright.plans.checks import require_migratable, verification
 from tablewright.plans.diff import SchemaDiff
 from tablewright.plans.schema import ColumnSpec, TableSpec, same_schema
 from tablewright.sources.shared import computed
@@ -63,7 +64,7 @@ class Migration:
     """Stages in order, each computed before the next begins, with hooks before and after it and its seconds.
 
     where: a filter of the rows to copy; changes are replayed as they are, and no checksums are compared, as the old table has more. strict: a change that fits no
-    row is an error. verify: a mismatch is an error. seconds_limit: of the replay."""
+    row is an error (keep_failed_in: a folder for such changes). verify: a mismatch is an error. seconds_limit: of the replay."""
 
     old: TableSpec
     new: TableSpec
@@ -77,6 +78,7 @@ class Migration:
     rebuild: bool = False
     keep_old: bool = False
     seconds_limit: float | None = None
+    keep_failed_in: str | None = None
     seconds: dict[str, float] = field(default_factory=dict)
 
     def stage(self, name: str, work: Callable[[], Any]) -> Any:
@@ -98,7 +100,7 @@ class Migration:
     def replayed(self, copy: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
         replay.require_known_types(changes)
         if self.strict and not self.where:
-            replay.require_effect(copy, changes, keys)
+            replay.require_effect(copy, changes, keys, self.keep_failed_in)
         kept = [c for c in changes.columns if c in (replay.CHANGE_ID, replay.DML_TYPE) or self.new.column(c)]
         typed = [F.col(quoted(c)).cast(self.new.column(c).spark_type()).alias(c) if self.new.column(c) else F.col(quoted(c)) for c in kept]
         defaults = {c.name: default_value(c).cast(c.spark_type()) for c in self.new.columns if c.name not in kept}
@@ -115,11 +117,13 @@ class Migration:
         copy = self.stage("copy", lambda: copied(scan(table, table.columns, self.where), self.new))
         require_same_types(copy, self.new)
         new = self.stage("replay", lambda: self.replayed(copy, changes, keys))
-        if self.where:
+        way = verification(self.old, self.new, keys, self.where)
+        if way == "none":
             return new, none
         target = expected if expected is not None else replay.folded(table, changes, keys)
         shared = [c for c in checked_columns(new) if c in table.columns]
-        sums = lambda frame: verify.by_chunk(frame, keys, self.chunk_rows, shared, md5_prefix)
+        whole = lambda frame: verify.whole(frame, shared, md5_prefix).withColumn("chunk_id", F.lit(0).cast("long"))
+        sums = (lambda frame: verify.by_chunk(frame, keys, self.chunk_rows, shared, md5_prefix)) if way == "chunks" else whole
         checks = self.stage("verify", lambda: verify.compared(sums(copied(target, self.new)), sums(new), "chunk_id", shared))
         if self.verify:
             verify.require_equal(checks)
@@ -133,19 +137,20 @@ class Migration:
         fresh, away = PREFIXES["new"] + table, PREFIXES["old"] + table
         if left := [t for t in (fresh, away) if spark.catalog.tableExists(t)]:
             raise MigrationError("TABLE_ALREADY_EXIST", table=left[0])
+        made = CleanUp(spark)
+        made.tables.append(fresh)
         try:
             new, _ = self.run(spark.table(table), changes, expected)
             new.write.saveAsTable(fresh)
             require_same_types(spark.table(fresh), self.new)
             spark.sql(f"ANALYZE TABLE {quoted(fresh)} COMPUTE STATISTICS")
             self.stage("swap", lambda: swap_tables(spark, table, fresh))
-        except Exception:
-            spark.sql(f"DROP TABLE IF EXISTS {quoted(fresh)}")
-            raise
-        if self.keep_old:
-            return away
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(away)}")
-        return None
+            made.forget(fresh)
+            if not self.keep_old:
+                made.tables.append(away)
+        finally:
+            made.run()
+        return away if self.keep_old else None
 
     def diff(self) -> SchemaDiff:
         return SchemaDiff(self.old, self.new)

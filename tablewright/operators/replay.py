@@ -83,9 +83,12 @@ def violations(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
     return judged.where((of_type(DELETE) & ~F.col("__state")) | (of_type(INSERT) & F.col("__state"))).drop("__there", "__state")
 
 
-def require_effect(table: DataFrame, changes: DataFrame, keys: list[str]) -> None:
-    """Strict replay: REPLAY_WRONG_AFFECTED where a delete finds no row or an insert finds one."""
-    if count := violations(table, changes, keys).count():
+def require_effect(table: DataFrame, changes: DataFrame, keys: list[str], keep_in: str | None = None) -> None:
+    """Strict replay: REPLAY_WRONG_AFFECTED where a delete finds no row or an insert finds one. keep_in: a folder for these changes."""
+    odd = violations(table, changes, keys)
+    if count := odd.count():
+        if keep_in:
+            odd.write.parquet(keep_in)
         raise MigrationError("REPLAY_WRONG_AFFECTED", count=count)
 
 

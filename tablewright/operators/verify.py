@@ -79,6 +79,12 @@ def strong_portable(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.agg(F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
 
 
+def write_differing(old: DataFrame, new: DataFrame, keys: list[str], rows: int, differences: DataFrame, path: str) -> None:
+    """Write all rows of the chunks that differ (rows of `compared`, by chunk_id), those of either side in folders of their own."""
+    side = lambda frame, name: chunked(frame, keys, rows).join(differences.select("chunk_id"), "chunk_id", "left_semi").withColumn("side", F.lit(name))
+    side(old, "old").unionByName(side(new, "new"), allowMissingColumns=True).write.partitionBy("side", "chunk_id").parquet(path)
+
+
 def row_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of one side only, with the side."""
     names = old.columns

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from tablewright.errors import MigrationError
 from tablewright.plans.diff import needs_current_time
-from tablewright.plans.schema import KeySpec, TableSpec
+from tablewright.plans.schema import KeySpec, TableSpec, normalized
 
 
 def identity(table: TableSpec, allow_new_key: bool = False) -> tuple[list[str], bool]:
@@ -57,6 +59,30 @@ def require_migratable(old: TableSpec, new: TableSpec, allow_drop: bool = False,
     return names
 
 
+def require_no_foreign_keys(found: DataFrame, table: str) -> None:
+    """FOREIGN_KEY_FOUND if the table has one or is named by one (rows of sources.tables.foreign_keys)."""
+    if first := found.orderBy("name").limit(1).collect():
+        raise MigrationError("FOREIGN_KEY_FOUND", table=table, key=first[0]["name"])
+
+
+def require_space(table_bytes: int, free_bytes: int, new_identity: bool = False, reserved: float = 0.01) -> None:
+    """NOT_ENOUGH_SPACE unless the copy fits beside the table; without a key to cut by, its dump as well."""
+    needed = 2 * table_bytes if new_identity else table_bytes * 11 // 10
+    if needed > free_bytes * (1 - reserved):
+        raise MigrationError("NOT_ENOUGH_SPACE", needed=needed, free=free_bytes)
+
+
+def verification(old: TableSpec, new: TableSpec, keys: list[str], where: str | None = None, skip: bool = False) -> str:
+    """How old and new can be compared: `none` (a filtered copy lacks rows), `whole` (rows cannot be numbered alike on both sides: no unique
+    key of the new schema starts with the old one, or a key column's collation changes the order) or `chunks`."""
+    if skip or where:
+        return "none"
+    old, new = normalized(old), normalized(new)
+    collation = lambda t, name: (c := t.column(name)) and c.collate
+    alike = ordered_key(new, keys) and all(collation(old, k) == collation(new, k) for k in keys)
+    return "chunks" if alike else "whole"
+
+
 def session_overrides(text: str) -> dict[str, str]:
     out = {}
     for part in filter(None, (p.strip() for p in text.split(";"))):

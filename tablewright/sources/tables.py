@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import MigrationError
-from tablewright.functions.columns import columns
+from tablewright.functions.columns import columns, quoted
 from tablewright.plans.schema import TableSpec, parse_table
 
 
@@ -40,6 +40,24 @@ def require_unchanged(table: DataFrame, before: int) -> None:
         raise MigrationError("TABLE_TIMESTAMP_CHANGED_ERROR")
 
 
+def size(table: DataFrame) -> tuple[int, int]:
+    """Files and bytes that a table reads: by listing, without reading any."""
+    folders = sorted({p.rsplit("/", 1)[0] for p in table.inputFiles()})
+    if not folders:
+        return 0, 0
+    return tuple(table.sparkSession.read.format("binaryFile").load(folders).agg(F.count(F.lit(1)), F.sum("length")).first())
+
+
+def partition_names(spark: SparkSession, table: str) -> DataFrame:
+    """part: the partitions of a table of the catalog."""
+    return spark.sql(f"SHOW PARTITIONS {quoted(table)}").select(F.col("partition").alias("part"))
+
+
+def require_database(spark: SparkSession, database: str) -> None:
+    if not spark.catalog.databaseExists(database):
+        raise MigrationError("DB_NOT_EXIST", database=database)
+
+
 def foreign_keys(spark: SparkSession, specs: list[TableSpec], table: str) -> DataFrame:
     """name, child, col, parent of all foreign keys of a table or on it: rules and the columns that they use, joined by name."""
     rules = [(f[0], s.name, f[2]) for s in specs for f in s.foreign]

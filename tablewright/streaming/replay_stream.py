@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import MigrationError
 from tablewright.functions.columns import columns, md5_prefix
-from tablewright.operators.capture import CHANGE_ID
+from tablewright.operators.capture import CHANGE_ID, in_range, last_id
 from tablewright.operators.gaps import CELL, gap_ranges
 from tablewright.operators.replay import folded, require_known_types
 from tablewright.operators.verify import by_change_window, compared, require_equal
@@ -127,6 +127,17 @@ class ReplayTarget:
         left.select(now.alias("last_id"), "first", "last").unionByName(self.spark.range(1).select(now.alias("last_id"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))).write.mode("overwrite").parquet(f"{folder}/state")
 
 
+def replay_ranges(log: DataFrame, target: ReplayTarget, size: int = 500_000) -> int:
+    """Replay a stored log in ranges of at most `size` ids after the target's last one, so that no batch holds a whole backlog; the
+    number of ranges. Each range is a version, numbered on."""
+    done = target.versions()[-1]
+    low = target.state(done).agg(F.max("last_id")).first()[0]
+    high = last_id(log).first()[0]
+    for n, start in enumerate(range(low, high, size)):
+        target.apply(in_range(log, start, min(start + size, high)), done + 1 + n)
+    return max(0, -(-(high - low) // size))
+
+
 def replay_available(changes: DataFrame, target: ReplayTarget, checkpoint: str) -> None:
     """One round: all change files that are there, then stop."""
     changes.writeStream.foreachBatch(target.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.cleanup import CleanUp
 from tablewright.errors import ERRORS, MigrationError
 from tablewright.functions.columns import after, quoted, readable_size
 from tablewright.migrate import PREFIXES, Migration, asserting, clean_up
@@ -10,7 +11,8 @@ from tablewright.operators import capture, chunks, gaps, replay, verify
 from tablewright.plans import checks
 from tablewright.plans.partitions import parse_partitions
 from tablewright.plans.diff import SchemaDiff, converted_columns, needs_current_time
-from tablewright.plans.schema import parse_table, same_schema
+from tablewright.plans.schema import droppable_keys, expires, parse_table, same_schema
+from tablewright.sources.tables import foreign_keys, require_database, size
 
 T = "CREATE TABLE t (id INT NOT NULL, a VARCHAR(10), PRIMARY KEY (id)) ENGINE=InnoDB DEFAULT CHARSET=utf8"
 
@@ -387,3 +389,56 @@ def test_stream_writes_touched_buckets_and_verifies(spark, tmp_path):
     with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH"):
         verify_changes(target, spark.createDataFrame([(3, "other")], "k long, v string"), every, ["k", "v"])
     assert target.prune(1) == [-1, 0, 1] and target.table().count() == 1
+
+
+def test_ranges_of_a_backlog(spark, tmp_path):
+    from tablewright.streaming.replay_stream import ReplayTarget, replay_ranges
+
+    rnd = random.Random(8)
+    base, log = {k: f"b{k}" for k in range(20)}, [(i, rnd.choice([1, 2, 3]), rnd.randrange(30), f"c{i}") for i in range(1, 61)]
+    target = ReplayTarget(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    target.start(spark.createDataFrame(list(base.items()), "k long, v string"))
+    assert replay_ranges(spark.createDataFrame(log, LOG), target, 25) == 3 and target.versions() == [-1, 0, 1, 2]
+    assert {r.k: r.v for r in target.table().collect()} == sequential(base, log)
+    assert replay_ranges(spark.createDataFrame(log, LOG), target, 25) == 0
+
+
+def test_ways_to_verify_and_models(spark):
+    t = lambda inside, more="": parse_table(f"CREATE TABLE t ({inside}) {more}")
+    old = t("a VARCHAR(9) COLLATE latin1_bin NOT NULL, n INT, PRIMARY KEY (a)")
+    assert checks.verification(old, t("a VARCHAR(9) COLLATE latin1_bin NOT NULL, n INT, PRIMARY KEY (a)"), ["a"]) == "chunks"
+    assert checks.verification(old, t("a VARCHAR(9) COLLATE latin1_swedish_ci NOT NULL, n INT, PRIMARY KEY (a)"), ["a"]) == "whole"
+    assert checks.verification(old, t("a VARCHAR(9) COLLATE latin1_bin NOT NULL, n INT, PRIMARY KEY (n), KEY k (a)"), ["a"]) == "whole"
+    assert checks.verification(old, old, ["a"], where="n > 1") == "none"
+    keyed = t("a INT AUTO_INCREMENT, b INT, PRIMARY KEY (b), KEY x (a), KEY y (a, b), UNIQUE KEY z (b)", "ENGINE=ROCKSDB COMMENT='ttl_duration=60;'")
+    assert [k.name for k in droppable_keys(keyed)] == ["y", "z"] and [k.name for k in droppable_keys(keyed, True)] == ["y"]
+    assert expires(keyed) and not expires(old)
+    assert sorted((r.kind, r.name) for r in keyed.rows(spark).collect()) == [("column", "a"), ("column", "b"), ("key", "PRIMARY"), ("key", "x"), ("key", "y"), ("key", "z"), ("option", "COMMENT"), ("option", "ENGINE")]
+    linked = t("a INT, CONSTRAINT f FOREIGN KEY (a) REFERENCES o (i)")
+    with pytest.raises(MigrationError, match="FOREIGN_KEY_FOUND.* f"):
+        checks.require_no_foreign_keys(foreign_keys(spark, [linked], "t"), "t")
+    checks.require_no_foreign_keys(foreign_keys(spark, [linked], "x"), "x")
+    checks.require_space(100, 112)
+    for bytes_, free, new in ((100, 105, False), (100, 112, True)):
+        with pytest.raises(MigrationError, match="NOT_ENOUGH_SPACE"):
+            checks.require_space(bytes_, free, new)
+    with pytest.raises(MigrationError, match="DB_NOT_EXIST"):
+        require_database(spark, "absent")
+
+
+def test_what_is_kept_of_failures(spark, table, tmp_path):
+    with pytest.raises(MigrationError, match="REPLAY_WRONG_AFFECTED: 1 "):
+        Migration(OLD, NEW, strict=True, keep_failed_in=str(tmp_path / "odd")).run(table, spark.createDataFrame([(1, 2, 9, None), (2, 3, 1, "x")], LOG))
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "odd")).collect()] == [9]
+    other = table.withColumn("v", F.when(F.col("k") == 3, "z").otherwise(F.col("v")))
+    sums = lambda frame: verify.by_chunk(frame, ["k"], 1, ["k", "v"])
+    verify.write_differing(table, other, ["k"], 1, verify.compared(sums(table), sums(other), "chunk_id", ["k", "v"]), str(tmp_path / "diff"))
+    assert sorted((r.side, r.chunk_id, r.v) for r in spark.read.parquet(str(tmp_path / "diff")).collect()) == [("new", 2, "z"), ("old", 2, "c")]
+    table.write.parquet(str(tmp_path / "f"))
+    files, bytes_ = size(spark.read.parquet(str(tmp_path / "f")))
+    assert files >= 1 and bytes_ > 100
+    made = CleanUp(spark)
+    made.files += [str(tmp_path / "f"), str(tmp_path / "absent")]
+    table.createOrReplaceTempView("seen")
+    made.views.append("seen")
+    assert made.run() == [("file", str(tmp_path / "f")), ("view", "seen")] and not (tmp_path / "f").exists()
