@@ -8,8 +8,10 @@ failing pair go through the exact merges.
 
 Null and empty texts have no tokens. Special tokens inside a text become their ids and are
 written out again by decoding, as the tokenizers library does by default. Rows are encoded
-one by one: ties, repeated rows and extra columns do not matter, as only doc_id and text are
-read; the vocabulary file's path is a parameter and is opened on each executor.
+one by one: ties, repeated rows, null ids and extra columns do not matter, as only doc_id and text are
+read. Texts of any length are encoded whole, each in one task; pre-tokens are known by their bytes. An
+empty table gives an empty result. The vocabulary file's path is a parameter and is opened on each
+executor.
 """
 
 from __future__ import annotations

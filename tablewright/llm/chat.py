@@ -7,8 +7,9 @@ inside roles and texts the backslash becomes `\\b`, `<` becomes `\\l` and `>` be
 text can hold a mark and reading back is exact.
 
 Null texts and roles count as empty, a null turn number comes first, equal turn numbers are
-ordered by role and text, a null conv_id is a conversation of its own. Empty tables give
-empty results. Extra columns are not read.
+ordered by role and text (ties, and repeated rows, are turns of their own), a null conv_id is a
+conversation of its own. Texts of any length are kept whole; a conversation's turns are gathered in one
+row, so it must fit a task. Empty tables give empty results. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ aligned again. Words are lower-case ASCII letters, digits and everything beyond
 punctuation and line breaks do not matter.
 
 Null and empty texts match nothing. Rows are scanned one by one, so repeated rows, equal and
-null ids and ties give rows of their own; where two templates fit, both are reported. Extra
-columns are not read. A template without words is refused.
+null ids and ties give rows of their own; where two templates fit, both are reported. Texts of any
+length are scanned whole, each in one task. An empty table gives an empty result. Extra columns are not
+read. A template without words is refused.
 """
 
 from __future__ import annotations
