@@ -100,8 +100,9 @@ def shared_anchors(docs: DataFrame, how: Units, across: bool) -> DataFrame:
     return found.groupBy(F.col("holder").alias("doc_id")).agg(F.collect_set("key").alias("hashes"), F.collect_set(hot).alias("hot"))
 
 
-#: at: of the anchor in the segment, or, where there is none, how many units are matched. more: where else the segment begins in its text.
-SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long, more array<long>"
+#: at: of the anchor in the segment, or, where there is none, how many units are matched. more: where else the segment
+#: begins in its text, as 64-bit numbers (a list column that is mostly null costs Spark a pass over the batch for each row).
+SEGMENT = "key long, segment binary, at int, doc_id long, text_hash long, begin long, more binary"
 
 
 def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> DataFrame:
@@ -122,7 +123,7 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            batch = batch.filter(batch.column(3).is_valid())
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(3)), 0))
             for part in slices(batch):
                 found = anchors(Texts(part.column(2)), how)
                 wanted = np.flatnonzero(chosen(part.column(3), found.row, found.hash))
@@ -177,11 +178,12 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
                 else:
                     places, head = [], []
                 if len(columns[0]):
-                    others = pa.array([*[None] * len(cold), *places, *[None] * len(head)], pa.list_(pa.int64()))
+                    others = pa.array([*[b""] * len(cold), *(np.array(x, np.int64).tobytes() if x else b"" for x in places), *[b""] * len(head)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2].astype(np.int32)), *map(pa.array, columns[3:]), others], ["key", "segment", "at", "doc_id", "text_hash", "begin", "more"])
 
     joined = base.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id") == F.col("shared_id"), "left")
-    return joined.select("doc_id", "text_hash", "text", "hashes", "hot").mapInArrow(work, SEGMENT)
+    none = F.array().cast("array<long>")
+    return joined.select("doc_id", "text_hash", "text", F.coalesce("hashes", none).alias("hashes"), F.coalesce("hot", none).alias("hot")).mapInArrow(work, SEGMENT)
 
 
 @dataclass
@@ -210,7 +212,7 @@ class Group:
         distinct = segment.take(pa.array(head))
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(head) + 1]
         data = np.frombuffer(distinct.buffers()[2], np.uint8)
-        return Group(numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, numbers(table, "at").astype(np.int64)[head], data[offsets[0] : offsets[-1]], offsets - offsets[0], table.column("more").is_valid().to_numpy(), table.column("more"))
+        return Group(numbers(table, "doc_id"), numbers(table, "begin"), numbers(table, "text_hash"), np.cumsum(opens) - 1, head, numbers(table, "at").astype(np.int64)[head], data[offsets[0] : offsets[-1]], offsets - offsets[0], pc.binary_length(table.column("more")).to_numpy() > 0, table.column("more"))
 
 
 Judge = Callable[[Group], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -251,7 +253,7 @@ def matched(found: DataFrame, how: Units, judge: Judge) -> DataFrame:
             end = np.concatenate([end, g.begin[again] + place[closes[run] - 1] + how.span])
             several = np.flatnonzero(g.several[rows])
             if len(several):
-                places = [g.more[int(r)].as_py() for r in rows[several].tolist()]
+                places = [np.frombuffer(g.more[int(r)].as_py(), np.int64) for r in rows[several].tolist()]
                 each = np.repeat(several, list(map(len, places)))
                 rows, size = np.concatenate([rows, rows[each]]), end[each] - begin[each]
                 begin = np.concatenate([begin, np.concatenate(places)])
@@ -271,8 +273,9 @@ def base_rows(docs: DataFrame) -> DataFrame:
 
 
 def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The base rows with the ranges of their ids, null where there are none."""
-    return base.join(ranges.withColumnRenamed("doc_id", "range_id"), F.col("doc_id") == F.col("range_id"), "left").drop("range_id")
+    """The base rows with the ranges of their ids, none where there are none."""
+    joined = base.join(ranges.withColumnRenamed("doc_id", "range_id"), F.col("doc_id") == F.col("range_id"), "left").drop("range_id")
+    return joined.withColumn("ranges", F.coalesce("ranges", F.array().cast(dict(ranges.dtypes)["ranges"])))
 
 
 def removed_units(batch: pa.RecordBatch, column: int, first: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
