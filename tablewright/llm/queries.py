@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.bpe import bpe_round_trip
 from tablewright.llm.chat import chat_examples, conversation_digests
 from tablewright.llm.decontaminate import contamination
+from tablewright.llm.hard_negatives import hard_negatives
+from tablewright.llm.lexical_search import ranked_search
 from tablewright.llm.licenses import license_scan
 from tablewright.llm.ngram_join import jaccard_join
 from tablewright.llm.quality import quality_rules
@@ -19,6 +21,7 @@ from tablewright.llm.substring import substring_digests
 from tablewright.llm.suffix_dedup import repeat_digests
 from tablewright.llm._shared import shared_path
 from tablewright.llm.token_files import read_tokens, token_digests, write_tokens
+from tablewright.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -84,9 +87,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    found = toxicity(documents(spark, sf_dir), labels, threshold=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted", "n_windows", F.size("spans").alias("n_toxic_windows"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_ngram_join, op2_ngram_links, op3_token_files, op4_bpe, op5_substring_dedup, op6_sharding, op7_chat_format, op8_license_scan, op9_decontamination, op10_suffix_dedup)
+    for f in (op1_quality_rules, op2_ngram_join, op2_ngram_links, op3_token_files, op4_bpe, op5_substring_dedup, op6_sharding, op7_chat_format, op8_license_scan, op9_decontamination, op10_suffix_dedup, op11_toxicity, op12_hard_negatives, op13_lexical_search)
 }
 
 _WORDS5 = r"""list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
@@ -163,6 +182,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(upto) FILTER (role = 'assistant' OR k = total)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op12_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+e AS (SELECT vec_id, label, list_transform(x, lambda v: floor(256 * v::DOUBLE)) AS x FROM r WHERE len(list_filter(x, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
+    "op13_lexical_search": r"""
+WITH c AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT r, doc_id, unnest(list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM c),
+f AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM d GROUP BY r, term),
+l AS (SELECT r, sum(tf)::BIGINT AS n FROM f GROUP BY r),
+z AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM l),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM g, z),
+i AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))) AS impact FROM f JOIN l USING (r) JOIN w USING (term), z WHERE term IN (SELECT term FROM q)),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, r)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
     "op9_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
