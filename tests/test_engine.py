@@ -442,3 +442,83 @@ def test_what_is_kept_of_failures(spark, table, tmp_path):
     table.createOrReplaceTempView("seen")
     made.views.append("seen")
     assert made.run() == [("file", str(tmp_path / "f")), ("view", "seen")] and not (tmp_path / "f").exists()
+
+
+def _target(spark, path, base, **more):
+    from tablewright.streaming.replay_stream import ReplayTarget
+
+    target = ReplayTarget(spark, str(path), ["k"], buckets=4, **more)
+    target.start(spark.createDataFrame(base, "k long, v string"))
+    return target
+
+
+def _rows(target):
+    return sorted(map(tuple, target.table().collect()))
+
+
+def test_a_stream_after_ranges_loses_nothing(spark, tmp_path):
+    from tablewright.streaming.replay_stream import replay_available, replay_ranges
+
+    target = _target(spark, tmp_path / "t", [(1, "a")])
+    first = [(1, 3, 1, "A"), (2, 1, 2, "b")]
+    assert replay_ranges(spark.createDataFrame(first, LOG), target, 1) == 2
+    spark.createDataFrame([(3, 1, 3, "c")], LOG).write.parquet(str(tmp_path / "log"))
+    stream = lambda: spark.readStream.schema(LOG).parquet(str(tmp_path / "log"))
+    replay_available(stream(), target, str(tmp_path / "c1"))
+    assert _rows(target) == [(1, "A"), (2, "b"), (3, "c")] and target.versions() == [-1, 0, 1, 2]
+    replay_available(stream(), target, str(tmp_path / "c1"))
+    assert target.versions() == [-1, 0, 1, 2]
+    with pytest.raises(Exception, match="ids that were seen"):  # a new checkpoint reads the log again: an error, not a silent repeat
+        replay_available(stream(), target, str(tmp_path / "c2"))
+    assert [(c.writer[:6], c.batch, c.first_id, c.last_id) for c in target.commits.entries()] == [("start", 0, None, 0), ("ranges", 0, 1, 1), ("ranges", 1, 2, 2), ("stream", 0, 3, 3)]
+
+
+def test_two_writers_cannot_both_win(spark, tmp_path):
+    from tablewright.streaming.replay_stream import ReplayTarget
+
+    a = _target(spark, tmp_path / "t", [(1, "a")])
+    b = ReplayTarget(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    log = lambda *r: spark.createDataFrame(list(r), LOG)
+    mine = a._applied(log((1, 3, 1, "A"), (2, 1, 2, "b")), 0, "a", -1)
+    assert b.apply(log((3, 1, 3, "c")), 0, "b") == 0  # it came first
+    assert not a.commits.claim(mine) and _rows(a) == [(1, "a"), (3, "c")]  # what was written aside does not show
+    assert a.apply(log((1, 3, 1, "A"), (2, 1, 2, "b")), 0, "a") == 1  # ids 1 and 2 were gaps of the other writer's version
+    assert _rows(a) == _rows(b) == [(1, "A"), (2, "b"), (3, "c")]
+    assert a.apply(log((9, 2, 1, None)), 0, "b") is None and len(a.versions()) == 3
+
+    race = ReplayTarget(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    applied, turns = race._applied, []
+
+    def overtaken(*args):  # another writer commits while this one writes
+        made = applied(*args)
+        if not turns:
+            turns.append(b.apply(log((4, 2, 3, None)), 1, "b"))
+        return made
+
+    race._applied = overtaken
+    assert race.apply(log((5, 3, 1, "AA")), 0, "race") == turns[0] + 1
+    assert _rows(a) == [(1, "AA"), (2, "b")]
+
+
+def test_final_replay_is_one_version(spark, tmp_path):
+    from tablewright.streaming.replay_stream import final_replay
+
+    target = _target(spark, tmp_path / "t", [(1, "a")])
+    log = spark.createDataFrame([(i, 3, 1, f"v{i}") for i in range(1, 30)], LOG)
+    target.apply(log.where("change_id in (2, 5)"), 0)
+    assert final_replay(log, target, ceiling=20) == 1 and _rows(target) == [(1, "v20")]
+    assert target.last_id() == 20 and target.state(1).where("first IS NOT NULL").count() == 0
+    assert final_replay(log, target) == 2 and final_replay(log, target) is None
+    with pytest.raises(MigrationError, match="UNKNOWN_REPLAY_TYPE"):
+        final_replay(spark.createDataFrame([(40, 3, 1, "x"), (41, 9, 1, "y")], LOG), target)
+    assert target.last_id() == 29
+
+
+def test_missing_ranges_shrink(spark, monkeypatch):
+    monkeypatch.setattr(gaps, "CELL", 7)
+    ranges = spark.createDataFrame([(3, 30), (40, 40), (50, 52)], "first long, last long")
+    left = gaps.still_missing(ranges, spark.createDataFrame([(3,), (8,), (9,), (30,), (40,), (51,), (51,), (99,)], "id long"))
+    got = sorted(i for a, b in left.collect() for i in range(a, b + 1))
+    assert got == [i for i in [*range(3, 31), 40, 50, 51, 52] if i not in (3, 8, 9, 30, 40, 51)]
+    inside = gaps.in_ranges(spark.createDataFrame([(i,) for i in range(60)], "change_id long"), ranges)
+    assert sorted(r[0] for r in inside.collect()) == [*range(3, 31), 40, 50, 51, 52]
