@@ -25,6 +25,8 @@ ERRORS = {
     "FOREIGN_KEY_FOUND": (119, "{table} takes part in the foreign key {key}", False),
     "NOT_ENOUGH_SPACE": (120, "{needed} bytes are needed, {free} are free", False),
     "DB_NOT_EXIST": (121, "database {database} does not exist", False),
+    "UNVERIFIED_SWAP": (122, "nothing is known that the new {table} could be compared with", False),
+    "DUPLICATE_KEY": (123, "rows share the unique key {columns}: {value}", False),
     "OUTSIDE_HOOK_ERROR": (118, "hook {hook} failed: {message}", False),
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import threading
 import time
@@ -16,17 +17,43 @@ from pyspark.sql import types as T
 
 from tablewright.cleanup import CleanUp
 from tablewright.errors import MigrationError
-from tablewright.functions.columns import checked_columns, md5_prefix, quoted
-from tablewright.operators import chunks, replay, verify
-from tablewright.plans.checks import require_migratable, verification
-from tablewright.plans.diff import SchemaDiff
+from tablewright.functions.columns import checked_columns, columns, matches, md5_prefix, quoted
+from tablewright.operators import chunks, replay, tree, uniques, verify
+from tablewright.operators.stats import RunStats
+from tablewright.plans.checks import identity, require_migratable, require_no_foreign_keys, require_space, verification
+from tablewright.plans.diff import SchemaDiff, converted_columns
 from tablewright.plans.schema import ColumnSpec, TableSpec, same_schema
 from tablewright.sources.shared import computed
-from tablewright.sources.tables import scan
+from tablewright.sources.tables import fingerprint, require_database, require_unchanged, scan, size
 
 PREFIXES = {"new": "__tw_new_", "old": "__tw_old_"}
 
 
+LONGEST_NAME = 64  # fixed value: of an object's name
+
+
+def beside(prefix: str, table: str) -> str:
+    """The name of an object beside a table: prefix and name, or, where that is too long, a part of the name and a digest of all of it."""
+    name = prefix + table
+    if len(name) <= LONGEST_NAME:
+        return name
+    digest = hashlib.sha256(table.encode()).hexdigest()[:12]
+    return f"{prefix}{table[: LONGEST_NAME - len(prefix) - 13]}_{digest}"
+
+
+def untouched(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys no change has."""
+    return table.alias("t").join(changes.select(*columns(keys)).distinct().alias("c"), matches("t", "c", keys), "left_anti")
+
+
+def rows_of_files(table: DataFrame, chunk_bytes: int) -> int:
+    """Rows of a chunk of so many bytes, by the table's files: their length from a listing, their rows from the files' footers, which is all that
+    a count without columns reads."""
+    total = size(table)[1]
+    count = table.count()
+    return chunks.rows_per_chunk(chunk_bytes, total // max(1, count))
+
+
 def default_value(c: ColumnSpec) -> F.Column:
     """Of a column that the old table lacks: what its DEFAULT says; without one, the zero of its type where null is not allowed."""
     if c.default is None or c.default.upper() == "NULL":
@@ -64,12 +91,17 @@ class Migration:
     """Stages in order, each computed before the next begins, with hooks before and after it and its seconds.
 
     where: a filter of the rows to copy; changes are replayed as they are, and no checksums are compared, as the old table has more. strict: a change that fits no
-    row is an error (keep_failed_in: a folder for such changes). verify: a mismatch is an error. seconds_limit: of the replay."""
+    row is an error (keep_failed_in: a folder for such changes). verify: a mismatch is an error (always so before a swap, but for
+    swap_unverified). seconds_limit: of the replay. ceiling: changes with larger ids are left alone.
+    foreign: foreign keys (rows of sources.tables.foreign_keys), none of which may touch the table. free_bytes: of the store, checked against the
+    table's size. eliminate_dups: of rows that agree in a unique key of the new schema the first ones stay; else such rows are an error.
+    chunk_rows: of a comparison's chunks; None: by chunk_bytes and the bytes of a row in the table's files. force_cleanup: what an earlier migration left is dropped first."""
 
     old: TableSpec
     new: TableSpec
     allow_drop: bool = False
-    chunk_rows: int = 999
+    chunk_rows: int | None = 999
+    chunk_bytes: int = 2 << 20
     hooks: dict[str, Callable[[], None]] = field(default_factory=dict)
     critical: bool = True
     where: str | None = None
@@ -79,14 +111,23 @@ class Migration:
     keep_old: bool = False
     seconds_limit: float | None = None
     keep_failed_in: str | None = None
+    swap_unverified: bool = False
+    ceiling: int | None = None
+    foreign: DataFrame | None = None
+    free_bytes: int | None = None
+    eliminate_dups: bool = False
+    force_cleanup: bool = False
+    skip_columns: str = ""
+    stats: RunStats = field(default_factory=RunStats)
     seconds: dict[str, float] = field(default_factory=dict)
 
     def stage(self, name: str, work: Callable[[], Any]) -> Any:
         self.hook(f"before_{name}")
         began = time.monotonic()
         out = work()
-        out = computed(out) if isinstance(out, DataFrame) else out
+        out = computed(self.stats.watched(name, out)) if isinstance(out, DataFrame) else out
         self.seconds[name] = time.monotonic() - began
+        self.stats.took(name, self.seconds[name])
         self.hook(f"after_{name}")
         return out
 
@@ -120,30 +161,85 @@ class Migration:
         way = verification(self.old, self.new, keys, self.where)
         if way == "none":
             return new, none
-        target = expected if expected is not None else replay.folded(table, changes, keys)
-        shared = [c for c in checked_columns(new) if c in table.columns]
-        whole = lambda frame: verify.whole(frame, shared, md5_prefix).withColumn("chunk_id", F.lit(0).cast("long"))
-        sums = (lambda frame: verify.by_chunk(frame, keys, self.chunk_rows, shared, md5_prefix)) if way == "chunks" else whole
-        checks = self.stage("verify", lambda: verify.compared(sums(copied(target, self.new)), sums(new), "chunk_id", shared))
+        target, compared_new = self.expected_rows(table, changes, keys, expected), new
+        if target is None:  # only rows that no change touches are known from elsewhere
+            target = untouched(table, changes, keys)
+            compared_new = untouched(new, changes, keys)
+        shared = [c for c in checked_columns(new, self.skipped(keys)) if c in table.columns]
+        rows = self.chunk_rows or rows_of_files(table, self.chunk_bytes)
+        if way == "chunks":
+            checks = self.stage("verify", lambda: tree.differing_chunks(copied(target, self.new), compared_new, keys, shared, rows, hashed=md5_prefix).select("chunk_id", "cnt_old", "cnt_new", "mismatched"))
+        else:
+            whole = lambda frame: verify.whole(frame, shared, md5_prefix).withColumn("chunk_id", F.lit(0).cast("long"))
+            checks = self.stage("verify", lambda: verify.compared(whole(copied(target, self.new)), whole(compared_new), "chunk_id", shared))
         if self.verify:
             verify.require_equal(checks)
         return new, checks
 
-    def run_table(self, spark: SparkSession, table: str, changes: DataFrame, expected: DataFrame | None = None) -> str | None:
-        """Migrate a table of the catalog: write the new one beside it, verify, swap the names and drop the old one unless it is to be
-        kept (then its new name is returned). What was made is dropped if anything fails."""
+    def skipped(self, keys: list[str]) -> list[str]:
+        """Columns that are not compared: `modified` ones (whose type changes), `keys`, or none."""
+        if self.skip_columns == "modified":
+            return converted_columns(self.old, self.new)
+        return keys if self.skip_columns == "keys" else []
+
+    def expected_rows(self, table: DataFrame, changes: DataFrame, keys: list[str], expected: DataFrame | None) -> DataFrame | None:
+        """What the old table should read like after the changes, known in another way than by the fold: `expected`, a reading of it; or, for
+        want of one, its rows that no change touches and the last image of the others, if each change fits its row. Else None."""
+        if expected is not None:
+            return expected
+        if not self.fits(table, changes, keys):
+            return None
+        last = replay.last_writer(changes, keys).where(F.col(replay.DML_TYPE) != replay.DELETE)
+        logged = [c for c in table.columns if c in changes.columns]
+        old = table.select(*columns(keys), *columns([c for c in table.columns if c not in logged])).alias("t")
+        there = last.alias("c").join(old, matches("c", "t", keys), "left")
+        return untouched(table, changes, keys).unionByName(there.select(*[F.col(f"{'c' if c in logged else 't'}.{quoted(c)}").alias(c) for c in table.columns]))
+
+    def fits(self, table: DataFrame, changes: DataFrame, keys: list[str]) -> bool:
+        """Whether every change fits its row, so that the last one of a key says what becomes of it."""
+        return not self.where and not replay.violations(table, changes, keys, updates=True).limit(1).count()
+
+    def require_safe(self, spark: SparkSession, table: str) -> int:
+        """The checks before anything is made; the fingerprint of the table's files."""
+        if "." in table:
+            require_database(spark, table.split(".")[0].strip("`"))
         if not spark.catalog.tableExists(table):
             raise MigrationError("TABLE_NOT_EXIST", table=table)
-        fresh, away = PREFIXES["new"] + table, PREFIXES["old"] + table
+        if self.foreign is not None:
+            require_no_foreign_keys(self.foreign, self.old.name)
+        if self.free_bytes is not None:
+            require_space(size(spark.table(table))[1], self.free_bytes, not self.old.primary)
+        if self.force_cleanup:
+            clean_up(spark, table)
+        return fingerprint(spark.table(table))
+
+    def run_table(self, spark: SparkSession, table: str, changes: DataFrame, expected: DataFrame | None = None) -> str | None:
+        """Migrate a table of the catalog: write the new one beside it, compare what was written, swap the names and drop the old one unless it is to be
+        kept (then its new name is returned). Nothing is swapped that was not found equal: to `expected`, or, where every change fits
+        its row, to what is known without it; swap_unverified=True asks for a swap all the same. What was made is dropped if
+        anything fails, and so it is if the table's files change meanwhile."""
+        before = self.require_safe(spark, table)
+        fresh, away = beside(PREFIXES["new"], table), beside(PREFIXES["old"], table)
         if left := [t for t in (fresh, away) if spark.catalog.tableExists(t)]:
             raise MigrationError("TABLE_ALREADY_EXIST", table=left[0])
+        if self.ceiling is not None:
+            changes = changes.where(F.col(replay.CHANGE_ID) <= self.ceiling)
+        if not self.swap_unverified and (self.where or expected is None and not self.fits(spark.table(table), changes, identity(self.old, True)[0])):
+            raise MigrationError("UNVERIFIED_SWAP", table=table)
         made = CleanUp(spark)
         made.tables.append(fresh)
         try:
-            new, _ = self.run(spark.table(table), changes, expected)
+            new, checks = self.run(spark.table(table), changes, expected)
+            if not self.swap_unverified:
+                verify.require_equal(checks)
+            new = self.without_duplicates(new)
             new.write.saveAsTable(fresh)
-            require_same_types(spark.table(fresh), self.new)
+            written = spark.table(fresh)
+            require_same_types(written, self.new)
+            if not self.swap_unverified:
+                verify.require_same_rows(new, written)
             spark.sql(f"ANALYZE TABLE {quoted(fresh)} COMPUTE STATISTICS")
+            require_unchanged(spark.table(table), before)
             self.stage("swap", lambda: swap_tables(spark, table, fresh))
             made.forget(fresh)
             if not self.keep_old:
@@ -152,6 +248,16 @@ class Migration:
             made.run()
         return away if self.keep_old else None
 
+    def without_duplicates(self, new: DataFrame) -> DataFrame:
+        """The rows, if the unique keys of the new schema hold; of rows that break one the first are kept (eliminate_dups), in the order of the primary key."""
+        unique = [k.names() for k in [self.new.primary, *self.new.keys] if k and (k is self.new.primary or k.unique)]
+        if self.eliminate_dups:
+            return computed(uniques.accepted(new, unique, self.new.primary.names()))
+        for names in unique:
+            if found := verify.duplicates(new.where(verify.all_known(names)), names).limit(1).collect():
+                raise MigrationError("DUPLICATE_KEY", columns=", ".join(names), value=tuple(found[0])[:-1])
+        return new
+
     def diff(self) -> SchemaDiff:
         return SchemaDiff(self.old, self.new)
 
@@ -194,7 +300,7 @@ def swap_tables(spark: SparkSession, table: str, fresh: str) -> str:
         raise MigrationError("TABLE_NOT_EXIST", table=table)
     if not spark.catalog.tableExists(fresh):
         raise MigrationError("TABLE_NOT_EXIST", table=fresh)
-    away = PREFIXES["old"] + table
+    away = beside(PREFIXES["old"], table)
     spark.sql(f"ALTER TABLE {quoted(table)} RENAME TO {quoted(away)}")
     try:
         spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(table)}")
@@ -204,9 +310,10 @@ def swap_tables(spark: SparkSession, table: str, fresh: str) -> str:
     return away
 
 
-def clean_up(spark: SparkSession) -> list[str]:
-    """Drop what migrations left behind; the names."""
-    left = [t.name for t in spark.catalog.listTables() if t.name.startswith(tuple(PREFIXES.values()))]
+def clean_up(spark: SparkSession, table: str | None = None) -> list[str]:
+    """Drop what migrations (of one table) left behind; the names."""
+    mine = tuple(PREFIXES.values()) if table is None else tuple(beside(p, table) for p in PREFIXES.values())
+    left = [t.name for t in spark.catalog.listTables() if (t.name.startswith(mine) if table is None else t.name in mine)]
     for name in left:
         spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
     return left

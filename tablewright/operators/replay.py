@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tablewright.errors import MigrationError
 from tablewright.functions.columns import columns, matches, quoted
+from tablewright.operators import groups
 from tablewright.operators.capture import CHANGE_ID, DELETE, DML_TYPE, INSERT, UPDATE, of_type
 from tablewright.operators.chunks import key_ranges, numbered
 
@@ -71,16 +72,26 @@ def last_writer(changes: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*columns(keys), "__row.*")
 
 
-def violations(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes that fit no row: deletes of absent and inserts of present keys, judged by the change of the same
-    key before (or the table)."""
-    by = Window.partitionBy(*columns(keys)).orderBy(CHANGE_ID)
-    there = table.select(*columns(keys), F.lit(True).alias("__there"))
-    joined = changes.alias("c").join(there.alias("t"), matches("c", "t", keys), "left").select("c.*", F.col("__there").isNotNull().alias("__there"))
+def violations(table: DataFrame, changes: DataFrame, keys: list[str], updates: bool = False) -> DataFrame:
+    """Changes that fit no row: deletes (and updates, if asked) of absent and inserts of present keys, judged by the change of the same
+    key before (or the table). Histories are cut into ranges of ids, so that no task orders all of a key's; what a range must know of
+    those before comes from one row for each key and range."""
+    low, high = changes.agg(F.min(CHANGE_ID), F.max(CHANGE_ID)).first()
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, -(-(high - low + 1) // parts)) if high is not None else 1
+    cut = changes.withColumn("__range", F.floor((F.col(CHANGE_ID) - (low or 0)) / size))
     moves = F.when(of_type(INSERT), True).when(of_type(DELETE), False)
-    state = F.coalesce(F.last(moves, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("__there"))
-    judged = joined.withColumn("__state", state)
-    return judged.where((of_type(DELETE) & ~F.col("__state")) | (of_type(INSERT) & F.col("__state"))).drop("__there", "__state")
+    ends = cut.groupBy(*columns(keys), "__range").agg(F.max_by(moves, F.when(moves.isNotNull(), F.col(CHANGE_ID))).alias("__end"))
+    there = table.select(*columns(keys)).withColumn("__there", F.lit(True))
+    held = ends.alias("c").join(there.alias("t"), matches("c", "t", keys), "left").select("c.*", F.col("__there").isNotNull().alias("__there"))
+    earlier = Window.partitionBy(*columns(keys)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows of a key at most
+    states = held.select(*columns(keys), "__range", F.coalesce(F.last("__end", ignorenulls=True).over(earlier), F.col("__there")).alias("__begins"))
+    same = functools.reduce(operator.and_, [F.col(f"c.{quoted(k)}").eqNullSafe(F.col(f"s.{quoted(k)}")) for k in [*keys, "__range"]])
+    joined = cut.alias("c").join(states.alias("s"), same).select("c.*", "__begins")
+    before = Window.partitionBy(*columns(keys), "__range").orderBy(CHANGE_ID).rowsBetween(Window.unboundedPreceding, -1)
+    judged = joined.withColumn("__state", F.coalesce(F.last(moves, ignorenulls=True).over(before), F.col("__begins")))
+    absent = of_type(DELETE) | of_type(UPDATE) if updates else of_type(DELETE)
+    return judged.where((absent & ~F.col("__state")) | (of_type(INSERT) & F.col("__state"))).drop("__begins", "__state", "__range")
 
 
 def require_effect(table: DataFrame, changes: DataFrame, keys: list[str], keep_in: str | None = None) -> None:
@@ -98,10 +109,12 @@ def require_known_types(changes: DataFrame) -> None:
         raise MigrationError("UNKNOWN_REPLAY_TYPE", dml_type=odd[0][0])
 
 
-def change_groups(changes: DataFrame, size: int, grouped_updates: bool = False) -> DataFrame:
+def change_groups(changes: DataFrame, size: int, grouped_updates: bool = False, keys: list[str] | None = None) -> DataFrame:
     """group_no, dml_type, first_id, last_id, n: runs of one type in id order, of `size` at most; updates stand
-    alone. Runs are found inside ranges of ids; what a range must know of those before (the last type, where the
-    run began, its rows so far) comes from one row for each range."""
+    alone, or, grouped, no group has two updates of one key (keys are asked for then). Runs are found inside ranges of ids; what a range must
+    know of those before (the last type, where the run began, its rows so far) comes from one row for each range."""
+    if grouped_updates and keys:
+        return groups.change_groups(changes, size, keys)
     log = changes.select(CHANGE_ID, DML_TYPE)
     ranges = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = log.withColumn("__range", key_ranges(log, [CHANGE_ID], ranges))

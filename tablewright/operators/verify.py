@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import MigrationError
-from tablewright.functions.columns import columns, crc, matches, md5_prefix, quoted, xor_of
+from tablewright.functions.columns import checked_columns, columns, crc, matches, quoted, xor_of
 from tablewright.operators.capture import CHANGE_ID, in_range
 from tablewright.operators.chunks import chunked
 
@@ -23,8 +23,9 @@ def whole(frame: DataFrame, names: list[str], hashed: Callable[[str], Column] =
 
 
 def strong(frame: DataFrame, names: list[str]) -> DataFrame:
-    """One number that pairs of equal rows do not cancel in."""
-    return frame.agg(F.coalesce(F.sum(F.xxhash64(*columns(sorted(names))).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
+    """One number that pairs of equal rows do not cancel in. As the hash passes nulls over, each value goes in after whether it is null."""
+    told = [x for c in columns(sorted(names)) for x in (c.isNull(), c)]
+    return frame.agg(F.coalesce(F.sum(F.xxhash64(*told).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
 
 
 def by_chunk(frame: DataFrame, keys: list[str], rows: int, names: list[str], hashed: Callable[[str], Column] = crc) -> DataFrame:
@@ -66,6 +67,18 @@ def require_equal(differences: DataFrame) -> None:
         raise MigrationError("CHECKSUM_MISMATCH", difference=f"{differences.columns[0]} {part}: {old} and {new} rows, columns {names or 'none'}")
 
 
+def all_known(names: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [c.isNotNull() for c in columns(names)])
+
+
+def require_same_rows(made: DataFrame, written: DataFrame) -> None:
+    """CHECKSUM_MISMATCH unless what was written reads as what was made: the number of rows and a strong checksum over every column that one can be made of."""
+    names = checked_columns(made)
+    sums = [frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[x for c in columns(sorted(names)) for x in (c.isNull(), c)]).cast("decimal(38,0)"))).first() for frame in (made, written)]
+    if sums[0] != sums[1]:
+        raise MigrationError("CHECKSUM_MISMATCH", difference=f"written rows: {sums[0][0]} and {sums[1][0]} rows, checksums {sums[0][1]} and {sums[1][1]}")
+
+
 def duplicates(frame: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n: what would break a unique key."""
     return frame.groupBy(*columns(keys)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -89,6 +102,3 @@ def row_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of one side only, with the side."""
     names = old.columns
     return old.exceptAll(new.select(*columns(names))).select(F.lit("old").alias("side"), "*").unionByName(new.select(*columns(names)).exceptAll(old).select(F.lit("new").alias("side"), "*"))
-
-
-portable = md5_prefix

@@ -522,3 +522,173 @@ def test_missing_ranges_shrink(spark, monkeypatch):
     assert got == [i for i in [*range(3, 31), 40, 50, 51, 52] if i not in (3, 8, 9, 30, 40, 51)]
     inside = gaps.in_ranges(spark.createDataFrame([(i,) for i in range(60)], "change_id long"), ranges)
     assert sorted(r[0] for r in inside.collect()) == [*range(3, 31), 40, 50, 51, 52]
+
+
+def brute_groups(rows, size):
+    out, seen = [], set()
+    for i, kind, key in rows:
+        if out and out[-1][0] == kind and out[-1][3] < size and not (kind == 3 and key in seen):
+            out[-1][2:] = [i, out[-1][3] + 1]
+        else:
+            out.append([kind, i, i, 1])
+            seen = set()
+        seen |= {key} if kind == 3 else set()
+    return [(n, *g) for n, g in enumerate(out, 1)]
+
+
+@pytest.mark.parametrize("size, range_rows", [(7, 7), (5, 16), (200, 1000)])
+def test_no_group_updates_a_key_twice(spark, size, range_rows):
+    from tablewright.operators import groups
+
+    rng = random.Random(size)
+    rows = [(3 * i, rng.choice([3, 3, 3, 3, 1, 2]) if i % 40 < 20 else 3, 1 if rng.random() < 0.34 else rng.randrange(60)) for i in range(900)]  # a hot key
+    log = spark.createDataFrame(rows, "change_id long, dml_type long, k long").repartition(3)
+    assert sorted(map(tuple, groups.change_groups(log, size, ["k"], range_rows).collect())) == brute_groups(rows, size)
+    assert groups.change_groups(log.limit(0), size, ["k"]).count() == 0
+
+
+def brute_accepted(rows, unique):
+    taken, out = set(), set()
+    for row in rows:
+        keys = {(i, tuple(row[c] for c in u)) for i, u in enumerate(unique) if None not in [row[c] for c in u]}
+        if not keys & taken:
+            taken |= keys
+            out.add(row["o"])
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_several_unique_keys(spark, few):
+    from tablewright.operators import uniques
+
+    rng = random.Random(3)
+    rows = [{"o": o, "a": rng.choice([None, *range(40)]), "b": rng.randrange(30), "c": rng.choice("xyz"), "d": 7 if rng.random() < 0.33 else o} for o in range(300)]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "o long, a long, b long, c string, d long").repartition(3)
+    unique = [["a"], ["b", "c"], ["d"]]
+    assert {r.o for r in uniques.accepted(frame, unique, ["o"], few=few).collect()} == brute_accepted(rows, unique)
+    table = frame.where("o < 20")
+    base = [r for r in rows if r["o"] < 20]
+    later = uniques.accepted(frame.where("o >= 20"), [["a"], ["d"]], ["o"], table=table, few=few)
+    free = [r for r in rows if r["o"] >= 20 and not any(r["a"] is not None and r["a"] == b["a"] or r["d"] == b["d"] for b in base)]
+    assert {r.o for r in later.collect()} == brute_accepted(free, [["a"], ["d"]])
+
+
+def test_a_chain_of_unique_keys(spark):
+    from tablewright.operators import uniques
+
+    rows = [{"o": i, "a": i // 2, "b": (i + 1) // 2} for i in range(1000)]  # each row meets the one before and the one behind
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "o long, a long, b long").repartition(3)
+    assert {r.o for r in uniques.accepted(frame, [["a"], ["b"]], ["o"]).collect()} == brute_accepted(rows, [["a"], ["b"]])
+
+
+def test_an_inserted_row_changes_one_range(spark):
+    from tablewright.operators import tree
+
+    rows = [(a, b, f"v{a}{b}") for a in range(60) for b in range(10)]
+    old = spark.createDataFrame(rows, "a long, b long, v string")
+    new = spark.createDataFrame([*rows, (30, 4_000, "more")], "a long, b long, v string")
+    t = tree.ChecksumTree.over(old, ["a", "b"], 9, fanout=4)
+    found = t.differing(old, new, ["a", "v"])
+    assert [(r.node, r.cnt_old, r.cnt_new) for r in found.collect()] == [(309 // 9, 9, 10)]
+    assert t.depth == 4 and [(x.nodes, x.differing) for x in t.levels] == [(1, 1)] * 4
+    assert [x.rows for x in t.levels] == [1201, 1153, 289, 73]  # 64, 16 and 4 leaves of 9 rows a side, and the row
+    mixed = spark.createDataFrame([(a, b, v + "!" if (a, b) in ((0, 0), (59, 9)) else v) for a, b, v in rows if (a, b) != (12, 3)], old.schema)
+    got = {r.chunk_id: (r.cnt_old, r.cnt_new, r.mismatched) for r in tree.differing_chunks(old, mixed, ["a", "b"], ["a", "b", "v"], 9, 4).collect()}
+    assert got == {0: (9, 9, "v"), 13: (9, 8, "a,b,v"), 66: (6, 6, "v")}
+    assert tree.differing_chunks(old, old, ["a", "b"], ["v"], 9, 4).count() == 0
+    none = old.limit(0)
+    assert tree.differing_chunks(none, none, ["a", "b"], ["v"], 9).count() == 0
+    assert [(r.chunk_id, r.cnt_old, r.cnt_new) for r in tree.differing_chunks(none, old, ["a", "b"], ["v"], 9).collect()] == [(0, 0, 600)]
+    huge = tree.differing_chunks(old, none, ["a", "b"], ["v"], 9, 4)
+    assert huge.count() == 67 and huge.where("cnt_new > 0").count() == 0
+
+
+def test_violations_of_a_hot_key(spark):
+    rng = random.Random(9)
+    log = [(i, rng.choice([1, 2, 3]), rng.choice([1, 1, 1, *range(9)]), "x") for i in range(1, 400)]
+    base = {1, 2, 3}
+    state, odd, strict = set(base), [], []
+    for i, kind, k, _ in log:
+        odd += [i] if (kind == 2 and k not in state) or (kind == 1 and k in state) else []
+        strict += [i] if (kind in (2, 3) and k not in state) or (kind == 1 and k in state) else []
+        state = state | {k} if kind == 1 else state - {k} if kind == 2 else state
+    table, changes = spark.createDataFrame([(k,) for k in base], "k long"), spark.createDataFrame(log, LOG).repartition(3)
+    assert sorted(r.change_id for r in replay.violations(table, changes, ["k"]).collect()) == odd
+    assert sorted(r.change_id for r in replay.violations(table, changes, ["k"], updates=True).collect()) == strict
+    assert replay.violations(table, changes.limit(0), ["k"]).count() == 0
+
+
+def test_strong_checksum_sees_a_moved_value(spark):
+    a, b = (spark.createDataFrame([row], "k long, x string, y string") for row in ((1, None, "v"), (1, "v", None)))
+    for way in (verify.strong, verify.strong_portable):
+        assert way(a, ["k", "x", "y"]).first() != way(b, ["k", "x", "y"]).first()
+
+
+def test_no_swap_without_a_comparison(spark, table):
+    none = spark.createDataFrame([], LOG)
+    odd = spark.createDataFrame([(1, 3, 99, "fits no row")], LOG)
+    table.write.mode("overwrite").saveAsTable("t")
+    try:
+        more = table.unionByName(spark.createDataFrame([(77, "x")], "k long, v string").select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes]))
+        with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH"):
+            Migration(OLD, NEW).run_table(spark, "t", none, expected=more)
+        with pytest.raises(MigrationError, match="UNVERIFIED_SWAP"):
+            Migration(OLD, NEW).run_table(spark, "t", odd)
+        with pytest.raises(MigrationError, match="UNVERIFIED_SWAP"):
+            Migration(OLD, NEW, where="k > 1").run_table(spark, "t", none)
+        broken = Migration(OLD, NEW)
+        broken.replayed = lambda copy, changes, keys: copy.where("k <> 2")  # a fold that loses a row
+        with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH"):
+            broken.run_table(spark, "t", none)
+        keys = foreign_keys(spark, [parse_table("CREATE TABLE c (i INT NOT NULL, PRIMARY KEY (i), CONSTRAINT f FOREIGN KEY (i) REFERENCES t (k))")], "t")
+        with pytest.raises(MigrationError, match="FOREIGN_KEY_FOUND"):
+            Migration(OLD, NEW, foreign=keys).run_table(spark, "t", none)
+        with pytest.raises(MigrationError, match="NOT_ENOUGH_SPACE"):
+            Migration(OLD, NEW, free_bytes=10).run_table(spark, "t", none)
+        with pytest.raises(MigrationError, match="DB_NOT_EXIST"):
+            Migration(OLD, NEW).run_table(spark, "nowhere.t", none)
+        with pytest.raises(MigrationError, match="TABLE_TIMESTAMP_CHANGED_ERROR"):
+            Migration(OLD, NEW, hooks={"after_verify": lambda: spark.createDataFrame([(50, "w")], "k long, v string").select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes]).write.insertInto("t")}).run_table(spark, "t", none)
+        table.write.mode("overwrite").saveAsTable("t")
+        assert spark.table("t").columns == ["k", "v"] and not clean_up(spark)
+        unique = parse_table(NEW.sql().split(", PRIMARY")[0] + ", PRIMARY KEY (k), UNIQUE KEY u (v))") if ", PRIMARY" in NEW.sql() else None
+        if unique is not None:
+            twice = spark.createDataFrame([(1, 1, 8, "same"), (2, 1, 9, "same")], LOG)
+            with pytest.raises(MigrationError, match="DUPLICATE_KEY"):
+                Migration(OLD, unique).run_table(spark, "t", twice)
+            Migration(OLD, unique, eliminate_dups=True).run_table(spark, "t", twice)
+            assert spark.table("t").where("v = 'same'").select("k").first().k == 8
+            table.write.mode("overwrite").saveAsTable("t")
+        table.write.mode("overwrite").saveAsTable(PREFIXES["new"] + "t")
+        run = Migration(OLD, NEW, swap_unverified=True, force_cleanup=True, ceiling=1, chunk_rows=None)
+        run.run_table(spark, "t", spark.createDataFrame([(1, 3, 99, "fits no row"), (2, 2, 1, None)], LOG))
+        assert spark.table("t").count() == 3 and "n" in spark.table("t").columns
+        copied = {r[0]: r for r in run.stats.rows()}["copy"]
+        assert copied[1] == 3 and copied[2] > 0 and copied[4] > 0
+    finally:
+        clean_up(spark)
+        spark.sql("DROP TABLE IF EXISTS t")
+
+
+def test_long_names_beside_a_table():
+    from tablewright.migrate import LONGEST_NAME, beside
+
+    a, b = "x" * 60 + "a", "x" * 60 + "b"
+    assert beside("__tw_new_", "t") == "__tw_new_t" and beside("__tw_new_", a) != beside("__tw_new_", b) and len(beside("__tw_new_", a)) == LONGEST_NAME
+
+
+def test_a_round_verifies_its_own_changes(spark, tmp_path):
+    from tablewright.streaming.verified import VerifiedChanges
+
+    store = VerifiedChanges(spark, str(tmp_path / "v"), ["k"], ["k", "v"])
+    store.start()
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    log = lambda *ids: spark.createDataFrame([(i, 3, i % 10, "x") for i in ids], LOG)
+    good, bad = frame([(k, f"v{k}") for k in range(20)]), frame([(k, "other" if k in (4, 15) else f"v{k}") for k in range(20)])
+    assert store.round(log(1, 2, 3, 6, 7), good, bad) == 5  # keys 4 and 15 were not changed
+    assert sorted(map(tuple, store.missing().collect())) == [(4, 5)] and store.verified() == 7
+    with pytest.raises(MigrationError, match="CHECKSUM_MISMATCH"):  # the late change 4 touches key 4
+        store.round(log(1, 2, 3, 4, 6, 7, 8), good, bad)
+    assert store.round(log(1, 2, 3, 4, 6, 7, 8, 9), good, good) == 3 and store.verified() == 9
+    assert store.round(log(1, 2, 3, 4, 6, 7, 8, 9), good, bad) == 0
+    assert [tuple(r) for r in store.missing().collect()] == [(5, 5)] and store.touched().count() == 8
