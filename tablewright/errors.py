@@ -27,6 +27,7 @@ ERRORS = {
     "DB_NOT_EXIST": (121, "database {database} does not exist", False),
     "UNVERIFIED_SWAP": (122, "nothing is known that the new {table} could be compared with", False),
     "DUPLICATE_KEY": (123, "rows share the unique key {columns}: {value}", False),
+    "NO_PARTITION": (124, "no partition takes {count} rows", False),
     "OUTSIDE_HOOK_ERROR": (118, "hook {hook} failed: {message}", False),
 }
 

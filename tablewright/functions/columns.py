@@ -56,6 +56,11 @@ def xor_of(hashed: Column) -> Column:
     return F.coalesce(F.bit_xor(hashed), F.lit(0).cast("long"))
 
 
+def collated(frame: DataFrame, collations: dict[str, str]) -> DataFrame:
+    """The frame with text columns that compare by a collation (as UTF8_LCASE: case does not matter), in joins, orders, groups and key ranges alike."""
+    return frame.select(*[F.collate(c, collations[n]).alias(n) if n in collations else c for n, c in zip(frame.columns, columns(frame.columns), strict=True)])
+
+
 def readable_size(count: int) -> str:
     size = float(count)
     for unit in ("B", "KB", "MB", "GB", "TB"):

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tablewright.errors import MigrationError
 from tablewright.functions.columns import columns, matches, quoted
-from tablewright.operators import groups
+from tablewright.operators import groups as grouping
 from tablewright.operators.capture import CHANGE_ID, DELETE, DML_TYPE, INSERT, UPDATE, of_type
 from tablewright.operators.chunks import key_ranges, numbered
 
@@ -114,7 +114,7 @@ def change_groups(changes: DataFrame, size: int, grouped_updates: bool = False,
     alone, or, grouped, no group has two updates of one key (keys are asked for then). Runs are found inside ranges of ids; what a range must
     know of those before (the last type, where the run began, its rows so far) comes from one row for each range."""
     if grouped_updates and keys:
-        return groups.change_groups(changes, size, keys)
+        return grouping.change_groups(changes, size, keys)
     log = changes.select(CHANGE_ID, DML_TYPE)
     ranges = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = log.withColumn("__range", key_ranges(log, [CHANGE_ID], ranges))

@@ -66,6 +66,8 @@ class Partitioning:
 
     def assign(self) -> Column:
         """The name of a row's partition (its number for HASH), null where no partition takes it. One column or expression, as Spark reads it."""
+        if self.kind == "RANGE COLUMNS" and "," in self.expression:
+            return self._assign_by_several([_expression(c) for c in self.expression.split(",")])
         by = _expression(self.expression)
         if self.kind.endswith("HASH"):
             return F.abs(by % self.count)
@@ -80,6 +82,17 @@ class Partitioning:
             out = F.when(inside, part.name).otherwise(out)
         return out
 
+    def _assign_by_several(self, by: list[Column]) -> Column:
+        """Bounds of several columns are compared in order; null is below every value."""
+        out = F.lit(None).cast("string")
+        for part in reversed(self.parts):
+            below = F.lit(False)
+            for column, bound in reversed(list(zip(by, part.bounds, strict=True))):
+                value = None if bound == MAXVALUE else _literal(bound)
+                below = F.lit(True) if value is None else column.isNull() | (column < value) | ((column == value) & below)
+            out = F.when(below, part.name).otherwise(out)
+        return out
+
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, p.name, list(p.bounds)) for i, p in enumerate(self.parts)], "place int, name string, bounds array<string>")
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import after, md5_prefix
+from tablewright.functions.columns import after, collated, md5_prefix
 from tablewright.migrate import PREFIXES, Migration, copied, first_of_duplicates
-from tablewright.operators import capture, chunks, gaps, replay, verify
+from tablewright.operators import capture, chunks, gaps, replay, tree, uniques, verify
+from tablewright.operators.partitioned import PartitionedCopy
 from tablewright.plans.diff import SchemaDiff
 from tablewright.plans.partitions import parse_partitions, sync_actions
 from tablewright.plans.schema import parse_table
 from tablewright.sources.shared import checkpoint_folder
 from tablewright.sources.tables import foreign_keys, scan
+from tablewright.streaming.replay_stream import ReplayTarget, replay_ranges
+from tablewright.streaming.verified import VerifiedChanges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,6 +237,17 @@ def replay_groups_islands(spark, d):
     return replay.change_groups(log(spark, d), 200)
 
 
+@query(f"""WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY change_id) AS i, * FROM {LOG}),
+p AS (SELECT i, change_id, dml_type, dml_type IS DISTINCT FROM lag(dml_type) OVER (ORDER BY i) AS opens, CASE WHEN dml_type = 3 THEN lag(i) OVER (PARTITION BY dml_type, c_custkey ORDER BY i) END AS before FROM l),
+f AS (SELECT p.i, least(p.i + 200, coalesce(min(CASE WHEN p.opens THEN p.i END) OVER (ORDER BY p.i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), count(*) OVER () + 1), coalesce(min(q.i) OVER (ORDER BY p.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p.i + 200)) AS next FROM p LEFT JOIN p q ON q.before = p.i),
+g AS (SELECT i FROM p WHERE opens UNION SELECT f.next FROM g JOIN f USING (i)),
+s AS (SELECT i, lead(i) OVER (ORDER BY i) - 1 AS last FROM g)
+SELECT row_number() OVER (ORDER BY s.i) AS group_no, a.dml_type, a.change_id AS first_id, b.change_id AS last_id, b.i - a.i + 1 AS n FROM s JOIN p a ON a.i = s.i JOIN p b ON b.i = coalesce(s.last, (SELECT max(i) FROM p)) WHERE s.i <= (SELECT max(i) FROM p)""")
+def replay_groups_distinct_keys(spark, d):
+    """Updates grouped too, none of which has a key that its group has updated before."""
+    return replay.change_groups(log(spark, d), 200, grouped_updates=True, keys=["c_custkey"])
+
+
 @query(f"SELECT dml_type, count(*) AS n FROM {LOG} GROUP BY dml_type")
 def replay_counts_by_type(spark, d):
     return replay.counts_by_type(log(spark, d))
@@ -254,13 +269,53 @@ def gap_filled_replay(spark, d):
     return replay.folded(customers(spark, d), log(spark, d).withColumn("place", F.when(late, F.col("change_id")).otherwise(F.col("change_id") + 1_000_000_000)), ["c_custkey"], "place")
 
 
+@query(FOLD)
+def replay_in_versions(spark, d):
+    """The log replayed in ranges, each one a committed version of the table, and the last version read."""
+    target = ReplayTarget(spark, f"{checkpoint_folder(spark).rstrip('/')}/versions-{uuid.uuid4().hex}", ["c_custkey"], buckets=8)
+    target.start(customers(spark, d))
+    changes = log(spark, d)
+    replay_ranges(changes, target, max(1, -(-capture.last_id(changes).first()[0] // 3)))
+    return target.table()
+
+
+CASELESS = FOLD.replace(LOG, "l0").replace("WITH l AS (SELECT * FROM l0)", f"WITH l AS (SELECT change_id, dml_type, lower('CUSTOMER ' || c_custkey) AS c_custkey, c_mktsegment FROM {LOG})").replace("FROM customer c", "FROM c0 c").replace("JOIN customer c", "JOIN c0 c").replace("WITH l AS", "WITH c0 AS (SELECT lower('Customer ' || c_custkey) AS c_custkey, c_name, c_mktsegment FROM customer), l AS")
+
+
+@query(f"SELECT c_custkey AS name, c_name, c_mktsegment FROM ({CASELESS})")
+def replay_caseless_keys(spark, d):
+    """Text keys that differ in case only are one key: of the table and of the log, by the columns' collation."""
+    named = lambda frame, how: collated(frame.withColumn("c_custkey", how), {"c_custkey": "UTF8_LCASE"})
+    number = F.col("c_custkey").cast("string")
+    table = named(customers(spark, d), F.concat(F.lit("Customer "), number))
+    changes = named(log(spark, d), F.concat(F.when(F.col("change_id") % 2 == 0, "CUSTOMER ").otherwise("customer "), number))
+    return replay.folded(table, changes, ["c_custkey"]).select(F.lower(F.col("c_custkey").cast("string")).cast("string").alias("name"), "c_name", "c_mktsegment")
+
+
+@query(f"SELECT c_custkey, min(change_id) AS change_id FROM {LOG}, (SELECT max(change_id) // 2 AS half FROM {LOG}) WHERE change_id > half GROUP BY c_custkey UNION ALL SELECT c_custkey, min(change_id) FROM {LOG}, (SELECT max(change_id) // 2 AS half FROM {LOG}) WHERE change_id <= half GROUP BY c_custkey")
+def delta_checksum_rounds(spark, d):
+    """The keys that two rounds of verification look at, each round only at those of its own changes, between the fold and the versions of a replay."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/verified-{uuid.uuid4().hex}"
+    store = VerifiedChanges(spark, path, ["c_custkey"], ["c_custkey", "c_mktsegment"])
+    store.start()
+    changes, base = log(spark, d), customers(spark, d).drop("c_name")
+    target = ReplayTarget(spark, f"{path}-versions", ["c_custkey"], buckets=8)
+    target.start(base)
+    half = capture.last_id(changes).first()[0] // 2
+    for high in (half, None):
+        upto = capture.in_range(changes, 0, high)
+        replay_ranges(upto, target)
+        store.round(changes, target.table(), replay.folded(base, upto, ["c_custkey"]), high)
+    return store.touched()
+
+
 @query(f"SELECT * FROM {LOG} l WHERE NOT EXISTS (SELECT 1 FROM {LOG} t WHERE t.c_custkey = l.c_custkey AND t.change_id < l.change_id)")
 def first_touch_changes(spark, d):
     return verify.first_touches(log(spark, d), ["c_custkey"])
 
 
 @query(f"""WITH f AS (SELECT c_custkey, min(change_id) AS id FROM {LOG} GROUP BY c_custkey)
-SELECT (id - 1) // 500 AS window_no, count(*) AS cnt, {XOR('c.c_custkey')}, {XOR('c.c_name')}, {XOR('c.c_mktsegment')} FROM f LEFT JOIN customer c USING (c_custkey) WHERE id <= 100000 GROUP BY 1""")
+SELECT (id - 1) // 500 AS window_no, count(*) AS cnt, {XOR('c.c_custkey')}, {XOR('c.c_name')}, {XOR('c.c_mktsegment')} FROM f LEFT JOIN customer c USING (c_custkey) GROUP BY 1""")
 def delta_checksum_windows(spark, d):
     return verify.by_change_window(customers(spark, d), log(spark, d), ["c_custkey"], ["c_custkey", "c_name", "c_mktsegment"], 0, None, 500, md5_prefix)
 
@@ -305,6 +360,17 @@ def checksum_compare_chunks(spark, d):
     return verify.compared(sums(orders(spark, d)), sums(_mutated(spark, d)), "chunk_id", CHECKED)
 
 
+@query(f"""WITH a AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // {CHUNK} AS chunk_id FROM orders WHERE o_orderkey % 5000 <> 7),
+cuts AS (SELECT chunk_id, min(o_orderkey) AS low FROM a GROUP BY chunk_id),
+b AS (SELECT o.* REPLACE (CASE WHEN o_orderkey % 4001 = 17 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus), coalesce(chunk_id, 0) AS chunk_id FROM orders o ASOF LEFT JOIN cuts ON o.o_orderkey >= cuts.low),
+x AS (SELECT chunk_id, {SUMS} FROM a GROUP BY chunk_id), y AS (SELECT chunk_id, {SUMS} FROM b GROUP BY chunk_id)
+SELECT chunk_id, CASE WHEN chunk_id > 0 THEN low END AS first_o_orderkey, x.cnt AS cnt_old, y.cnt AS cnt_new, array_to_string(list_filter([{', '.join(f"CASE WHEN x.{c} <> y.{c} THEN '{c}' END" for c in CHECKED)}], lambda v: v IS NOT NULL), ',') AS mismatched
+FROM x JOIN y USING (chunk_id) JOIN cuts USING (chunk_id) WHERE x.cnt <> y.cnt OR ({' OR '.join(f'x.{c} <> y.{c}' for c in CHECKED)})""")
+def checksum_tree_chunks(spark, d):
+    """Chunks that differ by cuts that both sides share: rows of one side only change their own chunk and no later one."""
+    return tree.differing_chunks(orders(spark, d).where("o_orderkey % 5000 <> 7"), _mutated(spark, d), ["o_orderkey"], CHECKED, CHUNK, 4, md5_prefix)
+
+
 @query(f"SELECT coalesce(bit_xor(xor(xor(xor(xor(cnt, o_orderkey), o_custkey), o_orderstatus), o_orderpriority)), 0)::BIGINT AS fingerprint FROM (SELECT chunk_id, {SUMS} FROM {NUMBERED} GROUP BY chunk_id)")
 def checksum_fingerprint(spark, d):
     return verify.fingerprint(checksum_by_chunk(spark, d), CHECKED)
@@ -336,6 +402,14 @@ def eliminate_dups_first_wins(spark, d):
     return first_of_duplicates(read(spark, d, "documents").select("text", "doc_id"), ["text"], ["doc_id"])
 
 
+@query("""SELECT unnest(list_reduce(list(struct_pack(a := [o_custkey::VARCHAR || ' ' || o_orderstatus], b := [o_orderdate::VARCHAR], taken := [o_orderkey]) ORDER BY o_orderkey),
+lambda x, y: CASE WHEN list_has_any(x.a, y.a) OR list_has_any(x.b, y.b) THEN x ELSE struct_pack(a := list_concat(x.a, y.a), b := list_concat(x.b, y.b), taken := list_concat(x.taken, y.taken)) END).taken) AS o_orderkey FROM orders""")
+def insert_ignore_several_keys(spark, d):
+    """Orders taken one by one under three unique keys, each refused that meets one taken before."""
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return uniques.accepted(rows, [["o_orderkey"], ["o_custkey", "o_orderstatus"], ["o_orderdate"]], ["o_orderkey"]).select("o_orderkey")
+
+
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey % 5 = 0 AND x.l_orderkey = lineitem.l_orderkey AND x.l_partkey = lineitem.l_partkey AND x.l_suppkey = lineitem.l_suppkey AND x.l_linenumber = lineitem.l_linenumber)")
 def full_row_identity_replay(spark, d):
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -376,6 +450,21 @@ def partition_sync_diff(spark, d):
     return sync_actions(part("o_orderkey < 9000"), part("o_orderkey >= 2000"))
 
 
+BY_STATUS = "RANGE COLUMNS (o_orderstatus, o_orderdate) (PARTITION f_early VALUES LESS THAN ('F', '1994-01-01'), PARTITION f_late VALUES LESS THAN ('F', MAXVALUE), PARTITION o_early VALUES LESS THAN ('O', '1996-01-01'), PARTITION o_late VALUES LESS THAN ('O', MAXVALUE), PARTITION rest VALUES LESS THAN (MAXVALUE, MAXVALUE))"
+
+
+@query("""WITH o AS (SELECT CASE WHEN o_orderstatus < 'F' OR o_orderstatus = 'F' AND o_orderdate < DATE '1994-01-01' THEN 'f_early' WHEN o_orderstatus <= 'F' THEN 'f_late' WHEN o_orderstatus < 'O' OR o_orderstatus = 'O' AND o_orderdate < DATE '1996-01-01' THEN 'o_early' WHEN o_orderstatus <= 'O' THEN 'o_late' ELSE 'rest' END AS part FROM orders)
+SELECT CASE part WHEN 'f_early' THEN 'drop' WHEN 'o_late' THEN 'add' ELSE 'replace' END AS action, part, count(*) AS n FROM o WHERE part IN ('f_early', 'o_late', 'o_early') GROUP BY part""")
+def partitioned_copy_sync(spark, d):
+    """What is moved when a partitioned copy follows a table that lost one partition, got one, and changed in a third."""
+    rows = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    part = parse_partitions(BY_STATUS).assign()
+    copy = PartitionedCopy(spark, f"{checkpoint_folder(spark).rstrip('/')}/copy-{uuid.uuid4().hex}", part, rows.schema)
+    copy.write(rows.where(part != "o_late"))
+    changed = F.when(part == "o_early", F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority"))
+    return copy.sync(rows.where(part != "f_early").withColumn("o_orderpriority", changed))
+
+
 DECLARED = [
     "CREATE TABLE region (r_regionkey BIGINT NOT NULL, PRIMARY KEY (r_regionkey))",
     "CREATE TABLE nation (n_nationkey BIGINT NOT NULL, n_regionkey BIGINT, PRIMARY KEY (n_nationkey), CONSTRAINT fk_nation FOREIGN KEY (n_regionkey) REFERENCES region (r_regionkey))",
@@ -384,9 +473,21 @@ DECLARED = [
 ]
 
 
-@query("WITH r(name, child, col, parent) AS (VALUES ('fk_nation', 'nation', 'n_regionkey', 'region'), ('fk_customer', 'customer', 'c_nationkey', 'nation'), ('fk_orders', 'orders', 'o_custkey', 'customer')) SELECT name, child, col, parent FROM r WHERE child = 'customer' OR parent = 'customer'")
+@query("""WITH r(name, child, col, parent, n, orphans) AS (
+SELECT 'fk_customer', 'customer', 'c_nationkey', 'nation', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer WHERE c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation)) UNION ALL
+SELECT 'fk_orders', 'orders', 'o_custkey', 'customer', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)))
+SELECT * FROM r""")
 def fk_discovery(spark, d):
-    return foreign_keys(spark, [parse_table(t) for t in DECLARED], "customer")
+    """The foreign keys of customer and on it, with the rows of their child tables and those whose parent is not there."""
+    found = foreign_keys(spark, [parse_table(t) for t in DECLARED], "customer")
+    keys = {"nation": "n_nationkey", "customer": "c_custkey"}
+    out = []
+    for r in found.collect():  # declared keys
+        child, parent = read(spark, d, r.child), read(spark, d, r.parent).select(F.col(keys[r.parent]).alias("key")).distinct().withColumn("there", F.lit(True))
+        lost = F.count(F.when(F.col(r.col).isNotNull() & F.col("there").isNull(), 1))
+        counts = child.join(parent, child[r.col] == F.col("key"), "left").agg(F.count(F.lit(1)).alias("n"), lost.alias("orphans"))
+        out.append(counts.select(*[F.lit(v).alias(c) for c, v in zip(("name", "child", "col", "parent"), (r.name, r.child, r.col, r.parent), strict=True)], "n", "orphans"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query("SELECT '__tw_' || CASE WHEN c_custkey % 3 = 0 THEN 'new_' WHEN c_custkey % 3 = 1 THEN 'old_' ELSE 'own_' END || c_name AS name FROM customer WHERE c_custkey % 3 < 2")
@@ -401,26 +502,35 @@ def orphan_objects_by_prefix(spark, d):
     return read(spark, d, "part").where(F.col("p_name").startswith("part")).select("p_name")
 
 
-@query("""SELECT * FROM (VALUES ('drop', 'column', 'o_totalprice', '`o_totalprice` double DEFAULT NULL', '', 'DROP_COL', false),
+@query("""SELECT v.*, CASE v.name WHEN 'o_totalprice' THEN (SELECT count(o_totalprice) FROM orders) WHEN 'o_orderpriority' THEN (SELECT count(o_orderpriority) FROM orders) ELSE (SELECT count(*) FROM orders) END AS affected
+FROM (VALUES ('drop', 'column', 'o_totalprice', '`o_totalprice` double DEFAULT NULL', '', 'DROP_COL', false),
 ('modify', 'column', 'o_orderpriority', '`o_orderpriority` varchar(15) DEFAULT NULL', '`o_orderpriority` varchar(30) DEFAULT NULL', 'CHANGE_COL_DATA_TYPE', false),
 ('add', 'column', 'o_note', '', '`o_note` varchar(10) NOT NULL DEFAULT ''''', 'ADD_COL', true),
-('add', 'key', 'ix_cust', '', 'KEY `ix_cust` (`o_custkey`)', 'ADD_INDEX', false)) t(change, object, name, old, new, alter_types, instant)""")
+('add', 'key', 'ix_cust', '', 'KEY `ix_cust` (`o_custkey`)', 'ADD_INDEX', false)) v(change, object, name, old, new, alter_types, instant)""")
 def schema_diff_rows(spark, d):
-    return SchemaDiff(parse_table(OLD_ORDERS), parse_table(NEW_ORDERS)).rows(spark)
+    """What changes, and how many rows of the table it affects: values that go or are converted, rows that get a value or a place in a key."""
+    table = read(spark, d, "orders")
+    counts = table.agg(F.count(F.lit(1)).alias("__all"), *[F.count(c).alias(c) for c in table.columns]).first()
+    affected = functools.reduce(lambda out, c: F.when((F.col("name") == c) & (F.col("change") != "add"), F.lit(counts[c])).otherwise(out), table.columns, F.lit(counts["__all"]))
+    return SchemaDiff(parse_table(OLD_ORDERS), parse_table(NEW_ORDERS)).rows(spark).withColumn("affected", affected)
 
 
 _DAYS = "CREATE TABLE orders (o_orderkey BIGINT NOT NULL, o_orderdate DATE, PRIMARY KEY (o_orderkey)) PARTITION BY {}"
 _MORE = BY_DAY[:-1] + ", PARTITION late VALUES LESS THAN (to_days('1999-01-01')))"
 
 
-@query("""SELECT * FROM (VALUES ('grown', 'ADD_PARTITION', 'ADD PARTITION (PARTITION late VALUES LESS THAN (to_days(''1999-01-01'')))'), ('shrunk', 'DROP_PARTITION', 'DROP PARTITION late'),
+@query("""WITH y AS (SELECT count(*) FILTER (o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1999-01-01') AS late, count(*) FILTER (o_orderdate IS NULL OR o_orderdate < DATE '1997-01-01') AS held, count(*) FILTER (o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01') AS early FROM orders)
+SELECT t.*, CASE case_ WHEN 'removed' THEN held WHEN 'split' THEN early ELSE late END AS moved FROM y, (VALUES ('grown', 'ADD_PARTITION', 'ADD PARTITION (PARTITION late VALUES LESS THAN (to_days(''1999-01-01'')))'), ('shrunk', 'DROP_PARTITION', 'DROP PARTITION late'),
 ('removed', 'REMOVE_PARTITIONING', 'REMOVE PARTITIONING'), ('split', 'REORGANIZE_PARTITION', 'REORGANIZE PARTITION mid INTO (PARTITION early VALUES LESS THAN (to_days(''1996-01-01'')), PARTITION mid VALUES LESS THAN (to_days(''1997-01-01'')))')) t(case_, alter_type, sql)""")
 def schema_diff_partitions(spark, d):
-    """What changed partitions by day are."""
+    """What changed partitions by day are, and how many rows come to lie in another one."""
     split = BY_DAY.replace("PARTITION mid", "PARTITION early VALUES LESS THAN (to_days('1996-01-01')), PARTITION mid")
     cases = [("grown", BY_DAY, _MORE), ("shrunk", _MORE, BY_DAY), ("removed", BY_DAY, ""), ("split", BY_DAY, split)]
     rows = [(case, c.alter_types[0], c.new, diff.segments[0]) for case, a, b in cases for diff in [SchemaDiff(*[parse_table(_DAYS.format(x).removesuffix(" PARTITION BY ")) for x in (a, b)])] for c in diff.changes]
-    return spark.createDataFrame(rows, "case_ string, alter_type string, new string, sql string").drop("new")
+    table = read(spark, d, "orders")
+    part = lambda text: parse_partitions(text).assign() if text else F.lit(None).cast("string")
+    moved = table.agg(*[F.count(F.when(~part(a).eqNullSafe(part(b)), 1)).alias(case) for case, a, b in cases]).first()
+    return spark.createDataFrame([(*r[:2], r[3], moved[r[0]]) for r in rows], "case_ string, alter_type string, sql string, moved long")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")

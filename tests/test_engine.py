@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.cleanup import CleanUp
 from tablewright.errors import ERRORS, MigrationError
-from tablewright.functions.columns import after, quoted, readable_size
+from tablewright.functions.columns import after, collated, quoted, readable_size
 from tablewright.migrate import PREFIXES, Migration, asserting, clean_up
 from tablewright.operators import capture, chunks, gaps, replay, verify
 from tablewright.plans import checks
@@ -692,3 +692,38 @@ def test_a_round_verifies_its_own_changes(spark, tmp_path):
     assert store.round(log(1, 2, 3, 4, 6, 7, 8, 9), good, good) == 3 and store.verified() == 9
     assert store.round(log(1, 2, 3, 4, 6, 7, 8, 9), good, bad) == 0
     assert [tuple(r) for r in store.missing().collect()] == [(5, 5)] and store.touched().count() == 8
+
+
+def test_range_bounds_of_several_columns(spark):
+    by = parse_partitions("RANGE COLUMNS (a, b) (PARTITION p0 VALUES LESS THAN (1, 'm'), PARTITION p1 VALUES LESS THAN (1, MAXVALUE), PARTITION p2 VALUES LESS THAN (5, 'a'), PARTITION p3 VALUES LESS THAN (MAXVALUE, MAXVALUE))")
+    rows = [(0, "z", "p0"), (None, "z", "p0"), (1, None, "p0"), (1, "l", "p0"), (1, "m", "p1"), (1, "zz", "p1"), (2, "a", "p2"), (5, "A", "p2"), (5, "a", "p3"), (6, None, "p3")]
+    got = spark.createDataFrame(rows, "a int, b string, want string").select(by.assign().alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_only_differing_partitions_move(spark, tmp_path):
+    from tablewright.operators.partitioned import PartitionedCopy
+
+    rows = spark.createDataFrame([(k, f"{'abc'[k % 3]}/x", f"v{k}") for k in range(90)], "k long, kind string, v string")
+    copy = PartitionedCopy(spark, str(tmp_path / "t"), F.col("kind"), rows.schema, shares=3)
+    copy.write(rows)
+    files = lambda: {f: (tmp_path / "t").joinpath(f).stat().st_mtime_ns for f in (str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").rglob("*.parquet"))}
+    before = files()
+    wanted = rows.where("kind <> 'b/x'").withColumn("v", F.when(F.col("k") == 2, "new").otherwise(F.col("v"))).unionByName(spark.createDataFrame([(500, "d", "more")], rows.schema))
+    assert sorted(map(tuple, copy.sync(wanted).collect())) == [("add", "d", 1), ("drop", "b/x", 30), ("replace", "c/x", 30)]
+    assert sorted(map(tuple, copy.rows().collect())) == sorted(map(tuple, wanted.collect()))
+    after_ = files()
+    assert {f for f in before if "a%2Fx" in f} == {f for f in after_ if "a%2Fx" in f and before.get(f) == after_[f]} and not [f for f in after_ if "b%2Fx" in f]
+    assert copy.sync(wanted).count() == 0
+    with pytest.raises(MigrationError, match="NO_PARTITION"):
+        copy.write(spark.createDataFrame([(1, None, "x")], rows.schema))
+
+
+def test_keys_without_case(spark):
+    plain = spark.createDataFrame([("Ann", 1), ("bob", 2), ("Zoé", 3)], "k string, v long")
+    table = collated(plain, {"k": "UTF8_LCASE"})
+    log = collated(spark.createDataFrame([(1, 3, "ANN", 10), (2, 2, "Bob", None), (3, 1, "zoÉ", 30), (4, 1, "new", 4), (5, 1, "NEW", 5)], "change_id long, dml_type long, k string, v long"), {"k": "UTF8_LCASE"})
+    got = replay.folded(table, log, ["k"]).collect()
+    assert sorted((r.k, r.v) for r in got) == [("Ann", 10), ("Zoé", 3), ("new", 4)]
+    numbers = chunks.numbered(collated(spark.createDataFrame([(x,) for x in "bADc"], "k string"), {"k": "UTF8_LCASE"}), ["k"]).collect()
+    assert {r.k: r.row_no for r in numbers} == {"A": 1, "b": 2, "c": 3, "D": 4}
