@@ -168,7 +168,7 @@ def candidate_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def tiles(families: DataFrame) -> DataFrame:
-    """doc_id, d1, tiles (array of tile, side) from doc_id, d1, size, component: within a size band every two
+    """doc_id, no, d1, d2, tiles (array of tile, side) from doc_id, no, d1, d2, size, component: within a size band every two
     blocks meet once, and every block meets those of the next band."""
     band = F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int")
     banded = families.withColumn("band", band)
@@ -182,7 +182,7 @@ def tiles(families: DataFrame) -> DataFrame:
     own = upto("n", lambda j: F.struct(F.xxhash64("component", "band", F.lit(0), F.least(block, j), F.greatest(block, j)).alias("tile"), F.when(j < block, 1).when(j > block, 0).otherwise(2).alias("side")))
     over = upto("above", lambda j: tile(F.col("band"), 1, block, j, 0))
     under = upto("below", lambda j: tile(F.col("band") - 1, 1, j, block, 1))
-    return placed.select("doc_id", "d1", F.concat(own, over, under).alias("tiles"))
+    return placed.select("doc_id", "no", "d1", "d2", F.concat(own, over, under).alias("tiles"))
 
 
 def tile_rows(sides: np.ndarray, sets: list[np.ndarray], every: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -273,9 +273,9 @@ def tile_sets(words: pa.Array) -> list[np.ndarray]:
 
 
 def verified_links(docs: DataFrame, tiled: DataFrame, every: bool) -> DataFrame:
-    """Out of the tiles: a, b (d1) of links that are enough to join what is linked; every: also a, n of the number of
+    """Out of the tiles: a, b (no) of links that are enough to join what is linked; every: also a, n of the number of
     links of a class in a tile. No pair of classes is in two tiles."""
-    wanted = small(tiled.select(F.col("doc_id").alias("member"), F.col("d1").alias("member_d1"), "tiles"), F.size("tiles") * 16 + 48)
+    wanted = small(tiled.select(F.col("doc_id").alias("member"), "no", "d1", "d2", "tiles"), F.size("tiles") * 16 + 64)
     members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("member"))
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -283,19 +283,19 @@ def verified_links(docs: DataFrame, tiled: DataFrame, every: bool) -> DataFrame:
         start, end, first = texts.words()
         data, offsets = texts.blank_joined(start, end)
         raw, cuts = data.tobytes(), offsets[first].tolist()
-        mine = digests(shingle_sets(texts))[:, 0] == batch.column(1).to_numpy()
+        mine = (digests(shingle_sets(texts)) == np.stack([batch.column(c).to_numpy() for c in (3, 4)], axis=1)).all(axis=1)
         rows = [(t["tile"], t["side"], h, raw[a:b]) for h, ok, a, b, ts in zip(batch.column(1).to_pylist(), mine, cuts[:-1], cuts[1:], batch.column(2).to_pylist(), strict=True) if ok for t in ts]
         if not rows:
             return None
-        tile, side, d1, words = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(side, pa.int32()), pa.array(d1, pa.int64()), pa.array(words, pa.binary())], ["tile", "side", "d1", "words"])
+        tile, side, no, words = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(side, pa.int32()), pa.array(no, pa.int64()), pa.array(words, pa.binary())], ["tile", "side", "no", "words"])
 
-    each = map_texts(members.select("text", "member_d1", "tiles"), emit, "tile long, side int, d1 long, words binary")
+    each = map_texts(members.select("text", "no", "tiles", "d1", "d2"), emit, "tile long, side int, no long, words binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "tile", 256):
-            tile, side, d1 = (numbers(table, c) for c in ("tile", "side", "d1"))
-            place = np.flatnonzero(opens(tile) | opens(d1))  # repeated rows are one
+            tile, side, no = (numbers(table, c) for c in ("tile", "side", "no"))
+            place = np.flatnonzero(opens(tile) | opens(no))  # repeated rows are one
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile[place])) + 1, [len(place)]])
             words = table.column("words").combine_chunks()
             words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
@@ -303,24 +303,24 @@ def verified_links(docs: DataFrame, tiled: DataFrame, every: bool) -> DataFrame:
                 if b - a < 2:
                     continue
                 at = place[a:b]
-                found, counts = tile_links(d1[at], side[at], tile_sets(words.take(pa.array(at))), every)
+                found, counts = tile_links(no[at], side[at], tile_sets(words.take(pa.array(at))), every)
                 some = at[counts > 0]
                 first, second = zip(*found, strict=True) if found else ((), ())
                 none = lambda n: pa.nulls(n, pa.int64())
-                columns = [pa.array([*first, *d1[some].tolist()], pa.int64()), pa.concat_arrays([pa.array(second, pa.int64()), none(len(some))]), pa.concat_arrays([none(len(found)), pa.array(counts[counts > 0])])]
+                columns = [pa.array([*first, *no[some].tolist()], pa.int64()), pa.concat_arrays([pa.array(second, pa.int64()), none(len(some))]), pa.concat_arrays([none(len(found)), pa.array(counts[counts > 0])])]
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartition(parts, "tile").sortWithinPartitions("tile", "side", "d1").mapInArrow(compare, "a long, b long, n long")
+    return each.repartition(parts, "tile").sortWithinPartitions("tile", "side", "no").mapInArrow(compare, "a long, b long, n long")
 
 
-def class_links(docs: DataFrame, summaries: DataFrame, every: bool) -> DataFrame:
-    """`verified_links` between the classes."""
-    classes = stored(set_classes(summaries), "classes")
+def class_links(docs: DataFrame, summaries: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The classes (`set_classes` with no, their number, which alone tells them apart) and `verified_links` between them."""
+    classes = stored(set_classes(summaries).withColumn("no", F.monotonically_increasing_id()), "classes")
     families = components(candidate_edges(docs, classes)).withColumnRenamed("node", "d1")
-    members = classes.join(families, "d1").select(F.col("class_id").alias("doc_id"), "d1", F.col("n_shingles").alias("size"), "component")
-    return verified_links(docs, stored(tiles(stored(members, "members")), "tiles"), every)
+    members = classes.join(families, "d1").select(F.col("class_id").alias("doc_id"), "no", "d1", "d2", F.col("n_shingles").alias("size"), "component")
+    return classes, stored(verified_links(docs, stored(tiles(stored(members, "members")), "tiles"), every), "links")
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
@@ -328,12 +328,12 @@ def set_classes(sets: DataFrame) -> DataFrame:
     return sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"))
 
 
-def grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
+def grouped(sets: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of sets with class_id, component_id, n_links (if links are counted) and stays: whether the row's doc_id and class are the first
     of its component."""
-    counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("d1")).agg(F.sum("n").alias("n_links"))
-    groups = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "d1")
-    heads = set_classes(sets).drop("n_shingles").join(groups, "d1", "left").join(counts, "d1", "left")
+    counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("no")).agg(F.sum("n").alias("n_links"))
+    groups = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "no")
+    heads = classes.drop("n_shingles").join(groups, "no", "left").join(counts, "no", "left")
     least = heads.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("class_id", "d1", "d2")).alias("least"))
     own = F.struct("class_id", "d1", "d2")
     heads = heads.join(least, "component", "left").select("d1", "d2", "class_id", "n_links", F.coalesce("least", own).alias("least"))
@@ -348,17 +348,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) and n_links (other classes that its
     class is linked with) of every document. Every pair that may link is decided."""
     sets = stored(set_summaries(docs), "sets")
-    return grouped(sets, stored(class_links(docs, sets, every=True), "links")).drop("text_hash", "stays")
+    return grouped(sets, *class_links(docs, sets, every=True)).drop("text_hash", "stays")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every document, out of enough links to tell, and text_hash, stays."""
     sets = stored(set_summaries(docs), "sets")
-    return grouped(sets, stored(class_links(docs, sets, every=False), "links")).drop("n_links")
+    return grouped(sets, *class_links(docs, sets, every=False)).drop("n_links")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """One row of docs of each group: of its smallest doc_id, and of rows with one id and text any one; rows without an id, words or
+    """One row of docs of each group: of its smallest doc_id, and of rows with one id and text the one whose hash is least; rows without an id, words or
     links stay. All columns unchanged."""
     judged = stored(jaccard_components(docs), "judged")
     gone = judged.where(~F.col("stays")).select("doc_id", "text_hash").distinct()
@@ -366,6 +366,6 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     kept = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
     if often.limit(1).count():
-        one = kept.join(often, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+        one = kept.join(often, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
         kept = kept.join(often, ["doc_id", "text_hash"], "left_anti").select("row").unionByName(one.select("row"))
     return kept.select("row.*")
