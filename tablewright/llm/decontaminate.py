@@ -41,12 +41,12 @@ def words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """window_id, words, items (ids as strings): the distinct windows of all items."""
+    """window_id, words, items (ids as strings): the distinct windows of all items. They are numbered, so they are to be stored before use."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     cut = F.when(n >= window, F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.slice("w", i, window))).otherwise(F.array("w"))
     each = items.select("item", F.explode(cut).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("window_id"), "words", "items")
+    return each.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("window_id"), "words", "items")
 
 
 def bytes_of(texts: str) -> Column:
@@ -57,7 +57,9 @@ def bytes_of(texts: str) -> Column:
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: occurrences in all documents of the given terms."""
     each = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return each.join(small(terms, bytes_of("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    near = small(terms, bytes_of("term"))
+    counted = lambda frame: frame.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return counted(each).join(terms, "term") if near is terms else counted(each.join(near, "term"))  # a join that shuffles gets counts, not words
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
