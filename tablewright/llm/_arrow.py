@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 19
 BATCH_BYTES = 8 << 20
@@ -210,7 +211,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = end
 
 
-def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text") -> DataFrame:
     """Apply work to slices of the frame's batches."""
     batch_conf(frame.sparkSession)
 

@@ -4,8 +4,8 @@ anchor (a segment: all spans that chose it) is then compared unit by unit, never
 
 No group of a common anchor meets in one task. An anchor that is frequent in a slice of one task,
 or has more than `HOT` rows in all, is hot: its rows go about by their whole span in place of
-the anchor, and a task sends on only the first of the equal spans that it has, as the others are
-repeats of that one for certain. Rows of anchors that a task knows to be shared and hot take no
+the anchor, and a task, which reads its documents by rising doc_id, sends on only the first of the equal spans that it has, as the
+others are repeats of that one for certain. Rows of anchors that a task knows to be shared and hot take no
 part in counting."""
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tablewright.functions.columns import quoted
 from tablewright.llm._arrow import Texts, batch_conf, minimizers, mix, numbers, slices, whole_runs, windows
 from tablewright.llm._hot import DEALT, HOT_COUNT, Dealer, repeated_keys
 
@@ -183,6 +185,7 @@ def segments(base: DataFrame, shared: DataFrame, how: Units, itself: bool) -> Da
 
     joined = base.join(shared.withColumnRenamed("doc_id", "shared_id"), F.col("doc_id") == F.col("shared_id"), "left")
     none = F.array().cast("array<long>")
+    joined = joined.sortWithinPartitions("doc_id")  # rising ids, so that a task sends a hot span once, whatever order the rows came in
     return joined.select("doc_id", "text_hash", "text", F.coalesce("hashes", none).alias("hashes"), F.coalesce("hot", none).alias("hot")).mapInArrow(work, SEGMENT)
 
 
@@ -267,11 +270,16 @@ def matched(found: DataFrame, how: Units, judge: Judge) -> DataFrame:
 
 def base_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, text, rest (all other columns)."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", rest.alias("rest"))
 
 
+def with_rest(columns: str, base: DataFrame) -> StructType:
+    """A schema of these columns and the base rows' other ones, of whatever name."""
+    return StructType.fromDDL(columns).add(base.schema["rest"])
+
+
 def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:
     """The base rows with the ranges of their ids, none where there are none."""
     joined = base.join(ranges.withColumnRenamed("doc_id", "range_id"), F.col("doc_id") == F.col("range_id"), "left").drop("range_id")

@@ -22,15 +22,18 @@ import numpy as np
 BLOCK_ROWS = 1 << 22
 #: Symbol of a string that has ended. UTF-8 has no such byte.
 START = 255
-COLUMNS = {"symbol": np.uint8, "common": np.uint8, "suffix": np.int64}
+COLUMNS = {"symbol": np.uint8, "common": np.uint64, "suffix": np.int64}
+FAR = 1 << 62  # over every common prefix
 
 
 class Columns:
-    """The columns of the sorted suffixes: arrays, or sequential files where they have more than block_rows rows."""
+    """The columns of the sorted suffixes: arrays, or sequential files where they have more than block_rows rows. longest: the largest
+    common prefix there may be, which decides its column's width."""
 
-    def __init__(self, folder: str, block_rows: int, **first: np.ndarray):
+    def __init__(self, folder: str, block_rows: int, longest: int, **first: np.ndarray):
         self.folder, self.block_rows, self.turn = Path(folder), block_rows, 0
-        self.put([{name: first[name].astype(kind) for name, kind in COLUMNS.items()}], len(first["symbol"]))
+        self.kinds = COLUMNS | {"common": np.min_scalar_type(longest)}
+        self.put([{name: first[name].astype(kind) for name, kind in self.kinds.items()}], len(first["symbol"]))
 
     def put(self, blocks: Iterator[dict[str, np.ndarray]], rows: int) -> None:
         """Replace the columns by blocks that may be made from the old ones as they are read."""
@@ -56,7 +59,7 @@ class Columns:
             return
         files = {name: (self.folder / f"{name}-{self.turn}").open("rb") for name in COLUMNS}
         for start in range(0, self.rows, self.block_rows):
-            yield start, {name: np.fromfile(file, COLUMNS[name], self.block_rows) for name, file in files.items()}
+            yield start, {name: np.fromfile(file, self.kinds[name], self.block_rows) for name, file in files.items()}
         for file in files.values():
             file.close()
 
@@ -87,7 +90,7 @@ def counted(columns: Columns, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarr
     `own`), common prefixes of what will stand there with what comes before and behind it, and each symbol's total."""
     rank, before, behind = (np.zeros(len(at), np.int64) for _ in range(3))
     total = np.zeros(256, np.int64)
-    low = np.full(256, START, np.int64)  # least common prefix since a symbol's last occurrence
+    low = np.full(256, FAR, np.int64)  # least common prefix since a symbol's last occurrence
     last = np.full(256, -1, np.int64)  # which of `at` that occurrence is
     for start, block in columns.blocks():
         symbol, common = block["symbol"], block["common"]
@@ -113,7 +116,7 @@ def counted(columns: Columns, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarr
             some = linked & (at_head < len(place)) & (place[np.minimum(at_head, len(place) - 1)] == head) if len(place) else np.zeros(len(there), bool)
             before[a + at_head[some]] = value[some]
             low = np.minimum(low, int(least[-1]))
-            ahead = np.append(np.minimum.accumulate(common[::-1])[::-1], START)
+            ahead = np.append(np.minimum.accumulate(common[::-1])[::-1].astype(np.int64), FAR)
             low[there] = ahead[tail + 1]
             at_tail = np.searchsorted(place, tail)
             is_at = (at_tail < len(place)) & (place[np.minimum(at_tail, len(place) - 1)] == tail) if len(place) else np.zeros(len(there), bool)
@@ -135,7 +138,7 @@ def merged(columns: Columns, at: np.ndarray, fresh: dict[str, np.ndarray], behin
         kept[inside] = False
         out = {}
         for name, values in block.items():
-            out[name] = np.empty(len(kept), COLUMNS[name])
+            out[name] = np.empty(len(kept), values.dtype)
             out[name][kept] = values
             out[name][inside] = fresh[name][own]
         first = start + done  # new place of the block's first row
@@ -146,7 +149,12 @@ def merged(columns: Columns, at: np.ndarray, fresh: dict[str, np.ndarray], behin
 
 
 def sorted_suffixes(symbol_before: Callable[[np.ndarray, int], np.ndarray], length: np.ndarray, marker_common: np.ndarray, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, symbols before the end marker, and common prefix with the one before, of all suffixes in sorted order.
+    """All blocks of `suffix_blocks` at once."""
+    return tuple(np.concatenate(x) for x in zip(*suffix_blocks(symbol_before, length, marker_common, block_rows), strict=True))
+
+
+def suffix_blocks(symbol_before: Callable[[np.ndarray, int], np.ndarray], length: np.ndarray, marker_common: np.ndarray, block_rows: int = BLOCK_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """String, symbols before the end marker, and common prefix with the one before, of all suffixes in sorted order, block by block.
 
     Strings are numbered in the order of their end markers, which come before all symbols; length: of each string;
     marker_common: common prefixes of the markers with the one before. symbol_before(strings, j) gives the symbol that
@@ -158,7 +166,7 @@ def sorted_suffixes(symbol_before: Callable[[np.ndarray, int], np.ndarray], leng
         active = np.flatnonzero(length > 0)
         symbol = np.full(count, START, np.uint8)
         symbol[active] = symbol_before(active, 0)
-        columns = Columns(folder, block_rows, symbol=symbol, common=marker_common, suffix=np.arange(count) * width)
+        columns = Columns(folder, block_rows, int(marker_common.max(initial=0)) + width + 1, symbol=symbol, common=marker_common, suffix=np.arange(count) * width)
         at, own = active.copy(), symbol[active]
         for j in range(1, width):
             rank, before, behind, total = counted(columns, at, own)
@@ -173,6 +181,5 @@ def sorted_suffixes(symbol_before: Callable[[np.ndarray, int], np.ndarray], leng
             active, at, own = active[grows], at[grows], own[grows]
             if not len(active):
                 break
-        blocks = [(block["suffix"], block["common"]) for _, block in columns.blocks()]
-    suffix, common = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    return suffix // width, suffix % width, common.astype(np.int64)
+        for _, block in columns.blocks():
+            yield block["suffix"] // width, block["suffix"] % width, block["common"].astype(np.int64)

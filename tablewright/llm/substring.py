@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm._arrow import Texts, map_texts, paired, words_of
-from tablewright.llm._seeds import HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
+from tablewright.llm._seeds import HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges, with_rest
 
 ANCHOR_WORDS = 5
 
@@ -94,7 +94,7 @@ def remove_substrings(docs: DataFrame, span: int = 13, hot: int = HOT, locally_h
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]]), batch.column(3)], ["doc_id", "text", "n_words", "n_removed", "rest"])
 
     wide = with_ranges(base, ranges)
-    return map_texts(wide, keep, f"doc_id long, text string, n_words long, n_removed long, rest {dict(base.dtypes)['rest']}")
+    return map_texts(wide, keep, with_rest("doc_id long, text string, n_words long, n_removed long", base))
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm._arrow import Texts, map_texts
-from tablewright.llm._seeds import HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges
-from tablewright.llm.bcr import sorted_suffixes
+from tablewright.llm._seeds import HOT, LOCALLY_HOT, Group, Units, base_rows, matched, removed_units, segments, shared_anchors, with_ranges, with_rest
+from tablewright.llm.bcr import suffix_blocks
 
 ANCHOR_BYTES = 32
 
@@ -66,10 +66,12 @@ def later_spans(g: Group, how: Units) -> tuple[np.ndarray, np.ndarray, np.ndarra
     order, common = following(g.data, at, size, length)
     of, at, size = of[order], at[order], size[order]
     left = np.minimum(at - g.offsets[of], length - how.k)
-    string, reach, shared = sorted_suffixes(lambda strings, j: g.data[at[strings] - j - 1], left, common)
-    some = np.flatnonzero((reach + size[string] >= length) & (shared >= 0))
-    # nothing shorter than length sorts between two suffixes that share length bytes
-    string, reach, opens = string[some], reach[some], shared[some] < length
+    kept = []
+    for string, reach, shared in suffix_blocks(lambda strings, j: g.data[at[strings] - j - 1], left, common):
+        some = np.flatnonzero(reach + size[string] >= length)
+        # nothing shorter than length sorts between two suffixes that share length bytes
+        kept.append((string[some], reach[some], shared[some] < length))
+    string, reach, opens = (np.concatenate(x) for x in zip(*kept, strict=True))
     opens[:1] = True
     run = np.cumsum(opens) - 1
     start = at[string] - reach - g.offsets[of[string]]
@@ -107,7 +109,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ho
         return pa.RecordBatch.from_arrays([batch.column(0), out, pa.array(np.diff(texts.offsets)), pa.array(texts.per_text(gone)), pa.array(texts.per_text(opens)), batch.column(3)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"])
 
     wide = with_ranges(base, ranges)
-    return map_texts(wide, keep, f"doc_id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long, rest {dict(base.dtypes)['rest']}")
+    return map_texts(wide, keep, with_rest(f"doc_id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long", base))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
