@@ -287,9 +287,23 @@ def test_licenses(docs, spark):
     assert got["apache-2.0-line"] == 1.0 and 0.95 < got["apache-2.0-header"] < 1.0
 
 
+def plain_alignment(template, text, d, band=8):
+    """The best of all alignments in the band around one diagonal: most words, then latest begin, then earliest end; by the definition, cell by cell."""
+    best = {}
+    for i, word in enumerate(template):
+        for j in range(max(0, i + d - band), min(len(text), i + d + band + 1)):
+            options = [best.get((i - 1, j), (0, 0, 0)), best.get((i, j - 1), (0, 0, 0)) if j - 1 >= i + d - band else (0, 0, 0)]
+            if text[j] == word:
+                n, first, _ = best.get((i - 1, j - 1), (0, 0, 0))
+                options.append((n + 1, first if n else j, -j))
+            best[i, j] = max(options)
+    n, first, last = max(best.values(), default=(0, 0, 0))
+    return n, first, -last
+
+
 def every_alignment(template, text, least=0.8):
     """Best alignment over all diagonals from the first that matches, then what lies before and behind it."""
-    found = [(d, licenses.aligned(template, text, d)) for d in range(-len(template) - 8, len(text) + 9)]
+    found = [(d, plain_alignment(template, text, d)) for d in range(-len(template) - 8, len(text) + 9)]
     good = [(d, x) for d, x in found if x[0] > 0 and x[0] >= least * len(template)]
     if not good:
         return []
@@ -305,7 +319,7 @@ def test_license_alignment_everywhere(spark):
     few = {k: licenses.TEMPLATES[k] for k in ("mit-line", "cc-by-nc-4.0", "all-rights-reserved")}
     out = licenses.license_scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), few).collect()
     spans, number = [], {}
-    code = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall("[a-z0-9]+", (t or "").lower())], np.int64)
+    code = lambda t: list([number.setdefault(w, len(number)) for w in re.findall("[a-z0-9]+", (t or "").lower())])
     for i, t in enumerate(lines):
         at = [m.span() for m in re.finditer("[a-z0-9]+", (t or "").lower())]
         spans += [(i, name, n, at[a][0], at[b][1]) for name, line in few.items() for n, a, b in every_alignment(code(line), code(t))]
@@ -313,6 +327,25 @@ def test_license_alignment_everywhere(spark):
     assert (0, "mit-line", 4, 0, len(lines[0])) in spans and sum(x[:2] == (1, "mit-line") for x in spans) == 2
 
 
+def test_license_fingerprints_meet_every_match():
+    """Whatever words a match lacks, it has one of the fingerprints."""
+    rng = np.random.default_rng(5)
+    names, units, _, _, prints = licenses.template_index(licenses.TEMPLATES, 0.8)
+    for t, unit in enumerate(units):
+        own = [place for found in prints for x, place in found if x == t]
+        lacks = len(unit) - licenses.needed(unit, 0.8)
+        assert len(set(own)) == lacks + 1, names[t]
+        for _ in range(20):
+            gone = set(rng.choice(len(unit), lacks, replace=False).tolist())
+            assert set(own) - gone
+
+
+def test_long_text_of_repeated_lines(spark):
+    text = "Released under the MIT License. " * 4000
+    out = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(out) == 4000 and {r.license for r in out} == {"mit-line"} and {r.matched_words for r in out} == {5}
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, BASE[:90].upper()), (2, "short"), (3, None), (4, "--"), (1, BASE[:90])], "item_id long, text string")
     out = ids(decontaminate.contamination(docs, bench))
