@@ -36,6 +36,7 @@ from tablewright.llm._pretokens import IdCache
 from tablewright.llm.bpe import Vocabulary
 
 LEVEL = 3
+SEGMENT = 64  # bytes of a dictionary's pieces
 BROADCAST_BLOCKS = 1_000_000
 PIECES, PIECE_IDS = 8, 2048
 #: Pre-tokens without white space but a blank in front, and none of the lead bytes that other white space has.
@@ -100,17 +101,16 @@ def trained(pieces: list[bytes], size: int) -> bytes:
     """A dictionary of at most `size` bytes: trained on the pieces, or, where these are too few, made up of them."""
     total = sum(map(len, pieces))
     try:
-        return zstandard.train_dictionary(min(size, max(256, total // 16)), pieces, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, total // 16)), pieces, level=LEVEL, k=SEGMENT, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-size:] if total >= 8 else b""
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, size: int) -> DataFrame:
-    """One row: dictionary, sha256, sampled pieces."""
-    rows = docs.count()
+def train_dictionary(docs: DataFrame, rows: int, tokenizer_path: str, end_id: int, sample_docs: int, size: int) -> DataFrame:
+    """One row: dictionary, sha256, sampled pieces. rows: of docs."""
     bound = F.lit(int(2**63 * min(1.0, sample_docs / max(rows, 1))) - 1)
     low = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1))
-    sample = docs.select("doc_id", "text").where(low <= bound)
+    sample = docs.select("doc_id", "text").where(low <= bound).dropDuplicates()  # rows equal in both are all in or all out
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -130,10 +130,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, sample_docs: int = 2000, dictionary_bytes: int = 1 << 16, block_bytes: int = 1 << 20) -> None:
     """Write the token set of all documents to path."""
     spark = docs.sparkSession
-    train_dictionary(docs, tokenizer_path, end_id, sample_docs, dictionary_bytes).write.parquet(f"{path}/dictionary")
-    dictionary, sha = read_dictionary(spark, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    rows, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / max(2, parts) for i in range(1, max(2, parts))], 10_000)).first()  # reads no text
+    cuts = cuts if parts > 1 else []
+    train_dictionary(docs, rows, tokenizer_path, end_id, sample_docs, dictionary_bytes).write.parquet(f"{path}/dictionary")
+    dictionary, sha = read_dictionary(spark, path)
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
