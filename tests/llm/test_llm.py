@@ -252,6 +252,46 @@ def test_sharding(spark, docs):
         sharding.shard_documents(docs, 3, path, 64)
 
 
+def brute_shards(rows, shards, slots):
+    """(doc_id, text) -> the (shard, slot, virtual slot) of its rows, by the definition: hash, largest slot to the lightest shard, numbers in order."""
+    import struct
+
+    import xxhash
+
+    def hashed(i, t):
+        h = 42  # of a row, column by column, nulls passed over
+        h = h if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), seed=h)
+        h = h if t is None else xxhash.xxh64_intdigest(t.encode(), seed=h)
+        return (h - (1 << 64) if h >> 63 else h) % slots
+
+    held = defaultdict(list)
+    for i, t in rows:
+        raw = (t or "").encode()
+        held[hashed(i, t)].append(((i is not None, i or 0), zlib.crc32(raw), len(raw) + 8, i, t))
+    size = {v: sum(x[2] for x in held.get(v, [])) for v in range(slots)}
+    load, count, placed = [0] * shards, [0] * shards, {}
+    for v in sorted(range(slots), key=lambda v: (-size[v], v)):
+        s = min(range(shards), key=lambda s: (load[s], count[s], s))
+        placed[v] = s
+        load[s] += size[v]
+        count[s] += 1
+    out, filled = defaultdict(list), [0] * shards
+    for v in range(slots):
+        for *_, i, t in sorted(held.get(v, []), key=lambda x: x[:3]):
+            out[i, t].append((placed[v], filled[placed[v]], v))
+            filled[placed[v]] += 1
+    return {k: sorted(x) for k, x in out.items()}
+
+
+def test_sharding_against_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(i, f"text {i % 7}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sharding.shard_documents(frame, 5, shared_path(spark, "m"), 64).collect():
+        got[r.doc_id, r.text].append((r.shard, r.slot, r.virtual_slot))
+    assert {k: sorted(x) for k, x in got.items()} == brute_shards(rows, 5, 64)
+
+
 def test_rebalancing_keeps_what_it_can(spark):
     path, docs = shared_path(spark, "m"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     out, load, _, held = sharded(docs, 24, path)
