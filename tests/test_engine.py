@@ -727,3 +727,37 @@ def test_keys_without_case(spark):
     assert sorted((r.k, r.v) for r in got) == [("Ann", 10), ("Zoé", 3), ("new", 4)]
     numbers = chunks.numbered(collated(spark.createDataFrame([(x,) for x in "bADc"], "k string"), {"k": "UTF8_LCASE"}), ["k"]).collect()
     assert {r.k: r.row_no for r in numbers} == {"A": 1, "b": 2, "c": 3, "D": 4}
+
+
+def test_ranges_without_ids():
+    import numpy as np
+
+    from tablewright.streaming.gap_stream import without
+
+    firsts, lasts, ages = np.array([3, 20, 40]), np.array([9, 20, 41]), np.array([5, 6, 7])
+    a, b, age, odd = without(firsts, lasts, ages, np.array([1, 3, 5, 6, 20, 30, 41]))
+    assert list(zip(a.tolist(), b.tolist(), age.tolist(), strict=True)) == [(4, 4, 5), (7, 9, 5), (40, 40, 7)] and odd == 2
+    assert without(firsts[:0], lasts[:0], ages[:0], np.array([4]))[3] == 1
+
+
+def test_gaps_as_streaming_state(spark, tmp_path):
+    from tablewright.streaming.gap_stream import GapTracker
+
+    tracker = GapTracker(spark, str(tmp_path / "told"), start=5, size=20)
+    seen = []
+
+    def round_(ids):
+        seen.extend(ids)
+        spark.createDataFrame([(i,) for i in ids], "change_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        tracker.round(spark.readStream.schema("change_id long").parquet(str(tmp_path / "log")), str(tmp_path / "c"))  # a new stream each time: a restart
+        want = gaps.gap_ranges(spark.createDataFrame([(i,) for i in seen], "change_id long"), 5).collect()
+        got = tracker.missing().collect()
+        assert sorted(i for r in got for i in range(r.first, r.last + 1)) == sorted(i for a, b in want for i in range(a, b + 1))
+        return {r.first: r.age for r in got}
+
+    assert round_([6, 7, 9, 15, 16, 30]) == {8: 0, 10: 0, 17: 0, 20: 0}
+    assert round_([8, 12, 110, 111]).keys() == {10, 13, 17, 20, 31, 80, 100}  # cells 2 to 4 are wholly missing, of which only the last is known
+    ages = round_([13, 55, 14])
+    assert ages[10] >= 2 and ages[17] >= 2 and 13 not in ages and 14 not in ages
+    assert {r.first for r in tracker.too_old(2).collect()} >= {10, 17} and tracker.told().where("repeated > 0").count() == 0
+    tracker.round(spark.readStream.schema("change_id long").parquet(str(tmp_path / "log")), str(tmp_path / "c"))
