@@ -761,3 +761,19 @@ def test_gaps_as_streaming_state(spark, tmp_path):
     assert ages[10] >= 2 and ages[17] >= 2 and 13 not in ages and 14 not in ages
     assert {r.first for r in tracker.too_old(2).collect()} >= {10, 17} and tracker.told().where("repeated > 0").count() == 0
     tracker.round(spark.readStream.schema("change_id long").parquet(str(tmp_path / "log")), str(tmp_path / "c"))
+
+
+def test_columns_that_the_log_lacks(spark):
+    """Known without a reading: rows that were inserted again have defaults, others keep their values; null keys are not replayed."""
+    old = parse_table("CREATE TABLE m (k BIGINT NOT NULL, v VARCHAR(9), w VARCHAR(9) DEFAULT 'd', PRIMARY KEY (k))")
+    new = parse_table("CREATE TABLE m (k BIGINT NOT NULL, v VARCHAR(20), w VARCHAR(9) DEFAULT 'd', n INT DEFAULT 3, PRIMARY KEY (k))")
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "k long, v string, w string")
+    log = spark.createDataFrame([(1, 2, 1, None), (2, 1, 1, "again"), (3, 3, 1, "later"), (4, 3, 2, "B"), (5, 1, 9, "new"), (6, 1, None, "nowhere")], LOG)
+    base.write.mode("overwrite").saveAsTable("m")
+    try:
+        assert Migration(old, old).run_table(spark, "m", log) is None and spark.table("m").count() == 3
+        Migration(old, new).run_table(spark, "m", log)
+        assert sorted(map(tuple, spark.table("m").collect())) == [(1, "later", "d", 3), (2, "B", "y", 3), (3, "c", "z", 3), (9, "new", "d", 3)]
+    finally:
+        clean_up(spark)
+        spark.sql("DROP TABLE IF EXISTS m")
