@@ -20,7 +20,7 @@ from tablewright.errors import MigrationError
 from tablewright.functions.columns import checked_columns, columns, matches, md5_prefix, quoted
 from tablewright.operators import chunks, replay, tree, uniques, verify
 from tablewright.operators.stats import RunStats
-from tablewright.plans.checks import identity, require_migratable, require_no_foreign_keys, require_space, verification
+from tablewright.plans.checks import dump_keys, identity, require_migratable, require_no_foreign_keys, require_space, verification
 from tablewright.plans.diff import SchemaDiff, converted_columns
 from tablewright.plans.schema import ColumnSpec, TableSpec, same_schema
 from tablewright.sources.shared import computed
@@ -41,6 +41,13 @@ def beside(prefix: str, table: str) -> str:
     return f"{prefix}{table[: LONGEST_NAME - len(prefix) - 13]}_{digest}"
 
 
+def dump_table(table: DataFrame, old: TableSpec, new: TableSpec, path: str, chunk_bytes: int = 2 << 20) -> list[str] | None:
+    """Write a table for `chunks.load` in the way that its size and keys allow: chunks of so many bytes by key, or as it lies. What it was cut by."""
+    keys = dump_keys(old, new, identity(old, True)[0], size(table)[1])
+    chunks.dump(table, keys, rows_of_files(table, chunk_bytes) if keys else 1, path)
+    return keys
+
+
 def untouched(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys no change has."""
     return table.alias("t").join(changes.select(*columns(keys)).distinct().alias("c"), matches("t", "c", keys), "left_anti")
@@ -154,7 +161,7 @@ class Migration:
         none = table.sparkSession.createDataFrame([], "chunk_id long, cnt_old long, cnt_new long, mismatched string")
         if same_schema(self.old, self.new) and not self.rebuild:
             return table, none
-        keys = self.stage("check", lambda: require_migratable(self.old, self.new, self.allow_drop))
+        keys = self.stage("check", lambda: require_migratable(self.old, self.new, self.allow_drop, table_bytes=size(table)[1] or None))
         copy = self.stage("copy", lambda: copied(scan(table, table.columns, self.where), self.new))
         require_same_types(copy, self.new)
         new = self.stage("replay", lambda: self.replayed(copy, changes, keys))
@@ -333,4 +340,4 @@ def clean_up(spark: SparkSession, table: str | None = None) -> list[str]:
     return left
 
 
-__all__ = ["Migration", "asserting", "chunks", "clean_up", "copied", "first_of_duplicates", "swap_tables"]
+__all__ = ["Migration", "asserting", "chunks", "clean_up", "copied", "dump_table", "first_of_duplicates", "swap_tables"]

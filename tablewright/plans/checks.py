@@ -41,8 +41,12 @@ def ordered_key(table: TableSpec, names: list[str]) -> KeySpec | None:
     return found if found and found.unique else None
 
 
-def require_migratable(old: TableSpec, new: TableSpec, allow_drop: bool = False, allow_new_key: bool = False, allow_current_time: bool = False) -> list[str]:
-    """The identity columns, or the error that stands against the migration."""
+WHOLE_DUMP_BYTES = 500 << 20  # fixed value: tables under this may be moved without a key to cut them by
+
+
+def require_migratable(old: TableSpec, new: TableSpec, allow_drop: bool = False, allow_new_key: bool = False, allow_current_time: bool = False, table_bytes: int | None = None) -> list[str]:
+    """The identity columns, or the error that stands against the migration. table_bytes: of a table that, if it is small, may do without a key
+    of the new schema that covers the identity: it is dumped and compared as a whole."""
     if not new.primary:
         raise MigrationError("NO_PK_EXIST", table=new.name)
     names, _ = identity(old, allow_new_key)
@@ -52,13 +56,23 @@ def require_migratable(old: TableSpec, new: TableSpec, allow_drop: bool = False,
             raise MigrationError("PRI_COL_DROPPED", column=name)
         if not allow_drop:
             raise MigrationError("MISSING_COLUMN", column=name)
-    if not covered(new, names):
+    if not covered(new, names) and (table_bytes is None or table_bytes >= WHOLE_DUMP_BYTES):
         raise MigrationError("NO_INDEX_COVERAGE", columns=", ".join(names))
     if not allow_current_time and (risky := needs_current_time(old, new)):
         raise MigrationError("UNSAFE_TS_BOOTSTRAP", column=risky[0])
     return names
 
 
+def dump_keys(old: TableSpec, new: TableSpec, names: list[str], table_bytes: int) -> list[str] | None:
+    """What a dump is cut by: the identity columns where keys of both schemas follow them; None, the table as it lies, where not, if it is
+    small, or where all columns are the identity."""
+    if ordered_key(old, names) and covered(new, names):
+        return names
+    if table_bytes >= WHOLE_DUMP_BYTES and old.primary:
+        raise MigrationError("NO_INDEX_COVERAGE", columns=", ".join(names))
+    return None
+
+
 def require_no_foreign_keys(found: DataFrame, table: str) -> None:
     """FOREIGN_KEY_FOUND if the table has one or is named by one (rows of sources.tables.foreign_keys)."""
     if first := found.orderBy("name").limit(1).collect():

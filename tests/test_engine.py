@@ -777,3 +777,23 @@ def test_columns_that_the_log_lacks(spark):
     finally:
         clean_up(spark)
         spark.sql("DROP TABLE IF EXISTS m")
+
+
+def test_way_of_a_dump(spark, tmp_path):
+    from tablewright.migrate import dump_table
+
+    old = parse_table("CREATE TABLE d (k BIGINT NOT NULL, v VARCHAR(9), PRIMARY KEY (k))")
+    other = parse_table("CREATE TABLE d (k BIGINT NOT NULL, v VARCHAR(9) NOT NULL, PRIMARY KEY (v))")
+    keyless = parse_table("CREATE TABLE d (k BIGINT, v VARCHAR(9))")
+    assert checks.dump_keys(old, old, ["k"], 1 << 40) == ["k"] and checks.dump_keys(old, other, ["k"], 1 << 20) is None
+    with pytest.raises(MigrationError, match="NO_INDEX_COVERAGE"):
+        checks.dump_keys(old, other, ["k"], checks.WHOLE_DUMP_BYTES)
+    with pytest.raises(MigrationError, match="NO_INDEX_COVERAGE"):
+        checks.require_migratable(old, other)
+    assert checks.require_migratable(old, other, table_bytes=1 << 20) == ["k"]
+    spark.createDataFrame([(i, f"v{i}") for i in range(500)], "k long, v string").write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    for n, (a, b, way) in enumerate([(old, old, ["k"]), (old, other, None), (keyless, old, None)]):
+        assert dump_table(table, a, b, str(tmp_path / f"out{n}"), 2000) == way
+        assert sorted(map(tuple, chunks.load(spark, str(tmp_path / f"out{n}"), table.schema).collect())) == sorted(map(tuple, table.collect()))
+    assert len(list((tmp_path / "out0").glob("chunk_id=*"))) > 2
