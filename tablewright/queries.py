@@ -364,11 +364,11 @@ def checksum_compare_chunks(spark, d):
 cuts AS (SELECT chunk_id, min(o_orderkey) AS low FROM a GROUP BY chunk_id),
 b AS (SELECT o.* REPLACE (CASE WHEN o_orderkey % 4001 = 17 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus), coalesce(chunk_id, 0) AS chunk_id FROM orders o ASOF LEFT JOIN cuts ON o.o_orderkey >= cuts.low),
 x AS (SELECT chunk_id, {SUMS} FROM a GROUP BY chunk_id), y AS (SELECT chunk_id, {SUMS} FROM b GROUP BY chunk_id)
-SELECT chunk_id, CASE WHEN chunk_id > 0 THEN low END AS first_o_orderkey, x.cnt AS cnt_old, y.cnt AS cnt_new, array_to_string(list_filter([{', '.join(f"CASE WHEN x.{c} <> y.{c} THEN '{c}' END" for c in CHECKED)}], lambda v: v IS NOT NULL), ',') AS mismatched
+SELECT chunk_id, CASE WHEN chunk_id > 0 THEN low ELSE 0 END AS first_o_orderkey, x.cnt AS cnt_old, y.cnt AS cnt_new, array_to_string(list_filter([{', '.join(f"CASE WHEN x.{c} <> y.{c} THEN '{c}' END" for c in CHECKED)}], lambda v: v IS NOT NULL), ',') AS mismatched
 FROM x JOIN y USING (chunk_id) JOIN cuts USING (chunk_id) WHERE x.cnt <> y.cnt OR ({' OR '.join(f'x.{c} <> y.{c}' for c in CHECKED)})""")
 def checksum_tree_chunks(spark, d):
     """Chunks that differ by cuts that both sides share: rows of one side only change their own chunk and no later one."""
-    return tree.differing_chunks(orders(spark, d).where("o_orderkey % 5000 <> 7"), _mutated(spark, d), ["o_orderkey"], CHECKED, CHUNK, 4, md5_prefix)
+    return tree.differing_chunks(orders(spark, d).where("o_orderkey % 5000 <> 7"), _mutated(spark, d), ["o_orderkey"], CHECKED, CHUNK, 4, md5_prefix).fillna(0, ["first_o_orderkey"])
 
 
 @query(f"SELECT coalesce(bit_xor(xor(xor(xor(xor(cnt, o_orderkey), o_custkey), o_orderstatus), o_orderpriority)), 0)::BIGINT AS fingerprint FROM (SELECT chunk_id, {SUMS} FROM {NUMBERED} GROUP BY chunk_id)")
