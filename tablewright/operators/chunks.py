@@ -3,8 +3,6 @@ numbered within each range, and shifted by the rows of the ranges before."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,18 +22,20 @@ def rows_per_chunk(chunk_bytes: int, row_bytes: int) -> int:
 
 def key_ranges(frame: DataFrame, keys: list[str], ranges: int) -> Column:
     """Number of the row's range of keys, of any type. The cuts come from SAMPLE random rows a range, which decide
-    only how even the ranges are; at most MOST_RANGES cuts, looked up in two steps. Equal keys share a range."""
+    only how even the ranges are; at most MOST_RANGES cuts, among which a row finds its place by halving. Equal keys share a range."""
     ranges = min(ranges, MOST_RANGES)
     drawn = frame.select(*columns(keys), F.rand().alias("__r")).orderBy("__r").limit(SAMPLE * ranges).select(*columns(keys))
     rows = drawn.orderBy(*columns(keys)).collect() if ranges > 1 else []
     picked = [r for i, r in enumerate(rows[SAMPLE::SAMPLE]) if i == 0 or r != rows[i * SAMPLE]]
+    alone = len(keys) == 1  # then values are compared, not structs, in which nulls come first: a null is below no cut's value and cuts nothing
+    picked = [r for r in picked if not alone or r[0] is not None]
     if not picked:
         return F.lit(0)
-    cuts = [F.struct(*[F.lit(v).cast(frame.schema[k].dataType).alias(k) for k, v in zip(keys, r, strict=True)]) for r in picked]
-    step, key = math.isqrt(len(cuts)) + 1, F.struct(*[c.alias(k) for c, k in zip(columns(keys), keys, strict=True)])
-    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < key))
-    block = below(F.array(*cuts[step - 1 :: step])) * step if len(cuts) >= step else F.lit(0)
-    return block + below(F.slice(F.array(*cuts), block + 1, F.lit(step)))
+    value = lambda k, v: F.lit(v).cast(frame.schema[k].dataType).alias(k)
+    cuts = F.array(*[value(keys[0], r[0]) if alone else F.struct(*[value(k, v) for k, v in zip(keys, r, strict=True)]) for r in picked])
+    key = F.col(quoted(keys[0])) if alone else F.struct(*[c.alias(k) for c, k in zip(columns(keys), keys, strict=True)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(picked).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda below, step: F.when(F.get(cuts, below + step - 1) < key, below + step).otherwise(below))
 
 
 def numbered(frame: DataFrame, keys: list[str], name: str = "row_no") -> DataFrame:

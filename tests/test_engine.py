@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -603,6 +605,43 @@ def test_an_inserted_row_changes_one_range(spark):
     assert huge.count() == 67 and huge.where("cnt_new > 0").count() == 0
 
 
+def test_equal_changes_of_two_ranges_do_not_cancel(spark):
+    from tablewright.operators import tree
+
+    rows = [(i, "a") for i in range(900)]
+    old = spark.createDataFrame(rows, "k long, v string")
+    new = spark.createDataFrame([(k, "b" if k in (5, 14, 500, 501) else v) for k, v in rows], old.schema)  # 5 and 14: two leaves; 500 and 501: one
+    found = tree.differing_chunks(old, new, ["k"], ["k", "v"], 9, 4)
+    assert sorted(map(tuple, found.collect())) == [(0, None, 9, 9, "v"), (1, 9, 9, 9, "v")]
+
+
+def test_ranges_are_summed_in_one_reading(spark):
+    """Rows that are hashed do not grow with the levels of the tree, though every range differs; equal keys share a range on both sides."""
+    from tablewright.operators import tree
+
+    hashed = spark.sparkContext.accumulator(0)
+
+    def told(name):
+        @F.udf("long")
+        def own(value):
+            hashed.add(1)
+            return int.from_bytes(hashlib.md5(str(value).encode()).digest()[:7])  # not linear, as a CRC is
+
+        return own(name)
+
+    rng = random.Random(4)
+    keys = [rng.randrange(-50, 250) for _ in range(500)]
+    old = spark.createDataFrame([(k if k else None, i) for i, k in enumerate(keys)], "k int, v long").repartition(3)
+    new = spark.createDataFrame([(k if k else None, i + 1_000) for i, k in enumerate(keys)] + [(-90, 1), (300, 2)], "k int, v long").repartition(2)
+    ordered = sorted(keys, key=lambda k: k or -1_000)
+    place = lambda k: max(0, (sum(1 for x in ordered if (x or -1_000) <= k) - 1) // 7)
+    sides = [Counter(place(k or -1_000) for k in side) for side in (keys, [*keys, -90, 300])]
+    found = tree.differing_chunks(old, new, ["k"], ["v"], 7, 2, told).collect()
+    assert sorted((r.chunk_id, r.cnt_old, r.cnt_new) for r in found) == sorted((n, sides[0][n], sides[1][n]) for n in sides[1])
+    assert all(r.first_k == ordered[r.chunk_id * 7] or (r.first_k is None and not ordered[r.chunk_id * 7]) for r in found if r.chunk_id)
+    assert hashed.value == 1_002
+
+
 def test_violations_of_a_hot_key(spark):
     rng = random.Random(9)
     log = [(i, rng.choice([1, 2, 3]), rng.choice([1, 1, 1, *range(9)]), "x") for i in range(1, 400)]
