@@ -145,7 +145,7 @@ class Migration:
             if self.critical:
                 raise MigrationError("OUTSIDE_HOOK_ERROR", hook=name, message=str(e)) from e
 
-    def replayed(self, copy: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    def replayed(self, copy: DataFrame, changes: DataFrame, keys: list[str], spent: float = 0.0) -> DataFrame:
         replay.require_known_types(changes)
         if self.strict and not self.where:
             replay.require_effect(copy, changes, keys, self.keep_failed_in)
@@ -153,7 +153,7 @@ class Migration:
         typed = [F.col(quoted(c)).cast(self.new.column(c).spark_type()).alias(c) if self.new.column(c) else F.col(quoted(c)) for c in kept]
         defaults = {c.name: default_value(c).cast(c.spark_type()) for c in self.new.columns if c.name not in kept}
         out = replay.folded(copy, changes.select(*typed), keys, fresh=defaults)
-        return out if self.seconds_limit is None else in_time(out, self.seconds_limit)
+        return out if self.seconds_limit is None else in_time(out, max(0.001, self.seconds_limit - spent))
 
     def run(self, table: DataFrame, changes: DataFrame, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The migrated table, and the comparison of its chunks with those of what it should be: `expected`, a reading of the old table
@@ -164,7 +164,14 @@ class Migration:
         keys = self.stage("check", lambda: require_migratable(self.old, self.new, self.allow_drop, table_bytes=size(table)[1] or None))
         copy = self.stage("copy", lambda: copied(scan(table, table.columns, self.where), self.new))
         require_same_types(copy, self.new)
-        new = self.stage("replay", lambda: self.replayed(copy, changes, keys))
+
+        def replayed() -> DataFrame:
+            nonlocal changes  # read several times from here on: what makes the log runs once, and all readings see the same changes
+            began = time.monotonic()
+            changes = computed(changes) if self.seconds_limit is None else in_time(changes, self.seconds_limit)
+            return self.replayed(copy, changes, keys, time.monotonic() - began)
+
+        new = self.stage("replay", replayed)
         way = verification(self.old, self.new, keys, self.where)
         if way == "none":
             return new, none

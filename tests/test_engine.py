@@ -642,6 +642,23 @@ def test_ranges_are_summed_in_one_reading(spark):
     assert hashed.value == 1_002
 
 
+def test_a_migration_computes_its_changes_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def told(value):
+        made.add(1)
+        return value
+
+    old, new = parse_table("CREATE TABLE t (k BIGINT NOT NULL, v VARCHAR(9), PRIMARY KEY (k))"), parse_table("CREATE TABLE t (k BIGINT NOT NULL, v VARCHAR(19), PRIMARY KEY (k))")
+    table = spark.createDataFrame([(k, "a") for k in range(50)], "k long, v string")
+    changes = spark.createDataFrame([(1, 3, 4, "b"), (2, 2, 5, None), (3, 1, 70, "c")], "change_id long, dml_type long, k long, v string").withColumn("k", told("k"))
+    expected = spark.createDataFrame([(k, "b" if k == 4 else "a") for k in range(50) if k != 5] + [(70, "c")], "k long, v string")
+    moved, wrong = Migration(old, new, strict=True).run(table, changes, expected)
+    assert wrong.count() == 0 and sorted(moved.collect()) == sorted(expected.collect())
+    assert made.value == 3
+
+
 def test_violations_of_a_hot_key(spark):
     rng = random.Random(9)
     log = [(i, rng.choice([1, 2, 3]), rng.choice([1, 1, 1, *range(9)]), "x") for i in range(1, 400)]
