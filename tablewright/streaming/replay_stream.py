@@ -141,10 +141,15 @@ class ReplayTarget:
         return Commit(version, writer, batch_id, bottom, top, folder)
 
 
-def replay_ranges(log: DataFrame, target: ReplayTarget, size: int = 500_000) -> int:
+LEAST_RANGE = 500_000
+
+
+def replay_ranges(log: DataFrame, target: ReplayTarget, size: int | None = None) -> int:
     """Replay a stored log in ranges of at most `size` ids after the target's last one, so that no batch holds a whole backlog; the
-    number of ranges. Each range is a version, numbered on."""
+    number of ranges. Each range is a version, numbered on. A range writes the buckets that it touches again, which are mostly all, so
+    without a size it has as many ids as the table has rows (LEAST_RANGE at least): what is written grows with the log, not with log times table."""
     low, high = target.last_id(), last_id(log).first()[0]
+    size = size or max(LEAST_RANGE, target.table().count())
     writer = f"ranges-{uuid.uuid4().hex}"  # what is left after a failure is another replay, from the last id that is there
     for n, start in enumerate(range(low, high, size)):
         target.apply(in_range(log, start, min(start + size, high)), n, writer)

@@ -659,6 +659,16 @@ def test_a_migration_computes_its_changes_once(spark):
     assert made.value == 3
 
 
+def test_ranges_grow_with_the_table(spark, tmp_path):
+    from tablewright.streaming.replay_stream import ReplayTarget, replay_ranges
+
+    target = ReplayTarget(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    target.start(spark.range(600_000).select(F.col("id").alias("k"), F.lit("a").alias("v")))
+    log = spark.createDataFrame([(1, 3, 5, "b"), (600_001, 2, 7, None), (1_100_000, 3, 6, "c")], LOG)
+    assert replay_ranges(log, target) == 2  # of 600,000 ids, as the table has rows; each writes all its buckets again
+    assert target.table().count() == 599_999 and {tuple(r) for r in target.table().where("v <> 'a'").collect()} == {(5, "b"), (6, "c")}
+
+
 def test_violations_of_a_hot_key(spark):
     rng = random.Random(9)
     log = [(i, rng.choice([1, 2, 3]), rng.choice([1, 1, 1, *range(9)]), "x") for i in range(1, 400)]
