@@ -84,6 +84,8 @@ def needed(template: np.ndarray, least: float) -> int:
 
 def candidates(units: list[np.ndarray], prints: list[list[tuple[int, int]]], hits: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Templates, and where words (at `hits`, with numbers `code`) say by fingerprints that they may lie: begins and ends of stretches, each rising, that may overlap."""
+    if not len(hits):
+        return  # below, no words would be cut into one part for no number
     order = np.argsort(code, kind="stable")
     numbers, first = np.unique(code[order], return_index=True)
     found: dict[int, list[np.ndarray]] = {}

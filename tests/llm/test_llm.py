@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablewright.llm import bcr, bpe, chat, decontaminate, licenses, ngram_join, quality, sharding, substring, suffix_dedup, token_files
+from tablewright.llm._arrow import SLICE_BYTES
 from tablewright.llm._shared import shared_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -380,6 +381,18 @@ def test_license_fingerprints_meet_every_match():
             assert set(own) - gone
 
 
+def test_slices_without_a_template_word(spark):
+    """Tables, partitions and slices of which no text has any word of a template match nothing, and what lies beside them is found."""
+    none = [(1, "la maison est grande"), (2, None), (3, "")]
+    for rows in (none[:1], none[1:], none):
+        assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count() == 0
+    line, long = "Released under the MIT License.", "x" * SLICE_BYTES  # a long text and the one after it are slices of their own
+    mixed = spark.createDataFrame([(4, f"{line} {long}"), (5, "la maison"), (6, long), (7, line)], "doc_id long, text string")
+    for parts in (1, 4):
+        found = licenses.license_scan(mixed.coalesce(1) if parts == 1 else mixed.repartitionByRange(parts, "doc_id")).collect()
+        assert sorted((r.doc_id, r.license, r.matched_words, r.begin, r.end) for r in found) == [(i, "mit-line", 5, 0, len(line) - 1) for i in (4, 7)]
+
+
 def test_long_text_of_repeated_lines(spark):
     text = "Released under the MIT License. " * 4000
     out = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
